@@ -1,0 +1,11 @@
+"""Corpus operators for language-model training data.
+
+Functions of this subpackage that run inside tasks are pickled by value, so executors need
+no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
