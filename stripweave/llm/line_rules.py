@@ -65,20 +65,27 @@ def _repeated_words(w: Column) -> Column:
 
 def _line_fails(line: Column, min_words: int, max_symbol_share: float, max_upper_share: float) -> Column:
     """True if a line is punctuation junk, navigation or boilerplate."""
-    n = F.regexp_count(line, F.lit(WORD))
-    dense = F.regexp_replace(line, r"[\x20\x09-\x0D]+", "")
-    size = F.length(dense)
-    symbols = size - F.length(F.regexp_replace(dense, SYMBOLS, ""))
-    letters = F.length(F.regexp_replace(dense, r"\P{L}+", ""))
-    upper = F.length(F.regexp_replace(dense, r"\P{Lu}+", ""))
-    bangs = F.regexp_count(line, F.lit(r"!!|\?\?"))
-    return (
-        (symbols > max_symbol_share * size)
-        | (bangs * 3 > n)
-        | ((letters >= 20) & (upper > max_upper_share * letters))
-        | ((n < min_words) & ~line.rlike(TERMINAL))
-        | ((n <= 12) & line.rlike(BOILERPLATE))
-        | (line.rlike(r"(^|\s)[|»>•·](\s|$)") & (F.regexp_count(line, F.lit(r"(^|\s)[|»>•·](?=\s|$)")) * 4 > n))
+
+    def by_shape(x: Column) -> Column:
+        dense, n = x["dense"], x["n"]
+        size = F.length(dense)
+        symbols = size - F.length(F.regexp_replace(dense, SYMBOLS, ""))
+        upper = F.length(F.regexp_replace(dense, r"\P{Lu}+", ""))
+        bangs = F.when(F.contains(dense, F.lit("!!")), F.regexp_count(dense, F.lit("!!+"))).otherwise(F.lit(0))
+        bars = F.when(dense.rlike("[|»>•·]"), F.regexp_count(line, F.lit(r"(^|\s)[|»>•·](?=\s|$)"))).otherwise(F.lit(0))
+        return (
+            ((n < min_words) & ~F.substring(line, -12, 12).rlike(TERMINAL))
+            | (symbols > max_symbol_share * size)
+            | ((size >= 20) & (upper > max_upper_share * size))
+            | (bangs * 3 > n)
+            | (bars * 4 > n)
+            | ((n <= 12) & line.rlike(BOILERPLATE))
+        )
+
+    space = F.lit(r"[\x20\x09-\x0D]+")
+    return let(
+        F.struct(F.regexp_replace(line, space, F.lit("")).alias("dense"), (F.regexp_count(line, space) + 1).alias("n")),
+        by_shape,
     )
 
 
