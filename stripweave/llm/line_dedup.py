@@ -27,25 +27,30 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Fixed value: white space stripped at both ends of a line.
-SPACE = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Filters are cut into segments of this many bits, merged by different tasks.
 SEGMENT_BITS = 1 << 22
 HASHES = 4
 
 
-def line_key(line: str) -> str:
-    """A line stripped of ASCII white space, with A-Z in lower case."""
-    return line.strip(SPACE).translate(_LOWER)
+def line_key(line: bytes) -> bytes:
+    """A UTF-8 line stripped of ASCII white space, with A-Z in lower case."""
+    return line.strip().lower()
 
 
-def _keys(text: str | None, min_chars: int) -> set[str]:
-    return {k for k in map(line_key, (text or "").split("\n")) if len(k) >= min_chars}
+def _long_enough(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (len(key) >= 4 * min_chars or len(key.decode("utf-8", "replace")) >= min_chars)
+
+
+def _keys(text: bytes | None, min_chars: int) -> set[bytes]:
+    return {k for k in map(line_key, (text or b"").split(b"\n")) if _long_enough(k, min_chars)}
+
+
+def _digest(key: bytes) -> bytes:
+    return hashlib.blake2b(key, digest_size=16).digest()
 
 
 def _hashes(keys) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys), dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), dtype=np.uint64)
 
 
 def _bits_of(h: np.ndarray, n_bits: int) -> np.ndarray:
@@ -70,13 +75,13 @@ def twice_filter(docs: DataFrame, min_chars: int, n_bits: int) -> list[tuple[int
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         once, twice = np.zeros(n_bits // 8, dtype=np.uint8), np.zeros(n_bits // 8, dtype=np.uint8)
         for frame in batches:
-            for text in frame["text"]:
-                h = _hashes(_keys(text, min_chars))
-                if len(h):
-                    at = _bits_of(h, n_bits)
-                    again = _has(once, at)
-                    _set(twice, at[again].ravel())
-                    _set(once, at.ravel())
+            # a batch at a time: what it holds twice is twice-seen at once
+            h = _hashes(k for text in frame["text"] for k in _keys(text, min_chars))
+            h, n = np.unique(h, return_counts=True)
+            if len(h):
+                at = _bits_of(h, n_bits)
+                _set(twice, np.unique(at[(n > 1) | _has(once, at)]))
+                _set(once, np.unique(at))
         size = segment // 8
         for k in range(n_bits // segment):
             o, t = once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size]
@@ -98,7 +103,7 @@ def twice_filter(docs: DataFrame, min_chars: int, n_bits: int) -> list[tuple[int
         for k, (_, t) in held.items():
             yield pd.DataFrame({"segment": [k], "twice": [zlib.compress(t.tobytes(), 1)]})
 
-    parts = docs.select("text").mapInPandas(build, "segment int, once binary, twice binary")
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(build, "segment int, once binary, twice binary")
     merged = parts.repartition("segment").mapInPandas(merge, "segment int, twice binary")
     return [(r["segment"], bytes(r["twice"])) for r in merged.collect()]  # at most max_filter_bytes
 
@@ -114,16 +119,16 @@ def suspects(docs: DataFrame, min_chars: int, n_bits: int) -> DataFrame:
         for k, blob in sent.value:
             twice[k * segment // 8 : (k + 1) * segment // 8] = np.frombuffer(zlib.decompress(blob), dtype=np.uint8)
         for frame in batches:
-            ids, digests = [], []
+            keys, owners = [], []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                keys = list(_keys(text, min_chars))
-                if keys:
-                    for i in np.flatnonzero(_has(twice, _bits_of(_hashes(keys), n_bits))):
-                        ids.append(doc_id)
-                        digests.append(hashlib.blake2b(keys[i].encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                own = _keys(text, min_chars)
+                keys += own
+                owners += [doc_id] * len(own)
+            hit = np.flatnonzero(_has(twice, _bits_of(_hashes(keys), n_bits))).tolist() if keys else []
+            digests, ids = [_digest(keys[i]) for i in hit], [owners[i] for i in hit]
             yield pd.DataFrame({"digest": digests, "doc_id": pd.array(ids, dtype="int64")})
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(test, "digest binary, doc_id long")
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInPandas(test, "digest binary, doc_id long")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bytes: int = 32 << 20) -> DataFrame:
@@ -146,24 +151,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_fil
     )
     out = docs.join(lost, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
 
-    @F.pandas_udf("n_lines long, n_dropped long, kept string")
+    @F.pandas_udf("n_lines long, n_dropped long, kept binary")
     def apply(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
         rows = []
         for text, digests in zip(texts, gone):
-            parts = (text or "").split("\n")
+            parts = (text or b"").split(b"\n")
             kept = parts
             if digests is not None and len(digests):
                 lost_keys = set(map(bytes, digests))
-                kept = []
-                for part in parts:
-                    key = line_key(part)
-                    if len(key) < min_chars or hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest() not in lost_keys:
-                        kept.append(part)
-            rows.append((len(parts), len(parts) - len(kept), "\n".join(kept)))
+                kept = [x for x in parts if not (_long_enough(k := line_key(x), min_chars) and _digest(k) in lost_keys)]
+            rows.append((len(parts), len(parts) - len(kept), b"\n".join(kept)))
         return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
 
-    return out.withColumn("__r", apply(F.col("text"), F.col("__lost"))).select(
-        *[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")], "__r.n_lines", "__r.n_dropped", "__r.kept"
+    return out.withColumn("__r", apply(F.col("text").cast("binary"), F.col("__lost"))).select(
+        *[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")], "__r.n_lines", "__r.n_dropped", F.col("__r.kept").cast("string").alias("kept")
     )
 
 
