@@ -131,9 +131,11 @@ def suspects(docs: DataFrame, min_chars: int, n_bits: int) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInPandas(test, "digest binary, doc_id long")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bytes: int = 32 << 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_filter_bytes: int = 32 << 20, prefix: str = "") -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the ``kept`` text (null text counts as empty).
 
+    ``prefix`` goes before these names; columns of ``docs`` with the same names are replaced.
+
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all
     their lines except in the largest doc_id that holds them.
     """
@@ -164,7 +166,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_fil
         return pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept"])
 
     return out.withColumn("__r", apply(F.col("text").cast("binary"), F.col("__lost"))).select(
-        *[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept")], "__r.n_lines", "__r.n_dropped", F.col("__r.kept").cast("string").alias("kept")
+        *[c for c in docs.columns if c not in [prefix + n for n in ("n_lines", "n_dropped", "kept")]],
+        F.col("__r.n_lines").alias(prefix + "n_lines"),
+        F.col("__r.n_dropped").alias(prefix + "n_dropped"),
+        F.col("__r.kept").cast("string").alias(prefix + "kept"),
     )
 
 
