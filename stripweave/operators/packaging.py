@@ -26,7 +26,7 @@ def distinct_references(references: DataFrame) -> DataFrame:
 
     References have ``ws, seq, source, kind, folder, present, bytes``.
     """
-    first = Window.partitionBy("ws", F.lower("source")).orderBy("seq")
+    first = Window.partitionBy("ws", F.lower("source")).orderBy("seq", "source")
     return references.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
 
 
@@ -44,7 +44,7 @@ def package_target_claim(files: DataFrame) -> DataFrame:
     rows = files.withColumns({"__in": inside, "__name": name, "__dir": F.when(inside, home).otherwise(F.concat(F.col("kind"), F.lit("/")))})
     hard = rows.where(F.col("__name").rlike(NUMBERED)).select("ws", "__dir").distinct().withColumn("__hard", F.lit(True))
     rows = rows.join(hard, ["ws", "__dir"], "left")
-    order = Window.partitionBy("ws", "__dir", F.lower("__name")).orderBy(F.desc("__in"), "seq")
+    order = Window.partitionBy("ws", "__dir", F.lower("__name")).orderBy(F.desc("__in"), "seq", "source")
     n = F.row_number().over(order)
     stem, ext = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 2)
     plain = rows.where("__hard IS NULL").withColumn("__n", n)
@@ -55,7 +55,7 @@ def package_target_claim(files: DataFrame) -> DataFrame:
 
     def claim(frame: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
-        frame = frame.sort_values(["__in", "seq"], ascending=[False, True])
+        frame = frame.sort_values(["__in", "seq", "source"], ascending=[False, True, True])
         targets = []
         for raw in frame["__name"]:
             dot = raw.rfind(".")

@@ -144,10 +144,10 @@ def cte(*names: str, more: dict[str, str] | None = None) -> str:
     def need(name: str) -> None:
         if name in done or name in TABLES:
             return
-        for n in re.findall(r"\{(\w+)\}", all_views[name]):
+        for n in re.findall(r"\{([a-z]\w*)\}", all_views[name]):
             need(n)
-        done[name] = duck(re.sub(r"\{(\w+)\}", r"\1", all_views[name])).strip()
+        done[name] = duck(re.sub(r"\{([a-z]\w*)\}", r"\1", all_views[name])).strip()
 
     for n in names:
         need(n)
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in done.items()) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in done.items()) + "\n"
