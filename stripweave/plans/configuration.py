@@ -22,7 +22,7 @@ def safe_area(v):
     return P.safe_area(v("v_canvas_profiles"))
 
 
-@query("SELECT id, width, height FROM v_canvas_profiles", "v_canvas_profiles")
+@query("SELECT id, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height FROM v_canvas_profiles", "v_canvas_profiles")
 def canvas_from_safe_area(v):
     c = v("v_canvas_profiles")
     return P.canvas_from_safe_area(c.join(P.safe_area(c), "id"))

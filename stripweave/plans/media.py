@@ -145,7 +145,7 @@ def write_workspaces(v):
 def read_workspaces(v):
     """Pages read back from workspace documents."""
     tables = D.workspace_tables(D.parse_workspaces(documents_of(v)))
-    return tables["inputs"].select("workspace_id", "project_uid", "uid", "file_path", "ord", "width", "height", "status")
+    return tables["inputs"].select("workspace_id", "project_uid", "uid", "file_path", *[F.col(c).cast("long").alias(c) for c in ("ord", "width", "height")], "status")
 
 
 MORE = {
@@ -237,7 +237,7 @@ def stack_and_slice_pixels(v):
 
 
 @query(
-    """SELECT project_uid, total_height // 1280 AS idx, CAST(y AS BIGINT) AS y, 255 AS r, 255 AS g, 255 AS b, 255 AS a
+    """SELECT project_uid, total_height // 1280 AS idx, CAST(y AS BIGINT) AS y, 255::BIGINT AS r, 255::BIGINT AS g, 255::BIGINT AS b, 255::BIGINT AS a
        FROM (SELECT *, unnest(range(total_height % 1280, 1280)) AS y FROM totals WHERE total_height % 1280 > 0) q""",
     "totals", more=geometry.MORE,
 )
@@ -283,7 +283,7 @@ def composite_overlays(v):
 
 
 @query(
-    f"SELECT image_uid, x, y, {byte('r * (a / 255.0::DOUBLE) + 255 * (1 - (a / 255.0::DOUBLE))')} AS r, {byte('g * (a / 255.0::DOUBLE) + 255 * (1 - (a / 255.0::DOUBLE))')} AS g, {byte('b * (a / 255.0::DOUBLE) + 255 * (1 - (a / 255.0::DOUBLE))')} AS b, 255 AS a FROM v_pixels",
+    f"SELECT image_uid, x, y, {byte('r * (a / 255.0::DOUBLE) + 255 * (1 - (a / 255.0::DOUBLE))')} AS r, {byte('g * (a / 255.0::DOUBLE) + 255 * (1 - (a / 255.0::DOUBLE))')} AS g, {byte('b * (a / 255.0::DOUBLE) + 255 * (1 - (a / 255.0::DOUBLE))')} AS b, 255::BIGINT AS a FROM v_pixels",
     "v_pixels",
 )
 def flatten_alpha_white(v):
@@ -291,7 +291,7 @@ def flatten_alpha_white(v):
 
 
 @query(
-    """SELECT image_uid, x, y, r, CASE WHEN n <= 2 THEN r ELSE g END AS g, CASE WHEN n <= 2 THEN r ELSE b END AS b, CASE WHEN n IN (2, 4) THEN a ELSE 255 END AS a FROM (SELECT *, 1 + image_uid % 4 AS n FROM v_pixels) q""",
+    """SELECT image_uid, x, y, r, CASE WHEN n <= 2 THEN r ELSE g END AS g, CASE WHEN n <= 2 THEN r ELSE b END AS b, CASE WHEN n IN (2, 4) THEN a ELSE 255::BIGINT END AS a FROM (SELECT *, 1 + image_uid % 4 AS n FROM v_pixels) q""",
     "v_pixels",
 )
 def promote_bands(v):
@@ -299,7 +299,7 @@ def promote_bands(v):
 
 
 @query(
-    """SELECT project_uid, uid, lo <> hi AND n <= 2 AS to_rgb, lo <> hi AND al AND n NOT IN (2, 4) AS add_alpha, CASE WHEN lo = hi THEN n WHEN al THEN 4 ELSE 3 END AS target_bands FROM (
+    """SELECT project_uid, uid, lo <> hi AND n <= 2 AS to_rgb, lo <> hi AND al AND n NOT IN (2, 4) AS add_alpha, CAST(CASE WHEN lo = hi THEN n WHEN al THEN 4 ELSE 3 END AS BIGINT) AS target_bands FROM (
          SELECT project_uid, uid, n, min(n) OVER w AS lo, max(n) OVER w AS hi, bool_or(n IN (2, 4)) OVER w AS al
          FROM (SELECT project_uid, uid, CASE WHEN pk % 5 = 0 THEN 1 WHEN pk % 17 = 0 THEN 4 ELSE 3 END AS n FROM v_inputs) b WINDOW w AS (PARTITION BY project_uid)) q""",
     "v_inputs",

@@ -26,8 +26,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN sk % 13 = 0 THEN 'Missing' WHEN pk % 17 = 0 THEN 'Pending' ELSE 'Processed' END AS status,
                sha2(CAST(pk AS STRING), 256) AS sha256, pk, sk
         FROM (SELECT l_orderkey AS k, l_partkey AS pk, l_suppkey AS sk, CAST(l_quantity AS BIGINT) AS q,
-                     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-                                        l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) - 1 AS ord
+                     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                                             l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) - 1 AS BIGINT) AS ord
               FROM {lineitem}) t""",
     "v_canvas_profiles": """
         SELECT 'cp-' || CAST(p_partkey AS STRING) AS id, p_partkey AS ordinal, p_name AS name,
@@ -52,13 +52,13 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     "v_scan_old": """
         SELECT source AS project_uid, '/scan/' || source || '/' || CAST(doc_id AS STRING) AS file_path,
-               sha2(text, 256) AS sha256, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord,
+               sha2(text, 256) AS sha256, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS ord,
                'old-' || CAST(doc_id AS STRING) AS uid
         FROM {documents} WHERE doc_id % 10 < 8""",
     "v_scan_new": """
         SELECT source AS project_uid,
                CASE WHEN doc_id % 4 = 0 THEN '/moved/' ELSE '/scan/' END || source || '/' || CAST(doc_id AS STRING) AS file_path,
-               sha2(text, 256) AS sha256, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord
+               sha2(text, 256) AS sha256, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS BIGINT) AS ord
         FROM {documents} WHERE doc_id % 10 <> 3""",
     "v_pixels": """
         SELECT l_orderkey AS image_uid, l_partkey % 64 AS x, l_suppkey % 64 AS y,
