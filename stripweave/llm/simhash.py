@@ -103,18 +103,14 @@ def _links_of_node(fp: np.ndarray, limit: int, fan: int = 16) -> tuple[np.ndarra
 def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position reachable from each of n positions over the links (a, b)."""
     root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        np.minimum.at(root, before, root)  # also the old roots follow
-        root = root[root]
-        keep = root[a] != root[b]
-        a, b = a[keep], b[keep]
-    while (root != root[root]).any():
-        root = root[root]
-    return root
+    while True:
+        one, other = root[a], root[b]
+        if (one == other).all():
+            return root
+        # the larger root hangs under the smaller one; then all point at their root again
+        np.minimum.at(root, np.maximum(one, other), np.minimum(one, other))
+        while (root != root[root]).any():
+            root = root[root]
 
 
 def _blocks(mask: int, parts: int) -> list[int]:
