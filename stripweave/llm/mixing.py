@@ -118,7 +118,7 @@ def schedule(targets: DataFrame, block_tokens: int, n_sources: int) -> DataFrame
     )
 
 
-def mix_sources(docs: DataFrame, block_tokens: int = 4096, docs_per_run: int = 20_000, **target_options) -> dict:
+def mix_sources(docs: DataFrame, block_tokens: int = 4096, docs_per_run: int = 500, **target_options) -> dict:
     """``documents``: what the mix takes of each; ``slots``: the schedule with block numbers.
 
     A slot takes ``slot_tokens`` words from the start of block ``block`` of its source; blocks
