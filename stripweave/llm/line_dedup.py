@@ -144,8 +144,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, max_fil
     n_bits = 1 << min((8 * max_filter_bytes).bit_length() - 1, max(16, (16 * expected - 1).bit_length()))
     held = materialise(suspects(docs, min_chars, n_bits).distinct())
     drop = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # written first: the join then reads two plain shuffles, of which large keys are split
+    drop = materialise(drop.select("digest", "keeper"))
     lost = (
-        held.join(drop.select("digest", "keeper"), "digest")
+        held.join(drop, "digest")
         .where("doc_id <> keeper")
         .groupBy("doc_id")
         .agg(F.collect_set("digest").alias("__lost"))  # keys of one document's own lines
