@@ -1,3 +1,72 @@
 """DuckDB SQL for those corpus queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = r"[\x20\x09-\x0D]"
+
+#: Words, 3-word windows that repeat, and line rules are spelled out independently of the operator.
+LINE_RULES = rf"""
+WITH base AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+         string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+win AS (
+  SELECT rid, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) >= 3) q),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) q WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY rid),
+lines AS (SELECT rid, k, x, regexp_replace(x, '{_SPACE}+', '', 'g') AS dense, len(regexp_extract_all(x, '{_SPACE}+')) + 1 AS n
+          FROM (SELECT rid, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS x FROM base) q),
+judged AS (
+  SELECT rid, x, dense, regexp_matches(x, '[^\x20\x09-\x0D]') AS has_word,
+         ((n < 4 AND NOT regexp_matches(right(x, 12), '[.!?…。！？:;]["''”’»)\]]*[ \t\n\f\r\v]*$'))
+          OR length(dense) - length(regexp_replace(dense, '[#*$%&|<>]', '', 'g')) > 0.1::DOUBLE * length(dense)
+          OR (length(dense) >= 20 AND length(regexp_replace(dense, '\P{{Lu}}+', '', 'g')) > 0.6::DOUBLE * length(dense))
+          OR len(regexp_extract_all(dense, '!!+')) * 3 > n
+          OR (regexp_matches(dense, '[|»>•·]') AND len(list_filter(string_split_regex(x, '[ \t\n\x0b\f\r]'), lambda p: p IN ('|', '»', '>', '•', '·'))) * 4 > n)
+          OR (n <= 12 AND regexp_matches(x, '(?i)\b(cookies?|privacy policy|terms of (use|service)|all rights reserved|copyright|log ?in|sign ?(in|up)|subscribe|newsletter|click here|read more|share (this|on)|follow us|javascript|lorem ipsum|back to top|skip to content|powered by|impressum|datenschutz|mentions légales|aviso legal)\b'))) AS fails
+  FROM lines),
+per AS (
+  SELECT rid, count(*) FILTER (WHERE has_word) - count(DISTINCT x) FILTER (WHERE has_word) AS n_dup_lines,
+         coalesce(sum(length(dense)) FILTER (WHERE NOT fails), 0) AS kept_chars, coalesce(sum(len(regexp_extract_all(x, '{_WORD}'))) FILTER (WHERE NOT fails), 0) AS kept_words
+  FROM judged GROUP BY rid),
+facts AS (
+  SELECT b.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, kept_chars, kept_words
+  FROM base b JOIN per p ON p.rid = b.rid LEFT JOIN covered c ON c.rid = b.rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * kept_chars >= 70 * word_chars AND 2 * kept_words >= 50 AS kept
+FROM facts
+"""
+
+#: The cap level is found from the sources sorted by cap per weight; what is taken follows from the
+#: running sums in md5 order.
+MIXING = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS size FROM documents),
+src AS (
+  SELECT source, source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source) q),
+steps AS (
+  SELECT *, row_number() OVER o AS k, coalesce(sum(2 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+         sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w, 1.5::DOUBLE * sum(source_size) OVER () AS total
+  FROM src WINDOW o AS (ORDER BY 2 * source_size / w, w, source NULLS LAST)),
+lvl AS (SELECT arg_min((total - capped) / open_w, k) AS v FROM steps WHERE (total - capped) / open_w * w <= 2 * source_size),
+tgt AS (SELECT source, source_size, least(w * coalesce((SELECT v FROM lvl), 0), 2.0::DOUBLE * source_size) AS target FROM src),
+run AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS want,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
+  FROM sized d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE want // source_size * size + greatest(0, least(size, want % source_size - start)) END AS taken, source, start FROM run
+"""
+
+LINE_DEDUP = rf"""
+WITH lines AS (
+  SELECT rid, doc_id, k, x, translate(regexp_replace(regexp_replace(x, '^{_SPACE}+', ''), '{_SPACE}+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT rid, doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS x
+        FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) b) q),
+shared AS (SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT l.*, s.keeper IS NOT NULL AND l.doc_id <> s.keeper AS gone FROM lines l LEFT JOIN shared s ON s.key = l.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)) AS n_dropped,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY k) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM marked GROUP BY rid, doc_id
+"""
+
+SQL: dict[str, str] = {"op4_line_rules": LINE_RULES, "op5_mixing": MIXING, "op6_line_dedup": LINE_DEDUP}
