@@ -308,7 +308,7 @@ def _replies(table: DataFrame, uni: _Unigrams, d: np.ndarray, starts: int, hot:
     return table.select("bucket", "h", "wn", "hn", "count", "batches", "asked").mapInPandas(answer, "batch long, bucket int, kind int, a binary, b binary")
 
 
-def katz_scores(docs: DataFrame, training: Column, k: int = 5, batch_tokens: int = 1_500_000, bucket_tokens: int = 4_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, training: Column, k: int = 5, batch_tokens: int = 800_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """Scores of all ``docs`` under the model learned from the rows where ``training`` holds:
     ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``."""
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
