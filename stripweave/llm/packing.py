@@ -147,11 +147,15 @@ class _Encoder:
             import base64
 
             import public_tokenizers
-            import tiktoken
+            import tiktoken.registry
 
-            with open(rank_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            # a worker process runs many tasks: its registry holds one encoding for all of them
+            known, name = tiktoken.registry.ENCODINGS, f"ranks of {rank_path}"
+            if name not in known:
+                with open(rank_path, "rb") as f:
+                    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+                known[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.fast = known[name]
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and "<|" not in text:
@@ -185,7 +189,7 @@ def cut_pieces(docs: DataFrame, capacity: int, json_path: str, rank_path: str |
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tokenize, schema)
 
 
-def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, grain: int = 8, pieces_per_run: int = 20_000) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, grain: int = 8, pieces_per_run: int = 500) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens."""
     spark = pieces.sparkSession
     units = pieces.withColumn("units", F.expr(f"(length + {grain - 1}) div {grain}"))
