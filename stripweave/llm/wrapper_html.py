@@ -2,9 +2,11 @@
 
 For every host a bounded sample of its pages (``sample_pages``, chosen by hash) is parsed and aligned
 by simple tree matching. Aligned nodes with the same text on all distinct pages are template, the
-others are slots. The wrapper of a host is the path to the node that holds its content slots, and
-the template texts inside that node. It is applied to every page of the host. Pages that the path
-does not fit, and hosts with one page, are read by the same descent on the page alone.
+others are slots. The wrapper of a host is the path to the node that holds most of its content slots,
+the template texts inside that node, and the blocks outside it that all sampled pages share. It is
+applied to every page of the host: all text that is neither template nor furniture is kept, wherever
+it stands. Pages that the path does not fit, and hosts with one page, keep all but furniture and known
+template.
 
 Defined results: null or empty html gives an empty text; a null or odd url counts as one host of its
 own; repeated rows are extracted one by one; empty tables give empty results; other columns are
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,8 +158,37 @@ def blocks(node: Node) -> list[str]:
     return done
 
 
-def _text_mass(node: Node) -> int:
-    return sum(map(len, blocks(node)))
+def parts(tree: Node, inner: set[int]) -> list[tuple[str, str, bool]]:
+    """Blocks of a page as (place and text, text, inside one of the nodes with ids ``inner``).
+
+    The place is a hash of the signatures from the root to the block.
+    """
+    done, now, at = [], [], [("", False)]
+
+    def end():
+        text = SPACE.sub(" ", "".join(now)).strip(" ")
+        now.clear()
+        if text:
+            done.append((f"{at[-1][0]} {text}", text, at[-1][1]))
+
+    todo: list = [tree]
+    while todo:  # a stack, as nesting may be deep
+        x = todo.pop()
+        if x is None:
+            end()
+            at.pop()
+        elif isinstance(x, str):
+            now.append(x)
+        elif x.tag == "br":
+            now.append(" ")
+        elif not x.out:
+            if x.tag in BLOCK:
+                end()
+                at.append((xxhash.xxh64_hexdigest(f"{at[-1][0]}/{x.sig}"), at[-1][1] or id(x) in inner))
+                todo.append(None)
+            todo.extend(reversed(x.kids))
+    end()
+    return done
 
 
 def _folded(node: Node, depth: int = 0) -> tuple:
@@ -205,7 +237,11 @@ def tree_match(a: tuple, b: tuple) -> tuple[int, list]:
 
 
 def induce(pages: list[str | None], min_pages: int = 5, max_template_words: int = 30) -> dict:
-    """Wrapper of a host from some of its pages: ``path`` to the content and ``template`` texts."""
+    """Wrapper of a host from some of its pages.
+
+    ``path`` to the content, ``template`` texts inside it and ``outside``: blocks elsewhere that are
+    the same, at the same place, on all distinct pages that the path fits.
+    """
     trees = [parse(h) for h in dict.fromkeys(pages)]
     folded = [_folded(t) for t in trees]
     first, seen, slot = folded[0], {}, {}
@@ -232,7 +268,10 @@ def induce(pages: list[str | None], min_pages: int = 5, max_template_words: int
     if len(trees) >= min_pages:
         counts = Counter(t for tree in trees for node in _at(tree, path) for t in set(blocks(node)))
         template = sorted(t for t, n in counts.items() if n >= len(trees) and len(t.split()) <= max_template_words)
-    return {"path": path, "template": template}
+    read = [parts(tree, {id(n) for n in _at(tree, path)}) for tree in trees]
+    fitting = [{place for place, _, inside in page if not inside} for page in read if any(inside for *_, inside in page)]
+    outside = sorted(set.intersection(*fitting)) if len(fitting) > 1 else []
+    return {"path": path, "template": template, "outside": outside}
 
 
 def _at(tree: Node, path: list[str]) -> list[Node]:
@@ -248,11 +287,12 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     if not html:
         return ""
     tree = parse(html)
-    nodes = _at(tree, wrapper["path"]) if wrapper else []
-    if not any(map(_text_mass, nodes)):
-        nodes = _at(tree, induce([html])["path"]) or [tree]
-    drop = set(wrapper["template"]) if wrapper else ()
-    return " ".join(t for node in nodes for t in blocks(node) if t not in drop)
+    page = parts(tree, {id(n) for n in _at(tree, wrapper["path"])} if wrapper else set())
+    if not wrapper:
+        return " ".join(t for _, t, _ in page)
+    fits = any(inside for *_, inside in page)
+    template, outside = set(wrapper["template"]), set(wrapper["outside"])
+    return " ".join(t for place, t, inside in page if place not in outside and not (t in template and (inside or not fits)))
 
 
 def induce_wrappers(pages: DataFrame, sample_pages: int = 8) -> DataFrame:
