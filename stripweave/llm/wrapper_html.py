@@ -1,12 +1,14 @@
 """Main text of web pages by wrapper induction.
 
-For every host a bounded sample of its pages (``sample_pages``, chosen by hash) is parsed and aligned
-by simple tree matching. Aligned nodes with the same text on all distinct pages are template, the
-others are slots. The wrapper of a host is the path to the node that holds most of its content slots,
-the template texts inside that node, and the blocks outside it that all sampled pages share. It is
-applied to every page of the host: all text that is neither template nor furniture is kept, wherever
-it stands. Pages that the path does not fit, and hosts with one page, keep all but furniture and known
-template.
+For every host a bounded sample of its distinct pages (``sample_pages``, chosen by hash) is parsed and
+aligned by simple tree matching. Aligned nodes with different texts are slots; the path to the node that
+holds most of them is the host's content. Then every page is read: a block that stands at the same place
+with the same text on two or more, and on more than half, of a host's distinct pages that the path fits
+is template, inside the content or beside it. All text that is neither template nor furniture is kept,
+wherever it stands. Pages of the same content text count once.
+
+On hosts with fewer than five such pages, template that would take more than half of a page's content
+text is left in: such pages are near copies of each other rather than filled forms.
 
 Defined results: null or empty html gives an empty text; a null or odd url counts as one host of its
 own; repeated rows are extracted one by one; empty tables give empty results; other columns are
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -236,12 +237,8 @@ def tree_match(a: tuple, b: tuple) -> tuple[int, list]:
     return size[m][n] + 1, pairs
 
 
-def induce(pages: list[str | None], min_pages: int = 5, max_template_words: int = 30) -> dict:
-    """Wrapper of a host from some of its pages.
-
-    ``path`` to the content, ``template`` texts inside it and ``outside``: blocks elsewhere that are
-    the same, at the same place, on all distinct pages that the path fits.
-    """
+def induce(pages: list[str | None]) -> dict:
+    """Wrapper of a host from some of its pages: ``path`` to the content."""
     trees = [parse(h) for h in dict.fromkeys(pages)]
     folded = [_folded(t) for t in trees]
     first, seen, slot = folded[0], {}, {}
@@ -264,14 +261,7 @@ def induce(pages: list[str | None], min_pages: int = 5, max_template_words: int
         now = best
         if tag in ("article", "main"):
             break
-    template: list[str] = []
-    if len(trees) >= min_pages:
-        counts = Counter(t for tree in trees for node in _at(tree, path) for t in set(blocks(node)))
-        template = sorted(t for t, n in counts.items() if n >= len(trees) and len(t.split()) <= max_template_words)
-    read = [parts(tree, {id(n) for n in _at(tree, path)}) for tree in trees]
-    fitting = [{place for place, _, inside in page if not inside} for page in read if any(inside for *_, inside in page)]
-    outside = sorted(set.intersection(*fitting)) if len(fitting) > 1 else []
-    return {"path": path, "template": template, "outside": outside}
+    return {"path": path}
 
 
 def _at(tree: Node, path: list[str]) -> list[Node]:
@@ -282,30 +272,76 @@ def _at(tree: Node, path: list[str]) -> list[Node]:
     return found if path else []
 
 
+def _read(html: str, wrapper: dict | None) -> list[tuple[str, str, bool]]:
+    tree = parse(html)
+    return parts(tree, {id(n) for n in _at(tree, wrapper["path"])} if wrapper else set())
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def extract(html: str | None, wrapper: dict | None) -> str:
-    """Main text of one page."""
+    """Main text of one page; ``template`` of a wrapper holds digests of places and texts."""
     if not html:
         return ""
-    tree = parse(html)
-    page = parts(tree, {id(n) for n in _at(tree, wrapper["path"])} if wrapper else set())
-    if not wrapper:
-        return " ".join(t for _, t, _ in page)
-    fits = any(inside for *_, inside in page)
-    template, outside = set(wrapper["template"]), set(wrapper["outside"])
-    return " ".join(t for place, t, inside in page if place not in outside and not (t in template and (inside or not fits)))
+    page = _read(html, wrapper)
+    template = wrapper["template"] if wrapper else ()
+    known = [bool(template) and _digest(place) in template for place, *_ in page]
+    if wrapper and wrapper["pages"] < 5:
+        mass = sum(len(t) for _, t, inside in page if inside)
+        if 2 * sum(len(t) for (_, t, inside), k in zip(page, known) if inside and k) > mass:
+            known = [k and not inside for (*_, inside), k in zip(page, known)]
+    return " ".join(t for (_, t, _), k in zip(page, known) if not k)
+
 
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame, broadcast_hosts: int) -> DataFrame:
+    return rows.join(F.broadcast(wrappers) if wrappers.count() <= broadcast_hosts else wrappers, "__host", "left")
 
-def induce_wrappers(pages: DataFrame, sample_pages: int = 8) -> DataFrame:
-    """``__host, wrapper`` (JSON) for every host."""
-    order = Window.partitionBy("__host").orderBy(F.xxhash64("html"), "html")
-    picked = pages.select("__host", "html").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= sample_pages).drop("__k")
+
+def induce_wrappers(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: int = 20_000) -> DataFrame:
+    """``__host, wrapper`` (JSON with ``path``) for every host, from distinct pages."""
+    keyed = pages.select("__host", "html", F.xxhash64("html").alias("__d"), F.md5("html").alias("__m"))
+    order = Window.partitionBy("__host").orderBy("__d", "__m")
+    ranked = keyed.select("__host", "__d", "__m").distinct().withColumn("__k", F.row_number().over(order))
+    chosen = materialise(ranked.where(F.col("__k") <= sample_pages).drop("__k"))
+    chosen = F.broadcast(chosen) if chosen.count() <= sample_pages * broadcast_hosts else chosen
+    picked = keyed.join(chosen, ["__host", "__d", "__m"]).groupBy("__host", "__d", "__m").agg(F.first("html").alias("html"))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["__d", "__m"])
         return pd.DataFrame({"__host": [frame["__host"].iloc[0]], "wrapper": [json.dumps(induce(frame["html"].tolist()))]})
 
     return picked.groupBy("__host").applyInPandas(fit, "__host string, wrapper string")
 
 
+def count_template(rows: DataFrame, wrappers: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """``__host, wrapper`` with ``template`` and ``pages``, counted over all pages of each host."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            hosts, contents, blocks_ = [], [], []
+            for host, html, wrapper in zip(frame["__host"], frame["html"], frame["wrapper"]):
+                page = _read(html, json.loads(wrapper))
+                content = [t for _, t, inside in page if inside]
+                if content:
+                    found = {None, *(_digest(place) for place, *_ in page)}
+                    hosts += [host] * len(found)
+                    contents += [_digest("\n".join(content))] * len(found)
+                    blocks_ += found
+            yield pd.DataFrame({"__host": hosts, "content": pd.Series(contents, dtype="int64"), "block": pd.Series(blocks_, dtype="Int64")})
+
+    held = _with_wrappers(rows, wrappers, broadcast_hosts).select("__host", "html", "wrapper").where("wrapper IS NOT NULL")
+    seen = held.mapInPandas(emit, "__host string, content long, block long").distinct()
+    counts = materialise(seen.groupBy("__host", "block").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 OR block IS NULL"))
+    pages = counts.where("block IS NULL").select("__host", F.col("n").alias("pages"))
+    common = counts.where("block IS NOT NULL").join(pages, "__host").where("2 * n > pages")
+    template = common.groupBy("__host").agg(F.to_json(F.sort_array(F.collect_list("block"))).alias("template"))
+    parts_ = [F.expr("left(wrapper, length(wrapper) - 1)"), F.lit(', "pages": '), F.coalesce("pages", F.lit(0)).cast("string")]
+    parts_ += [F.lit(', "template": '), F.coalesce("template", F.lit("[]")), F.lit("}")]
+    return wrappers.join(pages, "__host", "left").join(template, "__host", "left").select("__host", F.concat(*parts_).alias("wrapper"))
+
+
 def main_text(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: int = 20_000) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
@@ -313,8 +349,8 @@ def main_text(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: int = 20
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("__host"))
-    wrappers = materialise(induce_wrappers(rows, sample_pages))
-    wrappers = F.broadcast(wrappers) if wrappers.count() <= broadcast_hosts else wrappers
+    paths = materialise(induce_wrappers(rows, sample_pages, broadcast_hosts))
+    wrappers = materialise(count_template(rows, paths, broadcast_hosts))
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read: dict[str, dict] = {}
@@ -325,10 +361,11 @@ def main_text(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: int = 20
                     if len(read) > 1000:
                         read.clear()
                     read[wrapper] = json.loads(wrapper)
+                    read[wrapper]["template"] = set(read[wrapper]["template"])
                 texts.append(extract(html, read.get(wrapper)))
             yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    joined = rows.join(wrappers, "__host", "left").select(F.col("page_id").cast("long"), "url", "html", "wrapper")
+    joined = _with_wrappers(rows, wrappers, broadcast_hosts).select(F.col("page_id").cast("long"), "url", "html", "wrapper")
     return joined.mapInPandas(apply, "page_id long, url string, text string, n_chars long")
 
 
