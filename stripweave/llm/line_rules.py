@@ -17,13 +17,22 @@ from .common import WORD, let, words
 #: Fixed value: characters counted as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 #: Fixed value: marks that may end a sentence, then closing quotes or brackets.
-TERMINAL = r"[.!?…。！？:;][\"'”’»)\]]*\s*$"
-#: Fixed value: phrases of page furniture, matched without case in short lines.
-BOILERPLATE = (
-    r"(?i)\b(cookies?|privacy policy|terms of (use|service)|all rights reserved|copyright|log ?in|sign ?(in|up)|"
-    r"subscribe|newsletter|click here|read more|share (this|on)|follow us|javascript|lorem ipsum|back to top|"
-    r"skip to content|powered by|impressum|datenschutz|mentions légales|aviso legal)\b"
-)
+TERMINAL = r"[.!?…。！？:;][\"'”’»)\]]*$"
+SPACE_AT_END = r"[\x20\x09-\x0D]+$"
+#: Phrases of page furniture by language, as patterns; a parameter of ``line_quality``.
+BOILERPLATE = {
+    "any": ("cookies?", "copyright", "log ?in", "newsletter", "javascript", "lorem ipsum"),
+    "en": ("privacy policy", "terms of (use|service)", "all rights reserved", "sign ?(in|up)", "subscribe", "click here", "read more", "share (this|on)", "follow us", "back to top", "skip to content", "powered by"),
+    "de": ("impressum", "datenschutz(erklärung)?", "alle rechte vorbehalten", "nutzungsbedingungen", "jetzt anmelden", "hier klicken", "mehr lesen", "weiterlesen", "nach oben"),
+    "fr": ("mentions légales", "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "cliquez ici", "lire la suite", "abonnez-vous", "haut de page"),
+    "es": ("aviso legal", "todos los derechos reservados", "política de privacidad", "condiciones de uso", "haga clic aquí", "leer más", "suscríbete", "volver arriba"),
+}
+
+
+def boilerplate_pattern(phrases: dict[str, tuple[str, ...]]) -> str | None:
+    """One pattern, without case, for the phrases of all languages; None without any."""
+    parts = [x for some in phrases.values() for x in some]
+    return rf"(?i)\b({'|'.join(parts)})\b" if parts else None
 
 
 def _repeated_words(w: Column) -> Column:
@@ -63,8 +72,8 @@ def _repeated_words(w: Column) -> Column:
     ).cast("long")
 
 
-def _line_fails(line: Column, min_words: int, max_symbol_share: float, max_upper_share: float) -> Column:
-    """True if a line is punctuation junk, navigation or boilerplate."""
+def _line_fails(line: Column, min_words: int, max_symbol_share: float, max_upper_share: float, boilerplate: str | None) -> Column:
+    """True if a line is punctuation junk, navigation or boilerplate; white space at its ends does not count."""
 
     def by_shape(x: Column) -> Column:
         dense, n = x["dense"], x["n"]
@@ -74,17 +83,17 @@ def _line_fails(line: Column, min_words: int, max_symbol_share: float, max_upper
         bangs = F.when(F.contains(dense, F.lit("!!")), F.regexp_count(dense, F.lit("!!+"))).otherwise(F.lit(0))
         bars = F.when(dense.rlike("[|»>•·]"), F.regexp_count(line, F.lit(r"(^|\s)[|»>•·](?=\s|$)"))).otherwise(F.lit(0))
         return (
-            ((n < min_words) & ~F.substring(line, -12, 12).rlike(TERMINAL))
+            ((n < min_words) & ~F.substring(F.regexp_replace(line, SPACE_AT_END, ""), -12, 12).rlike(TERMINAL))
             | (symbols > max_symbol_share * size)
             | ((size >= 20) & (upper > max_upper_share * size))
             | (bangs * 3 > n)
             | (bars * 4 > n)
-            | ((n <= 12) & line.rlike(BOILERPLATE))
+            | ((n <= 12) & line.rlike(boilerplate) if boilerplate else F.lit(False))
         )
 
     space = F.lit(r"[\x20\x09-\x0D]+")
     return let(
-        F.struct(F.regexp_replace(line, space, F.lit("")).alias("dense"), (F.regexp_count(line, space) + 1).alias("n")),
+        F.struct(F.regexp_replace(line, space, F.lit("")).alias("dense"), F.regexp_count(line, F.lit(WORD)).alias("n")),
         by_shape,
     )
 
@@ -97,6 +106,7 @@ def line_quality(
     min_line_words: int = 4,
     max_symbol_share: float = 0.1,
     max_upper_share: float = 0.6,
+    boilerplate: dict[str, tuple[str, ...]] = BOILERPLATE,
 ) -> DataFrame:
     """``doc_id``, base counts, ``base_failed``, ``cleaned`` text, ``kept_chars`` and ``kept``.
 
@@ -104,7 +114,7 @@ def line_quality(
     ``max_lost_percent`` of the characters in words, or if the rest falls under half of
     ``min_doc_words``.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text, phrases = F.coalesce(F.col("text"), F.lit("")), boilerplate_pattern(boilerplate)
     lines = docs.select("doc_id", text.alias("t")).select(
         "doc_id", "t", words(F.col("t")).alias("w"), F.split("t", "\n", -1).alias("l")
     )
@@ -119,7 +129,7 @@ def line_quality(
         ).alias("n_dup_lines"),
         _repeated_words(F.col("w")).alias("n_repeat_words"),
         F.filter(
-            "l", lambda x: ~_line_fails(x, min_line_words, max_symbol_share, max_upper_share)
+            "l", lambda x: ~_line_fails(x, min_line_words, max_symbol_share, max_upper_share, phrases)
         ).alias("good"),
     )
     judged = base.select(

@@ -13,16 +13,16 @@ win AS (
   FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM base WHERE len(w) >= 3) q),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) q WHERE n > 1),
 covered AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, (VALUES (0), (1), (2)) AS t(d) GROUP BY rid),
-lines AS (SELECT rid, k, x, regexp_replace(x, '{_SPACE}+', '', 'g') AS dense, len(regexp_extract_all(x, '{_SPACE}+')) + 1 AS n
+lines AS (SELECT rid, k, x, regexp_replace(x, '{_SPACE}+', '', 'g') AS dense, len(regexp_extract_all(x, '{_WORD}')) AS n
           FROM (SELECT rid, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS x FROM base) q),
 judged AS (
   SELECT rid, x, dense, regexp_matches(x, '[^\x20\x09-\x0D]') AS has_word,
-         ((n < 4 AND NOT regexp_matches(right(x, 12), '[.!?…。！？:;]["''”’»)\]]*[ \t\n\f\r\v]*$'))
+         ((n < 4 AND NOT regexp_matches(right(regexp_replace(x, '{_SPACE}+$', ''), 12), '[.!?…。！？:;]["''”’»)\]]*$'))
           OR length(dense) - length(regexp_replace(dense, '[#*$%&|<>]', '', 'g')) > 0.1::DOUBLE * length(dense)
           OR (length(dense) >= 20 AND length(regexp_replace(dense, '\P{{Lu}}+', '', 'g')) > 0.6::DOUBLE * length(dense))
           OR len(regexp_extract_all(dense, '!!+')) * 3 > n
           OR (regexp_matches(dense, '[|»>•·]') AND len(list_filter(string_split_regex(x, '[ \t\n\x0b\f\r]'), lambda p: p IN ('|', '»', '>', '•', '·'))) * 4 > n)
-          OR (n <= 12 AND regexp_matches(x, '(?i)\b(cookies?|privacy policy|terms of (use|service)|all rights reserved|copyright|log ?in|sign ?(in|up)|subscribe|newsletter|click here|read more|share (this|on)|follow us|javascript|lorem ipsum|back to top|skip to content|powered by|impressum|datenschutz|mentions légales|aviso legal)\b'))) AS fails
+          OR (n <= 12 AND regexp_matches(x, '(?i)\b(cookies?|copyright|log ?in|newsletter|javascript|lorem ipsum|privacy policy|terms of (use|service)|all rights reserved|sign ?(in|up)|subscribe|click here|read more|share (this|on)|follow us|back to top|skip to content|powered by|impressum|datenschutz(erklärung)?|alle rechte vorbehalten|nutzungsbedingungen|jetzt anmelden|hier klicken|mehr lesen|weiterlesen|nach oben|mentions légales|tous droits réservés|politique de confidentialité|conditions d''utilisation|cliquez ici|lire la suite|abonnez-vous|haut de page|aviso legal|todos los derechos reservados|política de privacidad|condiciones de uso|haga clic aquí|leer más|suscríbete|volver arriba)\b'))) AS fails
   FROM lines),
 per AS (
   SELECT rid, count(*) FILTER (WHERE has_word) - count(DISTINCT x) FILTER (WHERE has_word) AS n_dup_lines,
