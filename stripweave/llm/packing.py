@@ -8,8 +8,9 @@ best-fit. Only the histogram, one number for each possible length, reaches the d
 ranked inside their length, and rank intervals lead each to its pattern copy and slot.
 
 Defined results: null text counts as empty, and every document carries the end id, so each gives at
-least one piece; repeated rows are packed one by one; empty tables give empty results; other columns
-are ignored. Ties in rank are ordered by doc_id, start and checksum.
+least one piece; very long texts are encoded whole and cut into full pieces; repeated rows are packed
+one by one; empty tables give empty results; other columns are ignored. Ties in rank are ordered by
+doc_id, start and checksum.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ class _Encoder:
     """Ids of the byte-level BPE file, equal to those of ``tokenizers`` for that file.
 
     Ordinary text goes through the rank file of the same vocabulary, which is several times faster;
-    texts that spell out a special token go through ``tokenizers`` itself.
+    texts that spell out a special token, or hold a run of white space too long for the pattern
+    engine behind it, go through ``tokenizers`` itself.
     """
 
     def __init__(self, json_path: str, rank_path: str | None):
@@ -159,7 +161,10 @@ class _Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and "<|" not in text:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            except ValueError:  # its pattern engine gives up on white space runs of about a million
+                pass
         if self.full is None:
             from tokenizers import Tokenizer
 
@@ -192,7 +197,8 @@ def cut_pieces(docs: DataFrame, capacity: int, json_path: str, rank_path: str |
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, grain: int = 8, pieces_per_run: int = 500) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces of 1 to ``capacity`` tokens."""
     spark = pieces.sparkSession
-    units = pieces.withColumn("units", F.expr(f"(length + {grain - 1}) div {grain}"))
+    # the salt is written with the piece, so that every read of a piece puts it into the same run
+    units = materialise(pieces.withColumn("units", F.expr(f"(length + {grain - 1}) div {grain}")).withColumn("__salt", F.rand(seed=5)))
     histogram = {r["units"]: r["n"] for r in units.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, first, used = [], 0, dict.fromkeys(histogram, 0)
     for copies, items in plan_patterns(histogram, capacity // grain):
@@ -206,9 +212,9 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, grain: int = 8, pi
     # one row for each length of each pattern: bounded by capacity / grain, not by the data
     table = spark.createDataFrame(slots, "__units long, low long, high long, per_copy long, first long, base long")
     counts = spark.createDataFrame([(k, -(-n // pieces_per_run)) for k, n in histogram.items()], "units long, runs long")
-    # ranks inside a length: runs by hash, each ranked on its own, shifted by the runs before it
+    # ranks inside a length: runs dealt by the salt, each ranked on its own, shifted by the runs before it
     cut = units.join(F.broadcast(counts), "units")
-    cut = cut.withColumn("run", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("runs"))).drop("runs")
+    cut = cut.withColumn("run", F.floor(F.col("__salt") * F.col("runs")).cast("long")).drop("runs", "__salt")
     sums = cut.groupBy("units", "run").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("units").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("units", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -238,7 +244,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, json_path: str | N
         import public_tokenizers
 
         json_path, rank_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return place_pieces(materialise(cut_pieces(docs, capacity, json_path, rank_path, with_ids=with_ids)), capacity)
+    return place_pieces(cut_pieces(docs, capacity, json_path, rank_path, with_ids=with_ids), capacity)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:

@@ -173,6 +173,19 @@ def test_fast_ids_equal_the_tokenizer(text):
     assert encoder.ids(text).tolist() == Tokenizer.from_file(path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" " * 2_000_000, "\n" * 2_000_000, "a\n" + " \t" * 1_000_000 + "b"])
+def test_long_runs_of_white_space(spark, run):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    got = packing.pack_documents(spark.createDataFrame([(1, run), (2, "short"), (3, None)], "doc_id long, text string")).toPandas()
+    ids = np.array(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(run, add_special_tokens=False).ids + [0], dtype="<u4")
+    own = got[got.doc_id == 1].sort_values("start")
+    assert own.length.sum() == len(ids) and set(got.doc_id) == {1, 2, 3}
+    assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
+
+
 def test_patterns_hold_every_item():
     rng = np.random.default_rng(0)
     for n in (1, 30, 4000):
