@@ -6,7 +6,8 @@ Built from DataFrame functions only.
 
 Defined results: null text has size 0; null is a source of its own, last in order; documents of
 size 0 are taken 0 times; repeated rows are separate documents; an empty table gives an empty
-result; other columns are ignored. Equal shuffle keys (repeated ids) fall back to doc_id and size.
+result; other columns are ignored. Equal shuffle keys (repeated ids) fall back to doc_id and size, then to a
+written random number, which decides nothing but which of two equal rows comes first.
 """
 
 from __future__ import annotations
@@ -118,7 +119,7 @@ def schedule(targets: DataFrame, block_tokens: int, n_sources: int) -> DataFrame
     )
 
 
-def mix_sources(docs: DataFrame, block_tokens: int = 4096, docs_per_run: int = 500, **target_options) -> dict:
+def mix_sources(docs: DataFrame, block_tokens: int = 4096, **target_options) -> dict:
     """``documents``: what the mix takes of each; ``slots``: the schedule with block numbers.
 
     A slot takes ``slot_tokens`` words from the start of block ``block`` of its source; blocks
@@ -129,28 +130,29 @@ def mix_sources(docs: DataFrame, block_tokens: int = 4096, docs_per_run: int = 5
             F.col("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
+            F.rand(seed=3).alias("__salt"),
         )
     )
     targets = materialise(source_targets(sizes, **target_options))
     n_sources = targets.count()
     b = F.lit(block_tokens)
-    known = targets.select(F.col("source").alias("__source"), "source_no", "source_size", "n_docs", "target")
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    runs = F.ceil(F.col("n_docs") / F.lit(docs_per_run))
-    placed = (
+    known = targets.select(F.col("source").alias("__source"), "source_no", "source_size", "target")
+    joined = (
         sizes.join(_small(known, n_sources), F.col("source").eqNullSafe(F.col("__source")))
         .drop("__source")
-        .withColumn("key", key)
-        # the first 28 bits of the key choose the run, so runs follow the shuffled order
-        .withColumn("run", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * runs / F.lit(16.0**7)))
+        .withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     )
-    inside = Window.partitionBy("source_no", "run").orderBy("key", "doc_id", "size")
-    sums = placed.groupBy("source_no", "run").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("source_no").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    # each range of the shuffled order is summed up on its own and shifted by the ranges before it;
+    # the salt lets rows of one id and size fall into several ranges
+    order = ["key", "doc_id", "size", "__salt"]
+    ranged = materialise(joined.repartitionByRange("source_no", *order).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.partitionBy("source_no").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("source_no", "__part").agg(F.sum("size").alias("n"))
+    sums = sums.select("source_no", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
+    upto = Window.partitionBy("source_no", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        placed.withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .join(sums, ["source_no", "run"])
+        ranged.withColumn("start", F.sum("size").over(upto) - F.col("size"))
+        .join(sums, ["source_no", "__part"])
         .withColumn("start", F.col("start") + F.col("shift"))
         .select("doc_id", "source", "source_no", "size", "source_size", "target", "start")
     )
