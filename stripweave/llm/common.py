@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,16 +16,22 @@ _own_folder: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else the
+    context's checkpoint folder.
 
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
+    Only where both are unset and everything runs on one machine (tests) a temporary folder takes
+    their place; on a cluster that is an error, as executors do not see each other's folders.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        folder = _own_folder.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-")
-        _own_folder[app] = folder
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    app = context.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
+    return _own_folder[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:
