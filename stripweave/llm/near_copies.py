@@ -1,17 +1,26 @@
 """Groups of documents whose word shingles agree to a given share, found completely.
 
 Two texts are near copies if the exact Jaccard similarity of their sets of five-word shingles is
-``share`` percent or more. Candidates come from prefix filtering: with all shingles in one fixed
-order, two sets of that similarity share one of the first ``n - ceil(share * n) + 1`` shingles of
-each, so no pair is lost. Shingles that a sample of the texts holds often come last in the order,
-which is a matter of speed only. Every candidate is confirmed on its whole set before it links.
+``share`` percent or more. Candidates come from two searches:
 
-Candidates are tried in two steps: each text with the smallest and the largest text that share a
-shingle, then all texts that share one and are still in different groups. A large group of copies
-so costs a number of comparisons that grows with its size, not with the square of it.
+* SimHash: fingerprints of the same shingles that differ in ``max_bits`` or fewer, through the
+  Gray-order index of ``simhash``. It links most copies, but no bit limit holds all pairs.
+* Prefix filtering holds the rest: with all shingles in one fixed order, two sets of that similarity
+  share one of the first ``n - ceil(share * n) + 1`` shingles of each, so no pair is lost. Shingles
+  that a sample of the texts holds often come last in the order, which is a matter of speed only.
+
+Every candidate is confirmed before it links: by sizes and positions, by small bitmaps of both sets
+that prove most false candidates wrong, and then on the whole sets.
+
+Prefixes are sorted by shingle once. A text meets the first text that holds its shingle; shingles of
+three texts or more are kept, and texts that share one and are still in different groups meet in
+blocks of bounded size. A large group of copies so costs a number of comparisons that grows with its
+size, not with the square of it.
 
 Defined results: null text counts as empty; texts without words are one group; fewer words than a
-shingle form one shingle; equal sets are one group; empty tables give empty results.
+shingle form one shingle; equal sets are one group; rows that share a doc_id, or have none, are
+grouped by their own texts; very long texts are used whole; empty tables give empty results. Sets are
+known by a 64-bit digest.
 """
 
 from __future__ import annotations
@@ -21,25 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise
-from .simhash import WORD_BYTES, components
-
-
-def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Distinct XXH64 values of the shingles of one text in lower case, in ascending order."""
-    w = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    joined, size = b" ".join(w), max(1, len(w) - words + 1)
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:size].tolist()
-    ends = ends[min(words, len(w)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), dtype=np.uint64, count=size))
+from .simhash import components, majority, near_links, shingle_hashes
 
 
 def prefix_length(n: int, share: int) -> int:
@@ -47,81 +43,125 @@ def prefix_length(n: int, share: int) -> int:
     return n - (share * n + 99) // 100 + 1 if n else 0
 
 
-def common_shingles(docs: DataFrame, words: int, seed: int, one_in: int = 16, most: int = 50_000) -> np.ndarray:
-    """Shingles that a sample of the distinct texts holds three times or more, rarest first."""
+def bitmap(h: np.ndarray) -> bytes:
+    """One bit for each range of hashes, set if ``h`` holds one in it; between one and two bits a hash."""
+    k = max(3, (len(h) - 1).bit_length())
+    bits = np.zeros(1 << k, dtype=np.uint8)
+    bits[(h >> np.uint64(64 - k)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def may_agree(one: bytes, other: bytes, n: int, m: int, share: int) -> bool:
+    """False if the bitmaps prove that sets of ``n`` and ``m`` hashes have less than ``share`` percent in common.
+
+    A range in which only one set has a hash stands for a hash that the other lacks.
+    """
+    a, b = (np.unpackbits(np.frombuffer(x, dtype=np.uint8)) for x in (one, other))
+    size = min(len(a), len(b))
+    a, b = (x.reshape(size, -1).max(axis=1) for x in (a, b))
+    need = -(-(n + m) * share // (100 + share))
+    return n - int((a & ~b & 1).sum()) >= need and m - int((b & ~a & 1).sum()) >= need
+
+
+def common_shingles(docs: DataFrame, words: int, seed: int, one_in: int = 16, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the distinct texts holds three times or more, rarest first, and about
+    how many texts hold each. At most ``most``, so the sample only orders shingles."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            found = [shingle_set(t, words, seed) for t in frame["text"]]
+            found = [np.unique(shingle_hashes(t or b"", words, seed)) for t in frame["text"]]
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)})
 
-    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).dropDuplicates(["text"])
+    sample = docs.select(F.col("text").cast("binary")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).dropDuplicates(["text"])
     counts = sample.mapInPandas(emit, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()
-    return np.array([r.h for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()[::-1]
+    return np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n * one_in for r in rows], dtype=np.int64)
 
 
 def add_sets(docs: DataFrame, common: np.ndarray, share: int, words: int, seed: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``fp`` (digest of the set), ``n`` (its size), ``first`` (its prefix)."""
+    """``doc_id``, ``text_key``, ``fp`` (digest of the set), ``sim`` (SimHash), ``n`` (size of the set),
+    ``bits`` (its bitmap) and ``first``: its prefix, once in a task for each set."""
     by_value = np.argsort(common)
     sorted_common = common[by_value]
 
-    def one(text: str | None) -> tuple:
-        h = shingle_set(text, words, seed)
-        at = np.minimum(np.searchsorted(sorted_common, h), max(0, len(sorted_common) - 1))
-        rank = np.where(sorted_common[at] == h, by_value[at] + 1, 0) if len(sorted_common) else np.zeros(len(h), dtype=np.int64)
-        first = h[np.lexsort((h, rank))][: prefix_length(len(h), share)]
-        digest = np.uint64(xxhash.xxh64_intdigest(h.tobytes(), seed)).view(np.int64)
-        return int(digest), len(h), first.view(np.int64)
-
-    @F.pandas_udf(T.StructType().add("fp", T.LongType()).add("n", T.IntegerType()).add("first", T.ArrayType(T.LongType())))
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["fp", "n", "first"])
-
-    made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), sets(F.col("text")).alias("s"))
-    return made.select("doc_id", "text_key", "s.fp", "s.n", "s.first")
+    def one(data: bytes | None, seen: set[int]) -> tuple:
+        every = shingle_hashes(data or b"", words, seed)
+        h = np.unique(every)
+        digest = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), seed)).view(np.int64))
+        first = None
+        if digest not in seen:
+            seen.add(digest)
+            at = np.minimum(np.searchsorted(sorted_common, h), max(0, len(sorted_common) - 1))
+            rank = np.where(sorted_common[at] == h, by_value[at] + 1, 0) if len(sorted_common) else np.zeros(len(h), dtype=np.int64)
+            first = h[np.lexsort((h, rank))][: prefix_length(len(h), share)].view(np.int64)
+        return digest, int(np.uint64(majority(every)).view(np.int64)), len(h), bitmap(h), first
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # one number for each row of the task at most
+        for frame in batches:
+            made = pd.DataFrame([one(t, seen) for t in frame["text"]], columns=["fp", "sim", "n", "bits", "first"])
+            yield pd.concat([frame[["doc_id", "text_key"]].reset_index(drop=True), made], axis=1)
 
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
+    return rows.mapInPandas(sets, "doc_id long, text_key long, fp long, sim long, n int, bits binary, first array<long>")
 
-def _sizes_allow(a: Column, b: Column, share: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * share
 
+def _position_allows(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray, share: int) -> np.ndarray:
+    """If the first shingle that two sets share stands at these positions, all other shared ones are behind it."""
+    most = 1 + np.minimum(n - pos - 1, m - other - 1)
+    return (most * (100 + share) >= (n + m) * share) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * share)
 
-def confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, share: int, words: int, seed: int, broadcast_sets: int) -> DataFrame:
-    """The pairs ``a, b`` of set digests whose whole sets have ``share`` percent or more in common."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words, seed).view(np.int64) for t in texts])
+def walk_prefixes(entries: DataFrame, share: int) -> DataFrame:
+    """From ``key, fp, np`` (size and position) and ``salt``: rows of kind 0 are candidates ``x, y``; rows of
+    kind 1 are the entries ``x`` (key), ``y`` (fp), ``z`` (np) of keys that three sets hold, or of salted ones."""
+    columns = ["key", "fp", "np", "salt"]
 
-    asked = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = materialise(sets.join(asked, "fp", "left_semi").select("fp", "text_key"))
-    keys = F.broadcast(keys) if keys.count() <= broadcast_sets else keys
-    texts = docs.select("text", F.xxhash64("text").alias("text_key")).join(keys, "text_key").dropDuplicates(["fp"])
-    full = materialise(texts.select("fp", whole(F.col("text")).alias("s")))
-    both = pairs.join(full.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(
-        full.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return materialise(both.where(shared * (100 + share) >= (F.size("sa") + F.size("sb")) * share).select("a", "b"))
-
-
-def pairs_apart(held: DataFrame, share: int) -> DataFrame:
-    """Pairs ``a, b`` that share a ``key`` in different groups ``root`` and whose sizes and positions allow the share."""
-
-    def of_key(fp, n, pos, root) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
-        order = np.lexsort((fp, n))
-        fp, n, pos, root = fp[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry, told = np.zeros((0, 4), dtype=np.int64), False  # of the open key: its first entry and its last
+        for frame in batches:
+            if not len(frame):
+                continue
+            rows = np.concatenate([carry, frame[columns].to_numpy(dtype=np.int64)])
+            done = np.zeros(len(rows), dtype=bool)
+            done[: len(carry)] = told
+            fresh = np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)]
+            rows, done = rows[fresh], done[fresh]
+            key = rows[:, 0]
+            heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[heads, len(key)])
+            head = np.repeat(heads, sizes)
+            many = np.repeat((sizes > 2) | done[heads], sizes) | (rows[:, 3] >= 0)
+            at = np.flatnonzero(head != np.arange(len(key)))
+            a, b = rows[head[at]], rows[at]
+            ok = _position_allows(a[:, 2] >> 32, a[:, 2] & 0xFFFFFFFF, b[:, 2] >> 32, b[:, 2] & 0xFFFFFFFF, share)
+            held = rows[many & ~done]
+            yield pd.DataFrame({"kind": 0, "x": a[ok, 1], "y": b[ok, 1], "z": 0})
+            yield pd.DataFrame({"kind": 1, "x": held[:, 0], "y": held[:, 1], "z": held[:, 2]})
+            told = bool(many[-1])
+            last = heads[-1]
+            carry = rows[[last, len(rows) - 1]] if len(rows) - last > 1 else rows[last:]
+
+    dealt = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "fp")
+    return dealt.select(*columns).mapInPandas(walk, "kind int, x long, y long, z long")
+
+
+def pairs_apart(held: DataFrame, share: int, block: int = 2048) -> DataFrame:
+    """Pairs ``a, b`` that share a ``key`` in different groups ``root`` and whose sizes and positions allow the share.
+
+    The entries of a key are dealt to chunks of about ``block``; every two chunks meet in one group.
+    """
+
+    def of_group(fp, np_, chunk, root, two) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        order = np.lexsort((fp, np_ >> 32))
+        fp, n, pos, chunk, root = fp[order], np_[order] >> 32, np_[order] & 0xFFFFFFFF, chunk[order], root[order]
         end = np.searchsorted(n, n * 100 // share, side="right")
-        lowest, highest = int(fp.argmin()), int(fp.argmax())
         for i in range(len(fp) - 1):
             j = np.arange(i + 1, end[i])
-            # the first shingle that two sets share has all other shared ones behind it
-            most = 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-            ok = (root[j] != root[i]) & (most * (100 + share) >= (n[i] + n[j]) * share)
-            if i in (lowest, highest):  # tried before
-                ok[:] = False
-            ok &= (j != lowest) & (j != highest)
+            ok = (root[j] != root[i]) & _position_allows(n[i], pos[i], n[j], pos[j], share)
+            if two:
+                ok &= chunk[j] != chunk[i]
             left.append(np.full(ok.sum(), fp[i]))
             right.append(fp[j[ok]])
         return np.concatenate(left), np.concatenate(right)
@@ -132,53 +172,118 @@ def pairs_apart(held: DataFrame, share: int) -> DataFrame:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if len(frame) == 0:
                 continue
-            open_ = frame["key"] == frame["key"].iloc[-1]
-            rest, frame = frame[open_], frame[~open_]  # a key may go on in the next batch
+            last = frame.iloc[-1]
+            open_ = (frame["key"] == last["key"]) & (frame["x"] == last["x"]) & (frame["y"] == last["y"])
+            rest, frame = frame[open_], frame[~open_]  # a group may go on in the next batch
             yield run(frame)
         if rest is not None:
             yield run(rest)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        key, fp, n, pos, root = (frame[c].to_numpy() for c in ("key", "fp", "n", "pos", "root"))
-        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, dtype=np.int64)
+        key, fp, np_, chunk, root, x, y = (frame[c].to_numpy(dtype=np.int64) for c in ("key", "fp", "np", "chunk", "root", "x", "y"))
+        new = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        heads = np.flatnonzero(np.r_[True, new]) if len(key) else np.zeros(0, dtype=np.int64)
         left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo, hi in zip(heads, np.r_[heads[1:], len(key)]):
-            if hi - lo > 2:
-                a, b = of_key(fp[lo:hi], n[lo:hi], pos[lo:hi], root[lo:hi])
-                left.append(a)
-                right.append(b)
-        made = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-        made = pd.DataFrame({"a": made.min(axis=1), "b": made.max(axis=1)}, dtype="int64")
-        return made.drop_duplicates()
+            a, b = of_group(fp[lo:hi], np_[lo:hi], chunk[lo:hi], root[lo:hi], x[lo] != y[lo])
+            left.append(a)
+            right.append(b)
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     # keys whose texts are all in one group have nothing left to compare
-    many = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = held.join(many, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    return rows.mapInPandas(search, "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, share: int = 80, words: int = 5, seed: int = 42, broadcast_sets: int = 1_000_000) -> DataFrame:
-    """``doc_id, component_id`` (smallest id of its group) for every row of ``docs``."""
-    prints = materialise(add_sets(docs, common_shingles(docs, words, seed), share, words, seed))
-    sets = materialise(
-        prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("first").alias("first"))
-    )
-    keyed = sets.select("fp", "n", F.posexplode("first").alias("pos", "key"))
-    of_key = Window.partitionBy("key")
-    ends = {"lo": F.min(F.struct("fp", "n")).over(of_key), "hi": F.max(F.struct("fp", "n")).over(of_key)}
-    held = materialise(keyed.withColumns(ends).where("lo.fp <> hi.fp"))
-    tried = held.where((F.col("fp") != F.col("lo.fp")) & _sizes_allow(F.col("n"), F.col("lo.n"), share)).select(F.col("lo.fp").alias("a"), F.col("fp").alias("b"))
-    other = held.where((F.col("fp") != F.col("hi.fp")) & _sizes_allow(F.col("n"), F.col("hi.n"), share)).select(F.col("fp").alias("a"), F.col("hi.fp").alias("b"))
-    links = confirm(docs, sets, materialise(tried.unionByName(other).distinct()), share, words, seed, broadcast_sets)
+    many = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    chunks = F.ceil(F.col("m") / F.lit(block)).cast("long")
+    rows = held.join(many.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.expr("pmod(xxhash64(fp), chunks)"))
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("key", "fp", "np", "chunk", "root", F.least("chunk", "__o").alias("x"), F.greatest("chunk", "__o").alias("y"))
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(search, "a long, b long").distinct()
+
+
+def confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, share: int, words: int, seed: int, broadcast_sets: int) -> DataFrame:
+    """The pairs ``a, b`` of set digests whose whole sets have ``share`` percent or more in common.
+
+    Up to ``broadcast_sets`` digests of the texts asked for are broadcast; more are joined by a shuffle.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def plausible(one: pd.Series, other: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([may_agree(*row, share) for row in zip(one, other, n, m)], dtype=bool)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def whole(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or b"", words, seed)).view(np.int64) for t in texts])
+
+    def both(frame: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+        for end in ("a", "b"):
+            frame = frame.join(facts.select(F.col("fp").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in names]), end)
+        return frame
+
+    sized = both(pairs, sets, "n", "bits").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * share)
+    left = materialise(sized.where(plausible("bits_a", "bits_b", "n_a", "n_b")).select("a", "b"))
+    asked = left.select(F.col("a").alias("fp")).unionByName(left.select(F.col("b").alias("fp"))).distinct()
+    keys = materialise(sets.join(asked, "fp", "left_semi").select("fp", "text_key"))
+    keys = F.broadcast(keys) if keys.count() <= broadcast_sets else keys
+    texts = docs.select(F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_key")).join(keys, "text_key")
+    full = materialise(texts.dropDuplicates(["fp"]).select("fp", whole(F.col("text")).alias("s")))
+    shared = F.size(F.array_intersect("s_a", "s_b"))
+    return materialise(both(left, full, "s").where(shared * (100 + share) >= (F.size("s_a") + F.size("s_b")) * share).select("a", "b"))
+
+
+def near_groups(
+    docs: DataFrame, share: int = 80, words: int = 5, max_bits: int = 3, seed: int = 42, broadcast_sets: int = 1_000_000, hot_rows: int = 10_000
+) -> DataFrame:
+    """``doc_id, text_key, root`` for every row: ``text_key`` is the XXH64 of the text, ``root`` names its group."""
+    common, holders = common_shingles(docs, words, seed)
+    prints = materialise(add_sets(docs, common, share, words, seed))
+    facts = [F.first(c).alias(c) for c in ("text_key", "sim", "n", "bits")]
+    sets = materialise(prints.groupBy("fp").agg(*facts))
+    entries = prints.where("first IS NOT NULL").select("fp", "n", F.posexplode("first").alias("pos", "key"))
+    entries = entries.select("key", "fp", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
+    # shingles of very many texts, as far as the sample shows them, are dealt to several tasks
+    wide = [(int(h), int(-(-m // hot_rows))) for h, m in zip(common.view(np.int64), holders) if m > hot_rows]
+    entries = entries.withColumn("salt", F.lit(-1).cast("long"))
+    if wide:
+        table = docs.sparkSession.createDataFrame(wide, "key long, __parts long")
+        entries = entries.join(F.broadcast(table), "key", "left").withColumn("salt", F.coalesce(F.expr("pmod(fp, __parts)"), "salt"))
+    walked = materialise(walk_prefixes(entries, share))
+
+    codes = materialise(sets.groupBy("sim").agg(F.min("fp").alias("of")))
+    same = sets.join(codes, "sim").where("fp <> of").select(F.col("of").alias("a"), F.col("fp").alias("b"))
+    near = near_links(codes.select(F.col("sim").alias("fp")), max_bits)
+    for end in ("a", "b"):
+        near = near.join(codes.select(F.col("sim").alias(end), F.col("of").alias(f"of_{end}")), end)
+    tried = same.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    tried = tried.unionByName(walked.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    links = confirm(docs, sets, materialise(tried), share, words, seed, broadcast_sets)
     groups = components(links)
 
     def rooted(frame: DataFrame) -> DataFrame:
         return frame.join(groups, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
-    more = materialise(pairs_apart(rooted(held.drop("lo", "hi")), share))
+    held = walked.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("fp"), F.col("z").alias("np")).distinct()
+    more = materialise(pairs_apart(rooted(held), share))
     if not more.isEmpty():
         links = links.unionByName(confirm(docs, sets, more, share, words, seed, broadcast_sets))
         groups = components(links)
-    of_set = materialise(rooted(sets.select("fp", "first_doc")))
-    smallest = of_set.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return prints.select("doc_id", "fp").join(of_set.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return rooted(prints.select("doc_id", "text_key", "fp")).select("doc_id", "text_key", "root")
+
+
+def near_copies(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, component_id`` (smallest id of its group) for every row of ``docs``; options of ``near_groups``."""
+    rows = materialise(near_groups(docs, **options))
+    smallest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(smallest, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group: of smallest doc_id, rows without one last; then of smallest text digest."""
+    rows = materialise(near_groups(docs, **options).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("__m")))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "__m")).alias("r"))
+    best = materialise(best.select(F.col("r.doc_id").alias("__id"), F.col("r.text_key").alias("__key"), "r.__m"))
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    single = keyed.join(best.where("__m = 1"), same, "left_semi")
+    repeated = keyed.join(best.where("__m > 1"), same, "left_semi").dropDuplicates(["doc_id", "__text"])
+    return single.unionByName(repeated).drop("__text")

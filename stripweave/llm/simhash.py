@@ -32,22 +32,31 @@ WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 _BIT_COUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of one text: bit b is 1 if set in over half of the shingles' XXH64 values."""
-    w = WORD_BYTES.findall((text or "").encode("utf-8", "surrogatepass").lower())
+def shingle_hashes(data: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a UTF-8 text in lower case, in order, repeats included."""
+    w = WORD_BYTES.findall(data.lower())
     if not w:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined, size = b" ".join(w), max(1, len(w) - words + 1)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:size].tolist()
     ends = ends[min(words, len(w)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends)), dtype="<u8", count=size)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bit b is 1 if set in over half of the hashes; no hashes give zero."""
     total = np.zeros(64, dtype=np.int64)
-    step = 1 << 16  # a slice of the shingles at a time: long texts stay in bounded memory
-    for at in range(0, size, step):
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + step], ends[at : at + step])], dtype="<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > size, bitorder="little").view("<u8")[0])
+    step = 1 << 16  # a slice at a time: long texts stay in bounded memory
+    for at in range(0, len(h), step):
+        total += np.unpackbits(h[at : at + step].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """SimHash of one text: bit b is 1 if set in over half of the shingles' XXH64 values."""
+    return majority(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), words, seed))
 
 
 def add_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:

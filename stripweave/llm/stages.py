@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import word_count
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
-from .near_copies import near_copies
+from .near_copies import keep_one
 from .packing import pack_documents
 from .quality_trees import score_documents, train_quality
 
@@ -41,12 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of five-word similarity 0.8 or more; without ids, one per text."""
-    groups = near_copies(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    known = groups.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(known, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return kept.unionByName(nameless)
+    """One row of each group of five-word similarity 0.8 or more: of smallest doc_id, rows without one last."""
+    return keep_one(docs).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
