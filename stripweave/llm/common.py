@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.kept import discard, keep, shared_folder  # noqa: F401
+
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else the
-    context's checkpoint folder.
-
-    Only where both are unset and everything runs on one machine (tests) a temporary folder takes
-    their place; on a cluster that is an error, as executors do not see each other's folders.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = context.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="spark-")
-    return _own_folder[app]
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stripweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return keep(df)
 
 
 def words(text: Column) -> Column:
