@@ -146,24 +146,34 @@ def walk_prefixes(entries: DataFrame, share: int) -> DataFrame:
     return dealt.select(*columns).mapInPandas(walk, "kind int, x long, y long, z long")
 
 
-def pairs_apart(held: DataFrame, share: int, block: int = 2048) -> DataFrame:
-    """Pairs ``a, b`` that share a ``key`` in different groups ``root`` and whose sizes and positions allow the share.
+def pairs_apart(held: DataFrame, sets: DataFrame, share: int, every: bool = True, block: int = 2048) -> DataFrame:
+    """Pairs ``a, b`` that share a ``key`` in different groups ``root`` and may have the share in common, by sizes,
+    positions and bitmaps; or the likeliest pair only for every entry outside the group that most are in.
 
     The entries of a key are dealt to chunks of about ``block``; every two chunks meet in one group.
     """
 
-    def of_group(fp, np_, chunk, root, two) -> tuple[np.ndarray, np.ndarray]:
+    def of_group(fp, np_, chunk, root, bits, two) -> tuple[np.ndarray, np.ndarray]:
         left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         order = np.lexsort((fp, np_ >> 32))
-        fp, n, pos, chunk, root = fp[order], np_[order] >> 32, np_[order] & 0xFFFFFFFF, chunk[order], root[order]
-        end = np.searchsorted(n, n * 100 // share, side="right")
-        for i in range(len(fp) - 1):
-            j = np.arange(i + 1, end[i])
-            ok = (root[j] != root[i]) & _position_allows(n[i], pos[i], n[j], pos[j], share)
+        fp, n, pos, chunk, root, bits = fp[order], np_[order] >> 32, np_[order] & 0xFFFFFFFF, chunk[order], root[order], bits[order]
+        start, end = np.searchsorted(n, -(-n * share // 100)), np.searchsorted(n, n * 100 // share, side="right")
+        # of two entries in different groups one at least is outside the group that most are in
+        names, own = np.unique(root, return_inverse=True)
+        most = np.bincount(own).argmax()
+        for i in np.flatnonzero(own != most):
+            j = np.arange(start[i], end[i])
+            ok = (own[j] != own[i]) & ((own[j] == most) | (j > i)) & _position_allows(n[i], pos[i], n[j], pos[j], share)
             if two:
                 ok &= chunk[j] != chunk[i]
-            left.append(np.full(ok.sum(), fp[i]))
-            right.append(fp[j[ok]])
+            j = j[ok]
+            if every:
+                j = j[[may_agree(bits[i], bits[k], n[i], n[k], share) for k in j]] if len(j) else j
+            elif len(j):
+                room = (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1)) * (100 + share) - (n[i] + n[j]) * share
+                j = j[[room.argmax()]]
+            left.append(np.full(len(j), fp[i]))
+            right.append(fp[j])
         return np.concatenate(left), np.concatenate(right)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +191,12 @@ def pairs_apart(held: DataFrame, share: int, block: int = 2048) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         key, fp, np_, chunk, root, x, y = (frame[c].to_numpy(dtype=np.int64) for c in ("key", "fp", "np", "chunk", "root", "x", "y"))
+        bits = frame["bits"].to_numpy() if every else np.zeros(len(key))
         new = (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
         heads = np.flatnonzero(np.r_[True, new]) if len(key) else np.zeros(0, dtype=np.int64)
         left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for lo, hi in zip(heads, np.r_[heads[1:], len(key)]):
-            a, b = of_group(fp[lo:hi], np_[lo:hi], chunk[lo:hi], root[lo:hi], x[lo] != y[lo])
+            a, b = of_group(fp[lo:hi], np_[lo:hi], chunk[lo:hi], root[lo:hi], bits[lo:hi], x[lo] != y[lo])
             left.append(a)
             right.append(b)
         a, b = np.concatenate(left), np.concatenate(right)
@@ -197,6 +208,8 @@ def pairs_apart(held: DataFrame, share: int, block: int = 2048) -> DataFrame:
     rows = held.join(many.select("key", chunks.alias("chunks")), "key").withColumn("chunk", F.expr("pmod(xxhash64(fp), chunks)"))
     rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.select("key", "fp", "np", "chunk", "root", F.least("chunk", "__o").alias("x"), F.greatest("chunk", "__o").alias("y"))
+    if every:
+        rows = rows.join(sets.select("fp", "bits"), "fp")
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(search, "a long, b long").distinct()
 
 
@@ -257,16 +270,18 @@ def near_groups(
     tried = tried.unionByName(walked.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = confirm(docs, sets, materialise(tried), share, words, seed, broadcast_sets)
-    groups = components(links)
+    held = walked.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("fp"), F.col("z").alias("np")).distinct()
 
     def rooted(frame: DataFrame) -> DataFrame:
+        groups = components(links)
         return frame.join(groups, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
-    held = walked.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("fp"), F.col("z").alias("np")).distinct()
-    more = materialise(pairs_apart(rooted(held), share))
-    if not more.isEmpty():
-        links = links.unionByName(confirm(docs, sets, more, share, words, seed, broadcast_sets))
-        groups = components(links)
+    # the likeliest pairs first: most groups of copies are whole then, and few are left for all pairs
+    for every in (False, True):
+        more = materialise(pairs_apart(rooted(held), sets, share, every))
+        if more.isEmpty():
+            break
+        links = materialise(links.unionByName(confirm(docs, sets, more, share, words, seed, broadcast_sets)))
     return rooted(prints.select("doc_id", "text_key", "fp")).select("doc_id", "text_key", "root")
 
 

@@ -99,8 +99,10 @@ def test_shared_shingle_in_blocks(spark):
     sets = near_copies.add_sets(frame, np.zeros(0, dtype=np.uint64), 80, 5, 42).withColumn("root", F.col("fp"))
     held = sets.select("fp", "n", "root", F.posexplode("first").alias("pos", "key"))
     held = held.select("key", "fp", "root", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos").cast("long")).alias("np"))
-    whole, cut = (sorted(near_copies.pairs_apart(held, 80, block).collect()) for block in (2048, 7))
-    assert whole == cut and links == 30
+    facts = sets.select("fp", "bits").dropDuplicates(["fp"])
+    whole, cut = (sorted(near_copies.pairs_apart(held, facts, 80, True, block).collect()) for block in (2048, 7))
+    assert whole == cut and len(whole) >= links == 30
+    assert 0 < near_copies.pairs_apart(held, facts, 80, False).count() <= 59 * sets.agg(F.max(F.size("first"))).first()[0]
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame, hot_rows=5).collect()} == want
 
 
