@@ -1,27 +1,30 @@
-"""Katz backoff language model: count, discount, back off, score.
+"""Katz backoff language model of order n: count, discount, back off, score.
 
-Texts are handled in batches of bounded size. A batch never sends single tokens: it sends its distinct
-words, later its distinct word pairs, as sorted packed arrays to the buckets of a hash space, and gets
-one number back for each. The buckets are the partitioned count tables. Pairs go by their history, so a
-bucket can normalise a history on its own; pairs of frequent histories are spread over all buckets
-and their sums are added up in one small table.
+Texts are handled in batches of bounded size. A batch never sends single tokens: level by level it sends its
+distinct words, word pairs, triples and so on, as sorted packed arrays, to the buckets of a hash space, and gets
+one number back for each. The buckets are the partitioned count tables. The batches themselves are written once,
+bucketed by batch, and are not shuffled again. Grams go by their history, so a bucket can normalise a history on
+its own; the grams of a frequent history are dealt to several buckets, whose sums are added up in a small table.
 
-    p(w)     = d1(c) c / N for known words; the rest of the mass for the unknown word
-    p(w | h) = d2(c) c / c(h)           if the pair was seen
-             = bow(h) p(w)              otherwise, and p(w) after an unknown history
+    p1(w)         = d1(c) c / N for known words; the rest of the mass for the unknown word
+    p_m(w | h)    = d_m(c) c / c(h)              if the gram was kept
+                  = bow(h) p_{m-1}(w | h')       if the history was kept but not the gram
+                  = p_{m-1}(w | h')              otherwise; h' is h without its first word
 
-d are Good-Turing discounts up to count ``k``. bow(h) = (1 - sum of seen p(w | h)) / (1 - sum of p(w)
-over the same words), so each history sums to 1 exactly. A history without discounted pairs lends
-1 / (c(h) + 1) of its mass.
+All pairs are kept; longer grams from ``min_count`` = 2 on, as usual for the highest orders. A gram can only be so
+frequent if both grams one shorter inside it are, so batches ask for no others. d are Good-Turing discounts up to
+count ``k``. bow(h) = (1 - sum of kept p(w | h)) / (1 - sum of lower p over the same words), so each history sums to
+1 exactly. A history without discounted mass lends 1 / (c(h) + 1) of it.
 
 Defined results: null text counts as empty and holds one end token; rows with a null doc_id are not
-learned from; repeated rows are counted and scored one by one; without training rows N is 0 and only
-the unknown word is left, with probability 1; empty tables give empty results; other columns are
-ignored. A word is known by the 64-bit hash of its bytes.
+learned from; repeated rows are counted and scored one by one; very long texts are scored whole, in a batch of
+their own; without training rows N is 0 and only the unknown word is left, with probability 1; empty tables give
+empty results; other columns are ignored. A word is known by the 64-bit hash of its bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, shared_folder
 
 #: No word holds white space, so this stands for the end of a text.
 END = xxhash.xxh64_intdigest(b"\n")
-START_ID, UNKNOWN_ID, FIRST_ID = 0, 1, 2
+#: The start of a text as a history; in the place of a word it stands for none.
+START_ID = NO_WORD = 0
+UNKNOWN_ID, FIRST_ID = 1, 2
+#: From this order on grams are kept from this count on.
+PRUNED_FROM, MIN_COUNT = 3, 2
 
 
 def squeeze(a: np.ndarray, rising: bool = False) -> bytes:
@@ -56,7 +63,7 @@ def expand(blob: bytes, rising: bool = False, kind=np.int64) -> np.ndarray:
     return a.view(kind)
 
 
-def good_turing(n: dict[int, int], total: int, k: int) -> np.ndarray:
+def good_turing(n: dict[int, int], k: int) -> np.ndarray:
     """Discount factor for counts 0 to k; larger counts are kept whole.
 
     ``n`` has the number of distinct items for counts 1 to k + 1. Where Good-Turing is undefined or
@@ -80,15 +87,26 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0)
 
 
+def kept_from(level: int) -> int:
+    """Smallest count of a gram of ``level`` words that the model keeps."""
+    return MIN_COUNT if level >= PRUNED_FROM else 1
+
+
+def conditional(c: np.ndarray, of: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """p of kept grams with count ``c`` after histories seen ``of`` times; negative where the history lends as a whole."""
+    return np.where(c < 0, -c / (of + 1.0), discounted(np.abs(c), d) / np.maximum(of, 1))
+
+
 def _counts_of_counts(c: np.ndarray, k: int) -> list[int]:
-    return np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2].tolist()
+    """Sum of the counts, number of them, and how many are 1 to k + 1."""
+    return [int(c.sum()), len(c), *np.bincount(np.minimum(c, k + 2), minlength=k + 3)[1 : k + 2].tolist()]
 
 
 class _Unigrams:
     """What every task needs of the word counts: a few numbers."""
 
     def __init__(self, total: int, distinct: int, n: dict[int, int], k: int):
-        self.total, self.distinct, self.d = total, distinct, good_turing(n, total, k)
+        self.total, self.distinct, self.d = total, distinct, good_turing(n, k)
         known = sum(n.get(r, 0) * r * self.d[r] for r in range(1, k + 1)) + total - sum(r * n.get(r, 0) for r in range(1, k + 1))
         if total and known >= total:  # nothing was discounted
             self.scale, self.unknown = total / (total + 1), 1 / (total + 1)
@@ -100,9 +118,27 @@ class _Unigrams:
         return np.where(c > 0, seen, self.unknown)
 
 
-def _batches(docs: DataFrame, training: Column, buckets: int, batch_tokens: int) -> DataFrame:
-    """Rows of kind 0: the texts of a batch as indexes into its sorted distinct words; kind 1: those
-    words with their training counts, cut by bucket."""
+class _Model:
+    """Numbers that all tasks share: word model, discounts of each level, bounds of buckets and of frequent histories."""
+
+    def __init__(self, uni: _Unigrams, starts: int, buckets: int, hot: int):
+        self.uni, self.starts, self.buckets, self.hot, self.d = uni, starts, buckets, hot, {}
+
+    def parts(self, level: int, h: np.ndarray, hn: np.ndarray) -> np.ndarray:
+        """To how many buckets the grams of each history are dealt."""
+        return np.where(hn > self.hot, hn // self.hot + 1, 1)
+
+    def lower(self, level: int, c: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """p of a level's gram without its first word, from that gram's count and its history's."""
+        return self.uni.p(c) if level == 2 else conditional(c, of, self.d[level - 1])
+
+
+TEXTS = "batch long, bucket int, kind int, a binary, b binary, c binary, e binary, ids array<long>, learned array<long>"
+
+
+def _batches(docs: DataFrame, training: Column, order: int, buckets: int, batch_tokens: int) -> DataFrame:
+    """Rows of kind 0: the texts of a batch as indexes into its distinct words, frequent ones first; kind 1: those
+    words with their training counts, sorted and cut by bucket."""
     shift = np.uint64(64 - (buckets.bit_length() - 1)) if buckets > 1 else None
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,20 +150,23 @@ def _batches(docs: DataFrame, training: Column, buckets: int, batch_tokens: int)
 
         def flush() -> pd.DataFrame:
             nonlocal made, held
-            sizes = np.array([len(h) for h in hashes], dtype=np.int64)
-            tokens = np.concatenate(hashes)
-            words, at = np.unique(tokens, return_inverse=True)
-            learned = np.repeat(np.array(train), sizes)
-            counts = np.bincount(at[learned], minlength=len(words)).astype(np.int64)
-            rows = [(part + made, -1, 0, squeeze(at.astype(np.int64)), squeeze(sizes), squeeze(np.array(train, dtype=np.int64)), ids.copy())]
+            sizes, learn = np.array([len(h) for h in hashes], dtype=np.int64), np.array(train, dtype=bool)
+            words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            counts = np.bincount(at[np.repeat(learn, sizes)], minlength=len(words)).astype(np.int64)
+            often = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[often] = np.arange(len(words))
+            # how many learned tokens have at least 0, 1, ... words before them
+            long = [int(np.maximum(sizes[learn] - j, 0).sum()) for j in range(order)]
+            rows = [(part + made, -1, 0, squeeze(rank[at]), squeeze(sizes), squeeze(learn.astype(np.int64)), squeeze(often), ids.copy(), long)]
             bucket = (words >> shift).astype(np.int64) if shift is not None else np.zeros(len(words), np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.unique(bucket).tolist():
                 own = slice(edges[b], edges[b + 1])
-                rows.append((part + made, b, 1, squeeze(words[own], True), squeeze(counts[own]), None, None))
+                rows.append((part + made, b, 1, squeeze(words[own], True), squeeze(counts[own]), None, None, None, None))
             made, held = made + 1, 0
             ids.clear(), train.clear(), hashes.clear()
-            return pd.DataFrame(rows, columns=["batch", "bucket", "kind", "a", "b", "c", "ids"])
+            return pd.DataFrame(rows, columns=["batch", "bucket", "kind", "a", "b", "c", "e", "ids", "learned"])
 
         for frame in batches:
             for doc_id, text, learn in zip(frame["doc_id"], frame["text"], frame["learn"]):
@@ -143,7 +182,17 @@ def _batches(docs: DataFrame, training: Column, buckets: int, batch_tokens: int)
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
-    return rows.mapInPandas(cut, "batch long, bucket int, kind int, a binary, b binary, c binary, ids array<long>")
+    return rows.mapInPandas(cut, TEXTS)
+
+
+def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``df`` written once to the shared folder, dealt by ``key``: joins on it need not shuffle it again."""
+    spark, name = df.sparkSession, f"stripweave_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+REPLIES = "batch long, level int, bucket int, c binary, bow binary, ids binary"
 
 
 def _word_table(sent: DataFrame, buckets: int, k: int) -> DataFrame:
@@ -164,79 +213,122 @@ def _word_table(sent: DataFrame, buckets: int, k: int) -> DataFrame:
         rows, start = [], 0
         for batch, w in zip(frame["batch"], words):
             own = at[start : start + len(w)]
-            rows.append((batch, bucket, squeeze(total[own]), squeeze(ids[own]), None))
+            rows.append((batch, 1, bucket, squeeze(total[own]), None, squeeze(ids[own]), None))
             start += len(w)
-        seen = total[total > 0]
-        rows.append((-1, bucket, None, None, [int(seen.sum()), len(seen), *_counts_of_counts(seen, k)]))
-        return pd.DataFrame(rows, columns=["batch", "bucket", "a", "b", "totals"])
+        rows.append((-1, 1, bucket, None, None, None, _counts_of_counts(total[total > 0], k)))
+        return pd.DataFrame(rows, columns=["batch", "level", "bucket", "c", "bow", "ids", "totals"])
 
-    return sent.groupBy("bucket").applyInPandas(count, "batch long, bucket int, a binary, b binary, totals array<long>")
+    return sent.groupBy("bucket").applyInPandas(count, REPLIES + ", totals array<long>")
 
 
 class _Batch:
-    """A batch with its word counts: tokens, pairs and where each pair is kept."""
+    """A batch with what it knows of its tokens, level by level: counts and ids of the grams that end there."""
 
-    def __init__(self, text_row, replies: pd.DataFrame, uni: _Unigrams, buckets: int, hot: int):
-        replies = replies.sort_values("bucket")
-        counts = np.concatenate([expand(a) for a in replies["a"]])
-        ids = np.concatenate([expand(b) for b in replies["b"]])
+    def __init__(self, text_row, replies: pd.DataFrame, model: _Model, level: int):
+        self.model = model
         tokens, self.sizes, self.train = expand(text_row.a), expand(text_row.b), expand(text_row.c).astype(bool)
-        self.count = counts[tokens]  # training count of each token
-        word = ids[tokens]
-        ends = np.cumsum(self.sizes)
-        self.starts = ends - self.sizes
-        before = np.r_[START_ID, word[:-1]]
-        before_count = np.r_[0, self.count[:-1]]
-        before[self.starts] = START_ID
-        before_count[self.starts] = hot + 1  # the start is a frequent history
-        learned = np.repeat(self.train, self.sizes)
-        # distinct pairs after a known history, by bucket, history, word
-        known = before != UNKNOWN_ID
-        mix = (before.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        spread = before_count > hot
-        mix = np.where(spread, (mix ^ word.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F), mix)
-        bucket = ((mix >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((word, before, bucket))
-        order = order[known[order]]
-        b, h, w = bucket[order], before[order], word[order]
+        tokens = expand(text_row.e)[tokens]
+        self.first = np.cumsum(self.sizes) - self.sizes
+        own = replies[replies["level"] == 1].sort_values("bucket")
+        counts, ids = (np.concatenate([expand(x) for x in own[c]]) for c in ("c", "ids"))
+        self.word, self.seen = ids[tokens], counts[tokens]
+        self.gram, self.count = self.word, self.seen
+        self.logs = np.log10(model.uni.p(self.seen))
+        for m in range(2, level + 1):
+            self.ask(m)
+            self.learn(m, replies[replies["level"] == m].sort_values("bucket"))
+
+    def _before(self, a: np.ndarray, at_start: int) -> np.ndarray:
+        out = np.r_[at_start, a[:-1]]
+        out[self.first] = at_start
+        return out
+
+    def ask(self, m: int) -> None:
+        """Distinct grams of level ``m`` that may be kept, by bucket, history and word."""
+        model = self.model
+        if m == 2:
+            h, hn = self._before(self.word, START_ID), self._before(self.seen, model.starts)
+            valid = h != UNKNOWN_ID
+            likely, self.of_lower = valid, np.zeros(len(h), dtype=np.int64)
+        else:
+            h, hn = self._before(self.gram, -1), self._before(np.abs(self.count), 0)
+            valid = h >= 0
+            likely, self.of_lower = valid & (np.abs(self.count) >= MIN_COUNT), self.of
+        w = np.where(likely, self.word, NO_WORD)
+        parts = model.parts(m, h, hn).astype(np.uint64)
+        part = np.where(parts > 1, (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) % parts, np.uint64(0))
+        mix = (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + part * np.uint64(0xD6E8FEB86659FD93)
+        mix ^= mix >> np.uint64(29)
+        bucket = ((mix * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(model.buckets)).astype(np.int64)
+        order = np.lexsort((w, h, bucket))
+        order = order[valid[order]]
+        b, hs, ws = bucket[order], h[order], w[order]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (b[1:] != b[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-        pair = np.cumsum(new) - 1
-        self.pair_of = np.full(len(tokens), -1, dtype=np.int64)
-        self.pair_of[order] = pair
+        new[1:] = (b[1:] != b[:-1]) | (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
+        gram = np.cumsum(new) - 1
+        self.at = np.full(len(h), -1, dtype=np.int64)
+        self.at[order] = gram
         first = order[new]
-        self.bucket, self.history, self.word = b[new], h[new], w[new]
-        self.pair_count = np.bincount(pair, weights=learned[order], minlength=len(first)).astype(np.int64)
-        self.word_count, self.history_count = self.count[first], before_count[first]
-        self.before_count = before_count
-
-
-def _pair_table(joined: DataFrame, uni: _Unigrams, buckets: int, hot: int) -> DataFrame:
-    """What batches send to the buckets of pairs."""
-
-    def send(frame: pd.DataFrame) -> pd.DataFrame:
-        x = _Batch(frame[frame["kind"] == 0].iloc[0], frame[frame["kind"] == 2], uni, buckets, hot)
-        edges = np.searchsorted(x.bucket, np.arange(buckets + 1))
-        batch = int(frame["batch"].iloc[0])
+        learned = np.repeat(self.train, self.sizes)[order] & (ws != NO_WORD)
+        self.asked = {
+            "bucket": b[new], "h": hs[new], "w": ws[new], "n": np.bincount(gram, weights=learned, minlength=len(first)).astype(np.int64),
+            "ln": np.where(likely, self.count, 0)[first], "lh": np.where(likely, self.of_lower, 0)[first], "hn": hn[first],
+        }
+        self.of = hn
+
+    def learn(self, m: int, replies: pd.DataFrame) -> None:
+        """Take in the answers to ``ask``: counts, backoff weights of the histories and ids."""
+
+        def joined(column: str, kind) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *[expand(x, kind=kind) for x in replies[column] if x is not None]])
+
+        c = joined("c", np.int64)
+        bow, ids = np.zeros(len(c)), np.full(len(c), -1, dtype=np.int64)
+        bow[c == 0] = joined("bow", np.float64)
+        some = joined("ids", np.int64)
+        if len(some):
+            ids[np.abs(c) >= MIN_COUNT] = some
+        has = self.at >= 0
+        at = self.at[has]
+        count, gram = np.zeros(len(self.at), dtype=np.int64), np.full(len(self.at), -1, dtype=np.int64)
+        count[has], gram[has] = c[at], ids[at]
+        p = np.where(count[has] == 0, 1.0, conditional(count[has], self.of[has], self.model.d[m]))
+        self.logs = self.logs.copy()
+        self.logs[has] = np.where(count[has] == 0, bow[at] + self.logs[has], np.log10(p))
+        self.count, self.gram = count, gram
+
+
+MESSAGES = "batch long, bucket int, h binary, w binary, n binary, ln binary, lh binary, hn binary"
+
+
+def _asked(texts: DataFrame, replies: DataFrame, model: _Model, m: int) -> DataFrame:
+    """What batches send to the buckets of grams of level ``m``."""
+
+    def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for b in np.flatnonzero(np.diff(edges)).tolist():
-            own = slice(edges[b], edges[b + 1])
-            rows.append((batch, b, *(squeeze(v[own], rising) for v, rising in ((x.history, True), (x.word, False), (x.pair_count, False), (x.word_count, False), (x.history_count, False)))))
-        return pd.DataFrame(rows, columns=["batch", "bucket", "h", "w", "n", "wn", "hn"])
+        for text_row in left.itertuples():
+            x = _Batch(text_row, right, model, m - 1)
+            x.ask(m)
+            a = x.asked
+            edges = np.searchsorted(a["bucket"], np.arange(model.buckets + 1))
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[b], edges[b + 1])
+                rows.append((int(text_row.batch), b, *(squeeze(a[c][own], c == "h") for c in ("h", "w", "n", "ln", "lh", "hn"))))
+        return pd.DataFrame(rows, columns=["batch", "bucket", "h", "w", "n", "ln", "lh", "hn"])
 
-    return joined.groupBy("batch").applyInPandas(send, "batch long, bucket int, h binary, w binary, n binary, wn binary, hn binary")
+    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(send, MESSAGES)
 
 
-def _merge_pairs(sent: DataFrame, k: int) -> DataFrame:
-    """One row for each bucket: its distinct pairs with their counts, and which of them each batch
-    asked for; the partitioned table of pair counts."""
+def _merged(sent: DataFrame, m: int, k: int) -> DataFrame:
+    """One row for each bucket: its distinct grams with their counts, and which of them each batch asked for; the
+    partitioned table of counts."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("batch")
         h = [expand(v, True) for v in frame["h"]]
         sizes = np.array([len(v) for v in h])
         h = np.concatenate(h)
-        w, n, wn, hn = (np.concatenate([expand(v) for v in frame[c]]) for c in ("w", "n", "wn", "hn"))
+        w, n, ln, lh, hn = (np.concatenate([expand(v) for v in frame[c]]) for c in ("w", "n", "ln", "lh", "hn"))
         order = np.lexsort((w, h))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
@@ -244,119 +336,125 @@ def _merge_pairs(sent: DataFrame, k: int) -> DataFrame:
         at[order] = np.cumsum(new) - 1
         first = order[new]
         count = np.bincount(at, weights=n, minlength=len(first)).astype(np.int64)
-        # a batch's pairs are sorted like the table, so their places rise
+        count[count < kept_from(m)] = 0
+        # a batch's grams are sorted like the table, so their places rise
         asked, start = [], 0
         for size in sizes:
             asked.append(squeeze(at[start : start + size], True))
             start += size
+        kept = count[count > 0]
         return pd.DataFrame(
-            [(int(frame["bucket"].iloc[0]), squeeze(h[first], True), squeeze(wn[first]), squeeze(hn[first]), squeeze(count), frame["batch"].tolist(), asked, _counts_of_counts(count[count > 0], k))],
-            columns=["bucket", "h", "wn", "hn", "count", "batches", "asked", "totals"],
+            [(int(frame["bucket"].iloc[0]), squeeze(h[first], True), squeeze(ln[first]), squeeze(lh[first]), squeeze(hn[first]), squeeze(count), frame["batch"].tolist(), asked, _counts_of_counts(kept, k))],
+            columns=["bucket", "h", "ln", "lh", "hn", "count", "batches", "asked", "totals"],
         )
 
     return sent.groupBy("bucket").applyInPandas(
-        merge, "bucket int, h binary, wn binary, hn binary, count binary, batches array<long>, asked array<binary>, totals array<long>"
+        merge, "bucket int, h binary, ln binary, lh binary, hn binary, count binary, batches array<long>, asked array<binary>, totals array<long>"
     )
 
 
-def _history_sums(row, uni: _Unigrams, d: np.ndarray, starts: int, hot: int):
-    h, wn, hn, count = expand(row.h, True), expand(row.wn), expand(row.hn), expand(row.count)
-    hn = np.where(h == START_ID, starts, hn)
+def _history_sums(row, model: _Model, m: int):
+    h, ln, lh, hn, count = expand(row.h, True), expand(row.ln), expand(row.lh), expand(row.hn), expand(row.count)
     new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    p = discounted(count, d) / np.maximum(hn, 1)
-    lower = np.where(count > 0, uni.p(wn), 0.0)
+    p = np.where(count > 0, conditional(count, hn, model.d[m]), 0.0)
+    lower = np.where(count > 0, model.lower(m, ln, lh), 0.0)
     sums = (np.add.reduceat(v, new) if len(new) else np.zeros(0) for v in (p, lower))
-    wide = (h[new] == START_ID) | (hn[new] > hot)
-    return h, new, count, hn, *sums, wide
+    return h, new, count, hn, *sums, model.parts(m, h[new], hn[new]) > 1
+
 
+def _wide_sums(table: DataFrame, model: _Model, m: int) -> DataFrame:
+    """``bucket, sums``: whole sums of the histories that are dealt to several buckets, for each bucket that holds some.
 
-def _frequent_sums(table: DataFrame, uni: _Unigrams, d: np.ndarray, starts: int, hot: int) -> dict[int, tuple[float, float]]:
-    """Sums of the histories whose pairs are spread over buckets: at most N / hot rows and one."""
+    A history has a row for each of its buckets, about its count by ``hot``: a few for each bucket in all.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for row in frame.itertuples():
-                h, new, _, _, seen, lower, wide = _history_sums(row, uni, d, starts, hot)
+                h, new, _, _, seen, lower, wide = _history_sums(row, model, m)
                 yield pd.DataFrame({"h": h[new][wide], "bucket": row.bucket, "seen": seen[wide], "lower": lower[wide]})
 
-    rows = table.select("bucket", "h", "wn", "hn", "count").mapInPandas(part, "h long, bucket int, seen double, lower double")
-    got = rows.groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower")).collect()
-    return {r["h"]: (r["seen"], r["lower"]) for r in got}
+    rows = materialise(table.select("bucket", "h", "ln", "lh", "hn", "count").mapInPandas(part, "h long, bucket int, seen double, lower double"))
+    whole = rows.groupBy("h").agg(F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
+    both = rows.select("h", "bucket").join(whole, "h")
+    return both.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("h", "seen", "lower"))).alias("sums"))
 
 
-def _replies(table: DataFrame, uni: _Unigrams, d: np.ndarray, starts: int, hot: int, sums: dict) -> DataFrame:
-    """For each batch and bucket: pair counts (negative where the history lends mass as a whole) and
-    log10 bow for the pairs that were not seen."""
+def _replies(table: DataFrame, model: _Model, m: int, with_ids: bool, broadcast_buckets: int = 100_000) -> DataFrame:
+    """For each batch and bucket: counts (negative where the history lends mass as a whole, 0 if not kept), log10 bow
+    where they are 0, and ids of the frequent ones."""
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for row in frame.itertuples():
-                h, new, count, hn, seen, lower, wide = _history_sums(row, uni, d, starts, hot)
-                for i in np.flatnonzero(wide):
-                    seen[i], lower[i] = sums[int(h[new[i]])]
-                whole = hn[new] / (hn[new] + 1.0)
+                h, new, count, hn, seen, lower, wide = _history_sums(row, model, m)
+                if wide.any():
+                    whole = {int(s["h"]): (s["seen"], s["lower"]) for s in row.sums}
+                    for i in np.flatnonzero(wide):
+                        seen[i], lower[i] = whole[int(h[new[i]])]
                 lends = 1 - seen < 1e-9
-                rest = np.where(lends, 1 - whole, 1 - seen)
-                bow = np.log10(np.maximum(rest, 1e-300) / np.maximum(1 - lower, 1e-300))
+                rest = np.where(lends, 1 / (hn[new] + 1.0), 1 - seen)
+                # without kept grams all of the mass goes to the lower level
+                bow = np.where(seen > 0, np.log10(np.maximum(rest, 1e-300) / np.maximum(1 - lower, 1e-300)), 0.0)
                 sizes = np.diff(np.r_[new, len(h)])
                 bow, signed = np.repeat(bow, sizes), np.where(np.repeat(lends, sizes), -count, count)
+                ids = np.full(len(count), -1, dtype=np.int64)
+                often = np.flatnonzero(count >= MIN_COUNT)
+                ids[often[np.lexsort((often, -count[often]))]] = np.arange(len(often)) * model.buckets + row.bucket
                 for batch, asked in zip(row.batches, row.asked):
                     at = expand(asked, True)
                     c = signed[at]
-                    yield pd.DataFrame({"batch": [batch], "bucket": [row.bucket], "kind": [3], "a": [squeeze(c)], "b": [squeeze(bow[at[c == 0]])]})
+                    made = squeeze(ids[at[np.abs(c) >= MIN_COUNT]]) if with_ids else None
+                    yield pd.DataFrame({"batch": [batch], "level": [m], "bucket": [row.bucket], "c": [squeeze(c)], "bow": [squeeze(bow[at[c == 0]])], "ids": [made]})
 
-    return table.select("bucket", "h", "wn", "hn", "count", "batches", "asked").mapInPandas(answer, "batch long, bucket int, kind int, a binary, b binary")
+    sums = materialise(_wide_sums(table, model, m))
+    sums = F.broadcast(sums) if sums.count() <= broadcast_buckets else sums
+    rows = table.select("bucket", "h", "ln", "lh", "hn", "count", "batches", "asked").join(sums, "bucket", "left")
+    return rows.mapInPandas(answer, REPLIES)
 
 
-def katz_scores(docs: DataFrame, training: Column, k: int = 5, batch_tokens: int = 800_000, bucket_tokens: int = 2_000_000) -> DataFrame:
-    """Scores of all ``docs`` under the model learned from the rows where ``training`` holds:
+def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, batch_tokens: int = 800_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+    """Scores of all ``docs`` under the model of ``order`` words learned from the rows where ``training`` holds:
     ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``."""
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
     buckets = 1 << max(3, (chars // 6 // bucket_tokens).bit_length())
-    sent = materialise(_batches(docs, training, buckets, batch_tokens))
+    sent = _bucketed(_batches(docs, training, order, buckets, batch_tokens), "batch", max(8, -(-chars // (6 * batch_tokens))))
+    texts = sent.where("kind = 0")
     words = materialise(_word_table(sent.where("kind = 1").select("batch", "bucket", "a", "b"), buckets, k))
-    sums = words.where("batch = -1").select(*[F.sum(F.get("totals", F.lit(i))).alias(f"t{i}") for i in range(k + 3)]).first()
-    total, distinct, *n = (int(v or 0) for v in sums)
-    uni = _Unigrams(total, distinct, {r + 1: v for r, v in enumerate(n)}, k)
-    starts = docs.where(training).count()
-    hot = max(1, total // (4 * buckets))
-    texts = sent.where("kind = 0").select("batch", "kind", "bucket", "a", "b", "c", "ids")
-    replies = words.where("batch >= 0").select(
-        "batch", F.lit(2).alias("kind"), "bucket", "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("array<long>").alias("ids")
-    )
-    with_words = texts.unionByName(replies)
-    table = materialise(_merge_pairs(_pair_table(with_words, uni, buckets, hot), k))
-    got = table.select(*[F.sum(F.get("totals", F.lit(i))).alias(f"t{i}") for i in range(k + 1)]).first()
-    d = good_turing({r + 1: int(v or 0) for r, v in enumerate(got)}, total, k)
-    frequent = _frequent_sums(table, uni, d, starts, hot)
-    answers = _replies(table, uni, d, starts, hot, frequent).select(
-        "batch", "kind", "bucket", "a", "b", F.lit(None).cast("binary").alias("c"), F.lit(None).cast("array<long>").alias("ids")
-    )
-    floor = np.log10(total + distinct + 1)
 
-    def score(frame: pd.DataFrame) -> pd.DataFrame:
-        text_row = frame[frame["kind"] == 0].iloc[0]
-        x = _Batch(text_row, frame[frame["kind"] == 2], uni, buckets, hot)
-        back = frame[frame["kind"] == 3].sort_values("bucket")
-        empty = [np.zeros(0, np.int64)]
-        count = np.concatenate([expand(a) for a in back["a"]] or empty)
-        bow = np.zeros(len(count))
-        bow[count == 0] = np.concatenate([expand(b, kind=np.float64) for b in back["b"]] or empty)
-        lower = np.log10(uni.p(x.count))
-        has = x.pair_of >= 0
-        at = x.pair_of[has]
-        c, own = count[at], np.where(x.history[at] == START_ID, starts, x.before_count[has])
-        p = np.where(c < 0, -c / (own + 1.0), discounted(np.abs(c), d) / np.maximum(own, 1))
-        logs = lower.copy()
-        logs[has] = np.where(c == 0, bow[at] + lower[has], np.log10(np.where(c == 0, 1.0, p)))
-        base = np.log10(x.count + 1.0) - floor
-        sums = (np.add.reduceat(v, x.starts) for v in (base, logs, (x.count > 0).astype(np.int64)))
-        base, logs, known = sums
-        return pd.DataFrame(
-            {"doc_id": pd.array(list(text_row.ids), dtype="Int64"), "learned": x.train, "n_tokens": x.sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": logs}
-        )
+    def totals(rows: DataFrame) -> list[int]:
+        return [int(v or 0) for v in rows.select(*[F.sum(F.get("totals", F.lit(i))).alias(f"t{i}") for i in range(k + 3)]).first()]
+
+    total, distinct, *n = totals(words.where("batch = -1"))
+    long = [int(v or 0) for v in texts.select(*[F.sum(F.get("learned", F.lit(j))).alias(f"l{j}") for j in range(order)]).first()]
+    # tokens that start a text have the start for history: one for each learned text
+    starts = long[0] - long[1] if order > 1 else 0
+    model = _Model(_Unigrams(total, distinct, {r + 1: v for r, v in enumerate(n)}, k), starts, buckets, max(1, total // (4 * buckets)))
+    replies = words.where("batch >= 0").drop("totals")
+    for m in range(2, order + 1):
+        table = materialise(_merged(_asked(texts, replies, model, m), m, k))
+        held, _, *n = totals(table)
+        if kept_from(m) > 1:  # what is not kept occurs once
+            n[0] = long[m - 2] - held
+        model.d[m] = good_turing({r + 1: v for r, v in enumerate(n)}, k)
+        replies = replies.unionByName(materialise(_replies(table, model, m, with_ids=m < order)))
+        discard(table)
+    floor = np.log10(total + distinct + 1)
 
-    return with_words.unionByName(answers).groupBy("batch").applyInPandas(
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        for text_row in left.itertuples():
+            x = _Batch(text_row, right, model, order)
+            base = np.log10(x.seen + 1.0) - floor
+            base, logs, known = (np.add.reduceat(v, x.first) for v in (base, x.logs, (x.seen > 0).astype(np.int64)))
+            made.append(
+                pd.DataFrame(
+                    {"doc_id": pd.array(list(text_row.ids), dtype="Int64"), "learned": x.train, "n_tokens": x.sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": logs}
+                )
+            )
+        return pd.concat(made)
+
+    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(
         score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 

@@ -202,45 +202,6 @@ def test_patterns_hold_every_item():
             assert sum(c for c, _ in plan) < 1.02 * sum(k * c for k, c in want.items()) / 128
 
 
-def test_katz(spark, sf, docs):
-    got = katz.op2_katz_lm(spark, sf).toPandas()
-    texts = {i: (t or "").encode().lower().split() + [None] for i, t in zip(docs.doc_id, docs.text)}
-    one, two, after = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, t in texts.items():
-        if remainder(i, 7) != 2:
-            one.update(t)
-            two.update(zip(["<s>", *t[:-1]], t))
-            after.update(["<s>", *t[:-1]])
-    n, k = sum(one.values()), 5
-    uni = katz._Unigrams(n, len(one), dict(collections.Counter(one.values())), k)
-    d = katz.good_turing(dict(collections.Counter(two.values())), n, k)
-    p1 = {w: float(uni.p(np.array([c]))[0]) for w, c in one.items()}
-    cut = lambda c: c * (d[c] if c <= k else 1.0)
-    seen, low = collections.defaultdict(float), collections.defaultdict(float)
-    for (h, w), c in two.items():
-        seen[h] += cut(c) / after[h]
-        low[h] += p1[w]
-
-    def p(h, w):
-        q = p1.get(w, uni.unknown)
-        if not after[h]:
-            return q
-        lends, c = 1 - seen[h] < 1e-9, two[h, w]
-        if c:
-            return c / (after[h] + 1) if lends else cut(c) / after[h]
-        return (1 / (after[h] + 1) if lends else 1 - seen[h]) / (1 - low[h]) * q
-
-    for h in [*list(after)[:20], "<s>"]:
-        assert abs(sum(p(h, w) for w in one) + p(h, b"\xff never seen") - 1) < 1e-8
-    for r in got.itertuples():
-        t = texts[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(one[w] > 0 for w in t), n, remainder(r.doc_id, 7) == 2)
-        assert abs(r.base_score - sum(math.log10((one[w] + 1) / (n + len(one) + 1)) for w in t)) < 1e-6
-        assert abs(r.score - sum(math.log10(p(h, w)) for h, w in zip(["<s>", *t[:-1]], t))) < 1e-6
-    held = got[got.held_out]
-    assert held.score.sum() > held.base_score.sum()
-
-
 def test_quality_on_held_out_labels(spark, sf):
     sf = "/root/testdata/sf0.01"
     got = quality_trees.op3_quality_trees(spark, sf).toPandas()
