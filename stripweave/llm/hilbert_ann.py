@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by inner product over several shifted Hilbert orderings.
 
-Every distinct vector is projected on some axes of a random rotation, shifted, and placed on a
-Hilbert curve; Spark range-partitions and ranks each ordering. A query meets the vectors of its
-window in all orderings; their best are merged and reranked by the exact inner product. The window
-is the smallest that finds ``target_recall`` of the true neighbours of a bounded sample of queries,
-whose truth comes from comparing that sample with all rows block by block. Wherever the window is
-wide it is cut into blocks, so no task holds more than ``block_rows`` vectors at a time.
+Every distinct vector is projected on some axes, shifted, and placed on a Hilbert curve; Spark
+range-partitions and ranks each ordering. A query meets the vectors of its window in all orderings that
+are used; their best are merged and reranked by the exact inner product. The axes are fitted on a bounded
+sample of vectors (``sample_vectors``). How many orderings are used, and how wide the window is, is fitted
+on a bounded sample of queries (``sample_queries``), whose truth comes from comparing that sample with all
+rows block by block: the choice that finds ``target_recall`` of the true neighbours with the fewest
+comparisons. Vectors without clusters have no such ordering; then one wide window remains, which compares
+no more than all rows. Windows are cut into blocks and their queries into parts, so no task holds more than
+``block_rows`` vectors of either side at a time.
 
 Defined results: vectors that are null, empty, all zero or hold a null or non-finite component take
 no part, nor do rows with a null vec_id or another length than most; equal vectors are indexed once
@@ -62,12 +65,26 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _orderings(dims: int, n_orderings: int, axes: int, seed: int) -> list[np.ndarray]:
+def _orderings(sample: np.ndarray, n_orderings: int, axes: int, seed: int, variance: float = 0.9) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each ordering its axes (dims, axes), and the mean and spread of the sample along them.
+
+    Axes are random rotations inside the principal components that hold ``variance`` of the sample's
+    variance: clustered vectors are told apart by few components, even ones by nearly all.
+    """
     rng = np.random.default_rng(seed)
+    values, vectors = np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1) + 1e-12 * np.eye(sample.shape[1]))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    held = int(np.searchsorted(np.cumsum(values), variance * values.sum()) + 1)
+    held = min(sample.shape[1], max(axes, held))
     columns: list[np.ndarray] = []
     while len(columns) < n_orderings * axes:
-        columns += list(np.linalg.qr(rng.normal(size=(dims, dims)))[0].T)
-    return [np.array(columns[k * axes : (k + 1) * axes]).T for k in range(n_orderings)]
+        columns += list((vectors[:, :held] @ np.linalg.qr(rng.normal(size=(held, held)))[0]).T)
+    made = []
+    for k in range(n_orderings):
+        own = np.array(columns[k * axes : (k + 1) * axes]).T
+        x = sample @ own
+        made.append((own, x.mean(axis=0), np.maximum(x.std(axis=0), 1e-12)))
+    return made
 
 
 def usable_vectors(rows: DataFrame) -> DataFrame:
@@ -98,40 +115,50 @@ def _best(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np
     return q, c, np.einsum("ij,ij->i", queries[q], rows[c])
 
 
-def nearest(
+class Index:
+    """Entries of the index, their places in the orderings that are used, and what the fit chose.
+
+    ``entries``: ``entry, v, ids``; ``ranked``: ``entry, ordering, place``; ``asked``: ``query_id, v``;
+    ``heads``: entries of the queries. ``window`` is the distance in places up to which a query meets
+    entries, in each of ``n_orderings`` orderings.
+    """
+
+    def __init__(self, **parts):
+        self.__dict__.update(parts)
+
+
+def build_index(
     vectors: DataFrame,
-    query_filter: str = "vec_id % 20 = 0",
-    k: int = 20,
-    n_orderings: int = 16,
-    axes: int = 4,
-    bits: int = 8,
-    target_recall: float = 0.95,
-    sample_queries: int = 64,
-    block_rows: int = 4096,
-    seed: int = 11,
-) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest found for every row of ``query_filter``."""
-    spark = vectors.sparkSession
+    query_filter: str,
+    k: int,
+    n_orderings: int,
+    axes: int,
+    bits: int,
+    target_recall: float,
+    sample_queries: int,
+    sample_vectors: int,
+    block_rows: int,
+    seed: int,
+) -> Index | None:
+    """The fitted index; None without usable vectors. Parameters as of ``nearest``."""
     rows = materialise(usable_vectors(vectors).dropDuplicates(["vec_id", "v"]))
     # equal vectors are one entry of the index with its k + 1 smallest ids
     order = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k + 1)
     entries = materialise(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.get("ids", F.lit(0))))
     n = entries.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
-    dims = len(entries.first()["v"])
-    frames = _orderings(dims, n_orderings, axes, seed)
+        return None
+    # the axes are fitted on at most sample_vectors entries, chosen by hash
+    some = entries.select("v").orderBy(F.xxhash64("entry"), "entry").limit(sample_vectors).toPandas()
+    frames = _orderings(_matrix(some["v"]) if n > 1 else np.repeat(_matrix(some["v"]), 2, axis=0), n_orderings, axes, seed)
     shifts = np.random.default_rng(seed + 1).random((n_orderings, axes))
-    spread = entries.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0]
-    scale = float(spread) / np.sqrt(dims) * 4  # four standard deviations of a projected coordinate
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             x = _matrix(frame["v"])
-            for o, axes_of in enumerate(frames):
-                unit = np.clip((x @ axes_of) / (2 * scale) + 0.5, 0, 1)
+            for o, (own, mean, spread) in enumerate(frames):
+                unit = np.clip((x @ own - mean) / (8 * spread) + 0.5, 0, 1)  # four standard deviations to each side
                 cells = ((unit + shifts[o]) / 2 * (2**bits - 1)).astype(np.int64)
                 yield pd.DataFrame({"entry": frame["entry"], "ordering": o, "key": hilbert_index(cells, bits).astype(np.int64)})
 
@@ -142,14 +169,57 @@ def nearest(
     ranked = materialise(ranked.select("entry", "ordering", (F.col("place") - 1 - F.col("ordering") * n).alias("place")))
     asked = materialise(rows.where(query_filter).select("v", F.col("vec_id").alias("query_id")))
     heads = materialise(asked.select("v").distinct().join(entries.select("v", "entry"), "v").select("entry"))
-    window = _fit_window(entries, heads, ranked, n, k, target_recall, sample_queries)
-    block = max(1, min(window, block_rows))
+    used, window = _fit(entries, heads, ranked, n, n_orderings, k, target_recall, sample_queries, block_rows)
+    return Index(entries=entries, ranked=ranked.where(F.col("ordering") < used), asked=asked, heads=heads, n=n, n_orderings=used, window=window, block=_block(window, block_rows))
+
+
+def _block(window: int, block_rows: int) -> int:
+    return max(1, min(max(window // 2, 64), block_rows))
+
+
+def meetings(index: Index, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Who meets whom: queries and entries, both with ``ordering, block, part``.
+
+    A block holds at most ``block_rows`` entries. The queries that a block is near to are cut into parts
+    of at most ``block_rows``, and the block is copied to each part.
+    """
+    window, block = index.window, index.block
+    asked = spread_rank(index.ranked.join(index.heads, "entry"), ["ordering", "place"], "__rank")
     first, last = F.floor((F.col("place") - window) / block), F.floor((F.col("place") + window) / block)
-    of_heads = ranked.join(heads, "entry").withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit((n - 1) // block)))))
-    vector = entries.select("entry", "v")
-    left = of_heads.select("entry", "ordering", "block").join(vector, "entry")
-    right = ranked.select("entry", "ordering", F.floor(F.col("place") / block).alias("block")).join(vector, "entry")
-    right = right.toDF(*right.columns)
+    left = asked.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.lit((index.n - 1) // block)))))
+    left = materialise(left.select("entry", "ordering", "block", F.expr(f"(__rank - 1) div {block_rows}").alias("part")))
+    right = index.ranked.select("entry", "ordering", F.floor(F.col("place") / block).alias("block"))
+    right = right.join(left.select("ordering", "block", "part").distinct(), ["ordering", "block"])
+    return left, right
+
+
+def compared_rows(index: Index, block_rows: int = 4096) -> float:
+    """Entries that a query meets, counted as often as it meets them, on average."""
+    left, right = meetings(index, block_rows)
+    keys = ["ordering", "block", "part"]
+    sizes = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("q")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")), keys)
+    return float(sizes.agg(F.sum(F.col("q") * F.col("c"))).first()[0] or 0) / max(1, index.heads.count())
+
+
+def nearest(
+    vectors: DataFrame,
+    query_filter: str = "vec_id % 20 = 0",
+    k: int = 20,
+    n_orderings: int = 16,
+    axes: int = 4,
+    bits: int = 8,
+    target_recall: float = 0.95,
+    sample_queries: int = 64,
+    sample_vectors: int = 10_000,
+    block_rows: int = 4096,
+    seed: int = 11,
+) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest found for every row of ``query_filter``."""
+    index = build_index(vectors, query_filter, k, n_orderings, axes, bits, target_recall, sample_queries, sample_vectors, block_rows, seed)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    entries, asked = index.entries, index.asked
+    left, right = (rows.join(entries.select("entry", "v"), "entry") for rows in meetings(index, block_rows))
 
     def meet(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
@@ -157,9 +227,10 @@ def nearest(
         i, j, s = _best(_matrix(q["v"]), _matrix(c["v"]), k + 1)
         return pd.DataFrame({"head": q["entry"].to_numpy()[i], "entry": c["entry"].to_numpy()[j], "score": s})
 
+    keys = ["ordering", "block", "part"]
     found = (
-        left.groupBy("ordering", "block")
-        .cogroup(right.groupBy("ordering", "block"))
+        left.groupBy(*keys)
+        .cogroup(right.groupBy(*keys))
         .applyInPandas(meet, "head long, entry long, score double")
         .groupBy("head", "entry")
         .agg(F.max("score").alias("score"))
@@ -181,11 +252,16 @@ def nearest(
     )
 
 
-def _fit_window(entries: DataFrame, heads: DataFrame, ranked: DataFrame, n: int, k: int, target: float, sample: int) -> int:
-    """Smallest window that holds ``target`` of the true neighbours of ``sample`` queries."""
+def _fit(entries: DataFrame, heads: DataFrame, ranked: DataFrame, n: int, n_orderings: int, k: int, target: float, sample: int, block_rows: int) -> tuple[int, int]:
+    """How many orderings to use and how wide a window, so that ``target`` of the true neighbours of
+    ``sample`` queries are met and the fewest entries compared.
+
+    One ordering whose window spans all entries compares each of them once; several that would compare
+    more than that are never chosen.
+    """
     some = heads.orderBy(F.xxhash64("entry"), "entry").limit(sample).join(entries.select("entry", "v"), "entry").toPandas()
     if not len(some):
-        return 1
+        return 1, 1
     some = some.sort_values("entry")
     q, ids = _matrix(some["v"]), some["entry"].to_numpy()
 
@@ -200,16 +276,25 @@ def _fit_window(entries: DataFrame, heads: DataFrame, ranked: DataFrame, n: int,
         .where("head <> entry").withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).select("head", "entry")
     )
     true = materialise(true)  # sample * k rows
-    at = ranked.join(F.broadcast(true.select("entry").union(true.select("head")).distinct()), "entry")
-    at = materialise(at)
+    at = materialise(ranked.join(F.broadcast(true.select("entry").union(true.select("head")).distinct()), "entry"))
     far = (
         true.join(at, "entry")
         .join(at.select(F.col("entry").alias("head"), "ordering", F.col("place").alias("own")), ["head", "ordering"])
         .groupBy("head", "entry")
-        .agg(F.min(F.abs(F.col("place") - F.col("own"))).alias("d"))
+        .pivot("ordering", list(range(n_orderings)))
+        .agg(F.min(F.abs(F.col("place") - F.col("own"))))
         .toPandas()
     )
-    return int(min(n, max(1, np.ceil(np.quantile(far["d"], target))))) if len(far) else 1
+    if not len(far):
+        return 1, 1
+    nearest_yet = np.minimum.accumulate(far[[str(o) for o in range(n_orderings)]].to_numpy(dtype=float), axis=1)
+    best = None
+    for m in range(1, n_orderings + 1):
+        window = int(min(n, max(1, np.ceil(np.quantile(nearest_yet[:, m - 1], target)))))
+        cost = m * min(n, 2 * window + 2 * _block(window, block_rows))
+        if best is None or cost < best[0]:
+            best = (cost, m, window)
+    return best[1:]
 
 
 def op8_hilbert_ann(spark, sf_dir: str) -> DataFrame:
