@@ -7,18 +7,22 @@ with the same text on two or more, and on more than half, of a host's distinct p
 is template, inside the content or beside it. All text that is neither template nor furniture is kept,
 wherever it stands. Pages of the same content text count once.
 
-On hosts with fewer than five such pages, template that would take more than half of a page's content
-text is left in: such pages are near copies of each other rather than filled forms.
+Where template would take more than half of the content text of a host's distinct pages, it is left in
+there: such pages are near copies of each other rather than filled forms. This holds for any number of
+pages.
 
 Defined results: null or empty html gives an empty text; a null or odd url counts as one host of its
 own; repeated rows are extracted one by one; empty tables give empty results; other columns are
-ignored. A page's own notices, adverts, forms and comments are left out by tag, role and class.
+ignored; very long and very deep pages are read whole, in time that grows with their length. A page's own
+notices, adverts, forms and comments, which may differ from page to page, are left out by tag or by a whole
+class, id or role name. A form, or an element so named, that wraps the page's article is read.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,7 +36,7 @@ from .common import materialise
 #: Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 LEFT_OUT = frozenset(
-    "head script style noscript template iframe object svg math canvas form button select option textarea input label fieldset "
+    "head script style noscript template iframe object svg math canvas button select option textarea input label fieldset "
     "nav footer aside menu dialog audio video".split()
 )
 BLOCK = frozenset(
@@ -43,78 +47,97 @@ ENDS_P = BLOCK - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "html"
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure li tr td th dt dd".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot tr select".split())
-#: Fixed value: words in class, id or role that name what is not the article.
-FURNITURE = frozenset(
-    "nav navbar navigation menu sidebar aside advert advertisement ad ads adbox sponsor sponsored banner cookie cookies consent gdpr notice "
+#: Class, id and role names of what is not the article. A name counts as a whole, alone or
+#: with an ending that says no more than "a part of the page": related-links does, related-work does not.
+FURNITURE = (
+    "nav navbar navigation menu sidebar aside advert adverts advertisement ad ads sponsor sponsored banner cookie cookies consent gdpr notice "
     "alert comment comments disqus replies share sharing social related promo newsletter subscribe subscription breadcrumb breadcrumbs "
-    "footer popup modal overlay login signup widget contentinfo complementary search toolbar dialog masthead pagination pager".split()
-)
+    "footer popup modal overlay login signup widget contentinfo complementary search toolbar dialog masthead pagination pager"
+).split()
+ENDINGS = "area articles bar block box button buttons container content form footer header inner items label links list main panel posts section slot stories text title unit widget wrap wrapper".split()
+FURNITURE_NAME = re.compile(rf"(?:(?:{'|'.join(ENDINGS)}|main|page|post|site|top|side|left|right)[-_])?(?:{'|'.join(FURNITURE)})(?:[-_]?(?:{'|'.join(FURNITURE + ENDINGS)}))*(?:[-_]?\d+)?")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    """An element: signature (tag and first class), children in order, texts as plain strings."""
+    """An element: signature (tag and first class), children in order, texts as plain strings.
+
+    ``out`` elements give no text. ``soft`` ones are out by name, or as a form, and come back if they
+    turn out to wrap the article.
+    """
 
-    __slots__ = ("kids", "out", "sig", "tag")
+    __slots__ = ("kids", "out", "sig", "soft", "tag")
 
-    def __init__(self, tag: str, sig: str, out: bool):
-        self.tag, self.sig, self.out, self.kids = tag, sig, out, []
+    def __init__(self, tag: str, sig: str, out: bool = False, soft: bool = False):
+        self.tag, self.sig, self.out, self.soft, self.kids = tag, sig, out, soft, []
 
 
 class _Tree(HTMLParser):
-    """Builds a forgiving element tree: end tags may be missing, extra or cut off."""
+    """Builds a forgiving element tree: end tags may be missing, extra or cut off.
+
+    ``open`` counts the open elements of each tag, so a tag costs no walk over the open elements unless
+    it closes some of them.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#", "#", False)
+        self.root = Node("#", "#")
         self.stack = [self.root]
+        self.open: Counter = Counter()
+
+    def _close(self, i: int) -> None:
+        for node in self.stack[i:]:
+            self.open[node.tag] -= 1
+        del self.stack[i:]
 
     def _open_p(self) -> int:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag == "p":
-                return i
-            if tag in BLOCK or tag == "button":
-                return 0
+        if self.open["p"] > 0:
+            for i in range(len(self.stack) - 1, 0, -1):
+                tag = self.stack[i].tag
+                if tag == "p":
+                    return i
+                if tag in BLOCK or tag == "button":
+                    return 0
         return 0
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P and (i := self._open_p()):
-            del self.stack[i:]
-        if tag in SAME_LEVEL:
+            self._close(i)
+        if any(self.open[t] > 0 for t in SAME_LEVEL.get(tag, ())):
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag in SAME_LEVEL[tag]:
-                    del self.stack[i:]
+                    self._close(i)
                     break
                 if self.stack[i].tag in LISTS:
                     break
         a = {k: v or "" for k, v in attrs}
-        names = (a.get("class", "") + " " + a.get("id", "")).lower()
-        tokens = set(re.split(r"[^a-z0-9]+", names + " " + a.get("role", "").lower()))
-        inside = any(n.tag in ("article", "main") for n in self.stack)
-        out = (
+        names = (a.get("class", "") + " " + a.get("id", "")).lower().split()
+        inside = self.open["article"] + self.open["main"] > 0
+        soft = tag == "form" or (tag not in ("html", "body", "main") and any(map(FURNITURE_NAME.fullmatch, names + a.get("role", "").lower().split())))
+        hard = (
             tag in LEFT_OUT
             or (tag == "header" and not inside)
-            or (tag not in ("html", "body", "article", "main") and bool(tokens & FURNITURE))
             or "hidden" in a
             or a.get("aria-hidden") == "true"
             or "display:none" in a.get("style", "").replace(" ", "").lower()
         )
-        first = names.split()
-        node = Node(tag, f"{tag}.{first[0]}" if first else tag, out)
+        node = Node(tag, f"{tag}.{names[0]}" if a.get("class", "").split() or names else tag, hard or soft, soft and not hard)
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in ("p", "div", "span", "script"):  # XML style of a foreign element
-            self.stack.pop()
+            self._close(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
+        if self.open[tag] <= 0:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self._close(i)
                 return
             if tag in ("p", "b", "i", "a", "em", "strong", "span", "u") and self.stack[i].tag in BLOCK and self.stack[i].tag != tag:
                 return
@@ -123,11 +146,51 @@ class _Tree(HTMLParser):
         self.stack[-1].kids.append(data)
 
 
+def _take_back_wrappers(root: Node) -> None:
+    """Soft elements round all articles of a page, or a form round most of its text, are no furniture."""
+    holders, visible = [], False
+    todo: list = [(root, None)]
+    while todo:
+        node, above = todo.pop()
+        if node.out and not node.soft:
+            continue
+        if node.soft:
+            above = (node, above)
+        elif node.tag in ("article", "main"):
+            visible |= above is None
+            while above is not None:
+                holders.append(above[0])
+                above = above[1]
+            continue
+        todo.extend((k, above) for k in node.kids if not isinstance(k, str))
+    if visible:
+        return
+    for node in holders:
+        node.out = False
+    if holders:
+        return
+    mass: dict[int, int] = {}
+    forms: dict[int, Node] = {}
+    todo = [(root, None)]
+    while todo:
+        node, form = todo.pop()
+        if node.out and node.tag != "form":
+            continue
+        if node.tag == "form" and node.out and form is None:
+            form = id(node)
+            forms[form] = node
+        mass[form] = mass.get(form, 0) + sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        todo.extend((k, form) for k in node.kids if not isinstance(k, str))
+    for key, node in forms.items():
+        node.out = 2 * mass[key] <= sum(mass.values())
+
+
 def parse(html: str | None) -> Node:
     """Element tree of a page."""
     tree = _Tree()
     tree.feed(html or "")
     tree.close()
+    _take_back_wrappers(tree.root)
     return tree.root
 
 
@@ -192,72 +255,92 @@ def parts(tree: Node, inner: set[int]) -> list[tuple[str, str, bool]]:
     return done
 
 
-def _folded(node: Node, depth: int = 0) -> tuple:
-    """(signature, texts, children) with runs of equal siblings folded into one node."""
-    own, kids = [], []
-    for x in node.kids:
-        if isinstance(x, str):
-            if t := SPACE.sub(" ", x).strip(" "):
-                own.append(t)
-        elif kids and kids[-1][0].sig == x.sig and kids[-1][0].out == x.out:
-            kids[-1].append(x)
-        else:
-            kids.append([x])
-    made = []
-    for group in kids if depth < 40 else []:
-        whole = Node(group[0].tag, group[0].sig, group[0].out)
-        whole.kids = [k for x in group for k in x.kids]
-        made.append(_folded(whole, depth + 1))
-    return node.sig, tuple(own), made, node.out
-
-
-def tree_match(a: tuple, b: tuple) -> tuple[int, list]:
+class _Fold:
+    """A node of the aligned tree: runs of equal siblings are one node."""
+
+    __slots__ = ("kids", "out", "sig", "texts")
+
+    def __init__(self, node: Node):
+        self.sig, self.out, self.texts, self.kids = node.sig, node.out, (), []
+
+
+def _folded(tree: Node) -> tuple[_Fold, list[_Fold]]:
+    """The folded tree and its nodes, parents first."""
+    top = _Fold(tree)
+    todo, made = [(top, [tree])], []
+    while todo:
+        fold, nodes = todo.pop()
+        made.append(fold)
+        own, runs = [], []
+        for x in (k for node in nodes for k in node.kids):
+            if isinstance(x, str):
+                if t := SPACE.sub(" ", x).strip(" "):
+                    own.append(t)
+            elif runs and runs[-1][0].sig == x.sig and runs[-1][0].out == x.out:
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        fold.texts = tuple(own)
+        fold.kids = [_Fold(run[0]) for run in runs]
+        todo.extend(zip(fold.kids, runs))
+    return top, made
+
+
+def tree_match(a: _Fold, b: _Fold) -> tuple[int, list]:
     """Simple tree matching: size of the largest order-preserving match and its node pairs."""
-    if a[0] != b[0]:
+    if a.sig != b.sig:
         return 0, []
-    m, n = len(a[2]), len(b[2])
-    size = [[0] * (n + 1) for _ in range(m + 1)]
-    kept: dict = {}
-    for i in range(m):
-        for j in range(n):
-            if a[2][i][0] == b[2][j][0]:
-                kept[i, j] = tree_match(a[2][i], b[2][j])
-            w = kept[i, j][0] if (i, j) in kept else 0
-            size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + w)
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        w = kept[i - 1, j - 1][0] if (i - 1, j - 1) in kept else 0
-        if w and size[i][j] == size[i - 1][j - 1] + w:
-            pairs += kept[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif size[i][j] == size[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return size[m][n] + 1, pairs
+    todo, met = [(a, b)], []
+    while todo:  # pairs of children are met after their parents, so they are sized before them
+        x, y = todo.pop()
+        met.append((x, y))
+        todo.extend((k, j) for k in x.kids for j in y.kids if k.sig == j.sig)
+    tables: dict = {}
+    for x, y in reversed(met):
+        m, n = len(x.kids), len(y.kids)
+        size = [[0] * (n + 1) for _ in range(m + 1)]
+        for i in range(m):
+            for j in range(n):
+                inner = tables.get((id(x.kids[i]), id(y.kids[j])))
+                size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + (inner[-1][-1] + 1 if inner else 0))
+        tables[id(x), id(y)] = size
+    pairs, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs.append((x, y))
+        size, i, j = tables[id(x), id(y)], len(x.kids), len(y.kids)
+        while i and j:
+            inner = tables.get((id(x.kids[i - 1]), id(y.kids[j - 1])))
+            if inner and size[i][j] == size[i - 1][j - 1] + inner[-1][-1] + 1:
+                todo.append((x.kids[i - 1], y.kids[j - 1]))
+                i, j = i - 1, j - 1
+            elif size[i][j] == size[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return tables[id(a), id(b)][-1][-1] + 1, pairs
 
 
 def induce(pages: list[str | None]) -> dict:
     """Wrapper of a host from some of its pages: ``path`` to the content."""
-    trees = [parse(h) for h in dict.fromkeys(pages)]
-    folded = [_folded(t) for t in trees]
-    first, seen, slot = folded[0], {}, {}
-    for other in folded[1:]:
+    folded = [_folded(parse(h)) for h in dict.fromkeys(pages)]
+    (first, nodes), slot = folded[0], {}
+    for other, _ in folded[1:]:
         for a, b in tree_match(first, other)[1]:
-            seen[id(a)] = seen.get(id(a), 0) + 1
-            if a[1] != b[1]:
-                slot[id(a)] = slot.get(id(a), 0) + max(sum(map(len, a[1])), sum(map(len, b[1])))
-
-    def mass(x: tuple) -> int:  # varying text under a node that is not furniture
-        return 0 if x[3] else (slot.get(id(x), 0) if len(folded) > 1 else sum(map(len, x[1]))) + sum(map(mass, x[2]))
+            if a.texts != b.texts:
+                slot[id(a)] = slot.get(id(a), 0) + max(sum(map(len, a.texts)), sum(map(len, b.texts)))
+    mass: dict[int, int] = {}  # varying text under a node that is not furniture
+    for x in reversed(nodes):
+        own = slot.get(id(x), 0) if len(folded) > 1 else sum(map(len, x.texts))
+        mass[id(x)] = 0 if x.out else own + sum(mass[id(k)] for k in x.kids)
 
     path, now = [], first
     while True:
-        best = max(now[2], key=mass, default=None)
-        tag = best[0].split(".")[0] if best else ""
-        if best is None or tag in TEXT_LEVEL or mass(best) < 0.6 * mass(now) or mass(best) == 0 or tag not in BLOCK:
+        best = max(now.kids, key=lambda k: mass[id(k)], default=None)
+        tag = best.sig.split(".")[0] if best else ""
+        if best is None or tag in TEXT_LEVEL or 10 * mass[id(best)] < 6 * mass[id(now)] or mass[id(best)] == 0 or tag not in BLOCK:
             break
-        path.append(best[0])
+        path.append(best.sig)
         now = best
         if tag in ("article", "main"):
             break
@@ -288,10 +371,8 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     page = _read(html, wrapper)
     template = wrapper["template"] if wrapper else ()
     known = [bool(template) and _digest(place) in template for place, *_ in page]
-    if wrapper and wrapper["pages"] < 5:
-        mass = sum(len(t) for _, t, inside in page if inside)
-        if 2 * sum(len(t) for (_, t, inside), k in zip(page, known) if inside and k) > mass:
-            known = [k and not inside for (*_, inside), k in zip(page, known)]
+    if wrapper and not wrapper["inside"]:
+        known = [k and not inside for (*_, inside), k in zip(page, known)]
     return " ".join(t for (_, t, _), k in zip(page, known) if not k)
 
 
@@ -316,30 +397,38 @@ def induce_wrappers(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: in
 
 
 def count_template(rows: DataFrame, wrappers: DataFrame, broadcast_hosts: int) -> DataFrame:
-    """``__host, wrapper`` with ``template`` and ``pages``, counted over all pages of each host."""
+    """``__host, wrapper`` with ``template``, counted over all pages of each host, and ``inside``: whether
+    template inside the content is left out too."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            hosts, contents, blocks_ = [], [], []
+            hosts, contents, made = [], [], []
             for host, html, wrapper in zip(frame["__host"], frame["html"], frame["wrapper"]):
                 page = _read(html, json.loads(wrapper))
                 content = [t for _, t, inside in page if inside]
                 if content:
-                    found = {None, *(_digest(place) for place, *_ in page)}
+                    found = {None: (sum(map(len, content)), True)} | {_digest(place): (len(t), inside) for place, t, inside in page}
                     hosts += [host] * len(found)
                     contents += [_digest("\n".join(content))] * len(found)
-                    blocks_ += found
-            yield pd.DataFrame({"__host": hosts, "content": pd.Series(contents, dtype="int64"), "block": pd.Series(blocks_, dtype="Int64")})
+                    made += [(block, *facts) for block, facts in found.items()]
+            blocks_, sizes, insides = zip(*made) if made else ((), (), ())
+            columns = {"block": pd.array(blocks_, dtype="Int64"), "size": pd.array(sizes, dtype="int64"), "inside": pd.array(insides, dtype="bool")}
+            yield pd.DataFrame({"__host": hosts, "content": pd.array(contents, dtype="int64")} | columns)
 
     held = _with_wrappers(rows, wrappers, broadcast_hosts).select("__host", "html", "wrapper").where("wrapper IS NOT NULL")
-    seen = held.mapInPandas(emit, "__host string, content long, block long").distinct()
-    counts = materialise(seen.groupBy("__host", "block").agg(F.count(F.lit(1)).alias("n")).where("n >= 2 OR block IS NULL"))
-    pages = counts.where("block IS NULL").select("__host", F.col("n").alias("pages"))
+    seen = held.mapInPandas(emit, "__host string, content long, block long, size long, inside boolean").distinct()
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("mass"), F.max("inside").alias("inside")]
+    counts = materialise(seen.groupBy("__host", "block").agg(*sums).where("n >= 2 OR block IS NULL"))
+    pages = counts.where("block IS NULL").select("__host", F.col("n").alias("pages"), F.col("mass").alias("whole"))
     common = counts.where("block IS NOT NULL").join(pages, "__host").where("2 * n > pages")
-    template = common.groupBy("__host").agg(F.to_json(F.sort_array(F.collect_list("block"))).alias("template"))
-    parts_ = [F.expr("left(wrapper, length(wrapper) - 1)"), F.lit(', "pages": '), F.coalesce("pages", F.lit(0)).cast("string")]
-    parts_ += [F.lit(', "template": '), F.coalesce("template", F.lit("[]")), F.lit("}")]
-    return wrappers.join(pages, "__host", "left").join(template, "__host", "left").select("__host", F.concat(*parts_).alias("wrapper"))
+    # each template block stands on over half of the pages, so a page's length bounds the list
+    template = common.groupBy("__host").agg(
+        F.to_json(F.sort_array(F.collect_list("block"))).alias("template"),
+        (2 * F.coalesce(F.sum(F.when(F.col("inside"), F.col("mass"))), F.lit(0)) <= F.first("whole")).alias("inside"),
+    )
+    made = [F.expr("left(wrapper, length(wrapper) - 1)"), F.lit(', "inside": '), F.coalesce("inside", F.lit(True)).cast("string")]
+    made += [F.lit(', "template": '), F.coalesce("template", F.lit("[]")), F.lit("}")]
+    return wrappers.join(template, "__host", "left").select("__host", F.concat(*made).alias("wrapper"))
 
 
 def main_text(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: int = 20_000) -> DataFrame:
