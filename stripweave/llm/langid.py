@@ -95,7 +95,8 @@ def train_languages(docs: DataFrame, folds: int = 3, held_fold: int = 1, cluster
     idf = (np.log((1 + freq[DIMS]) / (1 + freq[:DIMS])) + 0.1).astype(np.float32)
     sizes = materialise(learn.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")))
     share = F.least(F.lit(1.0), max_rows / F.col("__n"))
-    picked = learn.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) <= share * (1 << 20))
+    picked = learn.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) <= share * (1 << 20))
+    picked = picked.dropDuplicates(["lang", "doc_id", "text"])  # repeated rows count once
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "text"])

@@ -1,7 +1,8 @@
 """Line deduplication with a once-seen and a twice-seen Bloom filter.
 
 Every partition sets the bits of its line keys in two small filters: once-seen and twice-seen.
-Merging two pairs of filters, bits that both have once become twice. A key of two documents always
+Merging two pairs of filters, bits that both have once become twice; filters are merged segment by
+segment in two levels, so a task merges few of them however many partitions there are. A key of two documents always
 has all its bits in the merged twice-seen filter, so only keys found there go through the shuffle
 that confirms them by a 128-bit digest, counts their documents and picks the holder that keeps them.
 
@@ -22,13 +23,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Filters are cut into segments of this many bits, merged by different tasks.
-SEGMENT_BITS = 1 << 22
+SEGMENT_BITS = 1 << 20
+#: Partitions whose filters are merged by one task, before these are merged.
+MERGE_GROUP = 256
 HASHES = 4
 
 
@@ -73,6 +77,7 @@ def twice_filter(docs: DataFrame, min_chars: int, n_bits: int) -> list[tuple[int
     segment = min(SEGMENT_BITS, n_bits)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = TaskContext.get().partitionId() // MERGE_GROUP
         once, twice = np.zeros(n_bits // 8, dtype=np.uint8), np.zeros(n_bits // 8, dtype=np.uint8)
         for frame in batches:
             # a batch at a time: what it holds twice is twice-seen at once
@@ -86,25 +91,21 @@ def twice_filter(docs: DataFrame, min_chars: int, n_bits: int) -> list[tuple[int
         for k in range(n_bits // segment):
             o, t = once[k * size : (k + 1) * size], twice[k * size : (k + 1) * size]
             if o.any():
-                yield pd.DataFrame({"segment": [k], "once": [zlib.compress(o.tobytes(), 1)], "twice": [zlib.compress(t.tobytes(), 1)]})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[np.ndarray]] = {}
-        for frame in batches:
-            for k, o, t in zip(frame["segment"], frame["once"], frame["twice"]):
-                o, t = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (o, t))
-                if k in held:
-                    was_once, was_twice = held[k]
-                    was_twice |= t
-                    was_twice |= was_once & o
-                    was_once |= o
-                else:
-                    held[k] = [o.copy(), t.copy()]
-        for k, (_, t) in held.items():
-            yield pd.DataFrame({"segment": [k], "twice": [zlib.compress(t.tobytes(), 1)]})
-
-    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(build, "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").mapInPandas(merge, "segment int, twice binary")
+                yield pd.DataFrame({"segment": [k], "group": [group], "once": [zlib.compress(o.tobytes(), 1)], "twice": [zlib.compress(t.tobytes(), 1)]})
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        once, twice = (np.zeros(segment // 8, dtype=np.uint8) for _ in range(2))
+        for o, t in zip(frame["once"], frame["twice"]):
+            o, t = (np.frombuffer(zlib.decompress(x), dtype=np.uint8) for x in (o, t))
+            twice |= t
+            twice |= once & o
+            once |= o
+        return pd.DataFrame({"segment": frame["segment"].iloc[:1], "group": [0], "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+
+    schema = "segment int, group int, once binary, twice binary"
+    parts = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(build, schema)
+    some = parts.groupBy("segment", "group").applyInPandas(merge, schema)
+    merged = some.groupBy("segment").applyInPandas(merge, schema).select("segment", "twice")
     return [(r["segment"], bytes(r["twice"])) for r in merged.collect()]  # at most max_filter_bytes
 
 

@@ -131,7 +131,8 @@ def id_remainder(doc_id: Column, by: int) -> Column:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, folds: int = 5, held_fold: int = 0) -> dict:
-    """Trees fitted on at most about ``max_rows`` labelled documents outside the held-out fold."""
+    """Trees fitted on at most about ``max_rows`` labelled ids outside the held-out fold, and twice as many
+    rows; repeated rows count once."""
     usable = (
         labels.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__y"))
         .where(F.col("__y").isNotNull() & (id_remainder(F.col("__id"), folds) != held_fold))
@@ -147,9 +148,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, fo
             x = [document_statistics(t) for t in frame["text"]]
             yield pd.DataFrame({"id": frame["__id"], "y": frame["__y"].astype("float64"), "x": x})
 
-    # the sample is bounded by max_rows on the way out and back
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
-    got = rows.select("__id", "__y", "text").mapInPandas(measure, "id long, y double, x array<double>").toPandas()
+    # picked holds about max_rows ids; an id with many rows is brought back to the bound by content
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    once = labelled.withColumn("__t", F.xxhash64("text")).dropDuplicates(["__id", "__t"])
+    rows = materialise(once.select("__id", "__y", "text").mapInPandas(measure, "id long, y double, x array<double>"))
+    share = min(1.0, 2 * max_rows / max(1, rows.count()))
+    got = rows.where(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).toPandas()
     if not len(got):
         return fit_trees(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.stack(got["x"].to_numpy())
