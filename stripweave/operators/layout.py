@@ -86,20 +86,22 @@ def slice_source_map(layout: DataFrame, slice_height: Column, height: str = "sca
     )
 
 
-def provenance_check(segments: DataFrame, slice_height: int) -> DataFrame:
-    """Per slice: expected and actual height and whether its segments follow on from each other."""
+def provenance_check(segments: DataFrame, totals: DataFrame, slice_height: int) -> DataFrame:
+    """Per slice of every strip in ``totals``: expected height, the height of its segments, and whether they
+    agree and each later segment starts at its page's first row. A slice without segments has height 0."""
     order = Window.partitionBy("project_uid", "slice_index").orderBy("seq")
-    fresh = F.row_number().over(order) == 1
-    whole = Window.partitionBy("project_uid")
-    return (
-        # a later page starts at its own first row
-        segments.withColumn("__ok", fresh | (F.col("source_y") == 0))
+    held = (
+        segments.withColumn("__ok", (F.row_number().over(order) == 1) | (F.col("source_y") == 0))
         .groupBy("project_uid", "slice_index")
-        .agg(F.sum("height").alias("actual"), F.bool_and("__ok").alias("__follows"))
-        .withColumn("__last", F.max("slice_index").over(whole))
-        .withColumn("expected", F.when(F.col("slice_index") < F.col("__last"), F.lit(slice_height).cast("long")).otherwise(F.col("actual")))
-        .select("project_uid", "slice_index", "expected", "actual", (F.col("__follows") & (F.col("expected") == F.col("actual"))).alias("ok"))
+        .agg(F.sum("height").alias("__held"), F.bool_and("__ok").alias("__follows"))
     )
+    last = F.expr(f"(total_height - 1) div {slice_height}")
+    due = totals.where("total_height > 0").select("project_uid", "total_height", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slice_index"))
+    expected = F.least(F.lit(slice_height).cast("long"), F.col("total_height") - F.col("slice_index") * slice_height)
+    actual = F.coalesce("__held", F.lit(0).cast("long"))
+    rows = due.join(held, ["project_uid", "slice_index"], "full_outer").withColumns({"expected": F.coalesce(expected, F.lit(0).cast("long")), "actual": actual})
+    ok = F.coalesce("__follows", F.lit(False)) & (F.col("expected") == F.col("actual"))
+    return rows.select("project_uid", "slice_index", "expected", "actual", ok.alias("ok"))
 
 
 def contributes_to(segments: DataFrame) -> DataFrame:

@@ -2,59 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def effective_profiles(projects: DataFrame, links: DataFrame, palette: DataFrame) -> DataFrame:
-    """``project_uid, id, prio``: linked profiles that exist, or the whole palette if none is linked."""
-    linked = links.join(F.broadcast(palette.select("id")), "id").select("project_uid", "id", F.col("prio").cast("long").alias("prio"))
-    free = projects.select("project_uid").join(links.select("project_uid").distinct(), "project_uid", "left_anti")
-    # a palette is a short list of one workspace: every free project sees all of it
-    whole = palette.agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").alias("o"), F.col("id").alias("i")))).alias("__all"))
-    every = free.join(F.broadcast(whole)).select("project_uid", F.posexplode("__all").alias("__p", "__c"))
-    return linked.unionByName(every.select("project_uid", F.col("__c.i").alias("id"), (F.col("__p") + 1).cast("long").alias("prio")))
+    """``project_uid, id, prio``: linked profiles that exist, or the whole palette if none is linked.
+
+    Projects and palettes belong to workspaces ``ws``. This is the row form; ``match_pages`` does
+    without it, as a project that links nothing has as many rows here as its palette.
+    """
+    linked = links.join(palette.select("id"), "id").select("project_uid", "id", F.col("prio").cast("long").alias("prio"))
+    free = projects.select("project_uid", "ws").join(links.select("project_uid").distinct(), "project_uid", "left_anti")
+    every = free.join(_palette_lists(palette), "ws").select("project_uid", F.posexplode("__all").alias("__p", "id"))
+    return linked.unionByName(every.select("project_uid", "id", (F.col("__p") + 1).cast("long").alias("prio")))
+
+
+def _palette_lists(palette: DataFrame, *keys: str) -> DataFrame:
+    """Profile ids of each workspace (and size) in palette order; a palette is a short list."""
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "id")))
+    return palette.groupBy("ws", *keys).agg(F.transform(ordered, lambda s: s["id"]).alias("__all"))
+
+
+def _own_lists(links: DataFrame, palette: DataFrame) -> DataFrame:
+    """Per project with links: those that exist, in order, with their sizes."""
+    sized = links.join(palette.select("id", F.col("width").alias("w"), F.col("height").alias("h")), "id", "left")
+    one = F.when(F.col("w").isNotNull(), F.struct(F.col("prio").cast("long").alias("prio"), "id", "w", "h"))
+    return sized.groupBy("project_uid").agg(F.array_sort(F.collect_list(one)).alias("__own"))
 
 
-def match_canvas_profile(pages: DataFrame, effective: DataFrame, palette: DataFrame) -> DataFrame:
-    """``project_uid, uid, profile_id``: the first effective profile of exactly the page's size.
+def effective_ids(projects: DataFrame, links: DataFrame, palette: DataFrame) -> DataFrame:
+    """``project_uid, ids``: effective profile ids of each project, joined in order."""
+    rows = projects.select("project_uid", "ws").join(_own_lists(links, palette), "project_uid", "left").join(_palette_lists(palette), "ws", "left")
+    own = F.transform("__own", lambda s: s["id"])
+    return rows.select("project_uid", F.array_join(F.when(F.col("__own").isNull(), F.col("__all")).otherwise(own), ",").alias("ids"))
 
-    The first profile of each size is chosen per project before pages are joined.
+
+def match_pages(pages: DataFrame, projects: DataFrame, links: DataFrame, palette: DataFrame, name: str = "profile_id") -> DataFrame:
+    """``pages`` with ``name``, the first effective profile of exactly the page's size, and ``__other``,
+    the same-size profiles of the palette where none is effective.
+
+    A project without links takes the first profile of the size in its workspace's palette, one with
+    links the first link of the size. If no link has the size, no profile of that size is effective, so
+    all of them are candidates.
     """
-    sized = effective.join(F.broadcast(palette.select("id", F.col("width").alias("w"), F.col("height").alias("h"))), "id")
-    best = sized.groupBy("project_uid", "w", "h").agg(F.min_by("id", F.struct("prio", "id")).alias("profile_id"))
-    hit = (pages["project_uid"] == best["project_uid"]) & (pages["width"] == best["w"]) & (pages["height"] == best["h"])
-    return pages.join(best, hit, "left").select(pages["project_uid"], "uid", "profile_id")
+    facts = projects.select("project_uid", "ws").join(_own_lists(links, palette), "project_uid", "left")
+    rows = pages.join(facts, "project_uid", "left").join(_palette_lists(palette, "width", "height"), ["ws", "width", "height"], "left")
+    own = F.filter("__own", lambda s: (s["w"] == F.col("width")) & (s["h"] == F.col("height")))
+    hit = F.when(F.col("__own").isNull(), F.get("__all", F.lit(0))).otherwise(F.get(own, F.lit(0))["id"])
+    other = F.when(F.col(name).isNull() & F.col("__own").isNotNull(), F.col("__all"))
+    return rows.withColumn(name, hit).withColumn("__other", F.coalesce(other, F.array().cast("array<string>"))).select(*pages.columns, name, "__other")
+
 
+def match_canvas_profile(pages: DataFrame, projects: DataFrame, links: DataFrame, palette: DataFrame) -> DataFrame:
+    """``project_uid, uid, profile_id``: the first effective profile of exactly the page's size."""
+    return match_pages(pages.select("project_uid", "uid", "width", "height"), projects, links, palette).select("project_uid", "uid", "profile_id")
 
-def unlinked_candidates(matched: DataFrame, pages: DataFrame, effective: DataFrame, palette: DataFrame) -> DataFrame:
+
+def unlinked_candidates(pages: DataFrame, projects: DataFrame, links: DataFrame, palette: DataFrame) -> DataFrame:
     """``project_uid, uid, match, candidate_ids``: for pages without a match, same-size profiles of
     the palette that are not effective, in palette order."""
-    sizes = pages.select("project_uid", "uid", "width", "height").join(matched.where("profile_id IS NULL").select("project_uid", "uid"), ["project_uid", "uid"])
-    other = sizes.join(F.broadcast(palette.select("id", "ordinal", "width", "height")), ["width", "height"])
-    other = other.join(effective.select("project_uid", "id"), ["project_uid", "id"], "left_anti")
-    lists = other.groupBy("project_uid", "uid").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id"))).alias("__l"))
-    out = sizes.join(lists, ["project_uid", "uid"], "left")
-    found = F.when(F.col("__l").isNull(), "NotFoundAnywhere").otherwise("FoundInWorkspaceOnly")
-    return out.select("project_uid", "uid", found.alias("match"), F.coalesce(F.array_join(F.transform("__l", lambda s: s["id"]), ","), F.lit("")).alias("candidate_ids"))
+    rows = match_pages(pages.select("project_uid", "uid", "width", "height"), projects, links, palette).where("profile_id IS NULL")
+    found = F.when(F.size("__other") > 0, "FoundInWorkspaceOnly").otherwise("NotFoundAnywhere")
+    return rows.select("project_uid", "uid", found.alias("match"), F.array_join("__other", ",").alias("candidate_ids"))
 
 
-def page_plan(pages: DataFrame, matched: DataFrame, candidates: DataFrame, has_palette: bool = True) -> DataFrame:
-    """``project_uid, uid, status, profile_id``: what a run does with each page.
+def page_plan(matched: DataFrame, has_palette: bool = True) -> DataFrame:
+    """``matched`` (of ``match_pages``) with ``plan``, what a run does with each page; the profile only of appended pages.
 
     Pages have ``status`` (Missing pages are skipped) and sizes (0 or less: unreadable).
     """
-    rows = pages.join(matched, ["project_uid", "uid"], "left").join(candidates.select("project_uid", "uid", "match"), ["project_uid", "uid"], "left")
     done = F.when(F.col("status") == "Missing", "SkippedMissing").when((F.col("width") <= 0) | (F.col("height") <= 0), "SkippedError")
     if has_palette:
         done = (
             done.when(F.col("profile_id").isNotNull(), "Appended")
-            .when(F.col("match") == "FoundInWorkspaceOnly", "AppendedProfileNotLinked")
+            .when(F.size("__other") > 0, "AppendedProfileNotLinked")
             .otherwise("AppendedWithoutProfile")
         )
     else:
         done = done.otherwise("Appended")
-    return rows.select("project_uid", "uid", done.alias("plan"), F.when(done == "Appended", F.col("profile_id")).alias("profile_id"))
+    return matched.withColumn("plan", done).withColumn("profile_id", F.when(F.col("plan") == "Appended", F.col("profile_id"))).drop("__other")
 
 
 def input_status_counts(plan: DataFrame) -> DataFrame:
@@ -74,10 +101,10 @@ def input_status_counts(plan: DataFrame) -> DataFrame:
 def link_conflicts(requests: DataFrame, links: DataFrame, palette: DataFrame) -> DataFrame:
     """``project_uid, id, verdict`` for requested links: unknown, linked, conflict or ok."""
     sizes = palette.select("id", F.col("width").alias("w"), F.col("height").alias("h"))
-    taken = links.join(F.broadcast(sizes), "id").groupBy("project_uid", "w", "h").agg(F.count(F.lit(1)).alias("__same"))
+    taken = links.join(sizes, "id").groupBy("project_uid", "w", "h").agg(F.count(F.lit(1)).alias("__same"))
     own = links.select("project_uid", "id").distinct().withColumn("__own", F.lit(True))
     rows = (
-        requests.join(F.broadcast(sizes), "id", "left")
+        requests.join(sizes, "id", "left")
         .join(own, ["project_uid", "id"], "left")
         .join(taken, ["project_uid", "w", "h"], "left")
     )
@@ -88,7 +115,7 @@ def link_conflicts(requests: DataFrame, links: DataFrame, palette: DataFrame) ->
 def resolve_output_profile(ids: DataFrame, presets: DataFrame, user: DataFrame) -> DataFrame:
     """``key, id, source, name``: a preset wins over a user profile of the same id, else none."""
     p = F.broadcast(presets.select("id", F.col("name").alias("__pn")))
-    u = F.broadcast(user.select("id", F.col("name").alias("__un")))
+    u = user.select("id", F.col("name").alias("__un"))
     rows = ids.join(p, "id", "left").join(u, "id", "left")
     source = F.when(F.col("__pn").isNotNull(), "preset").when(F.col("__un").isNotNull(), "user").otherwise("none")
     return rows.select("key", "id", source.alias("source"), F.coalesce("__pn", "__un").alias("name"))
@@ -104,15 +131,8 @@ def select_output_profile(projects: DataFrame, presets: DataFrame, user: DataFra
     fallback preset; an id counts only if it exists."""
     ids = presets.select("id").unionByName(user.select("id")).distinct().withColumn("__known", F.lit(True))
     first = first_profile_default(user).select(F.col("id").alias("__first"))
-    asked = F.broadcast(ids.select(F.col("id").alias(wanted), F.col("__known").alias("__a")))
-    own = F.broadcast(ids.select(F.col("id").alias("output_profile_id"), F.col("__known").alias("__o")))
+    asked = ids.select(F.col("id").alias(wanted), F.col("__known").alias("__a"))
+    own = ids.select(F.col("id").alias("output_profile_id"), F.col("__known").alias("__o"))
     rows = projects.join(asked, wanted, "left").join(own, "output_profile_id", "left").join(F.broadcast(first), how="left")
     chosen = F.coalesce(F.when(F.col("__a"), F.col(wanted)), F.when(F.col("__o"), F.col("output_profile_id")), F.col("__first"), F.lit(fallback))
     return rows.select("project_uid", chosen.alias("profile_id"))
-
-
-def priority_order(effective: DataFrame) -> DataFrame:
-    """Effective profile ids of each project, joined in order."""
-    order = Window.partitionBy("project_uid").orderBy("prio")
-    ranked = effective.withColumn("rn", F.row_number().over(order))
-    return ranked.groupBy("project_uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "id"))), lambda s: s["id"]), ",").alias("ids"))

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Names that themselves look like a numbered copy: their folders need the step-by-step claim.
-NUMBERED = r" \(\d+\)(\.[^./]*)?$"
+#: Numbers as a copy's name carries them, at the end of a stem.
+NUMBERS = r"( \(\d+\))+$"
 
 
 def unsafe_target(target: Column) -> Column:
@@ -34,23 +34,24 @@ def package_target_claim(files: DataFrame) -> DataFrame:
     """Add ``target``: files of the folder keep their place, others go to a folder of their kind.
 
     Names that clash without regard to case become ``stem (2).ext``, ``stem (3).ext`` and so on, in
-    order of reference, files of the folder first. Only folders in which a name already looks like
-    that are claimed step by step.
+    order of reference, files of the folder first. Only where names of a folder differ in such numbers
+    alone can one take the other's, so only these are claimed step by step, name by name.
     """
     inside = F.startswith("source", "folder")
     relative = F.expr("substring(source, length(folder) + 1)")
     name = F.regexp_extract("source", r"([^/]*)$", 1)
     home = F.regexp_extract(relative, r"^(.*/)?[^/]*$", 1)
     rows = files.withColumns({"__in": inside, "__name": name, "__dir": F.when(inside, home).otherwise(F.concat(F.col("kind"), F.lit("/")))})
-    hard = rows.where(F.col("__name").rlike(NUMBERED)).select("ws", "__dir").distinct().withColumn("__hard", F.lit(True))
-    rows = rows.join(hard, ["ws", "__dir"], "left")
+    stem, ext = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 2)
+    rows = rows.withColumn("__family", F.lower(F.concat(F.regexp_replace(stem, NUMBERS, ""), ext)))
+    hard = rows.groupBy("ws", "__dir", "__family").agg((F.min(F.lower("__name")) != F.max(F.lower("__name"))).alias("__hard")).where("__hard")
+    rows = rows.join(hard, ["ws", "__dir", "__family"], "left")
     order = Window.partitionBy("ws", "__dir", F.lower("__name")).orderBy(F.desc("__in"), "seq", "source")
     n = F.row_number().over(order)
-    stem, ext = F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("__name", r"^(.*?)(\.[^.]*)?$", 2)
     plain = rows.where("__hard IS NULL").withColumn("__n", n)
     final = F.when(F.col("__n") == 1, F.col("__name")).otherwise(F.concat(stem, F.lit(" ("), F.col("__n").cast("string"), F.lit(")"), ext))
     easy = plain.withColumn("target", F.concat("__dir", final)).select(*files.columns, "target")
-    slow_rows = rows.where("__hard").select(*files.columns, "__in", "__name", "__dir")
+    slow_rows = rows.where("__hard").select(*files.columns, "__in", "__name", "__dir", "__family")
     out = [c for c in files.columns]
 
     def claim(frame: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +70,7 @@ def package_target_claim(files: DataFrame) -> DataFrame:
         return frame[[*out, "target"]]
 
     schema = easy.schema
-    return easy.unionByName(slow_rows.groupBy("ws", "__dir").applyInPandas(claim, schema))
+    return easy.unionByName(slow_rows.groupBy("ws", "__dir", "__family").applyInPandas(claim, schema))
 
 
 def package_plan(references: DataFrame) -> DataFrame:

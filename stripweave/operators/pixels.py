@@ -10,6 +10,7 @@ from ..operators.signatures import NEUTRAL
 COLOURS = ("r", "g", "b")
 #: Rec. 709 luminance weights.
 LUMA = {"r": 0.2126, "g": 0.7152, "b": 0.0722}
+POINT = "struct<x:double,y:double>"
 
 
 def to_byte(value: Column, top: int = 255) -> Column:
@@ -26,13 +27,24 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 
 def curve_value(points: Column, value: Column) -> Column:
-    """Piecewise linear curve over ``array<struct<x, y>>`` sorted by x; ends are clamped."""
-    below = F.filter(points, lambda p: p["x"] <= value)
-    above = F.filter(points, lambda p: p["x"] > value)
-    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
-    dx = hi["x"] - lo["x"]
-    inside = F.when(dx <= 1e-9, lo["y"]).otherwise(lo["y"] + (hi["y"] - lo["y"]) * (value - lo["x"]) / dx)
-    return F.when(F.size(points) == 0, value).when(F.size(below) == 0, F.get(points, F.lit(0))["y"]).when(F.size(above) == 0, lo["y"]).otherwise(inside)
+    """Piecewise linear curve over ``array<struct<x, y>>`` sorted by x; ends are clamped.
+
+    The neighbours of the value are found once and bound; a curve has few points, so this is cheaper
+    than a table of all bytes unless a project has very many pixels for each of its curves.
+    """
+
+    def between(n: Column) -> Column:
+        lo, hi = n["lo"], n["hi"]
+        dx = hi["x"] - lo["x"]
+        inside = F.when(dx <= 1e-9, lo["y"]).otherwise(lo["y"] + (hi["y"] - lo["y"]) * (n["v"] - lo["x"]) / dx)
+        return F.when(lo.isNull(), hi["y"]).when(hi.isNull(), lo["y"]).otherwise(inside)
+
+    ends = F.struct(
+        value.alias("v"),
+        F.aggregate(points, F.lit(None).cast(POINT), lambda lo, p: F.when(p["x"] <= value, p).otherwise(lo)).alias("lo"),
+        F.aggregate(points, F.lit(None).cast(POINT), lambda hi, p: F.when(hi.isNull() & (p["x"] > value), p).otherwise(hi)).alias("hi"),
+    )
+    return F.element_at(F.transform(F.array(ends), between), 1)
 
 
 def sorted_curves(points: DataFrame) -> DataFrame:
@@ -43,8 +55,9 @@ def sorted_curves(points: DataFrame) -> DataFrame:
 
 
 def _through(curve: str, value: Column) -> Column:
-    points = F.coalesce(curve, F.array().cast("array<struct<x:double,y:double>>"))
-    return F.when(F.size(points) == 0, value).otherwise(to_byte(curve_value(points, value / 255) * 255))
+    """A byte through a curve; without one, or without points, it stays."""
+    bound = F.transform(F.array(value), lambda x: to_byte(curve_value(F.col(curve), x / 255) * 255))
+    return F.when(F.coalesce(F.size(curve), F.lit(0)) <= 0, value).otherwise(F.element_at(bound, 1))
 
 
 def grade_levels(pixels: DataFrame, top: int = 255) -> DataFrame:
@@ -60,13 +73,16 @@ def grade_saturation(pixels: DataFrame) -> DataFrame:
 
 def grade_curves(pixels: DataFrame) -> DataFrame:
     """Master curve, then the channel's own, on bytes."""
-    return pixels.withColumns({c: _through(f"__c_{c}", _through("__c_m", F.col(c))) for c in COLOURS})
+    after = pixels.withColumns({c: _through("__c_m", F.col(c)) for c in COLOURS})
+    return after.withColumns({c: _through(f"__c_{c}", F.col(c)) for c in COLOURS})
 
 
 def grade_page(pixels: DataFrame) -> DataFrame:
     """Curves, levels, saturation, then rounding; alpha stays; a neutral grade changes nothing."""
-    after = {c: _through(f"__c_{c}", _through("__c_m", F.col(c))) for c in COLOURS}
-    rows = pixels.withColumns({f"__l_{c}": levels(after[c], F.col("brightness"), F.col("contrast")) for c in COLOURS})
+    # each step is its own projection, so no step is worked out again for every use of it
+    rows = pixels.withColumns({f"__l_{c}": _through("__c_m", F.col(c)) for c in COLOURS})
+    rows = rows.withColumns({f"__l_{c}": _through(f"__c_{c}", F.col(f"__l_{c}")) for c in COLOURS})
+    rows = rows.withColumns({f"__l_{c}": levels(F.col(f"__l_{c}"), F.col("brightness"), F.col("contrast")) for c in COLOURS})
     lum, s = luminance(*[F.col(f"__l_{c}") for c in COLOURS]), F.col("saturation")
     flat = (F.abs("brightness") < NEUTRAL) & (F.abs(F.col("contrast") - 1) < NEUTRAL) & (F.abs(s - 1) < NEUTRAL)
     bare = F.coalesce("__c_m", "__c_r", "__c_g", "__c_b").isNull()

@@ -9,19 +9,24 @@ from ..functions.expressions import EXTENSIONS, lookup
 
 #: The presets, in order: id, name, width, slice height, format.
 PRESETS = [
-    ("preset-webtoon", "Webtoon", 800, 1280, "JPEG"),
-    ("preset-wide", "Wide strip", 940, 1504, "JPEG"),
-    ("preset-print", "Print", 1200, 1600, "PNG"),
-    ("preset-hires", "High resolution", 1280, 2560, "WebP"),
-    ("preset-long", "Long strip", 1000, 2000, "JPEG"),
-    ("preset-medium", "Medium", 950, 1500, "JPEG"),
+    ("op-preset-webtoon-standard", "Webtoon Standard", 800, 1280, "JPEG"),
+    ("op-preset-tapas", "Tapas", 940, 1504, "JPEG"),
+    ("op-preset-namicomi", "NAMICOMI", 1200, 1600, "PNG"),
+    ("op-preset-globalcomix", "GlobalComix (HD)", 1280, 2560, "WebP"),
+    ("op-preset-popjoy", "Popjoy", 1000, 2000, "JPEG"),
+    ("op-preset-comicfury", "ComicFury / Indie", 950, 1500, "JPEG"),
 ]
 
 
+def presets_sql() -> str:
+    """The presets as an inline relation, in SQL."""
+    rows = ", ".join(f"('{i}', {k}, '{n}', {w}, {h}, '{f}')" for k, (i, n, w, h, f) in enumerate(PRESETS, 1))
+    return f"SELECT * FROM (VALUES {rows}) AS t(id, ordinal, name, target_width, slice_height, format)"
+
+
 def preset_catalogue(spark: SparkSession) -> DataFrame:
     """The presets as an inline relation; all keep the tail, start at 1 and have 72 dpi."""
-    rows = ", ".join(f"('{i}', {k}, '{n}', {w}, {h}, '{f}')" for k, (i, n, w, h, f) in enumerate(PRESETS, 1))
-    table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, ordinal, name, target_width, slice_height, format)")
+    table = spark.sql(presets_sql())
     return table.withColumns({"policy": F.lit("KeepAsIs"), "start_index": F.lit(1), "dpi": F.lit(72.0)})
 
 
@@ -49,7 +54,7 @@ def validate_margins(profiles: DataFrame) -> DataFrame:
 
 def margin_crop_rect(matched: DataFrame, profiles: DataFrame) -> DataFrame:
     """``project_uid, uid, x, y, w, h, do_crop``: only matched pages with a margin are cropped."""
-    p = F.broadcast(profiles.select(F.col("id").alias("profile_id"), "mt", "mr", "mb", "ml"))
+    p = profiles.select(F.col("id").alias("profile_id"), "mt", "mr", "mb", "ml")
     rows = matched.join(p, "profile_id", "left")
     crop = F.col("mt").isNotNull() & (F.greatest("mt", "mr", "mb", "ml") > 0)
 
@@ -104,10 +109,15 @@ def _all_same(names: list[str]) -> Column:
     return out
 
 
-def only_names(profiles: DataFrame, names: str) -> tuple[DataFrame, DataFrame]:
-    """Profiles of the comma-listed names, and the names that matched none."""
-    wanted = profiles.sparkSession.createDataFrame([(n.strip(),) for n in names.split(",") if n.strip()], "name string")
-    return profiles.join(F.broadcast(wanted), "name", "left_semi"), wanted.join(profiles.select("name"), "name", "left_anti")
+def only_names(profiles: DataFrame, names: DataFrame | str) -> tuple[DataFrame, DataFrame]:
+    """Profiles of the names, and the names that matched none.
+
+    ``names`` is a comma list or a frame with ``name``; blanks around names do not count.
+    """
+    if isinstance(names, str):
+        names = profiles.sparkSession.createDataFrame([(n,) for n in names.split(",")], "name string")
+    wanted = names.select(F.trim("name").alias("name")).where("name <> ''").distinct()
+    return profiles.join(wanted, "name", "left_semi"), wanted.join(profiles.select("name"), "name", "left_anti")
 
 
 def template_check(templates: DataFrame) -> DataFrame:

@@ -21,11 +21,15 @@ def apply_disk_checks(files: DataFrame, checks: DataFrame) -> DataFrame:
     """Files ``project_uid, kind, path, status, sha256`` after checks ``project_uid, path,
     recorded_sha256, found, disk_sha256``.
 
-    A check counts only if it was measured against the hash that is still recorded.
+    A check counts only if it was measured against the hash that is still recorded; of several such
+    checks, as a path may be listed twice, one is taken by found and hash. Files pass once each.
     """
-    c = checks.select("project_uid", "path", F.col("recorded_sha256").alias("__r"), "found", F.coalesce("disk_sha256", F.lit("")).alias("__d"))
-    rows = files.join(c, ["project_uid", "path"], "left")
-    current = F.col("found").isNotNull() & F.col("__r").eqNullSafe(F.col("sha256"))
+    keys = [F.col("project_uid").alias("__p"), F.col("path").alias("__f"), F.col("recorded_sha256").alias("__r")]
+    measured = F.struct(F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("disk_sha256", F.lit("")).alias("d"))
+    c = checks.groupBy(*keys).agg(F.max(measured).alias("__c"))
+    same_hash = (F.col("project_uid") == F.col("__p")) & (F.col("path") == F.col("__f")) & F.col("sha256").eqNullSafe(F.col("__r"))
+    rows = files.join(c, same_hash, "left").withColumns({"found": F.col("__c.found"), "__d": F.col("__c.d")})
+    current = F.col("__c").isNotNull()
     none, same, on_disk = F.col("sha256") == "", F.col("__d") == F.col("sha256"), F.col("__d") != ""
     compared = F.when(none, "Pending").when(same, "Processed").otherwise("Modified")
     as_input = (
@@ -52,20 +56,21 @@ def dirty_outputs(outputs: DataFrame) -> DataFrame:
     return outputs.where("status <> 'Done'").select("project_uid", "file_name")
 
 
-def canvas_staleness(pages: DataFrame, now: DataFrame, palette: DataFrame) -> DataFrame:
-    """``project_uid, uid, changed, unknown``.
+def canvas_staleness(pages: DataFrame, palette: DataFrame) -> DataFrame:
+    """``pages`` with ``changed`` and ``unknown``.
 
-    Pages carry what was recorded at render (``profile_then, fingerprint_then``, empty for none) and
-    ``width, height`` (0 if unknown); ``now`` is the match of today; ``palette`` has ``id,
-    signature``.
+    Pages carry the match of today (``profile_id``), what was recorded at render (``profile_then,
+    fingerprint_then``, null or empty for none) and ``width_then, height_then`` (0 if unknown);
+    ``palette`` of today has ``id, signature``.
     """
-    today = F.broadcast(palette.select(F.col("id").alias("profile_id"), F.col("signature").alias("__now")))
-    then = F.broadcast(palette.select(F.col("id").alias("profile_then"), F.col("signature").alias("__still")))
-    rows = pages.join(now, ["project_uid", "uid"], "left").join(today, "profile_id", "left").join(then, "profile_then", "left")
-    sized = (F.col("width") > 0) & (F.col("height") > 0)
-    differs = (F.coalesce("profile_id", F.lit("")) != F.col("profile_then")) | (F.coalesce("__now", F.lit("")) != F.col("fingerprint_then"))
-    gone = (F.col("profile_then") != "") & (F.col("__still").isNull() | (F.col("__still") != F.col("fingerprint_then")))
-    return rows.select("project_uid", "uid", F.when(sized, differs).otherwise(gone).alias("changed"), (~sized).alias("unknown"))
+    today = palette.select(F.col("id").alias("profile_id"), F.col("signature").alias("__now"))
+    then = palette.select(F.col("id").alias("profile_then"), F.col("signature").alias("__still"))
+    rows = pages.join(today, "profile_id", "left").join(then, "profile_then", "left")
+    profile, mark = F.coalesce("profile_then", F.lit("")), F.coalesce("fingerprint_then", F.lit(""))
+    sized = (F.col("width_then") > 0) & (F.col("height_then") > 0)
+    differs = (F.coalesce("profile_id", F.lit("")) != profile) | (F.coalesce("__now", F.lit("")) != mark)
+    gone = (profile != "") & (F.col("__still").isNull() | (F.col("__still") != mark))
+    return rows.withColumns({"changed": F.when(sized, differs).otherwise(gone), "unknown": ~sized}).select(*pages.columns, "changed", "unknown")
 
 
 def canvas_flags(changes: DataFrame, ids_now: DataFrame, ids_then: DataFrame) -> DataFrame:
@@ -79,8 +84,8 @@ def canvas_flags(changes: DataFrame, ids_now: DataFrame, ids_then: DataFrame) ->
 def staleness_report(projects: DataFrame, files_ok: DataFrame, outputs: DataFrame, canvas: DataFrame, composition: DataFrame) -> DataFrame:
     """Flags of each project.
 
-    Projects carry ``output_then, output_now`` and ``processing_then, processing_now`` signatures and
-    the wanted ``ext``.
+    Projects carry ``output_then, output_now`` and ``processing_then, processing_now`` signatures (null or
+    empty: none) and the wanted ``ext``. An output signature that was never recorded is no change.
     """
     first = outputs.groupBy("project_uid").agg(F.min_by("file_name", "idx").alias("__first"))
     rows = (
@@ -95,9 +100,9 @@ def staleness_report(projects: DataFrame, files_ok: DataFrame, outputs: DataFram
         "project_uid",
         has.alias("has_outputs"),
         (~F.coalesce("up_to_date", F.lit(True))).alias("content_dirty"),
-        ((F.col("output_then") != "") & (F.col("output_then") != F.col("output_now"))).alias("output_profile_changed"),
+        (F.coalesce(F.col("output_then") != "", F.lit(False)) & (F.col("output_then") != F.col("output_now"))).alias("output_profile_changed"),
         ((ext != "") & (ext != F.col("ext"))).alias("output_format_changed"),
-        (F.col("processing_then") != F.col("processing_now")).alias("processing_changed"),
+        (F.coalesce("processing_then", F.lit("")) != F.coalesce("processing_now", F.lit(""))).alias("processing_changed"),
         (has & F.coalesce("__comp", F.lit(False))).alias("composition_changed"),
         (has & (F.coalesce("pages_changed", F.lit(False)) | F.coalesce("list_changed", F.lit(False)))).alias("canvas_changed"),
         (has & F.coalesce("list_changed", F.lit(False))).alias("list_changed"),
@@ -118,22 +123,25 @@ def render_decision(report: DataFrame, inputs: DataFrame) -> DataFrame:
     return rows.select("project_uid", decision.alias("decision"))
 
 
-def file_staleness(report: DataFrame, inputs: DataFrame, outputs: DataFrame, changes: DataFrame, segments: DataFrame) -> DataFrame:
-    """``project_uid, kind, name, canvas, composition, unrendered, output, processing`` for every
-    file of projects with outputs. ``segments`` links input uids to output indexes."""
+def file_staleness(report: DataFrame, pages: DataFrame, outputs: DataFrame, segments: DataFrame) -> DataFrame:
+    """``project_uid, kind, name, status, canvas, composition, unrendered, output, processing`` for every
+    file of projects with outputs.
+
+    Pages carry ``status`` and ``changed``; ``segments`` links their uids to output indexes.
+    """
     flags = report.where("has_outputs").select(
         "project_uid", "list_changed", "composition_changed", (F.col("output_profile_changed") | F.col("output_format_changed")).alias("__out"), "processing_changed"
     )
-    pending = inputs.groupBy("project_uid").agg(F.bool_or(F.col("status") == "Pending").alias("__pending"))
-    moved = changes.where("changed").select("project_uid", "uid").distinct().withColumn("__page", F.lit(True))
+    pending = pages.groupBy("project_uid").agg(F.bool_or(F.col("status") == "Pending").alias("__pending"))
+    moved = pages.where("changed").select("project_uid", "uid").distinct()
     fed = segments.join(moved, ["project_uid", "uid"]).select("project_uid", F.col("slice_index").alias("idx")).distinct().withColumn("__page", F.lit(True))
     no = F.lit(False)
-    ins = inputs.join(flags, "project_uid").join(moved, ["project_uid", "uid"], "left").select(
-        "project_uid", F.lit("input").alias("kind"), F.col("uid").alias("name"), (F.col("list_changed") | F.coalesce("__page", no)).alias("canvas"),
+    ins = pages.join(flags, "project_uid").select(
+        "project_uid", F.lit("input").alias("kind"), F.col("uid").alias("name"), "status", (F.col("list_changed") | F.col("changed")).alias("canvas"),
         no.alias("composition"), no.alias("unrendered"), no.alias("output"), no.alias("processing"),
     )
-    outs = outputs.join(flags, "project_uid").join(fed, ["project_uid", "idx"], "left").join(pending, "project_uid", "left").select(
-        "project_uid", F.lit("output").alias("kind"), F.col("file_name").alias("name"), (F.col("list_changed") | F.coalesce("__page", no)).alias("canvas"),
+    outs = outputs.join(flags.join(pending, "project_uid", "left"), "project_uid").join(fed, ["project_uid", "idx"], "left").select(
+        "project_uid", F.lit("output").alias("kind"), F.col("file_name").alias("name"), "status", (F.col("list_changed") | F.coalesce("__page", no)).alias("canvas"),
         F.col("composition_changed").alias("composition"), F.coalesce("__pending", no).alias("unrendered"), F.col("__out").alias("output"),
         F.col("processing_changed").alias("processing"),
     )
@@ -148,7 +156,7 @@ def display_status(files: DataFrame) -> DataFrame:
 
 def project_status(shown: DataFrame, pages: DataFrame, palette: DataFrame) -> DataFrame:
     """``project_uid, kind, name, shown_status, profile_name``; ids without a profile are missing."""
-    names = F.broadcast(palette.select(F.col("id").alias("profile_then"), F.col("name").alias("__n")))
+    names = palette.select(F.col("id").alias("profile_then"), F.col("name").alias("__n"))
     of_page = pages.select("project_uid", F.col("uid").alias("name"), "profile_then").withColumn("kind", F.lit("input"))
     rows = shown.join(of_page, ["project_uid", "kind", "name"], "left").join(names, "profile_then", "left")
     named = F.when(F.coalesce("profile_then", F.lit("")) == "", "").otherwise(F.coalesce("__n", F.lit("(missing)")))

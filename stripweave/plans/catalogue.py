@@ -68,7 +68,7 @@ def preset_migration(v):
 def relink_profile_ids(v):
     mapping = v("v_canvas_profiles").where("ordinal % 7 = 0").select(F.col("id").alias("old_id"), F.concat(F.lit("new-"), "id").alias("new_id"))
     lists = v("v_links").groupBy("project_uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("prio", "id"))), lambda s: s["id"]).alias("ids"))
-    return I.relink_profile_ids(lists, F.broadcast(mapping)).select("project_uid", F.array_join("ids", ",").alias("ids"))
+    return I.relink_profile_ids(lists, mapping).select("project_uid", F.array_join("ids", ",").alias("ids"))
 
 
 @query(
@@ -146,17 +146,22 @@ def dangling_references(v):
     "v_canvas_profiles", "profiled", "presets", more=MORE | geometry.MORE,
 )
 def list_profiles(v):
-
-
     user = geometry.profiled(v).withColumns({"name": F.col("id"), "id": F.concat_ws("/", "project_uid", "id")})
     return P.list_profiles(v("v_canvas_profiles"), user, P.preset_catalogue(v.spark))
 
 
-@query("SELECT id, name FROM v_canvas_profiles WHERE name IN (SELECT name FROM v_canvas_profiles WHERE id IN ('cp-3', 'cp-8'))", "v_canvas_profiles")
+@query(
+    """SELECT 'kept' AS outcome, name, id FROM v_canvas_profiles WHERE name IN (SELECT trim(w) FROM (SELECT unnest(string_split(l, ',')) AS w FROM wanted) q)
+       UNION ALL SELECT 'unmatched', trim(w), '' FROM (SELECT unnest(string_split(l, ',')) AS w FROM wanted) q WHERE trim(w) <> '' AND trim(w) NOT IN (SELECT name FROM v_canvas_profiles)""",
+    "v_canvas_profiles", "wanted", more={"wanted": "SELECT string_agg(name, ' , ' ORDER BY id) || ', no such name,' AS l FROM {v_canvas_profiles} WHERE ordinal % 10 = 3"},
+)
 def only_names_filter(v):
-    names = ", ".join(r["name"] for r in v("v_canvas_profiles").where("id IN ('cp-3', 'cp-8')").select("name").collect())  # two names asked for
-    kept, _ = P.only_names(v("v_canvas_profiles"), names + ", no such name")
-    return kept.select("id", "name")
+    """Profiles of a comma list of names (every tenth profile's and one that none has), and the names that matched none."""
+    palette = v("v_canvas_profiles")
+    asked = palette.where("ordinal % 10 = 3").select("name").unionByName(v.spark.sql("SELECT ' no such name ' AS name"))
+    kept, unmatched = P.only_names(palette, asked)
+    kept = kept.select(F.lit("kept").alias("outcome"), "name", "id")
+    return kept.unionByName(unmatched.select(F.lit("unmatched").alias("outcome"), "name", F.lit("").alias("id")))
 
 
 @query(

@@ -49,8 +49,7 @@ def validate_margins(v):
     "matched", more=MORE,
 )
 def margin_crop_rect(v):
-    pages = v("v_inputs").select("project_uid", "uid", "width", "height")
-    return P.margin_crop_rect(matching.matched(v).join(pages, ["project_uid", "uid"]), v("v_canvas_profiles"))
+    return P.margin_crop_rect(matching.matched(v), v("v_canvas_profiles"))
 
 
 @query(f"SELECT id, {FINGERPRINT} AS signature FROM v_canvas_profiles", "v_canvas_profiles")
@@ -122,23 +121,23 @@ def curve_points_by_x(v):
     return S.curve_points_by_x(v("v_curve_points"))
 
 
-PS_MORE = {
-    "neutral": NEUTRAL,
-    "curves": "SELECT project_uid, channel, string_agg(printf('%.6f,%.6f', x, y), ' ' ORDER BY seq) AS t FROM {v_curve_points} GROUP BY project_uid, channel",
-    "stack": """SELECT project_uid, string_agg('ov{' || sha256 || ';' || anchor_input_uid || '@' || printf('%.6f,%.6fx%.6f', x_frac, y_frac, w_frac) || ';' || blend || '}', '' ORDER BY z) AS t
-                FROM {v_overlays} WHERE enabled GROUP BY project_uid""",
-    "leftout": "SELECT project_uid, string_agg(DISTINCT uid, ',' ORDER BY uid) AS t FROM {v_exclusions} GROUP BY project_uid",
-}
+def processing_sql(then: str = "") -> dict[str, str]:
+    """Statements of the processing signatures of today, or of those recorded by the last run (``then``)."""
+    return {
+        f"neutral{then}": NEUTRAL.replace("{v_grades}", f"{{v_grades{then}}}"),
+        "curves": "SELECT project_uid, channel, string_agg(printf('%.6f,%.6f', x, y), ' ' ORDER BY seq) AS t FROM {v_curve_points} GROUP BY project_uid, channel",
+        f"stack{then}": f"""SELECT project_uid, string_agg('ov{{' || sha256 || ';' || anchor_input_uid || '@' || printf('%.6f,%.6fx%.6f', x_frac, y_frac, w_frac) || ';' || blend || '}}', '' ORDER BY z) AS t
+                    FROM {{v_overlays{then}}} WHERE enabled GROUP BY project_uid""",
+        "leftout": "SELECT project_uid, string_agg(DISTINCT uid, ',' ORDER BY uid) AS t FROM {v_exclusions} GROUP BY project_uid",
+        f"processing{then}": f"""SELECT g.project_uid, CASE WHEN n.is_neutral AND s.t IS NULL THEN '' ELSE 'cc{{cu m(' || coalesce(m.t, '') || ')r(' || coalesce(r.t, '') || ')g(' || coalesce(gg.t, '') || ')b(' || coalesce(b.t, '')
+              || ');' || printf('%.6f;%.6f;%.6f', brightness, contrast, saturation) || ';x' || coalesce(x.t, '') || '}}' || coalesce(s.t, '') END AS signature
+            FROM {{v_grades{then}}} g JOIN {{neutral{then}}} n ON n.project_uid = g.project_uid LEFT JOIN {{stack{then}}} s ON s.project_uid = g.project_uid LEFT JOIN {{leftout}} x ON x.project_uid = g.project_uid
+            LEFT JOIN {{curves}} m ON m.project_uid = g.project_uid AND m.channel = 'm' LEFT JOIN {{curves}} r ON r.project_uid = g.project_uid AND r.channel = 'r'
+            LEFT JOIN {{curves}} gg ON gg.project_uid = g.project_uid AND gg.channel = 'g' LEFT JOIN {{curves}} b ON b.project_uid = g.project_uid AND b.channel = 'b'""",
+    }
 
 
-@query(
-    """SELECT g.project_uid, CASE WHEN n.is_neutral AND s.t IS NULL THEN '' ELSE 'cc{cu m(' || coalesce(m.t, '') || ')r(' || coalesce(r.t, '') || ')g(' || coalesce(gg.t, '') || ')b(' || coalesce(b.t, '')
-              || ');' || printf('%.6f;%.6f;%.6f', brightness, contrast, saturation) || ';x' || coalesce(x.t, '') || '}' || coalesce(s.t, '') END AS signature
-       FROM v_grades g JOIN neutral n ON n.project_uid = g.project_uid LEFT JOIN stack s ON s.project_uid = g.project_uid LEFT JOIN leftout x ON x.project_uid = g.project_uid
-       LEFT JOIN curves m ON m.project_uid = g.project_uid AND m.channel = 'm' LEFT JOIN curves r ON r.project_uid = g.project_uid AND r.channel = 'r'
-       LEFT JOIN curves gg ON gg.project_uid = g.project_uid AND gg.channel = 'g' LEFT JOIN curves b ON b.project_uid = g.project_uid AND b.channel = 'b'""",
-    "v_grades", "neutral", "curves", "stack", "leftout", more=PS_MORE,
-)
+@query("SELECT project_uid, signature FROM processing", "processing", more=processing_sql())
 def processing_signature(v):
     return S.processing_signature(v("v_grades"), v("v_curve_points"), v("v_exclusions"), v("v_overlays"))
 

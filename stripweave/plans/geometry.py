@@ -44,13 +44,13 @@ def layout(v: Views):
 
 
 def segments(v: Views):
-    return L.slice_source_map(layout(v), F.lit(HEIGHT))
+    return v.once("segments", lambda: L.slice_source_map(layout(v), F.lit(HEIGHT)))
 
 
-def profiled(v: Views):
-    """Each project with its output profile, the first one if it names none."""
+def profiled(v: Views, then: str = ""):
+    """Each project with its output profile, the first one if it names none; ``then``: as the last run saw them."""
     key = F.when(F.col("output_profile_id") == "", "op-1").otherwise(F.col("output_profile_id"))
-    return v("v_projects").withColumn("id", key).join(F.broadcast(v("v_output_profiles").drop("name", "ordinal")), "id")
+    return v(f"v_projects{then}").withColumn("id", key).join(v(f"v_output_profiles{then}").drop("name", "ordinal"), "id")
 
 
 def counted(v: Views):
@@ -120,7 +120,7 @@ def slice_source_map(v):
     "seg", "totals", more=MORE,
 )
 def provenance_check(v):
-    return L.provenance_check(segments(v), HEIGHT)
+    return L.provenance_check(segments(v), L.strip_totals(layout(v)), HEIGHT)
 
 
 @query("SELECT project_uid, uid, string_agg(CAST(slice_index AS VARCHAR), ',' ORDER BY slice_index) AS slices FROM seg GROUP BY project_uid, uid", "seg", more=MORE)

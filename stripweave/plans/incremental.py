@@ -13,15 +13,15 @@ from ..operators import staleness as T
 from . import configuration, geometry, matching
 from .registry import Views, query
 
-MORE = geometry.MORE | matching.MORE | {
-    "inputs": """SELECT project_uid, uid, file_path, ord, width, height, pk, sk, CASE WHEN pk % 19 = 0 THEN 'Error' WHEN pk % 23 = 0 THEN 'Skipped' ELSE status END AS status,
-                        CASE WHEN pk % 29 = 0 THEN '' ELSE sha256 END AS sha256 FROM {v_inputs}""",
+FPS = "SELECT id, name, 'cw=' || width || ';ch=' || height || ';mt=' || mt || ';mr=' || mr || ';mb=' || mb || ';ml=' || ml AS signature FROM {%s}"
+
+MORE = geometry.MORE | matching.MORE | configuration.processing_sql() | configuration.processing_sql("_then") | {
     "outputs": """SELECT project_uid, slice_index AS idx, 'output_' || CASE WHEN slice_index < 999 THEN lpad(CAST(slice_index + 1 AS VARCHAR), 3, '0') ELSE CAST(slice_index + 1 AS VARCHAR) END
                          || CASE WHEN project_uid LIKE '%7' THEN '.png' ELSE '.jpg' END AS file_name,
                          CASE WHEN slice_index % 11 = 7 THEN '' ELSE sha256(project_uid || slice_index) END AS sha256,
                          CASE WHEN slice_index % 7 = 3 THEN 'Missing' WHEN slice_index % 5 = 4 THEN 'Pending' ELSE 'Done' END AS status
                   FROM (SELECT DISTINCT project_uid, slice_index FROM {seg}) s""",
-    "files": """SELECT project_uid, 'input' AS kind, file_path AS path, status, sha256 FROM {inputs}
+    "files": """SELECT project_uid, 'input' AS kind, file_path AS path, status, sha256 FROM {v_page_files}
                 UNION ALL SELECT project_uid, 'output', file_name, status, sha256 FROM {outputs}""",
     "checks": "SELECT project_uid, file_path AS path, found, recorded_sha256, disk_sha256 FROM {v_disk_checks}",
     "checked": """SELECT f.project_uid, f.kind, f.path,
@@ -31,62 +31,75 @@ MORE = geometry.MORE | matching.MORE | {
                               WHEN f.sha256 = '' THEN 'Pending' WHEN disk_sha256 = f.sha256 THEN 'Processed' ELSE 'Modified' END AS status,
                          CASE WHEN found AND kind = 'input' AND status = 'Error' AND disk_sha256 <> '' THEN disk_sha256 ELSE f.sha256 END AS sha256
                   FROM {files} f LEFT JOIN {checks} c ON c.project_uid = f.project_uid AND c.path = f.path AND c.recorded_sha256 = f.sha256""",
-    "fps": """SELECT id, name, 'cw=' || width || ';ch=' || height || ';mt=' || mt || ';mr=' || mr || ';mb=' || mb || ';ml=' || ml AS signature FROM {v_canvas_profiles}""",
-    "was_at": """SELECT i.project_uid, i.uid, i.ord, CASE WHEN pk % 37 = 0 THEN 0 ELSE i.width END AS width, CASE WHEN pk % 37 = 0 THEN 0 ELSE i.height END AS height,
-                      CASE WHEN pk % 12 = 0 THEN 'cp-x' ELSE coalesce(m.profile_id, '') END AS profile_then,
-                      CASE WHEN pk % 25 = 0 THEN 'cw=1' ELSE coalesce(f.signature, '') END AS fingerprint_then
-               FROM {v_inputs} i JOIN {matched} m ON m.project_uid = i.project_uid AND m.uid = i.uid LEFT JOIN {fps} f ON f.id = m.profile_id""",
-    "changes": """SELECT t.project_uid, t.uid, CASE WHEN t.width > 0 AND t.height > 0 THEN coalesce(m.profile_id, '') <> profile_then OR coalesce(f.signature, '') <> fingerprint_then
-                         ELSE profile_then <> '' AND (g.signature IS NULL OR g.signature <> fingerprint_then) END AS changed, NOT (t.width > 0 AND t.height > 0) AS unknown
+    "fps": FPS % "v_canvas_profiles",
+    "fps_then": FPS % "v_canvas_profiles_then",
+    "eff_then": """SELECT l.project_uid, l.id, CAST(l.prio AS BIGINT) AS prio FROM {v_links_then} l JOIN {v_canvas_profiles_then} c ON c.id = l.id
+                   UNION ALL SELECT p.project_uid, c.id, row_number() OVER (PARTITION BY p.project_uid ORDER BY c.ordinal, c.id)
+                   FROM {v_projects} p JOIN {v_canvas_profiles_then} c ON c.ws = p.ws WHERE p.project_uid NOT IN (SELECT project_uid FROM {v_links_then})""",
+    "sizes_then": """SELECT e.project_uid, c.width, c.height, arg_min(e.id, e.prio) AS profile_id FROM {eff_then} e JOIN {v_canvas_profiles_then} c ON e.id = c.id GROUP BY e.project_uid, c.width, c.height""",
+    "was_at": """SELECT i.project_uid, i.uid, t.width_then, t.height_then, coalesce(s.profile_id, '') AS profile_then, coalesce(f.signature, '') AS fingerprint_then
+               FROM {v_inputs} i JOIN {v_pages_then} t ON t.project_uid = i.project_uid AND t.uid = i.uid
+               LEFT JOIN {sizes_then} s ON s.project_uid = i.project_uid AND s.width = i.width AND s.height = i.height LEFT JOIN {fps_then} f ON f.id = s.profile_id""",
+    "changes": """SELECT t.project_uid, t.uid, CASE WHEN t.width_then > 0 AND t.height_then > 0 THEN coalesce(m.profile_id, '') <> profile_then OR coalesce(f.signature, '') <> fingerprint_then
+                         ELSE profile_then <> '' AND (g.signature IS NULL OR g.signature <> fingerprint_then) END AS changed, NOT (t.width_then > 0 AND t.height_then > 0) AS unknown
                   FROM {was_at} t JOIN {matched} m ON m.project_uid = t.project_uid AND m.uid = t.uid LEFT JOIN {fps} f ON f.id = m.profile_id LEFT JOIN {fps} g ON g.id = profile_then""",
     "ids_now": "SELECT project_uid, string_agg(id, ',' ORDER BY prio, id) AS ids FROM {eff} GROUP BY project_uid",
-    "canvas": """SELECT c.project_uid, bool_or(changed) AS pages_changed, bool_or(unknown) AND right(c.project_uid, 1) = '3' AS list_changed FROM {changes} c GROUP BY c.project_uid""",
+    "ids_then": "SELECT project_uid, string_agg(id, ',' ORDER BY prio, id) AS ids FROM {eff_then} GROUP BY project_uid",
+    "canvas": """SELECT c.project_uid, bool_or(changed) AS pages_changed, bool_or(unknown) AND coalesce(any_value(n.ids), '') <> coalesce(any_value(t.ids), '') AS list_changed
+                 FROM {changes} c LEFT JOIN {ids_now} n ON n.project_uid = c.project_uid LEFT JOIN {ids_then} t ON t.project_uid = c.project_uid GROUP BY c.project_uid""",
+    "order_now": "SELECT project_uid, string_agg(uid, ',' ORDER BY ord) AS l FROM {v_inputs} GROUP BY project_uid",
+    "order_then": "SELECT project_uid, string_agg(uid, ',' ORDER BY pos, ord) AS l FROM {v_order_then} GROUP BY project_uid",
     "fresh": "SELECT project_uid, bool_and(status NOT IN ('Missing', 'Pending', 'Modified')) AS up_to_date FROM {checked} GROUP BY project_uid",
-    "report0": """SELECT p.project_uid, o.first_name IS NOT NULL AS has_outputs, NOT coalesce(f.up_to_date, true) AS content_dirty,
-                         k % 5 <> 0 AND k % 10 = 1 AS output_profile_changed, coalesce(o.first_name LIKE '%.png', false) <> (format = 'PNG') AND o.first_name IS NOT NULL OR coalesce(format = 'WebP' AND o.first_name IS NOT NULL, false) AS output_format_changed,
-                         k % 8 = 2 AS processing_changed, o.first_name IS NOT NULL AND k % 6 = 4 AS composition_changed,
+    "signed": f"SELECT project_uid, format, {configuration.OP_SIGNATURE} AS signature FROM {{profiled}}",
+    "signed_then": f"""SELECT p.project_uid, {configuration.OP_SIGNATURE} AS signature FROM {{v_projects_then}} p
+                       JOIN {{v_output_profiles_then}} o ON o.id = CASE WHEN p.output_profile_id = '' THEN 'op-1' ELSE p.output_profile_id END""",
+    "report0": """SELECT q.project_uid, o.first_name IS NOT NULL AS has_outputs, NOT coalesce(f.up_to_date, true) AS content_dirty,
+                         coalesce(w.signature <> q.signature, false) AS output_profile_changed,
+                         coalesce(regexp_extract(o.first_name, '\\.[^.]*$') <> CASE q.format WHEN 'PNG' THEN '.png' WHEN 'JPEG' THEN '.jpg' ELSE '.webp' END, false) AS output_format_changed,
+                         n.signature <> t.signature AS processing_changed, o.first_name IS NOT NULL AND coalesce(a.l <> b.l, false) AS composition_changed,
                          o.first_name IS NOT NULL AND (coalesce(pages_changed, false) OR coalesce(list_changed, false)) AS canvas_changed,
                          o.first_name IS NOT NULL AND coalesce(list_changed, false) AS list_changed
-                  FROM {v_projects} p JOIN {profiled} q ON q.project_uid = p.project_uid
-                  LEFT JOIN (SELECT project_uid, arg_min(file_name, idx) AS first_name FROM {outputs} GROUP BY project_uid) o ON o.project_uid = p.project_uid
-                  LEFT JOIN {fresh} f ON f.project_uid = p.project_uid LEFT JOIN {canvas} c ON c.project_uid = p.project_uid""",
+                  FROM {signed} q LEFT JOIN {signed_then} w ON w.project_uid = q.project_uid JOIN {processing} n ON n.project_uid = q.project_uid JOIN {processing_then} t ON t.project_uid = q.project_uid
+                  LEFT JOIN (SELECT project_uid, arg_min(file_name, idx) AS first_name FROM {outputs} GROUP BY project_uid) o ON o.project_uid = q.project_uid
+                  LEFT JOIN {fresh} f ON f.project_uid = q.project_uid LEFT JOIN {canvas} c ON c.project_uid = q.project_uid
+                  LEFT JOIN {order_now} a ON a.project_uid = q.project_uid LEFT JOIN {order_then} b ON b.project_uid = q.project_uid""",
     "report": """SELECT *, configuration_changed OR content_dirty AS needs_render FROM (
                    SELECT *, has_outputs AND (output_profile_changed OR output_format_changed OR processing_changed OR composition_changed OR canvas_changed) AS configuration_changed FROM {report0}) r""",
     "decision": """SELECT r.project_uid, CASE WHEN has_outputs AND NOT needs_render THEN 'up_to_date'
                           WHEN has_outputs AND NOT configuration_changed AND coalesce(settled, false) THEN 'partial' ELSE 'full' END AS decision
-                   FROM {report} r LEFT JOIN (SELECT project_uid, bool_and(status IN ('Processed', 'Skipped', 'Error')) AS settled FROM {inputs} GROUP BY project_uid) i ON i.project_uid = r.project_uid""",
+                   FROM {report} r LEFT JOIN (SELECT project_uid, bool_and(status IN ('Processed', 'Skipped', 'Error')) AS settled FROM {v_page_files} GROUP BY project_uid) i ON i.project_uid = r.project_uid""",
+    "fed": "SELECT DISTINCT s.project_uid, s.slice_index AS idx FROM {seg} s JOIN {changes} c ON c.project_uid = s.project_uid AND c.uid = s.uid WHERE c.changed",
+    "waits": "SELECT DISTINCT project_uid FROM {v_page_files} WHERE status = 'Pending'",
     "stale": """SELECT i.project_uid, 'input' AS kind, i.uid AS name, i.status, list_changed OR c.changed AS canvas, false AS composition, false AS unrendered, false AS output, false AS processing
-                FROM {inputs} i JOIN {report} r ON r.project_uid = i.project_uid AND has_outputs JOIN {changes} c ON c.project_uid = i.project_uid AND c.uid = i.uid
+                FROM {v_page_files} i JOIN {report} r ON r.project_uid = i.project_uid AND has_outputs JOIN {changes} c ON c.project_uid = i.project_uid AND c.uid = i.uid
                 UNION ALL
-                SELECT o.project_uid, 'output', o.file_name, o.status, list_changed OR EXISTS (SELECT 1 FROM {seg} s JOIN {changes} c ON c.project_uid = s.project_uid AND c.uid = s.uid
-                         WHERE s.project_uid = o.project_uid AND s.slice_index = o.idx AND c.changed), composition_changed,
-                       EXISTS (SELECT 1 FROM {inputs} i WHERE i.project_uid = o.project_uid AND i.status = 'Pending'), output_profile_changed OR output_format_changed, processing_changed
-                FROM {outputs} o JOIN {report} r ON r.project_uid = o.project_uid""",
+                SELECT o.project_uid, 'output', o.file_name, o.status, list_changed OR d.idx IS NOT NULL, composition_changed, w.project_uid IS NOT NULL,
+                       output_profile_changed OR output_format_changed, processing_changed
+                FROM {outputs} o JOIN {report} r ON r.project_uid = o.project_uid LEFT JOIN {fed} d ON d.project_uid = o.project_uid AND d.idx = o.idx LEFT JOIN {waits} w ON w.project_uid = o.project_uid""",
     "shown": """SELECT project_uid, kind, name, CASE WHEN status IN ('Processed', 'Done') AND (canvas OR composition OR unrendered OR output OR processing) THEN 'Desynchronized' ELSE status END AS shown_status
                 FROM {stale}""",
 }
 
 
-def inputs(v: Views):
-    status = F.when(F.col("pk") % 19 == 0, "Error").when(F.col("pk") % 23 == 0, "Skipped").otherwise(F.col("status"))
-    return v("v_inputs").withColumns({"status": status, "sha256": F.when(F.col("pk") % 29 == 0, "").otherwise(F.col("sha256"))})
-
-
 def outputs(v: Views):
     i = F.col("idx")
-    slices = geometry.segments(v).select("project_uid", F.col("slice_index").alias("idx")).distinct()
-    ext = F.when(F.col("project_uid").endswith("7"), ".png").otherwise(".jpg")
-    return slices.withColumns(
-        {
-            "file_name": F.format_string("output_%03d%s", i + 1, ext),
-            "sha256": F.when(i % 11 == 7, "").otherwise(F.sha2(F.concat("project_uid", i.cast("string")), 256)),
-            "status": F.when(i % 7 == 3, "Missing").when(i % 5 == 4, "Pending").otherwise("Done"),
-        }
-    )
+
+    def build():
+        slices = geometry.segments(v).select("project_uid", F.col("slice_index").alias("idx")).distinct()
+        ext = F.when(F.col("project_uid").endswith("7"), ".png").otherwise(".jpg")
+        return slices.withColumns(
+            {
+                "file_name": F.format_string("output_%03d%s", i + 1, ext),
+                "sha256": F.when(i % 11 == 7, "").otherwise(F.sha2(F.concat("project_uid", i.cast("string")), 256)),
+                "status": F.when(i % 7 == 3, "Missing").when(i % 5 == 4, "Pending").otherwise("Done"),
+            }
+        )
+
+    return v.once("outputs", build)
 
 
 def files(v: Views):
-    ins = inputs(v).select("project_uid", F.lit("input").alias("kind"), F.col("file_path").alias("path"), "status", "sha256")
+    ins = v("v_page_files").select("project_uid", F.lit("input").alias("kind"), F.col("file_path").alias("path"), "status", "sha256")
     return ins.unionByName(outputs(v).select("project_uid", F.lit("output").alias("kind"), F.col("file_name").alias("path"), "status", "sha256"))
 
 
@@ -95,58 +108,67 @@ def checked(v: Views):
 
 
 def palette(v: Views):
-    return S.canvas_render_fingerprint(v("v_canvas_profiles")).join(v("v_canvas_profiles").select("id", "name"), "id")
+    return S.canvas_render_fingerprint(v("v_canvas_profiles"))
+
 
+def catalogue_then(v: Views):
+    """Projects with the links and the palette that the last run saw."""
+    return v("v_projects"), v("v_links_then"), v("v_canvas_profiles_then")
 
-def then(v: Views):
-    marks = palette(v).select(F.col("id").alias("profile_id"), "signature")
-    rows = v("v_inputs").join(matching.matched(v), ["project_uid", "uid"]).join(F.broadcast(marks), "profile_id", "left")
-    blind = F.col("pk") % 37 == 0
-    return rows.select(
-        "project_uid", "uid", "ord", F.when(blind, 0).otherwise(F.col("width")).alias("width"), F.when(blind, 0).otherwise(F.col("height")).alias("height"),
-        F.when(F.col("pk") % 12 == 0, "cp-x").otherwise(F.coalesce("profile_id", F.lit(""))).alias("profile_then"),
-        F.when(F.col("pk") % 25 == 0, "cw=1").otherwise(F.coalesce("signature", F.lit(""))).alias("fingerprint_then"),
-    )
 
+def pages(v: Views):
+    """Pages with today's match, the recorded one, and whether that is a change."""
 
-def changes(v: Views):
-    return T.canvas_staleness(then(v), matching.matched(v), palette(v))
+    def build():
+        rows = M.match_pages(v("v_page_files"), *matching.catalogue(v)).drop("__other")
+        rows = M.match_pages(rows, *catalogue_then(v), name="profile_then").drop("__other").join(v("v_pages_then"), ["project_uid", "uid"])
+        marks = S.canvas_render_fingerprint(v("v_canvas_profiles_then")).select(F.col("id").alias("profile_then"), F.col("signature").alias("fingerprint_then"))
+        return T.canvas_staleness(rows.join(marks, "profile_then", "left"), palette(v))
+
+    return v.once("pages", build)
 
 
 def canvas(v: Views):
-    now = M.priority_order(matching.effective(v))
-    then_ids = now.withColumn("ids", F.when(F.col("project_uid").endswith("3"), "other").otherwise(F.col("ids")))
-    return T.canvas_flags(changes(v), now, then_ids)
+    return T.canvas_flags(pages(v), M.effective_ids(*matching.catalogue(v)), M.effective_ids(*catalogue_then(v)))
 
 
-def report(v: Views):
-    k = F.col("k")
-    projects = geometry.profiled(v).select(
-        "project_uid", lookup(F.col("format"), EXTENSIONS).alias("ext"),
-        F.when(k % 5 == 0, "").when(k % 10 == 1, "old").otherwise("same").alias("output_then"), F.lit("same").alias("output_now"),
-        F.when(k % 8 == 2, "old").otherwise("same").alias("processing_then"), F.lit("same").alias("processing_now"),
-    )
-    composition = v("v_projects").select("project_uid", (k % 6 == 4).alias("changed"))
-    return T.staleness_report(projects, T.up_to_date(v("v_projects"), checked(v)), outputs(v), canvas(v), composition)
+def listed(rows, order: str, name: str):
+    """Page uids of each project as one ordered list."""
+    pairs = F.array_sort(F.collect_list(F.struct(order, "ord", "uid")))
+    return rows.groupBy("project_uid").agg(F.transform(pairs, lambda s: s["uid"]).alias(name))
 
 
-def stale(v: Views):
-    return T.file_staleness(report(v), inputs(v), outputs(v), changes(v), geometry.segments(v))
+def signatures(v: Views):
+    """Projects with the signatures of today and those recorded by the last run."""
+    now = S.output_profile_signature(geometry.profiled(v), ("project_uid", "format")).withColumnRenamed("signature", "output_now")
+    then = S.output_profile_signature(geometry.profiled(v, "_then"), ("project_uid",)).withColumnRenamed("signature", "output_then")
+    processing = S.processing_signature(v("v_grades"), v("v_curve_points"), v("v_exclusions"), v("v_overlays"))
+    before = S.processing_signature(v("v_grades_then"), v("v_curve_points"), v("v_exclusions"), v("v_overlays_then"))
+    rows = now.join(then, "project_uid", "left").join(processing.withColumnRenamed("signature", "processing_now"), "project_uid", "left")
+    return rows.join(before.withColumnRenamed("signature", "processing_then"), "project_uid", "left").withColumn("ext", lookup(F.col("format"), EXTENSIONS))
 
 
-def shown(v: Views):
-    status = inputs(v).select("project_uid", F.lit("input").alias("kind"), F.col("uid").alias("name"), "status")
-    status = status.unionByName(outputs(v).select("project_uid", F.lit("output").alias("kind"), F.col("file_name").alias("name"), "status"))
-    return T.display_status(stale(v).join(status, ["project_uid", "kind", "name"]))
+def report(v: Views):
+    # pages, slices and their files are read by several parts of the report and by what follows it
+    v.keep("v_inputs")
+    v.keep("segments", lambda: geometry.segments(v))
+    v.keep("outputs", lambda: outputs(v))
+    v.keep("pages", lambda: pages(v))
+    composition = L.sequence_change(listed(v("v_inputs"), "ord", "now"), listed(v("v_order_then"), "pos", "baseline"))
+    return v.keep("report", lambda: T.staleness_report(signatures(v), T.up_to_date(v("v_projects"), checked(v)), outputs(v), canvas(v), composition))
+
+
+def stale(v: Views):
+    return v.once("stale", lambda: T.file_staleness(report(v), pages(v), outputs(v), geometry.segments(v)))
 
 
 @query(
-    """SELECT project_uid, 'input' AS kind, file_path AS path, sha256 AS recorded_sha256 FROM inputs WHERE sha256 <> '' OR status = 'Error'
+    """SELECT project_uid, 'input' AS kind, file_path AS path, sha256 AS recorded_sha256 FROM v_page_files WHERE sha256 <> '' OR status = 'Error'
        UNION ALL SELECT project_uid, 'output', file_name, sha256 FROM outputs WHERE sha256 <> ''""",
-    "inputs", "outputs", more=MORE,
+    "v_page_files", "outputs", more=MORE,
 )
 def disk_check_plan(v):
-    return T.disk_check_plan(inputs(v), outputs(v))
+    return T.disk_check_plan(v("v_page_files"), outputs(v))
 
 
 @query("SELECT project_uid, kind, path, status, sha256 FROM checked", "checked", more=MORE)
@@ -166,11 +188,12 @@ def dirty_outputs(v):
 
 @query("SELECT project_uid, uid, changed, unknown FROM changes", "changes", more=MORE)
 def canvas_staleness(v):
-    return changes(v)
+    return pages(v).select("project_uid", "uid", "changed", "unknown")
 
 
 @query("SELECT project_uid, pages_changed, list_changed FROM canvas", "canvas", more=MORE)
 def canvas_list_staleness(v):
+    v.keep("pages", lambda: pages(v))
     return canvas(v)
 
 
@@ -181,17 +204,17 @@ def staleness_report(v):
 
 @query("SELECT project_uid, decision FROM decision", "decision", more=MORE)
 def render_decision(v):
-    return T.render_decision(report(v), inputs(v))
+    return T.render_decision(report(v), v("v_page_files"))
 
 
 @query("SELECT * EXCLUDE (status) FROM stale", "stale", more=MORE)
 def file_staleness(v):
-    return stale(v)
+    return stale(v).drop("status")
 
 
 @query("SELECT project_uid, kind, name, shown_status FROM shown", "shown", more=MORE)
 def display_status(v):
-    return shown(v)
+    return T.display_status(stale(v))
 
 
 @query(
@@ -200,7 +223,7 @@ def display_status(v):
     "shown", "was_at", "fps", more=MORE,
 )
 def project_status(v):
-    return T.project_status(shown(v), then(v), v("v_canvas_profiles"))
+    return T.project_status(T.display_status(stale(v)), pages(v), v("v_canvas_profiles"))
 
 
 @query(
@@ -211,18 +234,18 @@ def project_status(v):
               CASE WHEN pk % 6 = 0 OR pk % 7 = 0 OR m.profile_id IS NULL OR pk % 2 = 0 THEN i.height ELSE i.height + 1 END AS height,
               CASE WHEN pk % 6 = 0 OR pk % 7 = 0 THEN '' ELSE coalesce(m.profile_id, '') END AS profile_then,
               CASE WHEN pk % 6 <> 0 AND pk % 7 <> 0 AND pk % 17 = 1 THEN 'InputHashFailed' ELSE '' END AS error
-       FROM inputs i JOIN matched m ON m.project_uid = i.project_uid AND m.uid = i.uid
+       FROM v_page_files i JOIN matched m ON m.project_uid = i.project_uid AND m.uid = i.uid
        LEFT JOIN (SELECT project_uid, uid, string_agg(CAST(slice_index AS VARCHAR), ',' ORDER BY slice_index) AS slices FROM seg GROUP BY project_uid, uid) c ON c.project_uid = i.project_uid AND c.uid = i.uid""",
-    "inputs", "matched", "seg", more=MORE,
+    "v_page_files", "matched", "seg", more=MORE,
 )
 def apply_render_results(v):
     pk = F.col("pk")
     outcome = F.when(pk % 6 == 0, "skipped").when(pk % 7 == 0, F.lit(None)).otherwise("rendered")
     records = v("v_inputs").select("project_uid", "uid", outcome.alias("outcome"), F.when(pk % 17 != 1, F.sha2(F.concat(F.lit("n"), pk.cast("string")), 256)).alias("new_sha256"))
-    used = v("v_inputs").join(matching.matched(v).where("profile_id IS NOT NULL"), ["project_uid", "uid"]).select(
+    used = matching.matched(v).where("profile_id IS NOT NULL").select(
         "project_uid", "uid", F.col("profile_id").alias("used_profile"), (F.col("width") + 1).alias("used_width"), F.when(pk % 2 == 1, F.col("height") + 1).otherwise(0).alias("used_height")
     )
-    return T.apply_render_results(inputs(v), records, L.contributes_to(geometry.segments(v)), used)
+    return T.apply_render_results(v("v_page_files"), records, L.contributes_to(geometry.segments(v)), used)
 
 
 @query(
@@ -241,11 +264,13 @@ def apply_partial_results(v):
     "decision", "p_names", more=MORE,
 )
 def run_summary(v):
-    return T.run_summary(geometry.named(v), matching.plan(v), T.render_decision(report(v), inputs(v)))
+    return T.run_summary(geometry.named(v), matching.plan(v), T.render_decision(report(v), v("v_page_files")))
 
 
 @query(
-    """SELECT p.project_uid, (SELECT count(*) FROM v_inputs i WHERE i.project_uid = p.project_uid) AS n_inputs, (SELECT count(*) FROM outputs o WHERE o.project_uid = p.project_uid) AS n_outputs FROM v_projects p""",
+    """SELECT p.project_uid, coalesce(i.n, 0) AS n_inputs, coalesce(o.n, 0) AS n_outputs FROM v_projects p
+       LEFT JOIN (SELECT project_uid, count(*) AS n FROM v_inputs GROUP BY project_uid) i ON i.project_uid = p.project_uid
+       LEFT JOIN (SELECT project_uid, count(*) AS n FROM outputs GROUP BY project_uid) o ON o.project_uid = p.project_uid""",
     "v_projects", "v_inputs", "outputs", more=MORE,
 )
 def list_projects(v):

@@ -7,27 +7,22 @@ from pyspark.sql import functions as F
 from ..operators import layout as L
 from ..operators import match as M
 from ..operators.profiles import preset_catalogue as presets_of
+from ..operators.profiles import presets_sql
 from .geometry import WIDTH
 from .registry import Views, query
 
-PRESETS = """SELECT * FROM (VALUES ('preset-webtoon', 1, 'Webtoon', 800, 1280, 'JPEG'), ('preset-wide', 2, 'Wide strip', 940, 1504, 'JPEG'),
-                                   ('preset-print', 3, 'Print', 1200, 1600, 'PNG'), ('preset-hires', 4, 'High resolution', 1280, 2560, 'WebP'),
-                                   ('preset-long', 5, 'Long strip', 1000, 2000, 'JPEG'), ('preset-medium', 6, 'Medium', 950, 1500, 'JPEG'))
-             AS t(id, ordinal, name, target_width, slice_height, format)"""
-
 MORE = {
-    "presets": PRESETS,
+    "presets": presets_sql(),
     "eff": """SELECT l.project_uid, l.id, CAST(l.prio AS BIGINT) AS prio FROM {v_links} l JOIN {v_canvas_profiles} c ON c.id = l.id
-              UNION ALL SELECT project_uid, c.id, row_number() OVER (PARTITION BY project_uid ORDER BY c.ordinal, c.id)
-              FROM {v_projects} p CROSS JOIN {v_canvas_profiles} c WHERE NOT EXISTS (SELECT 1 FROM {v_links} l WHERE l.project_uid = p.project_uid)""",
-    "matched": """SELECT i.project_uid, i.uid, (SELECT min_by(e.id, e.prio) FROM {eff} e JOIN {v_canvas_profiles} c ON e.id = c.id
-                   WHERE e.project_uid = i.project_uid AND c.width = i.width AND c.height = i.height) AS profile_id FROM {v_inputs} i""",
-    "cand": """SELECT m.project_uid, m.uid, CASE WHEN count(c.id) > 0 THEN 'FoundInWorkspaceOnly' ELSE 'NotFoundAnywhere' END AS "match",
-                      coalesce(string_agg(c.id, ',' ORDER BY c.ordinal, c.id), '') AS candidate_ids
-               FROM {matched} m JOIN {v_inputs} i ON m.project_uid = i.project_uid AND m.uid = i.uid
-               LEFT JOIN (SELECT c.*, p.project_uid FROM {v_canvas_profiles} c CROSS JOIN {v_projects} p
-                          WHERE NOT EXISTS (SELECT 1 FROM {eff} e WHERE e.project_uid = p.project_uid AND e.id = c.id)) c
-                 ON c.project_uid = m.project_uid AND c.width = i.width AND c.height = i.height
+              UNION ALL SELECT p.project_uid, c.id, row_number() OVER (PARTITION BY p.project_uid ORDER BY c.ordinal, c.id)
+              FROM {v_projects} p JOIN {v_canvas_profiles} c ON c.ws = p.ws WHERE p.project_uid NOT IN (SELECT project_uid FROM {v_links})""",
+    "eff_sizes": """SELECT e.project_uid, c.width, c.height, arg_min(e.id, e.prio) AS profile_id FROM {eff} e JOIN {v_canvas_profiles} c ON e.id = c.id GROUP BY e.project_uid, c.width, c.height""",
+    "matched": """SELECT i.project_uid, i.uid, e.profile_id FROM {v_inputs} i LEFT JOIN {eff_sizes} e ON e.project_uid = i.project_uid AND e.width = i.width AND e.height = i.height""",
+    "cand": """SELECT m.project_uid, m.uid, CASE WHEN count(c.id) FILTER (WHERE e.id IS NULL) > 0 THEN 'FoundInWorkspaceOnly' ELSE 'NotFoundAnywhere' END AS "match",
+                      coalesce(string_agg(c.id, ',' ORDER BY c.ordinal, c.id) FILTER (WHERE e.id IS NULL), '') AS candidate_ids
+               FROM {matched} m JOIN {v_inputs} i ON m.project_uid = i.project_uid AND m.uid = i.uid JOIN {v_projects} p ON p.project_uid = m.project_uid
+               LEFT JOIN {v_canvas_profiles} c ON c.ws = p.ws AND c.width = i.width AND c.height = i.height
+               LEFT JOIN {eff} e ON e.project_uid = m.project_uid AND e.id = c.id
                WHERE m.profile_id IS NULL GROUP BY m.project_uid, m.uid""",
     "plan": """SELECT i.project_uid, i.uid, i.ord, i.width, i.height,
                       CASE WHEN i.status = 'Missing' THEN 'SkippedMissing' WHEN m.profile_id IS NOT NULL THEN 'Appended'
@@ -39,44 +34,41 @@ MORE = {
 
 
 def asked_profiles(v: Views):
-    asked = F.when(F.col("k") % 6 == 0, "preset-print").when(F.col("k") % 6 == 5, "op-9").otherwise(F.col("output_profile_id"))
+    asked = F.when(F.col("k") % 6 == 0, "op-preset-namicomi").when(F.col("k") % 6 == 5, "op-9").otherwise(F.col("output_profile_id"))
     return v("v_projects").select(F.col("project_uid").alias("key"), asked.alias("id"))
 
 
-def effective(v: Views):
-    return M.effective_profiles(v("v_projects"), v("v_links"), v("v_canvas_profiles"))
+def catalogue(v: Views):
+    """Projects, links and palette, as the matching operators take them."""
+    return v("v_projects"), v("v_links"), v("v_canvas_profiles")
 
 
 def matched(v: Views):
-    return M.match_canvas_profile(v("v_inputs"), effective(v), v("v_canvas_profiles"))
-
-
-def candidates(v: Views):
-    return M.unlinked_candidates(matched(v), v("v_inputs"), effective(v), v("v_canvas_profiles"))
+    return M.match_pages(v("v_inputs"), *catalogue(v))
 
 
 def plan(v: Views):
-    return M.page_plan(v("v_inputs"), matched(v), candidates(v))
+    return M.page_plan(matched(v))
 
 
 @query("SELECT project_uid, id, prio FROM eff", "eff", more=MORE)
 def effective_profiles(v):
-    return effective(v)
+    return M.effective_profiles(*catalogue(v))
 
 
 @query("SELECT project_uid, uid, profile_id FROM matched", "matched", more=MORE)
 def match_canvas_profile(v):
-    return matched(v)
+    return M.match_canvas_profile(v("v_inputs"), *catalogue(v))
 
 
 @query('SELECT project_uid, uid, "match", candidate_ids FROM cand', "cand", more=MORE)
 def unlinked_candidates(v):
-    return candidates(v)
+    return M.unlinked_candidates(v("v_inputs"), *catalogue(v))
 
 
 @query("SELECT project_uid, uid, plan, profile_id FROM plan", "plan", more=MORE)
 def page_plan(v):
-    return plan(v)
+    return plan(v).select("project_uid", "uid", "plan", "profile_id")
 
 
 @query(
@@ -100,7 +92,7 @@ PREVIEW = """SELECT p.project_uid, p.uid, p.ord, plan, plan NOT LIKE 'Skipped%'
 )
 def page_layout_preview(v):
     margins = v("v_canvas_profiles").select(F.col("id").alias("profile_id"), "mt", "mr", "mb", "ml")
-    rows = v("v_inputs").join(plan(v), ["project_uid", "uid"]).join(F.broadcast(margins), "profile_id", "left")
+    rows = plan(v).join(margins, "profile_id", "left")
     rows = rows.withColumn("readable", ~F.col("plan").startswith("Skipped"))
     cropped = rows.withColumns(
         {
@@ -128,7 +120,7 @@ def link_conflicts(v):
     return M.link_conflicts(requests, v("v_links"), v("v_canvas_profiles"))
 
 
-KEYS = """SELECT project_uid AS key, CASE WHEN k % 6 = 0 THEN 'preset-print' WHEN k % 6 = 5 THEN 'op-9' ELSE output_profile_id END AS id FROM {v_projects}"""
+KEYS = """SELECT project_uid AS key, CASE WHEN k % 6 = 0 THEN 'op-preset-namicomi' WHEN k % 6 = 5 THEN 'op-9' ELSE output_profile_id END AS id FROM {v_projects}"""
 
 
 @query(
@@ -153,13 +145,13 @@ def resolve_output_profile(v):
 
 
 @query(
-    """SELECT project_uid, coalesce(CASE WHEN k % 8 = 0 THEN 'preset-long' END, CASE WHEN output_profile_id IN ('op-1', 'op-2', 'op-3') THEN output_profile_id END, 'op-1') AS profile_id
+    """SELECT project_uid, coalesce(CASE WHEN k % 8 = 0 THEN 'op-preset-popjoy' END, CASE WHEN output_profile_id IN ('op-1', 'op-2', 'op-3') THEN output_profile_id END, 'op-1') AS profile_id
        FROM v_projects""",
     "v_projects",
 )
 def select_output_profile(v):
-    projects = v("v_projects").withColumn("wanted", F.when(F.col("k") % 8 == 0, "preset-long").when(F.col("k") % 8 == 1, "nowhere"))
-    return M.select_output_profile(projects, presets_of(v.spark), v("v_output_profiles"), "wanted", "preset-webtoon")
+    projects = v("v_projects").withColumn("wanted", F.when(F.col("k") % 8 == 0, "op-preset-popjoy").when(F.col("k") % 8 == 1, "nowhere"))
+    return M.select_output_profile(projects, presets_of(v.spark), v("v_output_profiles"), "wanted", "op-preset-webtoon-standard")
 
 
 @query("SELECT workspace_id, arg_min(id, ordinal) AS id, arg_min(name, ordinal) AS name FROM v_user_outputs GROUP BY workspace_id", "v_user_outputs")

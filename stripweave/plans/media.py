@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import pixels as X
@@ -41,17 +42,13 @@ def scan_image_dir(v):
 )
 def sorted_scan(v):
     """Paths ascending; the position is counted inside range partitions, so the sort stays spread."""
-    rows = S.image_files(listing(v)).select("path").withColumn("part", F.spark_partition_id())
-    rows = rows.persist()
-    counts = rows.groupBy("part").count().collect()  # one row for each range partition
-    shift, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["part"]):
-        shift[r["part"]], total = total, total + r["count"]
-    table = v.spark.createDataFrame(list(shift.items()), "part int, shift long")
-    from pyspark.sql import Window
-
+    ranged = S.only_images(listing(v)).select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    rows = v.keep("ranged paths", lambda: ranged)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row for each range
+    counts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy("path"))
-    return rows.join(F.broadcast(table), "part").select("path", (inside + F.col("shift")).alias("n"))
+    return rows.join(F.broadcast(counts), "part").select("path", (inside + F.col("shift")).alias("n"))
 
 
 HEADERS = """SELECT file_path AS path, CASE WHEN pk % 31 = 0 THEN 0 ELSE width END AS raw_w, height AS raw_h, pk % 9 AS orientation FROM {v_inputs}"""
@@ -70,8 +67,7 @@ def display_orientation(v):
 
 @query(SIDES.replace("FROM headers", ", CAST(3 + orientation % 2 AS BIGINT) AS bands FROM headers"), "headers", more={"headers": HEADERS})
 def scan_image_headers(v):
-    h = headers(v)
-    return S.display_orientation(h).join(h.select("path", (3 + F.col("orientation") % 2).cast("long").alias("bands")), "path")
+    return S.display_orientation(headers(v).withColumn("bands", (3 + F.col("orientation") % 2).cast("long")), "bands")
 
 
 @query(
@@ -324,7 +320,7 @@ def render_event_counts(v):
     "v_inputs", "v_disk_checks",
 )
 def disk_check_stream(v):
-    """The batch form of the stream: repeated and older results are given along with the last ones."""
+    """The batch form of the stream: results against older hashes and older results are given along with the last ones."""
     files = v("v_inputs").select("project_uid", F.lit("input").alias("kind"), F.col("file_path").alias("path"), "status", "sha256")
     checks = v("v_disk_checks").withColumnRenamed("file_path", "path")
     older = checks.withColumns({"disk_sha256": F.lit("stale"), "checked_at": F.lit(1)})

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
 from ..sources.fixtures import cte, duck, view
+from ..sources.kept import keep
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 class Views:
-    """Views of one data folder, each built once."""
+    """Views of one data folder and frames made of them, each built once."""
 
     def __init__(self, spark, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._made, self._kept = spark, sf_dir, {}, set()
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.once(name, lambda: view(self.spark, self.sf_dir, name, self))
 
-    def __call__(self, name: str):
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._made:
-            self._made[name] = view(self.spark, self.sf_dir, name)
+            self._made[name] = build()
+        return self._made[name]
+
+    def keep(self, name: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
+        """The frame or view ``name``, written once: for what a plan reads three times or more."""
+        if name not in self._kept:
+            self._made[name] = keep(self.once(name, build) if build else self(name))
+            self._kept.add(name)
         return self._made[name]
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import extension_of
+from .headers import UNREADABLE, image_header
 
 #: Fixed value: extensions of page images.
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
@@ -17,9 +23,14 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("path", "length", F.col("modificationTime").alias("modification_time"))
 
 
+def only_images(listing: DataFrame) -> DataFrame:
+    """The listed page images; extensions match in any case."""
+    return listing.where(extension_of(F.col("path")).isin(*IMAGE_EXTENSIONS))
+
+
 def image_files(listing: DataFrame) -> DataFrame:
     """The listed page images, by path."""
-    return listing.where(extension_of(F.col("path")).isin(*IMAGE_EXTENSIONS)).orderBy("path")
+    return only_images(listing).orderBy("path")
 
 
 def scan_image_dir(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,28 +38,75 @@ def scan_image_dir(spark: SparkSession, folder: str) -> DataFrame:
     return image_files(list_files(spark, folder))
 
 
+def _open(path: str):
+    """A file of any store that Arrow knows (local, HDFS, S3, ...), opened for reading."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S)
+    if scheme[1] in (None, "file"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^//+", "/", scheme[2]))
+    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@[]~"))
+    return store.open_input_file(inner)
+
+
 def hash_listed(spark: SparkSession, folder: str) -> DataFrame:
-    """``key, sha256`` of a folder's files; null where fewer bytes came than were listed."""
-    rows = spark.read.format("binaryFile").load(folder)
-    return rows.select(F.col("path").alias("key"), F.when(F.length("content") == F.col("length"), F.sha2("content", 256)).alias("sha256"))
+    """``key, sha256`` of a folder's files."""
+    return hash_of(list_files(spark, folder))
+
+
+def hash_of(listing: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """``key, sha256`` of listed files; "" where a file cannot be read or gives other than the listed number of bytes.
+
+    Tasks read ``chunk`` bytes at a time, so a file of any size takes little memory.
+    """
+
+    def digest(path: str, length: int) -> str:
+        state, seen = hashlib.sha256(), 0
+        try:
+            with _open(path) as f:
+                while data := f.read(chunk):
+                    state.update(data)
+                    seen += len(data)
+        except OSError:
+            return ""
+        return state.hexdigest() if seen == length else ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield pd.DataFrame({"key": frame["path"], "sha256": [digest(p, n) for p, n in zip(frame["path"], frame["length"])]})
+
+    return listing.select("path", "length").mapInPandas(run, "key string, sha256 string")
 
 
-def display_orientation(headers: DataFrame) -> DataFrame:
-    """``path, width, height``: orientations 5 to 8 swap the sides; unreadable headers give -1."""
+def display_orientation(headers: DataFrame, *keep: str) -> DataFrame:
+    """``path, width, height`` and the columns to ``keep``: orientations 5 to 8 swap the sides; unreadable headers give -1."""
     turned = F.col("orientation").between(5, 8)
     ok = (F.col("raw_w") > 0) & (F.col("raw_h") > 0)
 
     def side(a: str, b: str):
         return F.when(~F.coalesce(ok, F.lit(False)), -1).when(turned, F.col(b)).otherwise(F.col(a)).cast("long")
 
-    return headers.select("path", side("raw_w", "raw_h").alias("width"), side("raw_h", "raw_w").alias("height"))
+    return headers.select("path", side("raw_w", "raw_h").alias("width"), side("raw_h", "raw_w").alias("height"), *keep)
 
 
 def scan_image_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, width, height, bands`` of a folder's images. Spark's reader decodes each one, so keep
-    the result in the catalogue rather than scan again."""
-    rows = spark.read.format("image").option("dropInvalid", "false").load(folder)
-    return rows.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("bands"))
+    """``path, width, height, bands`` of a folder's images as displayed, from their headers alone; -1 if unreadable."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            rows = []
+            for path in frame["path"]:
+                try:
+                    with _open(path) as f:
+                        rows.append((path, *image_header(f)))
+                except OSError:
+                    rows.append((path, *UNREADABLE))
+            yield pd.DataFrame(rows, columns=["path", "raw_w", "raw_h", "bands", "orientation"])
+
+    found = only_images(list_files(spark, folder)).select("path").mapInPandas(run, "path string, raw_w long, raw_h long, bands long, orientation long")
+    return display_orientation(found, "bands")
 
 
 def thumbnail_freshness(sources: DataFrame, thumbs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ WITH clause for DuckDB.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,8 @@ VIEWS: dict[str, str] = {
     "v_projects": """
         SELECT 'proj-' || CAST(o_orderkey AS STRING) AS project_uid,
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'op-' || CAST(o_orderkey % 4 AS STRING) END AS output_profile_id,
-               o_orderkey % 3 = 0 AS accepts_all, o_orderkey AS k
+               o_orderkey % 3 = 0 AS accepts_all, o_orderkey AS k,
+               o_orderkey % (SELECT CAST(floor((max(p_partkey) - 1) / 100.0) AS BIGINT) + 1 FROM {part}) AS ws
         FROM {orders}""",
     "v_inputs": """
         SELECT 'proj-' || CAST(k AS STRING) AS project_uid,
@@ -29,16 +31,17 @@ VIEWS: dict[str, str] = {
                      CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
                                              l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) - 1 AS BIGINT) AS ord
               FROM {lineitem}) t""",
+    # a workspace has a palette of a hundred canvas profiles
     "v_canvas_profiles": """
         SELECT 'cp-' || CAST(p_partkey AS STRING) AS id, p_partkey AS ordinal, p_name AS name,
                800 * (1 + p_partkey % 3) AS width, 128 * p_size AS height,
-               8 * (p_partkey % 4) AS mt, 8 * (p_partkey % 3) AS mr, 8 * (p_partkey % 5) AS mb, 8 * (p_partkey % 2) AS ml
-        FROM {part} WHERE p_partkey <= 120""",
+               8 * (p_partkey % 4) AS mt, 8 * (p_partkey % 3) AS mr, 8 * (p_partkey % 5) AS mb, 8 * (p_partkey % 2) AS ml,
+               CAST(floor((p_partkey - 1) / 100.0) AS BIGINT) AS ws
+        FROM {part}""",
     "v_links": """
-        SELECT 'proj-' || CAST(o_orderkey AS STRING) AS project_uid, 'cp-' || CAST(p_partkey AS STRING) AS id,
-               row_number() OVER (PARTITION BY o_orderkey ORDER BY p_partkey DESC) AS prio
-        FROM {orders} JOIN {part} ON p_partkey <= 120 AND p_partkey % 5 = o_orderkey % 5
-        WHERE o_orderkey % 3 <> 0""",
+        SELECT project_uid, id, row_number() OVER (PARTITION BY project_uid ORDER BY ordinal DESC) AS prio
+        FROM {v_projects} o JOIN {v_canvas_profiles} c ON c.ws = o.ws AND c.ordinal % 5 = o.k % 5
+        WHERE NOT accepts_all""",
     "v_overlays": """
         SELECT 'ovl-' || CAST(event_id AS STRING) AS uid, 'proj-' || CAST(event_id % 500 AS STRING) AS project_uid,
                event_id AS z,
@@ -70,11 +73,15 @@ VIEWS: dict[str, str] = {
                               ('op-2', 2, 'Wide', 940, 1504, 'Crop', 'PNG', 5, 72.5),
                               ('op-3', 3, 'Print', 1200, 1600, 'PadWhite', 'WebP', 998, 300.0))
                AS t(id, ordinal, name, target_width, slice_height, policy, format, start_index, dpi)""",
+    # a file may have a check against an older recorded hash besides that of today
     "v_disk_checks": """
         SELECT project_uid, file_path, pk % 11 <> 0 AS found,
                CASE WHEN ord = 6 THEN sha2('older', 256) ELSE sha256 END AS recorded_sha256,
                CASE WHEN pk % 11 = 0 THEN '' WHEN sk % 7 = 0 THEN sha2(CAST(sk AS STRING), 256) ELSE sha256 END AS disk_sha256
-        FROM {v_inputs} WHERE pk % 10 <> 9""",
+        FROM {v_inputs} WHERE pk % 10 <> 9
+        UNION ALL
+        SELECT project_uid, file_path, pk % 5 <> 0, sha2('before' || CAST(pk AS STRING), 256), CASE WHEN pk % 5 = 0 THEN '' ELSE sha2('before' || CAST(pk AS STRING), 256) END
+        FROM {v_inputs} WHERE pk % 4 = 1""",
     "v_conversation_strips": """
         SELECT CAST(conv_id AS STRING) AS project_uid, CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS uid,
                CAST(turn AS BIGINT) AS ord, 800 AS width, CAST(length(text) AS BIGINT) AS height, 'Processed' AS status
@@ -90,24 +97,47 @@ VIEWS: dict[str, str] = {
         FROM {orders} CROSS JOIN (VALUES ('m', 0, 0.0, 0.0), ('m', 1, 0.5, 0.4), ('m', 2, 1.0, 1.0),
                                          ('r', 0, 1.0, 0.9), ('r', 1, 0.25, 0.2), ('b', 1, 0.75, 0.7)) AS t(channel, seq, x, y)
         WHERE o_orderkey % 4 <> 0 AND (channel <> 'r' OR o_orderkey % 2 = 1)""",
+    # what the last run recorded: altered copies of the tables above
+    "v_projects_then": """
+        SELECT project_uid, CASE WHEN k % 10 = 1 THEN 'op-2' ELSE output_profile_id END AS output_profile_id, k, ws FROM {v_projects} WHERE k % 5 <> 0""",
+    "v_output_profiles_then": """
+        SELECT id, ordinal, name, target_width, CASE WHEN id = 'op-3' THEN slice_height + 100 ELSE slice_height END AS slice_height, policy, format, start_index, dpi
+        FROM {v_output_profiles}""",
+    "v_canvas_profiles_then": """
+        SELECT id, ordinal, name, width, CASE WHEN ordinal % 11 = 0 THEN height + 128 ELSE height END AS height,
+               CASE WHEN ordinal % 25 = 0 THEN mt + 8 ELSE mt END AS mt, mr, mb, ml, ws
+        FROM {v_canvas_profiles} WHERE ordinal % 40 <> 7""",
+    "v_links_then": """
+        SELECT project_uid, id, CASE WHEN CAST(substr(id, 4) AS BIGINT) % 41 = 0 THEN prio + 100 ELSE prio END AS prio FROM {v_links}""",
+    "v_pages_then": """
+        SELECT project_uid, uid, CASE WHEN pk % 37 = 0 THEN 0 ELSE width END AS width_then, CASE WHEN pk % 37 = 0 THEN 0 ELSE height END AS height_then FROM {v_inputs}""",
+    "v_order_then": """
+        SELECT project_uid, uid, CASE WHEN pk % 50 = 0 THEN -1 ELSE ord END AS pos, ord FROM {v_inputs} WHERE pk % 40 <> 1""",
+    "v_grades_then": """
+        SELECT project_uid, CASE WHEN k % 8 = 2 THEN brightness + CAST(0.05 AS DOUBLE) ELSE brightness END AS brightness, contrast, saturation, k FROM {v_grades}""",
+    "v_overlays_then": "SELECT * FROM {v_overlays} WHERE z % 17 <> 0",
+    "v_page_files": """
+        SELECT project_uid, uid, file_path, ord, width, height, pk, sk, CASE WHEN pk % 19 = 0 THEN 'Error' WHEN pk % 23 = 0 THEN 'Skipped' ELSE status END AS status,
+               CASE WHEN pk % 29 = 0 THEN '' ELSE sha256 END AS sha256
+        FROM {v_inputs}""",
     "v_exclusions": "SELECT project_uid, uid FROM {v_inputs} WHERE pk % 9 = 0",
     "v_templates": """
         SELECT 'cp-' || CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 2 = 0 THEN 'PNG' ELSE 'PSD' END AS format,
-               '/tpl/' || CASE WHEN p_partkey % 10 = 0 THEN 'Shared' ELSE 't' || CAST(p_partkey % 40 AS STRING) END || '.png' AS path,
+               '/tpl/' || CAST(CAST(floor((p_partkey - 1) / 100.0) AS BIGINT) AS STRING) || '/' || CASE WHEN p_partkey % 10 = 0 THEN 'Shared' ELSE 't' || CAST(p_partkey % 40 AS STRING) END || '.png' AS path,
                'cw=' || CAST(800 * (1 + p_partkey % 3) AS STRING) || ';ch=' || CAST(128 * (p_size + p_partkey % 2) AS STRING) || ';mt=' || CAST(8 * (p_partkey % 4) AS STRING) AS was,
                'cw=' || CAST(800 * (1 + p_partkey % 3) AS STRING) || ';ch=' || CAST(128 * p_size AS STRING) || ';mt=' || CAST(8 * (p_partkey % 7) AS STRING) || ';fmt=' || CAST(p_partkey % 2 AS STRING) AS now,
                sha2(CAST(p_partkey % 40 AS STRING), 256) AS sha256, p_partkey AS k
-        FROM {part} WHERE p_partkey <= 120""",
+        FROM {part}""",
     "v_palette": """
-        SELECT 'ws-' || CAST(p_partkey % 4 AS STRING) AS workspace_id, p_partkey AS ordinal,
+        SELECT 'ws-' || CAST(CAST(floor((p_partkey - 1) / 100.0) AS BIGINT) AS STRING) AS workspace_id, p_partkey AS ordinal,
                CASE WHEN p_partkey % 23 = 0 THEN '' ELSE 'cp-' || CAST(p_partkey % 50 AS STRING) END AS id,
                CASE WHEN p_partkey % 6 = 0 THEN upper(p_brand) ELSE lower(p_brand) END AS name,
                800 * (1 + p_partkey % 3) AS width, 128 * p_size AS height, 8 * (p_partkey % 4) AS margin,
                p_partkey % 2 AS colour, CAST(CASE WHEN p_partkey % 3 = 0 THEN 300 ELSE 72 END AS DOUBLE) AS dpi, p_partkey AS k
         FROM {part}""",
     "v_user_outputs": """
-        SELECT 'ws-' || CAST(p_partkey % 4 AS STRING) AS workspace_id, p_partkey AS ordinal,
-               CASE WHEN p_partkey % 9 = 0 THEN 'preset-webtoon' WHEN p_partkey % 9 = 1 THEN 'op-Webtoon'
+        SELECT 'ws-' || CAST(CAST(floor((p_partkey - 1) / 100.0) AS BIGINT) AS STRING) AS workspace_id, p_partkey AS ordinal,
+               CASE WHEN p_partkey % 9 = 0 THEN 'op-preset-webtoon-standard' WHEN p_partkey % 9 = 1 THEN 'op-Webtoon Standard'
                     ELSE 'op-' || CAST(p_partkey AS STRING) END AS id,
                CASE WHEN p_partkey % 2 = 0 THEN 'w800h1280' ELSE 'w' || CAST(p_size AS STRING) || 'h1280' END AS signature,
                p_name AS name
@@ -115,7 +145,8 @@ VIEWS: dict[str, str] = {
     "v_references": """
         SELECT 'ws-' || CAST(l_orderkey % 50 AS STRING) AS ws, l_orderkey * 10 + l_linenumber AS seq,
                CASE WHEN l_partkey % 5 = 0 THEN '/ws/' || CAST(l_orderkey % 50 AS STRING) || '/in/' ELSE '/src/' || CAST(l_suppkey % 3 AS STRING) || '/' END
-                 || CASE WHEN l_partkey % 2 = 0 THEN 'Page' ELSE 'page' END || CAST(l_partkey % 40 AS STRING) || '.png' AS source,
+                 || CASE WHEN l_suppkey % 11 = 0 THEN 'scan' WHEN l_partkey % 2 = 0 THEN 'Page' ELSE 'page' END || CAST(l_partkey % 40 AS STRING)
+                 || CASE WHEN l_suppkey % 11 = 0 THEN ' (3).png' ELSE '.png' END AS source,
                CASE WHEN l_linenumber % 4 = 0 THEN 'external' ELSE 'inputs' END AS kind,
                '/ws/' || CAST(l_orderkey % 50 AS STRING) || '/' AS folder,
                l_partkey % 13 <> 0 AS present, l_quantity AS bytes
@@ -123,12 +154,13 @@ VIEWS: dict[str, str] = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table or derived view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """A table or derived view as a DataFrame; ``made`` gives the views it stands on."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    made = made or (lambda n: view(spark, sf_dir, n))
     names = set(re.findall(r"\{(\w+)\}", VIEWS[name]))
-    return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in names})
+    return spark.sql(VIEWS[name], **{n: made(n) for n in names})
 
 
 def duck(sql: str) -> str:

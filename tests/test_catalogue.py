@@ -1,7 +1,9 @@
 """Small hand-made cases: known results, rules as properties, and step-by-step models."""
 
+import hashlib
 import json
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,7 +51,11 @@ def test_segments_tile_every_slice(spark):
     strip = layout.strip_layout(pages(spark, *heights))
     segments = layout.slice_source_map(strip, F.lit(128)).cache()
     assert segments.agg(F.sum("height")).first()[0] == sum(heights)
-    assert layout.provenance_check(segments, 128).where("NOT ok").isEmpty()
+    totals = layout.strip_totals(strip)
+    assert layout.provenance_check(segments, totals, 128).where("NOT ok").isEmpty()
+    last = segments.agg(F.max("slice_index")).first()[0]
+    bad = layout.provenance_check(segments.where(f"NOT (slice_index = 3) AND NOT (slice_index = {last})").unionByName(segments.where("slice_index = 5")), totals, 128)
+    assert sorted(r.slice_index for r in bad.where("NOT ok").collect()) == [3, 5, last]
     chunked = layout.strip_layout_chunked(pages(spark, *heights), chunk=7)
     assert sorted((r.uid, r.start_y) for r in chunked.collect()) == sorted((r.uid, r.start_y) for r in strip.collect())
 
@@ -68,14 +74,19 @@ PALETTE = [("cp-1", 1, 1600, 10240), ("cp-2", 2, 1600, 5120), ("cp-3", 3, 1600,
 
 
 def matched(spark, links):
-    palette = frame(spark, PALETTE, "id string, ordinal int, width long, height long")
-    projects = frame(spark, [("p",)], "project_uid string")
+    palette = frame(spark, [(*p, 7) for p in PALETTE] + [("cp-0", 1, 800, 1280, 8)], "id string, ordinal int, width long, height long, ws long")
+    projects = frame(spark, [("p", 7)], "project_uid string, ws long")
     own = frame(spark, links, "project_uid string, id string, prio int")
     rows = frame(spark, [("p", "a", 1600, 5120), ("p", "b", 800, 1280)], "project_uid string, uid string, width long, height long")
-    effective = match.effective_profiles(projects, own, palette)
-    hit = match.match_canvas_profile(rows, effective, palette)
-    other = match.unlinked_candidates(hit, rows, effective, palette)
-    return {r.uid: r.profile_id for r in hit.collect()}, {r.uid: (r["match"], r.candidate_ids) for r in other.collect()}
+    hit = match.match_canvas_profile(rows, projects, own, palette)
+    other = match.unlinked_candidates(rows, projects, own, palette)
+    plan = match.page_plan(match.match_pages(rows.withColumn("status", F.lit("Processed")), projects, own, palette))
+    whole = match.effective_profiles(projects, own, palette).orderBy("prio").collect()
+    assert [r.id for r in whole] == match.effective_ids(projects, own, palette).first().ids.split(",")
+    profiles, candidates = {r.uid: r.profile_id for r in hit.collect()}, {r.uid: (r["match"], r.candidate_ids) for r in other.collect()}
+    names = {"FoundInWorkspaceOnly": "AppendedProfileNotLinked", "NotFoundAnywhere": "AppendedWithoutProfile"}
+    assert {r.uid: (r.plan, r.profile_id) for r in plan.collect()} == {u: ("Appended", p) if p else (names[candidates[u][0]], None) for u, p in profiles.items()}
+    return profiles, candidates
 
 
 def test_no_link_accepts_the_whole_palette(spark):
@@ -113,6 +124,9 @@ def test_disk_checks_change_status_once(spark):
     assert got == {"a": ("Modified", "1"), "b": ("Processed", "7"), "c": ("Skipped", "3"), "d": ("Pending", "4"), "e": ("Missing", "5"), "o": ("Done", "9")}
     again = {r.path: (r.status, r.sha256) for r in staleness.apply_disk_checks(once, checks).collect()}
     assert again == got
+    several = checks.unionByName(frame(spark, [("p", "a", "0", True, "0"), ("p", "e", "old", True, "5"), ("p", "o", "8", False, "")], checks.schema)).unionByName(checks)
+    rows_ = staleness.apply_disk_checks(frame(spark, rows, schema), several).collect()
+    assert len(rows_) == len(rows) and {r.path: (r.status, r.sha256) for r in rows_} == got
     projects = frame(spark, [("p",), ("q",)], "project_uid string")
     assert {r.project_uid: r.up_to_date for r in staleness.up_to_date(projects, once).collect()} == {"p": False, "q": True}
 
@@ -158,6 +172,24 @@ def test_target_claims_step_by_step_where_names_look_numbered(spark):
     assert got == {1: "inputs/a.png", 2: "inputs/A (2).png", 3: "inputs/a (2) (2).png", 4: "inputs/a (3).png", 5: "in/b.png", 6: "inputs/noext", 7: "inputs/noext (2)"}
 
 
+def test_target_claims_against_one_by_one(spark):
+    random.seed(4)
+    names = [f"{s}{n}{e}" for s in ("a", "A", "b") for n in ("", " (2)", " (3)", " (2) (2)") for e in (".png", ".PNG", "")]
+    rows = [("w", k, f"/s/{k}/{random.choice(names)}", "inputs", "/ws/", True, 1) for k in range(60)]
+    want, taken = {}, set()
+    for _, k, source, *_ in rows:
+        raw = source.rsplit("/", 1)[1]
+        dot = raw.rfind(".")
+        stem, ext = (raw[:dot], raw[dot:]) if dot >= 0 else (raw, "")
+        name, n = raw, 2
+        while name.lower() in taken:
+            name, n = f"{stem} ({n}){ext}", n + 1
+        taken.add(name.lower())
+        want[k] = f"inputs/{name}"
+    refs = frame(spark, rows, "ws string, seq long, source string, kind string, folder string, present boolean, bytes long")
+    assert {r.seq: r.target for r in packaging.package_target_claim(refs).collect()} == want
+
+
 def test_duplicate_ids_are_repaired_once(spark):
     rows = frame(spark, [("w", 1, "a", "x"), ("w", 2, "b", "x"), ("w", 3, "c", "y"), ("v", 1, "d", "x")], "workspace_id string, ordinal int, name string, id string")
     once = identity.duplicate_id_repair(rows)
@@ -208,7 +240,38 @@ def test_files_are_listed_and_hashed(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub/x.png").write_bytes(b"x")
     assert [r.path.rsplit("/", 1)[1] for r in files.scan_image_dir(spark, str(tmp_path)).collect()] == ["a.jpg", "b.PNG", "d.TIFF"]
-    assert files.hash_listed(spark, str(tmp_path)).where("sha256 IS NULL").isEmpty()
+    (tmp_path / "e 100%.png").write_bytes(b"z" * 3_000_000)
+    got = {r.key.rsplit("/", 1)[1]: r.sha256 for r in files.hash_listed(spark, str(tmp_path)).collect()}
+    assert got == {p.name: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir() if p.is_file()}
+    listing = files.list_files(spark, str(tmp_path)).collect()
+    assert len(listing) == 5
+    (tmp_path / "b.PNG").unlink()
+    lost = files.hash_of(spark.createDataFrame(listing)).where("sha256 = ''").collect()
+    assert [r.key.rsplit("/", 1)[1] for r in lost] == ["b.PNG"]
+
+
+def chunk(kind, data):
+    return struct.pack(">I4s", len(data), kind) + data + b"crc_"
+
+
+def exif(order, orientation):
+    head = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8)
+    return head + struct.pack(order + "HHHIHHI", 1, 274, 3, 1, orientation, 0, 0)
+
+
+def test_headers_are_read_without_pixels(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 640, 480, 8, 6, 0, 0, 0)) + chunk(b"tEXt", b"x" * 90_000) + chunk(b"eXIf", exif(">", 6)) + chunk(b"IDAT", b"")
+    frame_header = b"\xff\xc2" + struct.pack(">HBHHB", 11, 8, 300, 200, 1) + b"\x00" * 3
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF" + b"\0" * 10
+    turned = jpeg + b"\xff\xe1" + struct.pack(">H", 2 + 6 + len(exif("<", 8))) + b"Exif\0\0" + exif("<", 8) + b"\xff\xff" + frame_header
+    tiff = b"II" + struct.pack("<HI", 42, 12) + b"pads" + struct.pack("<H", 4)
+    tiff += b"".join(struct.pack("<HHII", *e) for e in ((256, 4, 1, 70), (257, 3, 1, 90), (274, 3, 1, 5), (277, 3, 1, 3))) + b"\0" * 4
+    samples = {"a.png": png, "b.jpg": jpeg + frame_header, "c.jpeg": turned, "d.tif": tiff, "e.png": png[:20], "f.png": b"no image", "g.jpg": jpeg, "h.txt": png}
+    for name, data in samples.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height, r.bands) for r in files.scan_image_headers(spark, str(tmp_path)).collect()}
+    lost = (-1, -1, 0)
+    assert got == {"a.png": (480, 640, 4), "b.jpg": (200, 300, 1), "c.jpeg": (300, 200, 1), "d.tif": (90, 70, 3), "e.png": lost, "f.png": lost, "g.jpg": lost}
 
 
 def test_workspaces_are_read_repaired_and_rejected(spark, tmp_path):
@@ -252,6 +315,48 @@ def test_stream_of_checks_equals_the_batch(spark, tmp_path):
     assert got == sorted((r.path, r.status) for r in stream.apply_check_batch(table, checks).collect()) == [("a", "Processed"), ("b", "Processed")]
 
 
+def test_late_results_still_count(spark, tmp_path):
+    schema = "project_uid string, path string, recorded_sha256 string, found boolean, disk_sha256 string, checked_at timestamp"
+    table = frame(spark, [(p, "input", "a", "Pending", "1") for p in "pqr"], "project_uid string, kind string, path string, status string, sha256 string")
+    written = {}
+
+    def keep(rows):
+        written.update({r.project_uid: r.status for r in rows.collect()})
+
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for k, (project, at) in enumerate([("p", "12:00"), ("q", "15:00"), ("r", "09:00")]):
+        row = spark.sql(f"SELECT '{project}' AS project_uid, 'a' AS path, '1' AS recorded_sha256, true AS found, '1' AS disk_sha256, timestamp('2024-01-01 {at}:00') AS checked_at")
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.disk_check_stream(source, lambda: table, keep, str(tmp_path / "ck")).awaitTermination(120)
+    assert written == {"p": "Processed", "q": "Processed", "r": "Processed"}
+
+
+def test_names_asked_for(spark):
+    rows = frame(spark, [("1", "a"), ("2", "b"), ("3", "a")], "id string, name string")
+    kept, unmatched = profiles.only_names(rows, " a ,, c")
+    assert sorted(r.id for r in kept.collect()) == ["1", "3"] and [r.name for r in unmatched.collect()] == ["c"]
+
+
+def curve(points, value):
+    below, above = [p for p in points if p[0] <= value], [p for p in points if p[0] > value]
+    if not below or not above:
+        return points[0][1] if not below else below[-1][1]
+    (x0, y0), (x1, y1) = below[-1], above[0]
+    return y0 if x1 - x0 <= 1e-9 else y0 + (y1 - y0) * (value - x0) / (x1 - x0)
+
+
+def test_curves_at_every_byte(spark):
+    random.seed(2)
+    for points in ([(0.5, 0.4)], [(0.0, 0.0), (0.5, 0.4), (1.0, 1.0)], [(0.25, 0.2), (0.25, 0.7), (0.8, 0.1)], sorted((random.random(), random.random()) for _ in range(9))):
+        rows = spark.range(256).select(F.col("id").alias("r"), F.lit(0).alias("g"), F.lit(255).alias("b"))
+        array = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in points])
+        rows = rows.withColumns({"__c_m": array, "__c_r": F.lit(None).cast(array_type := "array<struct<x:double,y:double>>"), "__c_g": F.array().cast(array_type), "__c_b": array})
+        byte = lambda y: min(255, max(0, int(y * 255 + 0.5)))
+        for at, r in enumerate(sorted(pixels.grade_curves(rows.withColumn("k", F.col("r"))).collect(), key=lambda r: r.k)):
+            once = byte(curve(points, at / 255))
+            assert (r.r, r.g, r.b) == (once, byte(curve(points, 0.0)), byte(curve(points, byte(curve(points, 1.0)) / 255)))
+
+
 def test_event_counts_by_window(spark):
     rows = spark.sql("SELECT timestamp(t) AS ts, 'p' AS project_uid, 'Done' AS status FROM VALUES ('2024-01-01 00:01:00'), ('2024-01-01 00:59:00'), ('2024-01-01 01:00:00') AS v(t)")
     assert sorted(r.n for r in stream.render_event_counts(rows).collect()) == [1, 2]
