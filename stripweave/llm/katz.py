@@ -24,6 +24,7 @@ empty results; other columns are ignored. A word is known by the 64-bit hash of
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -46,23 +47,54 @@ UNKNOWN_ID, FIRST_ID = 1, 2
 PRUNED_FROM, MIN_COUNT = 3, 2
 
 
+@functools.cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@functools.cache
+def _opener() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def squeeze(a: np.ndarray, rising: bool = False) -> bytes:
     """Packed form of an array of 64-bit numbers: differences if rising, bytes by significance."""
     a = np.ascontiguousarray(a).view(np.uint64)
     if rising and len(a):
         a = np.diff(a, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return _packer().compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def expand(blob: bytes, rising: bool = False, kind=np.int64) -> np.ndarray:
     """The array that ``squeeze`` packed."""
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    raw = np.frombuffer(_opener().decompress(blob), dtype=np.uint8)
     a = np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).reshape(-1)
     if rising:
         a = np.cumsum(a, dtype=np.uint64)
     return a.view(kind)
 
 
+def sorted_by(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by keys that are not negative, the first one first, and which rows then begin a new combination.
+
+    Keys that fit into 63 bits together are sorted as one number.
+    """
+    bits = [int(k.max()).bit_length() if len(k) else 0 for k in keys]
+    if sum(bits) <= 63:
+        whole = np.zeros(len(keys[0]), dtype=np.int64)
+        for k, b in zip(keys, bits):
+            whole = whole << b | k
+        order = np.argsort(whole)
+        whole = whole[order]
+        return order, np.r_[np.ones(min(1, len(whole)), dtype=bool), whole[1:] != whole[:-1]]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    return order, new
+
+
 def good_turing(n: dict[int, int], k: int) -> np.ndarray:
     """Discount factor for counts 0 to k; larger counts are kept whole.
 
@@ -260,11 +292,10 @@ class _Batch:
         mix = (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + part * np.uint64(0xD6E8FEB86659FD93)
         mix ^= mix >> np.uint64(29)
         bucket = ((mix * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(model.buckets)).astype(np.int64)
-        order = np.lexsort((w, h, bucket))
-        order = order[valid[order]]
+        rows = np.flatnonzero(valid)
+        order, new = sorted_by(bucket[rows], h[rows], w[rows])
+        order = rows[order]
         b, hs, ws = bucket[order], h[order], w[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (b[1:] != b[:-1]) | (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
         gram = np.cumsum(new) - 1
         self.at = np.full(len(h), -1, dtype=np.int64)
         self.at[order] = gram
@@ -329,9 +360,7 @@ def _merged(sent: DataFrame, m: int, k: int) -> DataFrame:
         sizes = np.array([len(v) for v in h])
         h = np.concatenate(h)
         w, n, ln, lh, hn = (np.concatenate([expand(v) for v in frame[c]]) for c in ("w", "n", "ln", "lh", "hn"))
-        order = np.lexsort((w, h))
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (w[order][1:] != w[order][:-1])
+        order, new = sorted_by(h, w)
         at = np.empty(len(order), dtype=np.int64)
         at[order] = np.cumsum(new) - 1
         first = order[new]
