@@ -323,10 +323,10 @@ def test_late_results_still_count(spark, tmp_path):
     def keep(rows):
         written.update({r.project_uid: r.status for r in rows.collect()})
 
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    for k, (project, at) in enumerate([("p", "12:00"), ("q", "15:00"), ("r", "09:00")]):
+    for project, at in [("p", "12:00"), ("q", "15:00"), ("r", "09:00")]:
         row = spark.sql(f"SELECT '{project}' AS project_uid, 'a' AS path, '1' AS recorded_sha256, true AS found, '1' AS disk_sha256, timestamp('2024-01-01 {at}:00') AS checked_at")
         row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     stream.disk_check_stream(source, lambda: table, keep, str(tmp_path / "ck")).awaitTermination(120)
     assert written == {"p": "Processed", "q": "Processed", "r": "Processed"}
 
