@@ -219,7 +219,8 @@ def nearest(
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries, asked = index.entries, index.asked
-    left, right = (rows.join(entries.select("entry", "v"), "entry") for rows in meetings(index, block_rows))
+    # new names for both sides, as they come from the same tables
+    left, right = (rows.toDF(*rows.columns) for rows in (rows.join(entries.select("entry", "v"), "entry") for rows in meetings(index, block_rows)))
 
     def meet(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
