@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stripweave.llm import stages
-from stripweave.llm.common import materialise
+from stripweave.llm.common import discard, materialise
 
 STAGES = [
     ("quality_classifier", stages.keep_quality),
@@ -20,8 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written as Parquet and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``; each result is written as Parquet and reread, and its predecessor deleted."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        discard(*done)
+        done = [docs]
     return docs
