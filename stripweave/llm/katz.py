@@ -256,8 +256,8 @@ def _word_table(sent: DataFrame, buckets: int, k: int) -> DataFrame:
 class _Batch:
     """A batch with what it knows of its tokens, level by level: counts and ids of the grams that end there."""
 
-    def __init__(self, text_row, replies: pd.DataFrame, model: _Model, level: int):
-        self.model = model
+    def __init__(self, text_row, replies: pd.DataFrame, model: _Model, level: int, scored: bool = False):
+        self.model, self.logs = model, None
         tokens, self.sizes, self.train = expand(text_row.a), expand(text_row.b), expand(text_row.c).astype(bool)
         tokens = expand(text_row.e)[tokens]
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -265,7 +265,8 @@ class _Batch:
         counts, ids = (np.concatenate([expand(x) for x in own[c]]) for c in ("c", "ids"))
         self.word, self.seen = ids[tokens], counts[tokens]
         self.gram, self.count = self.word, self.seen
-        self.logs = np.log10(model.uni.p(self.seen))
+        if scored:
+            self.logs = np.log10(model.uni.p(self.seen))
         for m in range(2, level + 1):
             self.ask(m)
             self.learn(m, replies[replies["level"] == m].sort_values("bucket"))
@@ -291,7 +292,8 @@ class _Batch:
         part = np.where(parts > 1, (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) % parts, np.uint64(0))
         mix = (h.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + part * np.uint64(0xD6E8FEB86659FD93)
         mix ^= mix >> np.uint64(29)
-        bucket = ((mix * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)) % np.uint64(model.buckets)).astype(np.int64)
+        # the number of buckets is a power of two
+        bucket = (mix * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33) & np.uint64(model.buckets - 1)).astype(np.int64)
         rows = np.flatnonzero(valid)
         order, new = sorted_by(bucket[rows], h[rows], w[rows])
         order = rows[order]
@@ -323,9 +325,10 @@ class _Batch:
         at = self.at[has]
         count, gram = np.zeros(len(self.at), dtype=np.int64), np.full(len(self.at), -1, dtype=np.int64)
         count[has], gram[has] = c[at], ids[at]
-        p = np.where(count[has] == 0, 1.0, conditional(count[has], self.of[has], self.model.d[m]))
-        self.logs = self.logs.copy()
-        self.logs[has] = np.where(count[has] == 0, bow[at] + self.logs[has], np.log10(p))
+        if self.logs is not None:
+            own = count[has]
+            p = np.where(own == 0, 1.0, conditional(own, self.of[has], self.model.d[m]))
+            self.logs[has] = np.where(own == 0, bow[at] + self.logs[has], np.log10(p))
         self.count, self.gram = count, gram
 
 
@@ -473,7 +476,7 @@ def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, b
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         made = []
         for text_row in left.itertuples():
-            x = _Batch(text_row, right, model, order)
+            x = _Batch(text_row, right, model, order, scored=True)
             base = np.log10(x.seen + 1.0) - floor
             base, logs, known = (np.add.reduceat(v, x.first) for v in (base, x.logs, (x.seen > 0).astype(np.int64)))
             made.append(
