@@ -20,6 +20,7 @@ class, id or role name. A form, or an element so named, that wraps the page's ar
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections import Counter
@@ -59,6 +60,12 @@ FURNITURE_NAME = re.compile(rf"(?:(?:{'|'.join(ENDINGS)}|main|page|post|site|top
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
+@functools.lru_cache(maxsize=10_000)
+def is_furniture(name: str) -> bool:
+    """Whether a class, id or role name is one of what is not the article."""
+    return FURNITURE_NAME.fullmatch(name) is not None
+
+
 class Node:
     """An element: signature (tag and first class), children in order, texts as plain strings.
 
@@ -85,6 +92,9 @@ class _Tree(HTMLParser):
         self.stack = [self.root]
         self.open: Counter = Counter()
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
+
     def _close(self, i: int) -> None:
         for node in self.stack[i:]:
             self.open[node.tag] -= 1
@@ -103,25 +113,20 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_P and (i := self._open_p()):
             self._close(i)
-        if any(self.open[t] > 0 for t in SAME_LEVEL.get(tag, ())):
+        if tag in SAME_LEVEL and any(self.open[t] > 0 for t in SAME_LEVEL[tag]):
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i].tag in SAME_LEVEL[tag]:
                     self._close(i)
                     break
                 if self.stack[i].tag in LISTS:
                     break
-        a = {k: v or "" for k, v in attrs}
-        names = (a.get("class", "") + " " + a.get("id", "")).lower().split()
-        inside = self.open["article"] + self.open["main"] > 0
-        soft = tag == "form" or (tag not in ("html", "body", "main") and any(map(FURNITURE_NAME.fullmatch, names + a.get("role", "").lower().split())))
-        hard = (
-            tag in LEFT_OUT
-            or (tag == "header" and not inside)
-            or "hidden" in a
-            or a.get("aria-hidden") == "true"
-            or "display:none" in a.get("style", "").replace(" ", "").lower()
-        )
-        node = Node(tag, f"{tag}.{names[0]}" if a.get("class", "").split() or names else tag, hard or soft, soft and not hard)
+        names, soft, hard = [], tag == "form", tag in LEFT_OUT or (tag == "header" and self.open["article"] + self.open["main"] <= 0)
+        if attrs:
+            a = {k: v or "" for k, v in attrs}
+            names = (a.get("class", "") + " " + a.get("id", "")).lower().split()
+            soft = soft or (tag not in ("html", "body", "main") and any(map(is_furniture, names + a.get("role", "").lower().split())))
+            hard = hard or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        node = Node(tag, f"{tag}.{names[0]}" if names else tag, hard or soft, soft and not hard)
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
