@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.kept import discard, keep, shared_folder  # noqa: F401
+from ..sources.kept import delete_at_end, discard, keep, shared_folder  # noqa: F401
 
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, shared_folder
+from .common import delete_at_end, discard, materialise, shared_folder
 
 #: No word holds white space, so this stands for the end of a text.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -220,7 +220,9 @@ def _batches(docs: DataFrame, training: Column, order: int, buckets: int, batch_
 def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     """``df`` written once to the shared folder, dealt by ``key``: joins on it need not shuffle it again."""
     spark, name = df.sparkSession, f"stripweave_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    delete_at_end(spark, path)
     return spark.table(name)
 
 
