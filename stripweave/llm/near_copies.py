@@ -12,9 +12,9 @@ Two texts are near copies if the exact Jaccard similarity of their sets of five-
 Every candidate is confirmed before it links: by sizes and positions, by small bitmaps of both sets
 that prove most false candidates wrong, and then on the whole sets.
 
-Prefixes are sorted by shingle once. A text meets the first text that holds its shingle; shingles of
+Prefixes are sorted by shingle once. A text meets the first text that holds one of its shingles; shingles of
 three texts or more are kept, and texts that share one and are still in different groups meet in
-blocks of bounded size. A large group of copies so costs a number of comparisons that grows with its
+blocks of bounded size, twice with one likely partner each, then with all that bitmaps allow. A large group of copies so costs a number of comparisons that grows with its
 size, not with the square of it.
 
 Defined results: null text counts as empty; texts without words are one group; fewer words than a
@@ -114,7 +114,8 @@ def _position_allows(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.nd
 
 def walk_prefixes(entries: DataFrame, share: int) -> DataFrame:
     """From ``key, fp, np`` (size and position) and ``salt``: rows of kind 0 are candidates ``x, y``; rows of
-    kind 1 are the entries ``x`` (key), ``y`` (fp), ``z`` (np) of keys that three sets hold, or of salted ones."""
+    kind 1 are the entries ``x`` (key), ``y`` (fp), ``z`` (np) of keys that three sets hold, or of salted ones, and rows
+    of kind 2 candidates ``x, y`` among those, ``x`` the first holder of the key."""
     columns = ["key", "fp", "np", "salt"]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +137,8 @@ def walk_prefixes(entries: DataFrame, share: int) -> DataFrame:
             a, b = rows[head[at]], rows[at]
             ok = _position_allows(a[:, 2] >> 32, a[:, 2] & 0xFFFFFFFF, b[:, 2] >> 32, b[:, 2] & 0xFFFFFFFF, share)
             held = rows[many & ~done]
-            yield pd.DataFrame({"kind": 0, "x": a[ok, 1], "y": b[ok, 1], "z": 0})
+            # pairs of keys that only two hold are all there is of them; of the others one for each text is tried first
+            yield pd.DataFrame({"kind": np.where(many[at[ok]], 2, 0), "x": a[ok, 1], "y": b[ok, 1], "z": 0})
             yield pd.DataFrame({"kind": 1, "x": held[:, 0], "y": held[:, 1], "z": held[:, 2]})
             told = bool(many[-1])
             last = heads[-1]
@@ -148,7 +150,7 @@ def walk_prefixes(entries: DataFrame, share: int) -> DataFrame:
 
 def pairs_apart(held: DataFrame, sets: DataFrame, share: int, every: bool = True, block: int = 2048) -> DataFrame:
     """Pairs ``a, b`` that share a ``key`` in different groups ``root`` and may have the share in common, by sizes,
-    positions and bitmaps; or the likeliest pair only for every entry outside the group that most are in.
+    positions and bitmaps; or one likely pair only for every text outside the group that most of a key are in.
 
     The entries of a key are dealt to chunks of about ``block``; every two chunks meet in one group.
     """
@@ -199,8 +201,7 @@ def pairs_apart(held: DataFrame, sets: DataFrame, share: int, every: bool = True
             a, b = of_group(fp[lo:hi], np_[lo:hi], chunk[lo:hi], root[lo:hi], bits[lo:hi], x[lo] != y[lo])
             left.append(a)
             right.append(b)
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
     # keys whose texts are all in one group have nothing left to compare
     many = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
@@ -210,7 +211,10 @@ def pairs_apart(held: DataFrame, sets: DataFrame, share: int, every: bool = True
     rows = rows.select("key", "fp", "np", "chunk", "root", F.least("chunk", "__o").alias("x"), F.greatest("chunk", "__o").alias("y"))
     if every:
         rows = rows.join(sets.select("fp", "bits"), "fp")
-    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(search, "a long, b long").distinct()
+    found = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(search, "a long, b long")
+    if not every:
+        found = found.groupBy("a").agg(F.min("b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirm(docs: DataFrame, sets: DataFrame, pairs: DataFrame, share: int, words: int, seed: int, broadcast_sets: int) -> DataFrame:
@@ -268,6 +272,7 @@ def near_groups(
         near = near.join(codes.select(F.col("sim").alias(end), F.col("of").alias(f"of_{end}")), end)
     tried = same.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
     tried = tried.unionByName(walked.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    tried = tried.unionByName(walked.where("kind = 2").groupBy(F.col("y").alias("b")).agg(F.min("x").alias("a")))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     links = confirm(docs, sets, materialise(tried), share, words, seed, broadcast_sets)
     held = walked.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("fp"), F.col("z").alias("np")).distinct()
@@ -277,7 +282,7 @@ def near_groups(
         return frame.join(groups, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
     # the likeliest pairs first: most groups of copies are whole then, and few are left for all pairs
-    for every in (False, True):
+    for every in (False, False, True):
         more = materialise(pairs_apart(rooted(held), sets, share, every))
         if more.isEmpty():
             break

@@ -102,7 +102,7 @@ def test_shared_shingle_in_blocks(spark):
     facts = sets.select("fp", "bits").dropDuplicates(["fp"])
     whole, cut = (sorted(near_copies.pairs_apart(held, facts, 80, True, block).collect()) for block in (2048, 7))
     assert whole == cut and len(whole) >= links == 30
-    assert 0 < near_copies.pairs_apart(held, facts, 80, False).count() <= 59 * sets.agg(F.max(F.size("first"))).first()[0]
+    assert 0 < near_copies.pairs_apart(held, facts, 80, False).count() <= 60  # one for each text
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame, hot_rows=5).collect()} == want
 
 
