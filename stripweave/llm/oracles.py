@@ -69,4 +69,81 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, false)
 FROM marked GROUP BY rid, doc_id
 """
 
-SQL: dict[str, str] = {"op4_line_rules": LINE_RULES, "op5_mixing": MIXING, "op6_line_dedup": LINE_DEDUP}
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH item AS (SELECT item_id, regexp_extract_all(translate(text, {_AZ}), '{_ITEM_WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0) q),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_ITEM_WORD}') AS w FROM documents),
+own AS (
+  SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, (SELECT DISTINCT n FROM win) k) q),
+hit AS (SELECT rid, i, o.n, item FROM own o JOIN win USING (n, g)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) q GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT rid, item FROM hit WHERE item IS NOT NULL) q GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
+def _centroids(rounds: int = 10) -> str:
+    """Plain rounds of nearest centroid and floor of the mean, one row for each component."""
+    text = """
+WITH e AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range(64)) AS j FROM e),
+start AS (SELECT rid, row_number() OVER (ORDER BY h, v) - 1 AS num FROM (SELECT rid, v, sha256('3:' || vec_id) AS h FROM e) q ORDER BY h, v LIMIT 8),
+c0 AS MATERIALIZED (SELECT num, j, x AS y FROM start JOIN x USING (rid)),"""
+    for i in range(rounds + 1):
+        text += f"""
+a{i} AS MATERIALIZED (
+  SELECT rid, min(struct_pack(d := d, c := num)) AS m
+  FROM (SELECT rid, num, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM x JOIN c{i} USING (j) GROUP BY rid, num) q GROUP BY rid),"""
+        if i < rounds:
+            text += f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT num, j, CASE WHEN k IS NULL THEN y ELSE CAST((s - ((s % k) + k) % k) // k AS BIGINT) END AS y
+  FROM c{i} LEFT JOIN (SELECT m.c AS num, j, sum(x) AS s, count(*) AS k FROM a{i} JOIN x USING (rid) GROUP BY m.c, j) t USING (num, j)),"""
+    return text + f"""
+digest AS (SELECT num, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY j)) AS sha FROM c{rounds} GROUP BY num)
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256
+FROM e JOIN a{rounds} USING (rid) JOIN digest ON num = m.c
+"""
+
+
+#: CRC-32 bit by bit; nodes are grouped by whole lists of turns, and each node adds to all nodes above it.
+PREFIX_TRIE = """
+WITH own AS (
+  SELECT conv_id AS c, list(struct_pack(r := r, t := t) ORDER BY turn NULLS FIRST, r, t) AS s
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) q GROUP BY conv_id),
+cut AS (
+  SELECT c, s, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, CASE WHEN a % 2 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END) END), CAST(4294967295 AS BIGINT)) % 9 AS h
+  FROM own),
+built AS MATERIALIZED (
+  SELECT k.c, CASE WHEN b.s IS NULL THEN k.s[h + 1:] ELSE list_concat(b.s[1:h], k.s[h + 1:]) END AS s FROM cut k LEFT JOIN own b ON b.c = k.c - k.c % 5),
+steps AS MATERIALIZED (SELECT c, len(s) AS n, unnest(range(0, len(s) + 1)) AS d, s FROM built),
+pre AS MATERIALIZED (SELECT c, n, d, s[1:d] AS p FROM steps),
+node AS MATERIALIZED (
+  SELECT d, p, min(c) AS own, count(*) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends,
+         CASE WHEN d = 0 THEN 0 ELSE strlen(any_value(p[d].t)) END AS bytes FROM pre GROUP BY d, p),
+path AS MATERIALIZED (SELECT c, d, own FROM pre JOIN node USING (d, p)),
+tree AS MATERIALIZED (SELECT k.own, k.d, k.n, k.ends, k.bytes, up.own AS parent FROM node k LEFT JOIN path up ON up.c = k.own AND up.d = k.d - 1),
+kids AS (SELECT parent AS own, d - 1 AS d, count(*) AS m FROM tree WHERE d > 0 GROUP BY parent, d),
+full_tree AS MATERIALIZED (SELECT t.*, coalesce(m, 0) AS m FROM tree t LEFT JOIN kids USING (own, d)),
+sums AS (
+  SELECT up.own, up.d, count(*) FILTER (WHERE t.m = 0) AS n_leaves, CAST(sum((t.n - 1) * t.bytes) AS BIGINT) AS saved
+  FROM full_tree t JOIN path up ON up.c = t.own AND up.d <= t.d GROUP BY up.own, up.d)
+SELECT own AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, m AS n_children, n_leaves, saved AS saved_tokens, ends AS ends_sha256
+FROM full_tree JOIN sums USING (own, d)
+"""
+
+SQL: dict[str, str] = {
+    "op4_line_rules": LINE_RULES, "op5_mixing": MIXING, "op6_line_dedup": LINE_DEDUP,
+    "op11_decontamination": DECONTAMINATION, "op12_centroids": _centroids(), "op13_prefix_trie": PREFIX_TRIE,
+}

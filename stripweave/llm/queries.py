@@ -15,6 +15,9 @@ _MODULES = {
     "op8_hilbert_ann": "hilbert_ann",
     "op9_wrapper_text": "wrapper_html",
     "op10_simhash": "simhash",
+    "op11_decontamination": "decontamination",
+    "op12_centroids": "bisector_clusters",
+    "op13_prefix_trie": "prefix_trie",
 }
 
 
