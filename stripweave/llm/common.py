@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.kept import delete_at_end, discard, keep, shared_folder  # noqa: F401
+from ..sources.kept import delete_at_end, discard, keep, keep_bucketed, shared_folder  # noqa: F401
 
 #: Fixed value: a word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+class PerWorker(dict):
+    """What a worker process makes once; it arrives there empty, so functions that use it are pickled without it."""
+
+    def __reduce__(self):
+        return PerWorker, ()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage."""
     return keep(df)

@@ -24,8 +24,6 @@ empty results; other columns are ignored. A word is known by the 64-bit hash of
 
 from __future__ import annotations
 
-import functools
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_at_end, discard, materialise, shared_folder
+from .common import PerWorker, discard, keep_bucketed, materialise
 
 #: No word holds white space, so this stands for the end of a text.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -47,14 +45,15 @@ UNKNOWN_ID, FIRST_ID = 1, 2
 PRUNED_FROM, MIN_COUNT = 3, 2
 
 
-@functools.cache
+_zstd = PerWorker()
+
+
 def _packer() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=1)
+    return _zstd.get("packer") or _zstd.setdefault("packer", zstandard.ZstdCompressor(level=1))
 
 
-@functools.cache
 def _opener() -> zstandard.ZstdDecompressor:
-    return zstandard.ZstdDecompressor()
+    return _zstd.get("opener") or _zstd.setdefault("opener", zstandard.ZstdDecompressor())
 
 
 def squeeze(a: np.ndarray, rising: bool = False) -> bytes:
@@ -165,7 +164,7 @@ class _Model:
         return self.uni.p(c) if level == 2 else conditional(c, of, self.d[level - 1])
 
 
-TEXTS = "batch long, bucket int, kind int, a binary, b binary, c binary, e binary, ids array<long>, learned array<long>"
+TEXTS = "batch long, bucket int, kind int, a binary, b binary, c binary, e binary, ids array<string>, learned array<long>"
 
 
 def _batches(docs: DataFrame, training: Column, order: int, buckets: int, batch_tokens: int) -> DataFrame:
@@ -204,7 +203,7 @@ def _batches(docs: DataFrame, training: Column, order: int, buckets: int, batch_
             for doc_id, text, learn in zip(frame["doc_id"], frame["text"], frame["learn"]):
                 words = (text or b"").lower().split()
                 h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(doc_id)
                 train.append(bool(learn))
                 hashes.append(np.append(h, np.uint64(END)))
                 held += len(words) + 1
@@ -213,19 +212,11 @@ def _batches(docs: DataFrame, training: Column, order: int, buckets: int, batch_
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
+    # as strings: pandas would turn whole numbers beside a null into doubles
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     return rows.mapInPandas(cut, TEXTS)
 
 
-def _bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
-    """``df`` written once to the shared folder, dealt by ``key``: joins on it need not shuffle it again."""
-    spark, name = df.sparkSession, f"stripweave_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    delete_at_end(spark, path)
-    return spark.table(name)
-
-
 REPLIES = "batch long, level int, bucket int, c binary, bow binary, ids binary"
 
 
@@ -452,7 +443,7 @@ def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, b
     ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``."""
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
     buckets = 1 << max(3, (chars // 6 // bucket_tokens).bit_length())
-    sent = _bucketed(_batches(docs, training, order, buckets, batch_tokens), "batch", max(8, -(-chars // (6 * batch_tokens))))
+    sent = keep_bucketed(_batches(docs, training, order, buckets, batch_tokens), "batch", max(8, -(-chars // (6 * batch_tokens))))
     texts = sent.where("kind = 0")
     words = materialise(_word_table(sent.where("kind = 1").select("batch", "bucket", "a", "b"), buckets, k))
 
@@ -483,14 +474,15 @@ def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, b
             base, logs, known = (np.add.reduceat(v, x.first) for v in (base, x.logs, (x.seen > 0).astype(np.int64)))
             made.append(
                 pd.DataFrame(
-                    {"doc_id": pd.array(list(text_row.ids), dtype="Int64"), "learned": x.train, "n_tokens": x.sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": logs}
+                    {"doc_id": pd.Series(list(text_row.ids), dtype=object), "learned": x.train, "n_tokens": x.sizes, "n_known": known, "train_tokens": total, "base_score": base, "score": logs}
                 )
             )
         return pd.concat(made)
 
-    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(
-        score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(
+        score, "doc_id string, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op2_katz_lm(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,6 @@ go to the smaller lang; repeated rows get equal results; empty tables give empty
 
 from __future__ import annotations
 
-import functools
 import sys
 from collections.abc import Iterator
 
@@ -21,15 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import PerWorker, materialise
 from .quality_trees import id_remainder
 
 DIMS = 4096
 
 
-@functools.cache
+_tables = PerWorker()
+
+
 def _letters() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+    if "letters" not in _tables:
+        _tables["letters"] = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+    return _tables["letters"]
 
 
 def gram_counts(text: str | None) -> np.ndarray | None:

@@ -102,8 +102,10 @@ def add_sets(docs: DataFrame, common: np.ndarray, share: int, words: int, seed:
             made = pd.DataFrame([one(t, seen) for t in frame["text"]], columns=["fp", "sim", "n", "bits", "first"])
             yield pd.concat([frame[["doc_id", "text_key"]].reset_index(drop=True), made], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
-    return rows.mapInPandas(sets, "doc_id long, text_key long, fp long, sim long, n int, bits binary, first array<long>")
+    # ids as strings: pandas would turn whole numbers beside a null into doubles
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
+    made = rows.mapInPandas(sets, "doc_id string, text_key long, fp long, sim long, n int, bits binary, first array<long>")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _position_allows(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray, share: int) -> np.ndarray:

@@ -174,7 +174,7 @@ class _Encoder:
 
 def cut_pieces(docs: DataFrame, capacity: int, json_path: str, rank_path: str | None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of every piece."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
+    schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def tokenize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _Encoder(json_path, rank_path)
@@ -187,11 +187,11 @@ def cut_pieces(docs: DataFrame, capacity: int, json_path: str, rank_path: str |
                     row = (doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids))
                     rows.append((*row, part.astype(np.int32)) if with_ids else row)
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": object})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tokenize, schema)
+    # ids as strings: pandas would turn whole numbers beside a null into doubles
+    pieces = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(tokenize, schema)
+    return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY, grain: int = 8, pieces_per_run: int = 500) -> DataFrame:

@@ -217,7 +217,10 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str], max_nodes: int
         )
         found = asked.join(look, (F.col("__c") == F.col("__conv")) & (F.col("__d") == F.col("__depth")), "left")
         is_z = (F.col("conv_id") == F.col("__zc")) & (F.col("depth") == F.col("__zd"))
-        role = F.when(is_z, 0).when(deeper & (F.col("__parent") == F.col("__zc")), 1).when(~deeper & (F.col("__owner") == F.col("conv_id")), 2).otherwise(3)
+        # the root is on no conversation's path, but a top is above all of its component
+        is_top = (F.col("conv_id") == F.col("__top")) & (F.col("depth") == F.col("__top_depth"))
+        above = is_top | (~deeper & (F.col("__owner") == F.col("conv_id")))
+        role = F.when(is_z, 0).when(deeper & (F.col("__parent") == F.col("__zc")), 1).when(above, 2).otherwise(3)
         marked = materialise(found.withColumn("__role", role).drop("__c", "__d", "__conv", "__depth", "__parent"))
         used.append(marked)
         cut = marked.where("__role <= 1").groupBy(*top).agg(*[F.sum(r).alias(f"__t{i}") for i, r in enumerate(raw)])

@@ -6,10 +6,10 @@ text. Empty inputs give empty outputs; the operators' docstrings define what nul
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, spread_rank, word_count
 from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .near_copies import keep_one
@@ -48,17 +48,16 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last copy may be cut after some words."""
     keys = ["doc_id", "source", "size"]
-    taken = mix_sources(docs)["documents"].groupBy(*keys).agg(F.sum("taken").alias("__all"))
-    taken = taken.select(*[F.col(k).alias(f"__{k}") for k in keys], "__all")
+    taken = mix_sources(docs)["documents"].groupBy(*keys).agg(F.sum("taken").alias("__all"), F.count(F.lit(1)).alias("__n"))
+    taken = materialise(taken.select(*[F.col(k).alias(f"__{k}") for k in keys], "__all", "__n"))
     rows = docs.withColumn("__words", word_count(F.col("text")))
     same = (
         F.col("doc_id").eqNullSafe(F.col("__doc_id"))
         & F.col("source").cast("string").eqNullSafe(F.col("__source"))
         & (F.col("__words") == F.col("__size"))
     )
-    # repeated rows share what their key takes, each at most twice its size
-    order = Window.partitionBy("doc_id", "source", "__words").orderBy("doc_id")
-    rows = rows.join(taken, same).withColumn("__k", F.row_number().over(order) - 1)
+    rows = rows.join(taken, same)
+    rows = rows.where("__n = 1").withColumn("__k", F.lit(0).cast("long")).unionByName(_ranked_by_content(rows.where("__n > 1"), docs.columns))
     own = F.least(2 * F.col("__words"), F.greatest(F.lit(0), F.col("__all") - 2 * F.col("__words") * F.col("__k")))
     whole = F.expr("__own div greatest(__words, 1)")
     rest = F.expr("__own % greatest(__words, 1)")
@@ -73,6 +72,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(rows, text).select(*docs.columns)
 
 
+def _ranked_by_content(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that share id, source and size take their turns (``__k`` from 0) by their contents, however they are partitioned.
+
+    The order is that of a digest of the whole row; equal rows can stand for each other, a written number splits them.
+    """
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    numbered = materialise(rows.withColumns({"__digest": digest, "__row": F.monotonically_increasing_id()}))
+    keys = ["__doc_id", "__source", "__words"]
+    ranked = materialise(spread_rank(numbered, [*keys, "__digest", "__row"], "__rank"))
+    first = ranked.groupBy(*keys).agg(F.min("__rank").alias("__first")).select(*[F.col(k).alias(f"__of{k}") for k in keys], "__first")
+    own = F.col("__doc_id").eqNullSafe(F.col("__of__doc_id")) & F.col("__source").eqNullSafe(F.col("__of__source")) & (F.col("__words") == F.col("__of__words"))
+    both = ranked.join(first, own).withColumn("__k", F.col("__rank") - F.col("__first"))
+    return both.drop(*[f"__of{k}" for k in keys], "__digest", "__row", "__rank", "__first")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 tokens."""
     return pack_documents(docs)

@@ -4,8 +4,9 @@ For every host a bounded sample of its distinct pages (``sample_pages``, chosen
 aligned by simple tree matching. Aligned nodes with different texts are slots; the path to the node that
 holds most of them is the host's content. Then every page is read: a block that stands at the same place
 with the same text on two or more, and on more than half, of a host's distinct pages that the path fits
-is template, inside the content or beside it. All text that is neither template nor furniture is kept,
-wherever it stands. Pages of the same content text count once.
+is template. Beside the content template goes block by block; inside it only whole sections go, all of whose blocks are
+template and not headings alone: a subheading or label that articles share stands among varying text and stays. All text that is
+neither template nor furniture is kept, wherever it stands. Pages of the same content text count once.
 
 Where template would take more than half of the content text of a host's distinct pages, it is left in
 there: such pages are near copies of each other rather than filled forms. This holds for any number of
@@ -20,7 +21,6 @@ class, id or role name. A form, or an element so named, that wraps the page's ar
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections import Counter
@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import PerWorker, materialise
 
 #: Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 LEFT_OUT = frozenset(
-    "head script style noscript template iframe object svg math canvas button select option textarea input label fieldset "
+    "head script style noscript template iframe object svg canvas button select option textarea input label fieldset "
     "nav footer aside menu dialog audio video".split()
 )
 BLOCK = frozenset(
@@ -45,6 +45,7 @@ BLOCK = frozenset(
     "pre figure figcaption header footer nav aside address form fieldset hr details summary hgroup center".split()
 )
 ENDS_P = BLOCK - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "html", "body", "li", "dt", "dd"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure li tr td th dt dd".split())
 SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = frozenset("ul ol dl table tbody thead tfoot tr select".split())
@@ -60,10 +61,17 @@ FURNITURE_NAME = re.compile(rf"(?:(?:{'|'.join(ENDINGS)}|main|page|post|site|top
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
-@functools.lru_cache(maxsize=10_000)
+_judged = PerWorker()
+
+
 def is_furniture(name: str) -> bool:
     """Whether a class, id or role name is one of what is not the article."""
-    return FURNITURE_NAME.fullmatch(name) is not None
+    found = _judged.get(name)
+    if found is None:
+        if len(_judged) > 10_000:
+            _judged.clear()
+        found = _judged[name] = FURNITURE_NAME.fullmatch(name) is not None
+    return found
 
 
 class Node:
@@ -227,18 +235,46 @@ def blocks(node: Node) -> list[str]:
     return done
 
 
-def parts(tree: Node, inner: set[int]) -> list[tuple[str, str, bool]]:
-    """Blocks of a page as (place and text, text, inside one of the nodes with ids ``inner``).
+class Page:
+    """Blocks of a page in order, and the sections that they lie in.
 
-    The place is a hash of the signatures from the root to the block.
+    ``blocks`` are (place and text, text, inside, section, whether a heading): the place is a hash of the signatures from the
+    root to the block; ``section`` is the nearest element strictly inside the content that is more than a piece of text,
+    -1 for none. ``parents`` are the sections around sections, which come first.
     """
-    done, now, at = [], [], [("", False)]
+
+    def __init__(self):
+        self.blocks: list[tuple[str, str, bool, int, bool]] = []
+        self.parents: list[int] = []
+
+    def without(self, template, inside: bool) -> list[str]:
+        """Texts that are not template. Inside the content a block goes only with a whole section: one of which every block is
+        template, and not all are headings. A heading or label that stands among varying text stays."""
+        if not template:
+            return [t for _, t, *_ in self.blocks]
+        known = [_digest(place) in template for place, *_ in self.blocks]
+        varies, says = [False] * len(self.parents), [False] * len(self.parents)
+        for (*_, section, heading), k in zip(self.blocks, known):
+            for flags, up in ((varies, not k), (says, not heading)):
+                s = section
+                while up and s >= 0 and not flags[s]:
+                    flags[s] = True
+                    s = self.parents[s]
+        gone: list[bool] = []
+        for s, parent in enumerate(self.parents):
+            gone.append(inside and not varies[s] and (says[s] or (parent >= 0 and gone[parent])))
+        return [t for (_, t, within, s, _), k in zip(self.blocks, known) if not (k and (not within or (s >= 0 and gone[s])))]
+
+
+def parts(tree: Node, inner: set[int]) -> Page:
+    """The blocks of a page; ``inner`` are the ids of its content nodes."""
+    page, now, at = Page(), [], [("", False, -1, False)]
 
     def end():
         text = SPACE.sub(" ", "".join(now)).strip(" ")
         now.clear()
         if text:
-            done.append((f"{at[-1][0]} {text}", text, at[-1][1]))
+            page.blocks.append((f"{at[-1][0]} {text}", text, *at[-1][1:]))
 
     todo: list = [tree]
     while todo:  # a stack, as nesting may be deep
@@ -253,11 +289,15 @@ def parts(tree: Node, inner: set[int]) -> list[tuple[str, str, bool]]:
         elif not x.out:
             if x.tag in BLOCK:
                 end()
-                at.append((xxhash.xxh64_hexdigest(f"{at[-1][0]}/{x.sig}"), at[-1][1] or id(x) in inner))
+                place, within, section, _ = at[-1]
+                if within and x.tag not in TEXT_LEVEL:
+                    page.parents.append(section)
+                    section = len(page.parents) - 1
+                at.append((xxhash.xxh64_hexdigest(f"{place}/{x.sig}"), within or id(x) in inner, section, x.tag in HEADINGS))
                 todo.append(None)
             todo.extend(reversed(x.kids))
     end()
-    return done
+    return page
 
 
 class _Fold:
@@ -360,7 +400,7 @@ def _at(tree: Node, path: list[str]) -> list[Node]:
     return found if path else []
 
 
-def _read(html: str, wrapper: dict | None) -> list[tuple[str, str, bool]]:
+def _read(html: str, wrapper: dict | None) -> Page:
     tree = parse(html)
     return parts(tree, {id(n) for n in _at(tree, wrapper["path"])} if wrapper else set())
 
@@ -373,12 +413,7 @@ def extract(html: str | None, wrapper: dict | None) -> str:
     """Main text of one page; ``template`` of a wrapper holds digests of places and texts."""
     if not html:
         return ""
-    page = _read(html, wrapper)
-    template = wrapper["template"] if wrapper else ()
-    known = [bool(template) and _digest(place) in template for place, *_ in page]
-    if wrapper and not wrapper["inside"]:
-        known = [k and not inside for (*_, inside), k in zip(page, known)]
-    return " ".join(t for (_, t, _), k in zip(page, known) if not k)
+    return " ".join(_read(html, wrapper).without(wrapper["template"] if wrapper else (), bool(wrapper) and wrapper["inside"]))
 
 
 def _with_wrappers(rows: DataFrame, wrappers: DataFrame, broadcast_hosts: int) -> DataFrame:
@@ -409,10 +444,10 @@ def count_template(rows: DataFrame, wrappers: DataFrame, broadcast_hosts: int) -
         for frame in batches:
             hosts, contents, made = [], [], []
             for host, html, wrapper in zip(frame["__host"], frame["html"], frame["wrapper"]):
-                page = _read(html, json.loads(wrapper))
-                content = [t for _, t, inside in page if inside]
+                page = _read(html, json.loads(wrapper)).blocks
+                content = [t for _, t, inside, *_ in page if inside]
                 if content:
-                    found = {None: (sum(map(len, content)), True)} | {_digest(place): (len(t), inside) for place, t, inside in page}
+                    found = {None: (sum(map(len, content)), True)} | {_digest(place): (len(t), inside) for place, t, inside, *_ in page}
                     hosts += [host] * len(found)
                     contents += [_digest("\n".join(content))] * len(found)
                     made += [(block, *facts) for block, facts in found.items()]
@@ -457,10 +492,12 @@ def main_text(pages: DataFrame, sample_pages: int = 8, broadcast_hosts: int = 20
                     read[wrapper] = json.loads(wrapper)
                     read[wrapper]["template"] = set(read[wrapper]["template"])
                 texts.append(extract(html, read.get(wrapper)))
-            yield pd.DataFrame({"page_id": frame["page_id"].astype("Int64"), "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    joined = _with_wrappers(rows, wrappers, broadcast_hosts).select(F.col("page_id").cast("long"), "url", "html", "wrapper")
-    return joined.mapInPandas(apply, "page_id long, url string, text string, n_chars long")
+    # ids as strings: pandas would turn whole numbers beside a null into doubles
+    joined = _with_wrappers(rows, wrappers, broadcast_hosts).select(F.col("page_id").cast("long").cast("string").alias("page_id"), "url", "html", "wrapper")
+    read_ = joined.mapInPandas(apply, "page_id string, url string, text string, n_chars long")
+    return read_.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def op9_wrapper_text(spark, sf_dir: str) -> DataFrame:
