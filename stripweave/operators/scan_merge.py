@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,15 +15,18 @@ def merge_file_scan(old: DataFrame, new: DataFrame) -> DataFrame:
     """
     by_path = old.groupBy("project_uid", "file_path").agg(F.max_by("uid", "ord").alias("__path_uid"))
     by_hash = old.where("sha256 <> ''").groupBy("project_uid", "sha256").agg(F.max_by("uid", "ord").alias("__hash_uid"))
-    claims = new.join(by_path, ["project_uid", "file_path"], "left").join(by_hash, ["project_uid", "sha256"], "left")
-    uid = F.coalesce("__path_uid", "__hash_uid")
-    claims = claims.withColumn("__uid", uid)
-    # pages without a claim must not meet in one group: their key is their own place
-    alone = F.coalesce(F.col("__uid"), F.concat(F.lit("\0"), F.col("ord").cast("string")))
-    first = F.min("ord").over(Window.partitionBy("project_uid", alone))
+    by_hash = by_hash.withColumnRenamed("sha256", "__key")
+    # files that cannot match must not meet under one key: theirs is their own place
+    alone = F.concat(F.lit("\0"), F.col("ord").cast("string"))
+    claims = new.withColumn("__key", F.when(F.coalesce("sha256", F.lit("")) != "", F.col("sha256")).otherwise(alone))
+    claims = claims.join(by_path, ["project_uid", "file_path"], "left").join(by_hash, ["project_uid", "__key"], "left")
+    claims = claims.withColumn("__uid", F.coalesce("__path_uid", "__hash_uid")).withColumn("__claim", F.coalesce("__uid", alone))
+    # the first claim on each record: tasks send one minimum for each record that they meet, however many files claim it
+    first = claims.where("__uid IS NOT NULL").groupBy("project_uid", F.col("__uid").alias("__claim")).agg(F.min("ord").alias("__first"))
+    claims = claims.join(first, ["project_uid", "__claim"], "left")
     kind = (
         F.when(F.col("__path_uid").isNotNull(), "kept")
-        .when(F.col("__uid").isNotNull() & (F.col("ord") == first), "renamed")
+        .when(F.col("__uid").isNotNull() & (F.col("ord") == F.col("__first")), "renamed")
         .otherwise("added")
     )
     claims = claims.withColumn("change_type", kind)
@@ -51,5 +54,5 @@ def content_duplicates(files: DataFrame) -> DataFrame:
 
 
 def hash_files(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """``key, sha256`` of contents; null if unreadable."""
-    return rows.select(F.col(key).alias("key"), F.sha2(F.col(content), 256).alias("sha256"))
+    """``key, sha256`` of contents that a table holds; "" where there is none."""
+    return rows.select(F.col(key).alias("key"), F.coalesce(F.sha2(F.col(content), 256), F.lit("")).alias("sha256"))

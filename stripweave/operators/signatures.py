@@ -9,6 +9,11 @@ from ..functions.expressions import FORMAT_ORDINALS, POLICY_ORDINALS, joined, lo
 
 NEUTRAL = 1e-6
 CHANNELS = ("m", "r", "g", "b")
+#: Encoder options of an output profile that sets none.
+ENCODER_DEFAULTS = {
+    "jpeg_quality": 90, "jpeg_subsampling": 0, "jpeg_optimize": 1, "jpeg_progressive": 0, "png_compression": 6, "png_interlace": 0,
+    "webp_quality": 80, "webp_lossless": 0, "webp_effort": 4,
+}
 
 
 def six(value: Column) -> Column:
@@ -22,11 +27,10 @@ def canvas_render_fingerprint(profiles: DataFrame) -> DataFrame:
 
 
 def output_profile_signature(profiles: DataFrame, keep: tuple = ("id",)) -> DataFrame:
-    """``id, signature`` of output profiles; booleans as 0 or 1, enumerations as ordinals."""
+    """``id, signature`` of output profiles; booleans as 0 or 1, enumerations as ordinals. Encoder options that a profile leaves
+    null, or has no column for, are those of ``ENCODER_DEFAULTS``."""
     c = profiles.columns
-    option = {n: (F.col(n).cast("int") if n in c else F.lit(v)) for n, v in
-              {"jpeg_quality": 90, "jpeg_subsampling": 0, "jpeg_optimize": 1, "jpeg_progressive": 0, "png_compression": 6, "png_interlace": 0,
-               "webp_quality": 90, "webp_lossless": 0, "webp_effort": 4}.items()}
+    option = {n: (F.coalesce(F.col(n).cast("int"), F.lit(v)) if n in c else F.lit(v)) for n, v in ENCODER_DEFAULTS.items()}
     o = option
     text = joined(
         "w", F.col("target_width"), "h", F.col("slice_height"), "p", lookup(F.col("policy"), POLICY_ORDINALS), "f", lookup(F.col("format"), FORMAT_ORDINALS),

@@ -58,7 +58,8 @@ def canvas_render_fingerprint(v):
 
 
 OP_SIGNATURE = """'w' || target_width || 'h' || slice_height || 'p' || CASE policy WHEN 'PadWhite' THEN 0 WHEN 'Crop' THEN 1 ELSE 2 END
-   || 'f' || CASE format WHEN 'PNG' THEN 0 WHEN 'JPEG' THEN 1 ELSE 2 END || 'i' || start_index || ';jpeg90,0,1,0;png6,0;webp90,0,4;dpi'
+   || 'f' || CASE format WHEN 'PNG' THEN 0 WHEN 'JPEG' THEN 1 ELSE 2 END || 'i' || start_index || ';jpeg' || coalesce(jpeg_quality, 90) || ',0,1,0;png' || coalesce(png_compression, 6) || ',0;webp' || coalesce(webp_quality, 80)
+   || ',' || CASE WHEN webp_lossless THEN 1 ELSE 0 END || ',4;dpi'
    || CASE WHEN dpi = floor(dpi) THEN CAST(CAST(dpi AS BIGINT) AS VARCHAR) ELSE CAST(dpi AS VARCHAR) END"""
 
 

@@ -10,6 +10,8 @@ from ..operators import match as M
 from ..operators import scan_merge as R
 from ..operators import signatures as S
 from ..operators import staleness as T
+from ..sources import files as FS
+from ..sources.kept import keep, scratch
 from . import configuration, geometry, matching
 from .registry import Views, query
 
@@ -313,6 +315,36 @@ def content_duplicates(v):
     return R.content_duplicates(v("v_scan_new"))
 
 
-@query("SELECT doc_id AS key, sha256(text) AS sha256 FROM documents")
+CHECKED_DOCUMENTS = """SELECT doc_id AS key, CASE WHEN doc_id % 13 = 5 THEN false ELSE true END AS found, CASE WHEN doc_id % 13 = 5 OR doc_id % 7 = 3 THEN '' ELSE sha256(coalesce(text, '')) END AS disk_sha256,
+       CASE WHEN doc_id % 13 = 5 THEN 'Missing' WHEN doc_id % 7 = 3 AND doc_id % 4 = 1 THEN 'Error' WHEN doc_id % 4 = 1 THEN 'Processed'
+            WHEN doc_id % 7 = 3 OR doc_id % 5 = 0 THEN 'Modified' ELSE 'Processed' END AS status FROM documents"""
+
+
+def checked_documents(v: Views):
+    """Documents written as files (a share of them lost, or shorter than their listing), planned, hashed and compared."""
+    folder, i = f"{scratch(v.spark)}/files", F.col("doc_id")
+    path = F.concat(F.lit(f"{folder}/"), i.cast("string"), F.lit(".txt"))
+    text = F.coalesce("text", F.lit(""))
+    recorded = F.when(i % 5 == 0, F.sha2(F.concat(F.lit("older"), text), 256)).otherwise(F.sha2(text, 256))
+    status = F.when(i % 4 == 1, "Error").otherwise("Processed")
+    inputs = keep(v("documents").select(F.concat(F.lit("ws-"), (i % 50).cast("string")).alias("project_uid"), path.alias("file_path"), status.alias("status"), recorded.alias("sha256"), i.alias("key")))
+    written = keep(FS.write_files(v("documents").where(i % 13 != 5).select(path.alias("path"), text.alias("content"))))
+    listing = written.withColumn("length", F.col("length") + F.when(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long") % 7 == 3, 1).otherwise(0))
+    none = inputs.limit(0).select("project_uid", F.col("file_path").alias("file_name"), "sha256")
+    checks = keep(FS.check_files(T.disk_check_plan(inputs, none), listing, 16 << 20))
+    files_ = inputs.select("project_uid", F.lit("input").alias("kind"), F.col("file_path").alias("path"), "status", "sha256")
+    after = T.apply_disk_checks(files_, checks).select("path", "status")
+    key = F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("key")
+    return checks.join(after, "path").select(key, "found", "disk_sha256", "status")
+
+
+@query(CHECKED_DOCUMENTS, "documents")
+def check_files_on_disk(v):
+    """From the plan of a disk check over the bytes of the files to their status."""
+    return checked_documents(v)
+
+
+@query("SELECT key, disk_sha256 AS sha256 FROM checked_documents WHERE found", "checked_documents", more={"checked_documents": CHECKED_DOCUMENTS})
 def hash_files(v):
-    return R.hash_files(v("documents"), "doc_id", "text")
+    """Hashes of files as they lie on disk; "" where a file is shorter than listed."""
+    return checked_documents(v).where("found").select("key", F.col("disk_sha256").alias("sha256"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import pixels as X
 from ..sources import documents as D
 from ..sources import files as S
+from ..sources.kept import keep, scratch
+from ..sources.state import State
 from ..streaming import catalogue as C
 from . import geometry
 from .geometry import HEIGHT
@@ -65,9 +70,43 @@ def display_orientation(v):
     return S.display_orientation(headers(v))
 
 
-@query(SIDES.replace("FROM headers", ", CAST(3 + orientation % 2 AS BIGINT) AS bands FROM headers"), "headers", more={"headers": HEADERS})
+HEADS = """SELECT k AS n, CASE WHEN k % 31 = 0 THEN -1 WHEN turn BETWEEN 5 AND 8 THEN height ELSE width END AS width, CASE WHEN k % 31 = 0 THEN -1 WHEN turn BETWEEN 5 AND 8 THEN width ELSE height END AS height,
+                  CASE WHEN k % 31 = 0 THEN 0 WHEN k % 3 = 2 THEN 3 WHEN k % 2 = 0 THEN 3 ELSE 1 END AS bands
+           FROM (SELECT ordinal AS k, width, height, CASE WHEN ordinal % 3 = 0 THEN 1 ELSE 1 + ordinal % 8 END AS turn FROM v_canvas_profiles) q"""
+
+
+def _head(kind: int, width: int, height: int, bands: int, turn: int) -> bytes:
+    """The first bytes of a PNG (0), JPEG (1) or TIFF (2) of a size; the turned ones say so in their Exif data."""
+    colour = {1: 0, 3: 2}[bands]
+    if kind == 0:
+        return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBBI", 13, b"IHDR", width, height, 8, colour, 0, 0, 0, 0) + struct.pack(">I4sI", 0, b"IDAT", 0)
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (274, 3, 1, turn), (277, 3, 1, bands)] if kind == 2 else [(274, 3, 1, turn)]
+    tiff = b"II*\0" + struct.pack("<IH", 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0)
+    if kind == 2:
+        return tiff
+    exif = b"Exif\0\0" + tiff
+    frame = struct.pack(">BHHB", 8, height, width, bands) + b"\x01\x11\x00" * bands
+    return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + b"\xff\xc0" + struct.pack(">H", len(frame) + 2) + frame
+
+
+@query(HEADS, "v_canvas_profiles")
 def scan_image_headers(v):
-    return S.display_orientation(headers(v).withColumn("bands", (3 + F.col("orientation") % 2).cast("long")), "bands")
+    """An image for each canvas profile, written as a PNG, JPEG or TIFF head (some cut short), and read back from the files."""
+    folder, k = f"{scratch(v.spark)}/images", F.col("ordinal")
+    rows = v("v_canvas_profiles").select(
+        F.concat(F.lit(f"{folder}/"), k.cast("string"), F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".tif")), (k % 3 + 1).cast("int"))).alias("path"),
+        (k % 3).alias("kind"), "width", "height", F.when((k % 3 == 2) | (k % 2 == 0), 3).otherwise(1).alias("bands"), (1 + k % 8).alias("turn"), (k % 31 == 0).alias("cut"),
+    )
+    head = _head
+
+    @F.pandas_udf("binary")
+    def content(kind: pd.Series, width: pd.Series, height: pd.Series, bands: pd.Series, turn: pd.Series, cut: pd.Series) -> pd.Series:
+        made = (head(*map(int, row)) for row in zip(kind, width, height, bands, turn))
+        return pd.Series([data[:12] if c else data for data, c in zip(made, cut)], dtype=object)
+
+    files = keep(S.write_files(rows.select("path", content("kind", "width", "height", "bands", "turn", "cut").alias("content"))))
+    found = S.scan_image_headers(v.spark, folder) if not files.isEmpty() else files.select("path", *[F.lit(0).cast("long").alias(c) for c in ("width", "height", "bands")])
+    return found.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("n"), "width", "height", "bands")
 
 
 @query(
@@ -320,8 +359,17 @@ def render_event_counts(v):
     "v_inputs", "v_disk_checks",
 )
 def disk_check_stream(v):
-    """The batch form of the stream: results against older hashes and older results are given along with the last ones."""
-    files = v("v_inputs").select("project_uid", F.lit("input").alias("kind"), F.col("file_path").alias("path"), "status", "sha256")
-    checks = v("v_disk_checks").withColumnRenamed("file_path", "path")
+    """Checks arrive as files in two batches; the second is run again as after a failure before its commit, and finds itself done."""
+    folder = scratch(v.spark)
+    state = State(v.spark, f"{folder}/state")
+    state.publish({"files": v("v_inputs").select("project_uid", F.lit("input").alias("kind"), F.col("file_path").alias("path"), "status", "sha256")})
+    checks = v("v_disk_checks").withColumnRenamed("file_path", "path").withColumn("checked_at", F.lit(2))
     older = checks.withColumns({"disk_sha256": F.lit("stale"), "checked_at": F.lit(1)})
-    return C.apply_check_batch(files, checks.withColumn("checked_at", F.lit(2)).unionByName(older))
+    source = v.spark.readStream.schema(checks.schema).parquet(f"{folder}/checks")
+    for batch in (older, checks):
+        batch.write.mode("append").parquet(f"{folder}/checks")
+        C.disk_check_stream(source, state, f"{folder}/checkpoint").awaitTermination()
+    done = v.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/checkpoint/commits/1")
+    done.getFileSystem(v.spark._jsc.hadoopConfiguration()).delete(done, False)
+    C.disk_check_stream(source, state, f"{folder}/checkpoint").awaitTermination()
+    return state.read("files").drop("bucket")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import extension_of
 from .headers import UNREADABLE, image_header
+from .kept import running_total
 
 #: Fixed value: extensions of page images.
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
@@ -51,6 +52,49 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
+def write_files(rows: DataFrame) -> DataFrame:
+    """Write ``content`` of each row to ``path``, on any store that Arrow knows; returns ``path, length``, once for each row written.
+
+    The frame that is returned writes when it runs, and once more whenever it runs again: keep it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in batches:
+            for path, content in zip(frame["path"], frame["content"]):
+                scheme = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S)
+                if scheme[1] in (None, "file"):
+                    store, inner = fs.LocalFileSystem(), re.sub("^//+", "/", scheme[2])
+                else:
+                    store, inner = fs.FileSystem.from_uri(path)
+                store.create_dir(inner.rsplit("/", 1)[0])
+                with store.open_output_stream(inner) as f:
+                    f.write(content)
+            yield pd.DataFrame({"path": frame["path"], "length": frame["content"].map(len)})
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, length long")
+
+
+def dealt_by_length(listing: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
+    """The listing in tasks of about ``bytes_per_task`` each, however the lengths differ; a longer file has a task of its own."""
+    summed = running_total(listing, ["path"], F.col("length"), "__to").withColumn("__bin", F.expr(f"(__to - length) div {bytes_per_task}"))
+    last = summed.agg(F.max("__bin")).first()[0] or 0
+    return summed.repartitionByRange(int(last) + 1, "__bin").drop("__to", "__bin")
+
+
+def check_files(plan: DataFrame, listing: DataFrame, bytes_per_task: int = 1 << 30) -> DataFrame:
+    """Results ``project_uid, path, recorded_sha256, found, disk_sha256`` of a disk check plan.
+
+    Only files that the plan names are opened, each once however many records name it; tasks read about ``bytes_per_task``.
+    A file that cannot be read, or gives other than the listed number of bytes, is found with the hash "".
+    """
+    wanted = listing.join(plan.select("path").distinct(), "path", "left_semi").select("path", "length")
+    hashes = hash_of(dealt_by_length(wanted, bytes_per_task)).withColumnRenamed("key", "path").withColumn("found", F.lit(True))
+    rows = plan.join(hashes, "path", "left")
+    return rows.select("project_uid", "path", "recorded_sha256", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("sha256", F.lit("")).alias("disk_sha256"))
+
+
 def hash_listed(spark: SparkSession, folder: str) -> DataFrame:
     """``key, sha256`` of a folder's files."""
     return hash_of(list_files(spark, folder))

@@ -68,11 +68,12 @@ VIEWS: dict[str, str] = {
                max(l_partkey % 256) AS r, max(l_suppkey % 256) AS g, max(l_orderkey % 256) AS b, max(l_linenumber * 36) AS a
         FROM {lineitem} GROUP BY l_orderkey, l_partkey % 64, l_suppkey % 64""",
     "v_output_profiles": """
-        SELECT id, ordinal, name, target_width, slice_height, policy, format, start_index, CAST(dpi AS DOUBLE) AS dpi
-        FROM (VALUES ('op-1', 1, 'Plain', 800, 1280, 'KeepAsIs', 'JPEG', 1, 72.0),
-                              ('op-2', 2, 'Wide', 940, 1504, 'Crop', 'PNG', 5, 72.5),
-                              ('op-3', 3, 'Print', 1200, 1600, 'PadWhite', 'WebP', 998, 300.0))
-               AS t(id, ordinal, name, target_width, slice_height, policy, format, start_index, dpi)""",
+        SELECT id, ordinal, name, target_width, slice_height, policy, format, start_index, CAST(dpi AS DOUBLE) AS dpi,
+               jpeg_quality, png_compression, webp_quality, webp_lossless
+        FROM (VALUES ('op-1', 1, 'Plain', 800, 1280, 'KeepAsIs', 'JPEG', 1, 72.0, CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS INT), CAST(NULL AS BOOLEAN)),
+                              ('op-2', 2, 'Wide', 940, 1504, 'Crop', 'PNG', 5, 72.5, 85, 9, NULL, false),
+                              ('op-3', 3, 'Print', 1200, 1600, 'PadWhite', 'WebP', 998, 300.0, NULL, NULL, 75, true))
+               AS t(id, ordinal, name, target_width, slice_height, policy, format, start_index, dpi, jpeg_quality, png_compression, webp_quality, webp_lossless)""",
     # a file may have a check against an older recorded hash besides that of today
     "v_disk_checks": """
         SELECT project_uid, file_path, pk % 11 <> 0 AS found,
@@ -101,7 +102,8 @@ VIEWS: dict[str, str] = {
     "v_projects_then": """
         SELECT project_uid, CASE WHEN k % 10 = 1 THEN 'op-2' ELSE output_profile_id END AS output_profile_id, k, ws FROM {v_projects} WHERE k % 5 <> 0""",
     "v_output_profiles_then": """
-        SELECT id, ordinal, name, target_width, CASE WHEN id = 'op-3' THEN slice_height + 100 ELSE slice_height END AS slice_height, policy, format, start_index, dpi
+        SELECT id, ordinal, name, target_width, CASE WHEN id = 'op-3' THEN slice_height + 100 ELSE slice_height END AS slice_height, policy, format, start_index, dpi,
+               jpeg_quality, CASE WHEN id = 'op-2' THEN 6 ELSE png_compression END AS png_compression, webp_quality, webp_lossless
         FROM {v_output_profiles}""",
     "v_canvas_profiles_then": """
         SELECT id, ordinal, name, width, CASE WHEN ordinal % 11 = 0 THEN height + 128 ELSE height END AS height,

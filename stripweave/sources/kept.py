@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own_folder: dict[str, str] = {}
 
@@ -38,6 +39,42 @@ def keep(df: DataFrame) -> DataFrame:
     return made
 
 
+def keep_bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """``keep`` dealt into ``n`` buckets by ``key``: joins and sums by it need no shuffle of the table any more.
+
+    Spark writes buckets only as tables of its catalog; the entry is dropped at once, the frame needs the files alone.
+    """
+    spark, name = df.sparkSession, f"stripweave_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    delete_at_end(spark, path)
+    made = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    made.kept_in = path
+    return made
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name below the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/stripweave-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
+
+
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows up to this one in the total order ``order``.
+
+    Ranges of rows are summed on their own and shifted by the sums of the ranges before them, so no task sees more than its range.
+    """
+    ranged = keep(df.withColumn("__v", value).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("__part").agg(F.sum("__v").alias("__s"))  # one row for each range
+    sums = sums.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__shift"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    shifted = F.sum("__v").over(inside) + F.col("__shift")
+    return ranged.join(F.broadcast(sums), "__part").withColumn(name, shifted).drop("__part", "__v", "__shift")
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """Delete a path of any store when the driver's JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

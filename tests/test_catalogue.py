@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stripweave.operators import identity, layout, match, overlays, packaging, pixels, profiles, scan_merge, signatures, staleness
-from stripweave.sources import documents, files
+from stripweave.sources import documents, files, state
 from stripweave.streaming import catalogue as stream
 
 
@@ -297,38 +297,110 @@ def test_bundles_of_other_versions_are_refused(spark):
     assert [r.id for r in good.collect()] == ["x"] and {r.bundle_id: r.reason for r in bad.collect()} == {"b": "newer version", "c": "no version"}
 
 
-def test_stream_of_checks_equals_the_batch(spark, tmp_path):
-    schema = "project_uid string, path string, recorded_sha256 string, found boolean, disk_sha256 string, checked_at timestamp"
-    table = frame(spark, [("p", "input", "a", "Pending", "1"), ("p", "input", "b", "Processed", "2")], "project_uid string, kind string, path string, status string, sha256 string")
-    checks = spark.sql("""SELECT 'p' AS project_uid, path, recorded AS recorded_sha256, true AS found, disk AS disk_sha256, timestamp(at) AS checked_at FROM VALUES
-                          ('a', '1', '9', '2024-01-01 00:00:00'), ('a', '1', '1', '2024-01-01 00:05:00'), ('a', '1', '1', '2024-01-01 00:05:00'), ('b', '0', '0', '2024-01-01 00:06:00') AS t(path, recorded, disk, at)""")
-    checks.repartition(1).write.parquet(str(tmp_path / "in"))
-    state = {"files": table}
+CHECKS = "project_uid string, path string, recorded_sha256 string, found boolean, disk_sha256 string, checked_at timestamp"
+FILES = "project_uid string, kind string, path string, status string, sha256 string"
 
-    def keep(rows):
-        done = rows.collect()
-        state["files"] = spark.createDataFrame(done, table.schema)
 
-    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    stream.disk_check_stream(source, lambda: state["files"], keep, str(tmp_path / "ck")).awaitTermination(120)
-    got = sorted((r.path, r.status) for r in state["files"].collect())
-    assert got == sorted((r.path, r.status) for r in stream.apply_check_batch(table, checks).collect()) == [("a", "Processed"), ("b", "Processed")]
+def one_check(spark, project, path, at, found=True, disk="1", recorded="1"):
+    return spark.sql(
+        f"SELECT '{project}' AS project_uid, '{path}' AS path, '{recorded}' AS recorded_sha256, {str(found).lower()} AS found, '{disk}' AS disk_sha256, timestamp('2024-01-01 {at}:00') AS checked_at"
+    )
 
 
-def test_late_results_still_count(spark, tmp_path):
-    schema = "project_uid string, path string, recorded_sha256 string, found boolean, disk_sha256 string, checked_at timestamp"
-    table = frame(spark, [(p, "input", "a", "Pending", "1") for p in "pqr"], "project_uid string, kind string, path string, status string, sha256 string")
-    written = {}
+def test_stream_of_checks_equals_the_batch(spark, tmp_path):
+    table = frame(spark, [("p", "input", f, "Pending", "1") for f in "abc"] + [("q", "output", "a", "Done", "2")], FILES)
+    kept = state.State(spark, str(tmp_path / "state"))
+    kept.publish({"files": table})
+    rows = [one_check(spark, "p", "a", "12:00", disk="9"), one_check(spark, "p", "a", "13:00"), one_check(spark, "p", "b", "09:00", found=False, disk=""), one_check(spark, "q", "a", "11:00", recorded="1")]
+    for row in rows:
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(CHECKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.disk_check_stream(source, kept, str(tmp_path / "ck")).awaitTermination(120)
+    want = stream.apply_check_batch(table, rows[0].union(rows[1]).union(rows[2]).union(rows[3])).collect()
+    assert sorted(tuple(r) for r in kept.read("files").drop("bucket").collect()) == sorted(tuple(r) for r in want)
+    assert {(r.project_uid, r.path): r.status for r in want} == {("p", "a"): "Processed", ("p", "b"): "Missing", ("p", "c"): "Pending", ("q", "a"): "Done"}
 
-    def keep(rows):
-        written.update({r.project_uid: r.status for r in rows.collect()})
 
+def test_late_results_still_count(spark, tmp_path):
+    kept = state.State(spark, str(tmp_path / "state"))
+    kept.publish({"files": frame(spark, [(p, "input", "a", "Pending", "1") for p in "pqr"], FILES)})
     for project, at in [("p", "12:00"), ("q", "15:00"), ("r", "09:00")]:
-        row = spark.sql(f"SELECT '{project}' AS project_uid, 'a' AS path, '1' AS recorded_sha256, true AS found, '1' AS disk_sha256, timestamp('2024-01-01 {at}:00') AS checked_at")
-        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.disk_check_stream(source, lambda: table, keep, str(tmp_path / "ck")).awaitTermination(120)
-    assert written == {"p": "Processed", "q": "Processed", "r": "Processed"}
+        one_check(spark, project, "a", at).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(CHECKS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.disk_check_stream(source, kept, str(tmp_path / "ck")).awaitTermination(120)
+    assert {r.project_uid: r.status for r in kept.read("files").collect()} == {"p": "Processed", "q": "Processed", "r": "Processed"}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    kept = state.State(spark, str(tmp_path / "state"))
+    kept.publish({"files": frame(spark, [(f"p{i}", "input", "a", "Pending", "1") for i in range(50)], FILES)})
+    batch = one_check(spark, "p7", "a", "12:00")
+    stream.upsert_checks(kept, batch, "s:0")
+    version, first = kept.version(), kept.manifest()
+    stream.upsert_checks(kept, one_check(spark, "p7", "a", "13:00", found=False), "s:0")  # the same batch number
+    assert kept.version() == version == 1 and kept.manifest() == first
+    changed = {b for b, v in first["tables"]["files"].items() if v != kept.manifest(0)["tables"]["files"][b]}
+    assert changed == {str(b) for b in kept.touched(batch)}  # other buckets are not written again
+    stream.upsert_checks(kept, batch.limit(0), "s:1")
+    assert kept.version() == 1
+
+
+def test_of_two_writers_one_gets_through(spark, tmp_path):
+    kept = state.State(spark, str(tmp_path / "state"), buckets=4)
+    rows = frame(spark, [(f"p{i}", i) for i in range(20)], "project_uid string, n int")
+    kept.publish({"a": rows, "b": rows})
+    base = kept.manifest()
+    before = kept.read("a", manifest=base)
+    kept.publish({"a": rows.withColumn("n", F.col("n") + 100)}, base=base)
+    with pytest.raises(state.VersionConflict):
+        kept.publish({"a": rows.withColumn("n", F.col("n") + 200)}, base=base)
+    assert min(r.n for r in kept.read("a").collect()) == 100 and kept.version() == 1
+    assert sorted(r.n for r in before.collect()) == list(range(20))  # a reader keeps the version that it began with
+    assert sorted(r.n for r in kept.read("b").collect()) == list(range(20))
+    one = kept.touched(rows.where("n = 3"))
+    kept.publish({"a": rows.limit(0), "b": rows.limit(0)}, one)
+    left = {r.project_uid for r in kept.read("a").collect()}
+    assert left == {r.project_uid for r in rows.where(~kept.bucket().isin(one)).collect()} and left == {r.project_uid for r in kept.read("b").collect()}
+    with pytest.raises(ValueError):
+        kept.publish({"a": rows}, one)
+
+
+def test_a_run_on_few_projects_reads_few_buckets(spark, tmp_path):
+    kept = state.State(spark, str(tmp_path / "state"), buckets=8)
+    kept.publish({"outputs": frame(spark, [(f"p{i}", f"f{i}") for i in range(400)], "project_uid string, file_name string")})
+    run = frame(spark, [("p3",)], "project_uid string").withColumn("bucket", kept.bucket())
+    few = kept.read("outputs").join(F.broadcast(run.where("project_uid = 'p3'")), ["bucket", "project_uid"])
+    assert [r.file_name for r in few.collect()] == ["f3"]
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    assert len(kept.read("outputs", kept.touched(run)).inputFiles()) == 1 < len(kept.read("outputs").inputFiles())
+
+
+def test_one_hash_in_all_files(spark):
+    """A blank page that very many new files repeat: one claim wins, no window holds them together."""
+    old = frame(spark, [("p", "u0", "/a", "blank", 0), ("p", "u1", "/b", "x", 1)], "project_uid string, uid string, file_path string, sha256 string, ord long")
+    new = spark.range(20_000).select(F.lit("p").alias("project_uid"), F.concat(F.lit("/n"), F.col("id").cast("string")).alias("file_path"), F.lit("blank").alias("sha256"), (20_000 - F.col("id")).alias("ord"))
+    merged = scan_merge.merge_file_scan(old, new)
+    assert "Window" not in merged._jdf.queryExecution().executedPlan().toString()
+    kinds = {r.change_type: r.n for r in merged.groupBy("change_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds == {"renamed": 1, "added": 19_999, "removed": 1}
+    assert merged.where("change_type = 'renamed'").first().ord == 1
+
+
+def test_files_are_checked_from_plan_to_status(spark, tmp_path):
+    contents = {f"f{i}": bytes([i]) * (1 + 400 * (i % 5)) for i in range(20)}
+    listing = [(f"{tmp_path}/d/{n}", c) for n, c in contents.items()]
+    written = files.write_files(frame(spark, listing, "path string, content binary")).persist()
+    assert {r.path: r.length for r in written.collect()} == {p: len(c) for p, c in listing}
+    plan = [("p", "input", p, hashlib.sha256(c).hexdigest()) for p, c in listing[:8]] + [("q", "input", listing[0][0], "other"), ("p", "input", f"{tmp_path}/d/none", "1")]
+    (tmp_path / "d" / "f1").write_bytes(b"shorter")
+    checks = files.check_files(frame(spark, plan, "project_uid string, kind string, path string, recorded_sha256 string"), written, 1000)
+    got = {(r.project_uid, r.path.rsplit("/", 1)[1]): (r.found, r.disk_sha256) for r in checks.collect()}
+    want = {("p", n): (True, "" if n == "f1" else hashlib.sha256(c).hexdigest()) for n, c in list(contents.items())[:8]}
+    assert got == want | {("q", "f0"): (True, hashlib.sha256(contents["f0"]).hexdigest()), ("p", "none"): (False, "")}
+    dealt = files.dealt_by_length(written, 1000).withColumn("part", F.spark_partition_id())
+    sums = {r.part: (r.n, r.s) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("s")).collect()}
+    assert len(sums) > 3 and all(s <= 1000 + 1601 for _, s in sums.values())
 
 
 def test_names_asked_for(spark):
