@@ -1 +1,10 @@
-"""Strip-content catalogue operators for Spark: DataFrame in, DataFrame out."""
+"""Strip catalogues and text corpora on Spark.
+
+Functions that run inside tasks are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -84,9 +84,14 @@ def canvas_flags(changes: DataFrame, ids_now: DataFrame, ids_then: DataFrame) ->
 def staleness_report(projects: DataFrame, files_ok: DataFrame, outputs: DataFrame, canvas: DataFrame, composition: DataFrame) -> DataFrame:
     """Flags of each project.
 
-    Projects carry ``output_then, output_now`` and ``processing_then, processing_now`` signatures (null or
-    empty: none) and the wanted ``ext``. An output signature that was never recorded is no change.
+    Projects carry ``output_then, output_now`` signatures (null or empty: none), the wanted ``ext`` and either
+    ``processing_changed`` or the signatures ``processing_then, processing_now``. An output signature that was never
+    recorded is no change.
     """
+    if "processing_changed" in projects.columns:
+        processing = F.coalesce("processing_changed", F.lit(False))
+    else:
+        processing = F.coalesce("processing_then", F.lit("")) != F.coalesce("processing_now", F.lit(""))
     first = outputs.groupBy("project_uid").agg(F.min_by("file_name", "idx").alias("__first"))
     rows = (
         projects.join(first, "project_uid", "left")
@@ -102,7 +107,7 @@ def staleness_report(projects: DataFrame, files_ok: DataFrame, outputs: DataFram
         (~F.coalesce("up_to_date", F.lit(True))).alias("content_dirty"),
         (F.coalesce(F.col("output_then") != "", F.lit(False)) & (F.col("output_then") != F.col("output_now"))).alias("output_profile_changed"),
         ((ext != "") & (ext != F.col("ext"))).alias("output_format_changed"),
-        (F.coalesce("processing_then", F.lit("")) != F.coalesce("processing_now", F.lit(""))).alias("processing_changed"),
+        processing.alias("processing_changed"),
         (has & F.coalesce("__comp", F.lit(False))).alias("composition_changed"),
         (has & (F.coalesce("pages_changed", F.lit(False)) | F.coalesce("list_changed", F.lit(False)))).alias("canvas_changed"),
         (has & F.coalesce("list_changed", F.lit(False))).alias("list_changed"),

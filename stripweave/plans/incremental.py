@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expressions import EXTENSIONS, lookup
+from ..operators import canvas_changes as C
 from ..operators import layout as L
-from ..operators import match as M
 from ..operators import scan_merge as R
 from ..operators import signatures as S
 from ..operators import staleness as T
@@ -84,10 +84,12 @@ MORE = geometry.MORE | matching.MORE | configuration.processing_sql() | configur
 
 
 def outputs(v: Views):
+    """One row for each slice of a strip: as many as the summed heights of its pages fill."""
     i = F.col("idx")
 
     def build():
-        slices = geometry.segments(v).select("project_uid", F.col("slice_index").alias("idx")).distinct()
+        totals = L.strip_totals(geometry.scaled(v)).where("total_height > 0")
+        slices = totals.select("project_uid", F.explode(F.expr(f"sequence(CAST(0 AS BIGINT), (total_height - 1) div {geometry.HEIGHT})")).alias("idx"))
         ext = F.when(F.col("project_uid").endswith("7"), ".png").otherwise(".jpg")
         return slices.withColumns(
             {
@@ -113,25 +115,22 @@ def palette(v: Views):
     return S.canvas_render_fingerprint(v("v_canvas_profiles"))
 
 
-def catalogue_then(v: Views):
-    """Projects with the links and the palette that the last run saw."""
-    return v("v_projects"), v("v_links_then"), v("v_canvas_profiles_then")
-
-
 def pages(v: Views):
     """Pages with today's match, the recorded one, and whether that is a change."""
 
     def build():
-        rows = M.match_pages(v("v_page_files"), *matching.catalogue(v)).drop("__other")
-        rows = M.match_pages(rows, *catalogue_then(v), name="profile_then").drop("__other").join(v("v_pages_then"), ["project_uid", "uid"])
-        marks = S.canvas_render_fingerprint(v("v_canvas_profiles_then")).select(F.col("id").alias("profile_then"), F.col("signature").alias("fingerprint_then"))
-        return T.canvas_staleness(rows.join(marks, "profile_then", "left"), palette(v))
+        return C.page_changes(v("v_page_files").join(v("v_pages_then"), ["project_uid", "uid"]), v("v_projects"), *catalogues(v))
 
     return v.once("pages", build)
 
 
+def catalogues(v: Views):
+    """Links and palette of today, and those that the last run saw."""
+    return (v("v_links"), v("v_canvas_profiles")), (v("v_links_then"), v("v_canvas_profiles_then"))
+
+
 def canvas(v: Views):
-    return T.canvas_flags(pages(v), M.effective_ids(*matching.catalogue(v)), M.effective_ids(*catalogue_then(v)))
+    return C.change_flags(pages(v), v("v_projects"), *catalogues(v))
 
 
 def listed(rows, order: str, name: str):
@@ -141,27 +140,33 @@ def listed(rows, order: str, name: str):
 
 
 def signatures(v: Views):
-    """Projects with the signatures of today and those recorded by the last run."""
+    """Projects with the output signatures of today and of the last run, and whether their processing changed."""
     now = S.output_profile_signature(geometry.profiled(v), ("project_uid", "format")).withColumnRenamed("signature", "output_now")
     then = S.output_profile_signature(geometry.profiled(v, "_then"), ("project_uid",)).withColumnRenamed("signature", "output_then")
-    processing = S.processing_signature(v("v_grades"), v("v_curve_points"), v("v_exclusions"), v("v_overlays"))
-    before = S.processing_signature(v("v_grades_then"), v("v_curve_points"), v("v_exclusions"), v("v_overlays_then"))
-    rows = now.join(then, "project_uid", "left").join(processing.withColumnRenamed("signature", "processing_now"), "project_uid", "left")
-    return rows.join(before.withColumnRenamed("signature", "processing_then"), "project_uid", "left").withColumn("ext", lookup(F.col("format"), EXTENSIONS))
+    same = {"points": v("v_curve_points"), "exclusions": v("v_exclusions")}
+    changes = C.processing_changes(
+        {"grades": v("v_grades"), "overlays": v("v_overlays")} | same, {"grades": v("v_grades_then"), "overlays": v("v_overlays_then")} | same
+    )
+    rows = now.join(then, "project_uid", "left").join(changes, "project_uid", "left")
+    return rows.withColumn("ext", lookup(F.col("format"), EXTENSIONS))
 
 
 def report(v: Views):
-    # pages, slices and their files are read by several parts of the report and by what follows it
-    v.keep("v_inputs")
-    v.keep("segments", lambda: geometry.segments(v))
-    v.keep("outputs", lambda: outputs(v))
-    v.keep("pages", lambda: pages(v))
+    # pages are read by every part of the report, matched ones by two parts and by what follows
+    v.keep("v_inputs", by="project_uid")
+    v.keep("v_links", by="project_uid")
+    v.keep("pages", lambda: pages(v), by="project_uid")
     composition = L.sequence_change(listed(v("v_inputs"), "ord", "now"), listed(v("v_order_then"), "pos", "baseline"))
-    return v.keep("report", lambda: T.staleness_report(signatures(v), T.up_to_date(v("v_projects"), checked(v)), outputs(v), canvas(v), composition))
+    return v.once("report", lambda: T.staleness_report(signatures(v), T.up_to_date(v("v_projects"), checked(v)), outputs(v), canvas(v), composition))
 
 
 def stale(v: Views):
-    return v.once("stale", lambda: T.file_staleness(report(v), pages(v), outputs(v), geometry.segments(v)))
+    def build():
+        # files of inputs and outputs meet the report each
+        flags = v.keep("report", lambda: report(v), by="project_uid")
+        return T.file_staleness(flags, pages(v), outputs(v), geometry.segments(v))
+
+    return v.once("stale", build)
 
 
 @query(
@@ -195,7 +200,6 @@ def canvas_staleness(v):
 
 @query("SELECT project_uid, pages_changed, list_changed FROM canvas", "canvas", more=MORE)
 def canvas_list_staleness(v):
-    v.keep("pages", lambda: pages(v))
     return canvas(v)
 
 
@@ -338,7 +342,7 @@ def checked_documents(v: Views):
     return checks.join(after, "path").select(key, "found", "disk_sha256", "status")
 
 
-@query(CHECKED_DOCUMENTS, "documents")
+@query(CHECKED_DOCUMENTS)
 def check_files_on_disk(v):
     """From the plan of a disk check over the bytes of the files to their status."""
     return checked_documents(v)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..sources.fixtures import cte, duck, view
-from ..sources.kept import keep
+from ..sources.kept import keep, keep_bucketed
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +27,11 @@ class Views:
             self._made[name] = build()
         return self._made[name]
 
-    def keep(self, name: str, build: Callable[[], DataFrame] | None = None) -> DataFrame:
-        """The frame or view ``name``, written once: for what a plan reads three times or more."""
+    def keep(self, name: str, build: Callable[[], DataFrame] | None = None, by: str | None = None) -> DataFrame:
+        """The frame or view ``name``, written once: for what a plan reads three times or more. ``by`` buckets it by a key."""
         if name not in self._kept:
-            self._made[name] = keep(self.once(name, build) if build else self(name))
+            rows = self.once(name, build) if build else self(name)
+            self._made[name] = keep_bucketed(rows, by, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if by else keep(rows)
             self._kept.add(name)
         return self._made[name]
 
