@@ -4,8 +4,8 @@ For every host a bounded sample of its distinct pages (``sample_pages``, chosen
 aligned by simple tree matching. Aligned nodes with different texts are slots; the path to the node that
 holds most of them is the host's content. Then every page is read: a block that stands at the same place
 with the same text on two or more, and on more than half, of a host's distinct pages that the path fits
-is template. Beside the content template goes block by block; inside it only whole sections go, all of whose blocks are
-template and not headings alone: a subheading or label that articles share stands among varying text and stays. All text that is
+is template. Beside the content template goes block by block. Inside it whole sections go, all of whose blocks are template and more than
+headings or labels, and single passages of more than 12 words; a subheading, label or formula that articles share stays. All text that is
 neither template nor furniture is kept, wherever it stands. Pages of the same content text count once.
 
 Where template would take more than half of the content text of a host's distinct pages, it is left in
@@ -243,19 +243,23 @@ class Page:
     -1 for none. ``parents`` are the sections around sections, which come first.
     """
 
+    #: Up to so many words a template block inside the content is taken as a heading, label or formula of the articles.
+    LABEL, FORMULA = 3, 12
+
     def __init__(self):
         self.blocks: list[tuple[str, str, bool, int, bool]] = []
         self.parents: list[int] = []
 
     def without(self, template, inside: bool) -> list[str]:
-        """Texts that are not template. Inside the content a block goes only with a whole section: one of which every block is
-        template, and not all are headings. A heading or label that stands among varying text stays."""
+        """Texts that are not template. Inside the content a template block goes with its whole section, if every block of that is
+        template and one is more than a heading or label; or alone, if it is a passage. Headings, labels and short formulas
+        that stand among varying text stay."""
         if not template:
             return [t for _, t, *_ in self.blocks]
         known = [_digest(place) in template for place, *_ in self.blocks]
         varies, says = [False] * len(self.parents), [False] * len(self.parents)
-        for (*_, section, heading), k in zip(self.blocks, known):
-            for flags, up in ((varies, not k), (says, not heading)):
+        for (_, text, _, section, heading), k in zip(self.blocks, known):
+            for flags, up in ((varies, not k), (says, not heading and text.count(" ") >= self.LABEL)):
                 s = section
                 while up and s >= 0 and not flags[s]:
                     flags[s] = True
@@ -263,7 +267,12 @@ class Page:
         gone: list[bool] = []
         for s, parent in enumerate(self.parents):
             gone.append(inside and not varies[s] and (says[s] or (parent >= 0 and gone[parent])))
-        return [t for (_, t, within, s, _), k in zip(self.blocks, known) if not (k and (not within or (s >= 0 and gone[s])))]
+
+        def goes(text: str, within: bool, section: int, heading: bool) -> bool:
+            passage = inside and not heading and text.count(" ") >= self.FORMULA
+            return not within or passage or (section >= 0 and gone[section])
+
+        return [t for (_, t, *where), k in zip(self.blocks, known) if not (k and goes(t, *where))]
 
 
 def parts(tree: Node, inner: set[int]) -> Page:
@@ -451,7 +460,9 @@ def count_template(rows: DataFrame, wrappers: DataFrame, broadcast_hosts: int) -
                     hosts += [host] * len(found)
                     contents += [_digest("\n".join(content))] * len(found)
                     made += [(block, *facts) for block, facts in found.items()]
-            blocks_, sizes, insides = zip(*made) if made else ((), (), ())
+            if not made:
+                continue
+            blocks_, sizes, insides = zip(*made)
             columns = {"block": pd.array(blocks_, dtype="Int64"), "size": pd.array(sizes, dtype="int64"), "inside": pd.array(insides, dtype="bool")}
             yield pd.DataFrame({"__host": hosts, "content": pd.array(contents, dtype="int64")} | columns)
 
