@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.expressions import EXTENSIONS, lookup
 from ..operators import canvas_changes as C
 from ..operators import layout as L
+from ..operators import match as M
+from ..operators import results as N
 from ..operators import scan_merge as R
 from ..operators import signatures as S
 from ..operators import staleness as T
 from ..sources import files as FS
 from ..sources.kept import keep, scratch
+from ..sources.state import State
 from . import configuration, geometry, matching
 from .registry import Views, query
 
@@ -254,6 +257,69 @@ def apply_render_results(v):
     return T.apply_render_results(v("v_page_files"), records, L.contributes_to(geometry.segments(v)), used)
 
 
+AFTER_RUN = """SELECT r.project_uid, r.has_outputs, r.content_dirty, r.output_profile_changed, r.output_format_changed, r.processing_changed, r.composition_changed, r.canvas_changed, r.list_changed,
+              r.configuration_changed, r.needs_render FROM {report} r JOIN {v_projects} p ON p.project_uid = r.project_uid WHERE p.k % 2 = 1
+       UNION ALL
+       SELECT p.project_uid, n.project_uid IS NOT NULL, false, false, false, false, false, n.project_uid IS NOT NULL AND s.project_uid IS NOT NULL, false,
+              n.project_uid IS NOT NULL AND s.project_uid IS NOT NULL, n.project_uid IS NOT NULL AND s.project_uid IS NOT NULL
+       FROM {v_projects} p LEFT JOIN (SELECT DISTINCT project_uid FROM {p_names}) n ON n.project_uid = p.project_uid
+       LEFT JOIN (SELECT DISTINCT i.project_uid FROM {v_inputs} i JOIN {matched} m ON m.project_uid = i.project_uid AND m.uid = i.uid
+                  WHERE i.status = 'Missing' AND m.profile_id IS NOT NULL AND i.pk % 37 <> 0) s ON s.project_uid = p.project_uid
+       WHERE p.k % 2 = 0"""
+
+
+@query("SELECT * FROM after_run", "after_run", more=MORE | {"after_run": AFTER_RUN})
+def report_after_run(v):
+    """The recorded state, a run over every second project published into it, and the report made from what is stored then.
+
+    Projects of the run are clean but for pages that it skipped; all others are as they were.
+    """
+    state = State(v.spark, f"{scratch(v.spark)}/state")
+    for name in ("v_inputs", "v_projects", "v_links"):
+        v.keep(name, by="project_uid")
+    now, then = catalogues(v)
+    projects = v("v_projects")
+    # what the last run recorded
+    after_checks = v.keep("checked", lambda: checked(v))
+    status = after_checks.where("kind = 'input'").select("project_uid", F.col("path").alias("file_path"), F.col("status").alias("__status"))
+    inputs = pages(v).join(status, ["project_uid", "file_path"]).select(
+        "project_uid", "uid", "file_path", "ord", F.col("__status").alias("status"), "sha256", F.lit("").alias("contributes_to"), F.lit("").alias("error"),
+        F.col("width_then").cast("long").alias("width_then"), F.col("height_then").cast("long").alias("height_then"),
+        F.coalesce("profile_then", F.lit("")).alias("profile_then"), F.coalesce("fingerprint_then", F.lit("")).alias("fingerprint_then"),
+    )
+    out_status = after_checks.where("kind = 'output'").select("project_uid", F.col("path").alias("file_name"), F.col("status").alias("__status"))
+    outs = outputs(v).join(out_status, ["project_uid", "file_name"]).select("project_uid", "idx", F.lit("").alias("uid"), "file_name", "sha256", F.col("__status").alias("status"))
+    before = S.processing_signature(v("v_grades_then"), v("v_curve_points"), v("v_exclusions"), v("v_overlays_then")).withColumnRenamed("signature", "processing_signature")
+    made_with = S.output_profile_signature(geometry.profiled(v, "_then"), ("project_uid",)).withColumnRenamed("signature", "output_signature")
+    ids_then = M.effective_ids(projects, *then).withColumnRenamed("ids", "profile_ids")
+    order_then = N.ordered_uids(v("v_order_then"), "input_order", "pos", "ord")
+    recorded = projects.select("project_uid").join(ids_then, "project_uid", "left").join(order_then, "project_uid", "left").join(made_with, "project_uid", "left").join(before, "project_uid", "left")
+    state.publish({"inputs": inputs, "outputs": outs, "projects": recorded})
+    # a run over half of the projects
+    processing = S.processing_signature(v("v_grades"), v("v_curve_points"), v("v_exclusions"), v("v_overlays")).withColumnRenamed("signature", "processing_signature")
+    processing = v.keep("processing", lambda p=processing: p)
+    signature = S.output_profile_signature(geometry.profiled(v), ("project_uid",)).withColumnRenamed("signature", "output_signature")
+    ids_now = M.effective_ids(projects, *now).withColumnRenamed("ids", "profile_ids")
+    ran = projects.where("k % 2 = 0").select("project_uid")
+    rows = v("v_inputs").join(ran, "project_uid", "left_semi")
+    shown = F.col("status") != "Missing"
+    used = M.match_pages(rows.where(shown), projects, *now).join(palette(v).withColumnRenamed("id", "profile_id"), "profile_id", "left")
+    sized = L.scaled_size(rows.where(shown).join(geometry.profiled(v).select("project_uid", "target_width", F.col("slice_height").alias("step")), "project_uid"), F.col("target_width"))
+    run = N.Run(
+        ran.join(ids_now, "project_uid").join(signature, "project_uid").join(processing, "project_uid"),
+        rows.select("project_uid", "uid", F.when(shown, "rendered").otherwise("skipped").alias("outcome"), F.sha2(F.concat(F.lit("n"), "uid"), 256).alias("new_sha256")),
+        used.select("project_uid", "uid", F.coalesce("profile_id", F.lit("")).alias("used_profile"), F.col("width").alias("used_width"), F.col("height").alias("used_height"), F.coalesce("signature", F.lit("")).alias("used_fingerprint")),
+        L.slice_source_map(L.strip_layout(sized), F.col("step")),
+        geometry.named(v).join(ran, "project_uid", "left_semi").withColumn("sha256", F.sha2(F.concat("project_uid", "file_name"), 256)),
+    )
+    N.publish_run(state, run, "run 1")
+    today = geometry.profiled(v).select("project_uid", lookup(F.col("format"), EXTENSIONS).alias("ext"))
+    facts = projects.select("project_uid", "ws").join(today, "project_uid").join(signature.withColumnRenamed("output_signature", "output_now"), "project_uid")
+    facts = facts.join(processing.withColumnRenamed("processing_signature", "processing_now"), "project_uid", "left")
+    manifest = state.manifest()
+    return N.state_report({t: state.read(t, manifest=manifest).drop("bucket") for t in N.TABLES}, v("v_page_files"), facts, *now)
+
+
 @query(
     """SELECT project_uid, file_name, CASE WHEN idx % 3 = 0 THEN sha256('new' || file_name) ELSE sha256 END AS sha256, CASE WHEN idx % 3 = 0 THEN 'Done' ELSE status END AS status FROM outputs""",
     "outputs", more=MORE,

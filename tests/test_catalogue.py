@@ -190,6 +190,29 @@ def test_target_claims_against_one_by_one(spark):
     assert {r.seq: r.target for r in packaging.package_target_claim(refs).collect()} == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_target_claims_of_random_families(spark, seed):
+    """Many names of one stem with numbers in any order, repeats and gaps; no Python worker takes part."""
+    rng = random.Random(seed)
+    numbers = ["", "", " (1)", " (2)", " (3)", " (4)", " (5)", " (7)", " (03)", " (2) (2)", " (2) (3)", " (3) (2)", " (4) (2) (2)"]
+    rows = [(f"w{k % 2}", k, f"/s/{k}/{rng.choice('aA')}{rng.choice(numbers)}.png", "inputs", "/s/1" if k % 9 == 0 else "/ws/", True, 1) for k in range(160)]
+    want = {}
+    for ws in ("w0", "w1"):
+        taken = set()
+        for _, k, source, kind, folder, *_ in sorted((r for r in rows if r[0] == ws), key=lambda r: (not r[2].startswith(r[4]), r[1], r[2])):
+            raw = source.rsplit("/", 1)[1]
+            home = source[len(folder) :].rsplit("/", 1)[0] + "/" if source.startswith(folder) else f"{kind}/"
+            stem, n, name = raw[:-4], 2, raw
+            while (home, name.lower()) in taken:
+                name, n = f"{stem} ({n}).png", n + 1
+            taken.add((home, name.lower()))
+            want[k] = home + name
+    refs = frame(spark, rows, "ws string, seq long, source string, kind string, folder string, present boolean, bytes long")
+    claimed = packaging.package_target_claim(refs)
+    assert {r.seq: r.target for r in claimed.collect()} == want
+    assert "Python" not in claimed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_duplicate_ids_are_repaired_once(spark):
     rows = frame(spark, [("w", 1, "a", "x"), ("w", 2, "b", "x"), ("w", 3, "c", "y"), ("v", 1, "d", "x")], "workspace_id string, ordinal int, name string, id string")
     once = identity.duplicate_id_repair(rows)
