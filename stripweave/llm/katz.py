@@ -11,7 +11,7 @@ its own; the grams of a frequent history are dealt to several buckets, whose sum
                   = bow(h) p_{m-1}(w | h')       if the history was kept but not the gram
                   = p_{m-1}(w | h')              otherwise; h' is h without its first word
 
-All pairs are kept; longer grams from ``min_count`` = 2 on, as usual for the highest orders. A gram can only be so
+All pairs are kept; longer grams from ``min_count`` on, 2 by default, as usual for the highest orders. A gram can only be so
 frequent if both grams one shorter inside it are, so batches ask for no others. d are Good-Turing discounts up to
 count ``k``. bow(h) = (1 - sum of kept p(w | h)) / (1 - sum of lower p over the same words), so each history sums to
 1 exactly. A history without discounted mass lends 1 / (c(h) + 1) of it.
@@ -41,8 +41,8 @@ END = xxhash.xxh64_intdigest(b"\n")
 #: The start of a text as a history; in the place of a word it stands for none.
 START_ID = NO_WORD = 0
 UNKNOWN_ID, FIRST_ID = 1, 2
-#: From this order on grams are kept from this count on.
-PRUNED_FROM, MIN_COUNT = 3, 2
+#: Grams of fewer words are all kept.
+PRUNED_FROM = 3
 
 
 _zstd = PerWorker()
@@ -118,9 +118,9 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return c * np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0)
 
 
-def kept_from(level: int) -> int:
+def kept_from(level: int, min_count: int) -> int:
     """Smallest count of a gram of ``level`` words that the model keeps."""
-    return MIN_COUNT if level >= PRUNED_FROM else 1
+    return min_count if level >= PRUNED_FROM else 1
 
 
 def conditional(c: np.ndarray, of: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -152,8 +152,8 @@ class _Unigrams:
 class _Model:
     """Numbers that all tasks share: word model, discounts of each level, bounds of buckets and of frequent histories."""
 
-    def __init__(self, uni: _Unigrams, starts: int, buckets: int, hot: int):
-        self.uni, self.starts, self.buckets, self.hot, self.d = uni, starts, buckets, hot, {}
+    def __init__(self, uni: _Unigrams, starts: int, buckets: int, hot: int, min_count: int):
+        self.uni, self.starts, self.buckets, self.hot, self.min_count, self.d = uni, starts, buckets, hot, min_count, {}
 
     def parts(self, level: int, h: np.ndarray, hn: np.ndarray) -> np.ndarray:
         """To how many buckets the grams of each history are dealt."""
@@ -279,7 +279,7 @@ class _Batch:
         else:
             h, hn = self._before(self.gram, -1), self._before(np.abs(self.count), 0)
             valid = h >= 0
-            likely, self.of_lower = valid & (np.abs(self.count) >= MIN_COUNT), self.of
+            likely, self.of_lower = valid & (np.abs(self.count) >= model.min_count), self.of
         w = np.where(likely, self.word, NO_WORD)
         parts = model.parts(m, h, hn).astype(np.uint64)
         part = np.where(parts > 1, (w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) % parts, np.uint64(0))
@@ -313,7 +313,7 @@ class _Batch:
         bow[c == 0] = joined("bow", np.float64)
         some = joined("ids", np.int64)
         if len(some):
-            ids[np.abs(c) >= MIN_COUNT] = some
+            ids[np.abs(c) >= self.model.min_count] = some
         has = self.at >= 0
         at = self.at[has]
         count, gram = np.zeros(len(self.at), dtype=np.int64), np.full(len(self.at), -1, dtype=np.int64)
@@ -346,7 +346,7 @@ def _asked(texts: DataFrame, replies: DataFrame, model: _Model, m: int) -> DataF
     return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(send, MESSAGES)
 
 
-def _merged(sent: DataFrame, m: int, k: int) -> DataFrame:
+def _merged(sent: DataFrame, least: int, k: int) -> DataFrame:
     """One row for each bucket: its distinct grams with their counts, and which of them each batch asked for; the
     partitioned table of counts."""
 
@@ -361,7 +361,7 @@ def _merged(sent: DataFrame, m: int, k: int) -> DataFrame:
         at[order] = np.cumsum(new) - 1
         first = order[new]
         count = np.bincount(at, weights=n, minlength=len(first)).astype(np.int64)
-        count[count < kept_from(m)] = 0
+        count[count < least] = 0
         # a batch's grams are sorted like the table, so their places rise
         asked, start = [], 0
         for size in sizes:
@@ -424,12 +424,12 @@ def _replies(table: DataFrame, model: _Model, m: int, with_ids: bool, broadcast_
                 sizes = np.diff(np.r_[new, len(h)])
                 bow, signed = np.repeat(bow, sizes), np.where(np.repeat(lends, sizes), -count, count)
                 ids = np.full(len(count), -1, dtype=np.int64)
-                often = np.flatnonzero(count >= MIN_COUNT)
+                often = np.flatnonzero(count >= model.min_count)
                 ids[often[np.lexsort((often, -count[often]))]] = np.arange(len(often)) * model.buckets + row.bucket
                 for batch, asked in zip(row.batches, row.asked):
                     at = expand(asked, True)
                     c = signed[at]
-                    made = squeeze(ids[at[np.abs(c) >= MIN_COUNT]]) if with_ids else None
+                    made = squeeze(ids[at[np.abs(c) >= model.min_count]]) if with_ids else None
                     yield pd.DataFrame({"batch": [batch], "level": [m], "bucket": [row.bucket], "c": [squeeze(c)], "bow": [squeeze(bow[at[c == 0]])], "ids": [made]})
 
     sums = materialise(_wide_sums(table, model, m))
@@ -438,9 +438,14 @@ def _replies(table: DataFrame, model: _Model, m: int, with_ids: bool, broadcast_
     return rows.mapInPandas(answer, REPLIES)
 
 
-def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, batch_tokens: int = 800_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, batch_tokens: int = 800_000, bucket_tokens: int = 2_000_000, min_count: int = 2) -> DataFrame:
     """Scores of all ``docs`` under the model of ``order`` words learned from the rows where ``training`` holds:
-    ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``."""
+    ``doc_id, learned, n_tokens, n_known, train_tokens, base_score, score``.
+
+    Grams of three words or more are kept from ``min_count`` on: 1 keeps all, 2 leaves out those seen once.
+    """
+    if min_count not in (1, 2):
+        raise ValueError("min_count must be 1 or 2")
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("binary")))).first()[0] or 0
     buckets = 1 << max(3, (chars // 6 // bucket_tokens).bit_length())
     sent = keep_bucketed(_batches(docs, training, order, buckets, batch_tokens), "batch", max(8, -(-chars // (6 * batch_tokens))))
@@ -454,12 +459,12 @@ def katz_scores(docs: DataFrame, training: Column, order: int = 3, k: int = 5, b
     long = [int(v or 0) for v in texts.select(*[F.sum(F.get("learned", F.lit(j))).alias(f"l{j}") for j in range(order)]).first()]
     # tokens that start a text have the start for history: one for each learned text
     starts = long[0] - long[1] if order > 1 else 0
-    model = _Model(_Unigrams(total, distinct, {r + 1: v for r, v in enumerate(n)}, k), starts, buckets, max(1, total // (4 * buckets)))
+    model = _Model(_Unigrams(total, distinct, {r + 1: v for r, v in enumerate(n)}, k), starts, buckets, max(1, total // (4 * buckets)), min_count)
     replies = words.where("batch >= 0").drop("totals")
     for m in range(2, order + 1):
-        table = materialise(_merged(_asked(texts, replies, model, m), m, k))
+        table = materialise(_merged(_asked(texts, replies, model, m), kept_from(m, min_count), k))
         held, _, *n = totals(table)
-        if kept_from(m) > 1:  # what is not kept occurs once
+        if kept_from(m, min_count) > 1:  # what is not kept occurs once
             n[0] = long[m - 2] - held
         model.d[m] = good_turing({r + 1: v for r, v in enumerate(n)}, k)
         replies = replies.unionByName(materialise(_replies(table, model, m, with_ids=m < order)))

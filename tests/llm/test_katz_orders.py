@@ -29,7 +29,8 @@ def discounts(counts, total_of_type=None):
 
 
 class Plain:
-    def __init__(self, texts, order):
+    def __init__(self, texts, order, min_count=2):
+        self.min_count = min_count
         self.grams = [collections.Counter() for _ in range(order + 1)]  # by length; the start counts as one word
         for t in texts:
             padded = ["<s>", *t]
@@ -44,7 +45,7 @@ class Plain:
                 self.after[g[:-1]] += c
         self.d, self.kept, self.followers = {}, {}, collections.defaultdict(list)
         for m in range(1, order + 1):
-            least = 2 if m >= 3 else 1
+            least = min_count if m >= 3 else 1
             self.kept[m] = {g: c for g, c in self.grams[m].items() if c >= least}
             self.d[m] = discounts(self.grams[m].values())
             if m > 1:
@@ -72,7 +73,7 @@ class Plain:
 
     def _p(self, h, w):
         m, of = len(h) + 1, self.after[h]
-        frequent = 2 if m >= 3 else 1
+        frequent = self.min_count if m >= 3 else 1
         if not self.kept[m - 1].get(h, 0) >= frequent and h != ("<s>",) or not of:
             return self.p(h[1:], w)
         if h not in self.memo:
@@ -137,3 +138,21 @@ def test_a_text_that_occurs_twice_scores_apart(spark):
     frame = spark.createDataFrame([*base, (900, twice), (901, twice), (902, once)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in katz.katz_scores(frame, F.lit(True)).collect()}
     assert got[900] == got[901] > got[902] + 20
+
+
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_pruning_is_a_parameter(spark, sf, min_count):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    got = {r.doc_id: r.score for r in katz.katz_scores(docs, ~held, min_count=min_count).collect()}
+    texts = {r.doc_id: words(r.text) for r in docs.collect()}
+    model = Plain([t for i, t in texts.items() if not held_out(i)], 3, min_count)
+    for i, t in texts.items():
+        padded = ["<s>", *t]
+        want = sum(math.log10(model.p(tuple(padded[max(0, k - 2) : k]), padded[k])) for k in range(1, len(padded)))
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), i
+
+
+def test_other_counts_are_refused(spark, sf):
+    with pytest.raises(ValueError):
+        katz.katz_scores(spark.read.parquet(f"{sf}/documents.parquet"), F.lit(True), min_count=3)
