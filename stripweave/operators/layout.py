@@ -112,7 +112,7 @@ def contributes_to(segments: DataFrame) -> DataFrame:
 def slice_fan_in(segments: DataFrame) -> DataFrame:
     """Per slice the number of pages that feed it, and the project's peak."""
     fan = segments.groupBy("project_uid", "slice_index").agg(F.count(F.lit(1)).alias("n_pages"))
-    return fan.withColumn("peak", F.max("n_pages").over(Window.partitionBy("project_uid")))
+    return fan.join(fan.groupBy("project_uid").agg(F.max("n_pages").alias("peak")), "project_uid").select("project_uid", "slice_index", "n_pages", "peak")
 
 
 def slices_to_render(planned: DataFrame, wanted: DataFrame) -> DataFrame:
