@@ -18,6 +18,24 @@ class PerWorker(dict):
         return PerWorker, ()
 
 
+def tidy(function):
+    """A function of batches after which its worker process, which Spark keeps for other tasks, gives free memory back."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow
+
+        yield from function(batches)
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return run
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage."""
     return keep(df)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import materialise, tidy
 from .simhash import components, majority, near_links, shingle_hashes
 
 
@@ -73,7 +73,7 @@ def common_shingles(docs: DataFrame, words: int, seed: int, one_in: int = 16, mo
             yield pd.DataFrame({"h": np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)})
 
     sample = docs.select(F.col("text").cast("binary")).where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).dropDuplicates(["text"])
-    counts = sample.mapInPandas(emit, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    counts = sample.mapInPandas(tidy(emit), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
     rows = counts.orderBy(F.desc("n"), "h").limit(most).collect()[::-1]
     return np.array([r.h for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n * one_in for r in rows], dtype=np.int64)
 
@@ -104,7 +104,7 @@ def add_sets(docs: DataFrame, common: np.ndarray, share: int, words: int, seed:
 
     # ids as strings: pandas would turn whole numbers beside a null into doubles
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
-    made = rows.mapInPandas(sets, "doc_id string, text_key long, fp long, sim long, n int, bits binary, first array<long>")
+    made = rows.mapInPandas(tidy(sets), "doc_id string, text_key long, fp long, sim long, n int, bits binary, first array<long>")
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -147,7 +147,7 @@ def walk_prefixes(entries: DataFrame, share: int) -> DataFrame:
             carry = rows[[last, len(rows) - 1]] if len(rows) - last > 1 else rows[last:]
 
     dealt = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "fp")
-    return dealt.select(*columns).mapInPandas(walk, "kind int, x long, y long, z long")
+    return dealt.select(*columns).mapInPandas(tidy(walk), "kind int, x long, y long, z long")
 
 
 def pairs_apart(held: DataFrame, sets: DataFrame, share: int, every: bool = True, block: int = 2048) -> DataFrame:
@@ -213,7 +213,7 @@ def pairs_apart(held: DataFrame, sets: DataFrame, share: int, every: bool = True
     rows = rows.select("key", "fp", "np", "chunk", "root", F.least("chunk", "__o").alias("x"), F.greatest("chunk", "__o").alias("y"))
     if every:
         rows = rows.join(sets.select("fp", "bits"), "fp")
-    found = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(search, "a long, b long")
+    found = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(tidy(search), "a long, b long")
     if not every:
         found = found.groupBy("a").agg(F.min("b").alias("b"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

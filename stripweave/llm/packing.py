@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 CAPACITY = 1024
 
@@ -190,7 +190,7 @@ def cut_pieces(docs: DataFrame, capacity: int, json_path: str, rank_path: str |
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": object})
 
     # ids as strings: pandas would turn whole numbers beside a null into doubles
-    pieces = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(tokenize, schema)
+    pieces = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(tidy(tokenize), schema)
     return pieces.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
