@@ -258,19 +258,19 @@ def apply_render_results(v):
 
 
 AFTER_RUN = """SELECT r.project_uid, r.has_outputs, r.content_dirty, r.output_profile_changed, r.output_format_changed, r.processing_changed, r.composition_changed, r.canvas_changed, r.list_changed,
-              r.configuration_changed, r.needs_render FROM {report} r JOIN {v_projects} p ON p.project_uid = r.project_uid WHERE p.k % 2 = 1
+              r.configuration_changed, r.needs_render FROM {report} r JOIN {v_projects} p ON p.project_uid = r.project_uid WHERE NOT p.accepts_all
        UNION ALL
        SELECT p.project_uid, n.project_uid IS NOT NULL, false, false, false, false, false, n.project_uid IS NOT NULL AND s.project_uid IS NOT NULL, false,
               n.project_uid IS NOT NULL AND s.project_uid IS NOT NULL, n.project_uid IS NOT NULL AND s.project_uid IS NOT NULL
        FROM {v_projects} p LEFT JOIN (SELECT DISTINCT project_uid FROM {p_names}) n ON n.project_uid = p.project_uid
        LEFT JOIN (SELECT DISTINCT i.project_uid FROM {v_inputs} i JOIN {matched} m ON m.project_uid = i.project_uid AND m.uid = i.uid
                   WHERE i.status = 'Missing' AND m.profile_id IS NOT NULL AND i.pk % 37 <> 0) s ON s.project_uid = p.project_uid
-       WHERE p.k % 2 = 0"""
+       WHERE p.accepts_all"""
 
 
 @query("SELECT * FROM after_run", "after_run", more=MORE | {"after_run": AFTER_RUN})
 def report_after_run(v):
-    """The recorded state, a run over every second project published into it, and the report made from what is stored then.
+    """The recorded state, a run over all projects that accept every profile published into it, and the report made from what is stored then.
 
     Projects of the run are clean but for pages that it skipped; all others are as they were.
     """
@@ -295,12 +295,12 @@ def report_after_run(v):
     order_then = N.ordered_uids(v("v_order_then"), "input_order", "pos", "ord")
     recorded = projects.select("project_uid").join(ids_then, "project_uid", "left").join(order_then, "project_uid", "left").join(made_with, "project_uid", "left").join(before, "project_uid", "left")
     state.publish({"inputs": inputs, "outputs": outs, "projects": recorded})
-    # a run over half of the projects
+    # the run
     processing = S.processing_signature(v("v_grades"), v("v_curve_points"), v("v_exclusions"), v("v_overlays")).withColumnRenamed("signature", "processing_signature")
     processing = v.keep("processing", lambda p=processing: p)
     signature = S.output_profile_signature(geometry.profiled(v), ("project_uid",)).withColumnRenamed("signature", "output_signature")
     ids_now = M.effective_ids(projects, *now).withColumnRenamed("ids", "profile_ids")
-    ran = projects.where("k % 2 = 0").select("project_uid")
+    ran = projects.where("accepts_all").select("project_uid")
     rows = v("v_inputs").join(ran, "project_uid", "left_semi")
     shown = F.col("status") != "Missing"
     used = M.match_pages(rows.where(shown), projects, *now).join(palette(v).withColumnRenamed("id", "profile_id"), "profile_id", "left")
@@ -320,6 +320,19 @@ def report_after_run(v):
     return N.state_report({t: state.read(t, manifest=manifest).drop("bucket") for t in N.TABLES}, v("v_page_files"), facts, *now)
 
 
+@query(
+    """SELECT o.project_uid, o.file_name FROM outputs o JOIN profiled p ON p.project_uid = o.project_uid
+       WHERE p.format = 'WebP' AND NOT EXISTS (SELECT 1 FROM p_names n WHERE n.project_uid = o.project_uid AND n.file_name = o.file_name)""",
+    "outputs", "profiled", "p_names", more=MORE,
+)
+def stale_outputs_of_run(v):
+    """Files that a run over all projects of one output format no longer makes, from outputs stored by bucket: other buckets are not read."""
+    state = State(v.spark, f"{scratch(v.spark)}/state")
+    state.publish({"outputs": outputs(v)})
+    ran = geometry.profiled(v).where("format = 'WebP'").select("project_uid")
+    return N.stale_outputs(state, ran, geometry.named(v))
+
+
 @query(
     """SELECT project_uid, file_name, CASE WHEN idx % 3 = 0 THEN sha256('new' || file_name) ELSE sha256 END AS sha256, CASE WHEN idx % 3 = 0 THEN 'Done' ELSE status END AS status FROM outputs""",
     "outputs", more=MORE,
