@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,7 +117,7 @@ class _Scanner:
     def texts(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Runs of rows with their lower-case bytes and offsets; a null text has no bytes."""
         column = column.cast(pa.large_binary())
-        sizes = column.fill_null(b"").to_pandas().map(len).to_numpy(dtype=np.int64) if len(column) else np.zeros(0, np.int64)
+        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
         first, ends = 0, np.cumsum(sizes)
         while first < len(sizes):
             done = ends[first - 1] if first else 0
