@@ -57,3 +57,22 @@ def test_publishing_and_checks_move_and_store_no_table(spark, tmp_path):
     store.publish = lambda *a: (held.append(batch.storageLevel.useDisk), publish(*a))[1]
     stream.upsert_checks(store, batch, "b:0")
     assert held == [False] and {r.status for r in store.read("files").collect()} == {"Missing"}
+
+
+def test_report_copies_no_pages(spark, monkeypatch):
+    from stripweave.plans import registry
+
+    copied = []
+    monkeypatch.setattr(registry, "keep_bucketed", lambda rows, *a: (copied.append(rows.columns), rows)[1])
+    QUERIES["staleness_report"](spark, FOLDER)
+    assert not copied
+
+
+def test_only_pages_look_for_a_profile(spark):
+    from stripweave.operators.staleness import project_status
+
+    shown = spark.createDataFrame([("p", "input", "u", "Done"), ("p", "output", "u", "Done"), ("p", None, "u", "Done")], "project_uid string, kind string, name string, shown_status string")
+    pages = spark.createDataFrame([("p", "u", "c")], "project_uid string, uid string, profile_then string")
+    rows = project_status(shown, pages, spark.createDataFrame([("c", "n")], "id string, name string"))
+    assert {(r.kind, r.profile_name) for r in rows.collect()} == {("input", "n"), ("output", ""), (None, "")}
+    assert "Union" in rows._jdf.queryExecution().optimizedPlan().toString()
