@@ -76,3 +76,13 @@ def test_only_pages_look_for_a_profile(spark):
     rows = project_status(shown, pages, spark.createDataFrame([("c", "n")], "id string, name string"))
     assert {(r.kind, r.profile_name) for r in rows.collect()} == {("input", "n"), ("output", ""), (None, "")}
     assert "Union" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_dealt_as_lists(spark):
+    plan = QUERIES["relink_profile_ids"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "REPARTITION_BY_COL" in plan
+    # a project that is listed twice has each link twice, all numbered
+    projects = spark.createDataFrame([("a", 1, 1, False), ("a", 1, 1, False), ("b", 1, 2, True)], "project_uid string, ws int, k int, accepts_all boolean")
+    palette = spark.createDataFrame([("c1", 1, 1), ("c6", 6, 1), ("c7", 7, 1)], "id string, ordinal int, ws int")
+    want = spark.sql(fixtures.VIEWS["v_links"], v_projects=projects, v_canvas_profiles=palette).collect()
+    assert sorted(map(tuple, fixtures._links(projects, palette).collect())) == sorted(map(tuple, want)) and len(want) == 4
