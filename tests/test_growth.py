@@ -86,3 +86,20 @@ def test_links_are_dealt_as_lists(spark):
     palette = spark.createDataFrame([("c1", 1, 1), ("c6", 6, 1), ("c7", 7, 1)], "id string, ordinal int, ws int")
     want = spark.sql(fixtures.VIEWS["v_links"], v_projects=projects, v_canvas_profiles=palette).collect()
     assert sorted(map(tuple, fixtures._links(projects, palette).collect())) == sorted(map(tuple, want)) and len(want) == 4
+
+
+def test_pages_carry_no_list_of_links(spark):
+    from stripweave.operators import match
+
+    links = spark.createDataFrame([("p", "c1", 1), ("p", "c2", 2), ("q", "gone", 1)], "project_uid string, id string, prio int")
+    projects = spark.createDataFrame([("p", 7), ("q", 7), ("r", 7)], "project_uid string, ws int")
+    palette = spark.createDataFrame([("c0", 0, 7, 10, 20), ("c1", 1, 7, 10, 20), ("c2", 2, 7, 10, 20), ("c3", 3, 7, 5, 5)], "id string, ordinal int, ws int, width int, height int")
+    pages = spark.createDataFrame([(p, f"{p}{w}", w, h) for p in "pqrs" for w, h in ((10, 20), (5, 5), (1, 1))], "project_uid string, uid string, width int, height int")
+    met = match.match_pages(pages, projects, links, palette)
+    found = {r.uid: (r.profile_id, r["__other"]) for r in met.collect()}
+    assert found["p10"] == ("c1", []) and found["p5"] == (None, ["c3"]) and found["q10"] == (None, ["c0", "c1", "c2"]) and found["r10"] == ("c0", [])
+    assert all(found[u] == (None, []) for u in ("p1", "q1", "r1", "s1", "s5", "s10"))
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "__own" not in plan
+    ids = {r.project_uid: r.ids for r in match.effective_ids(projects, links, palette).collect()}
+    assert ids == {"p": "c1,c2", "q": "", "r": "c0,c1,c2,c3"}
