@@ -103,3 +103,13 @@ def test_pages_carry_no_list_of_links(spark):
     assert "__own" not in plan
     ids = {r.project_uid: r.ids for r in match.effective_ids(projects, links, palette).collect()}
     assert ids == {"p": "c1,c2", "q": "", "r": "c0,c1,c2,c3"}
+
+
+def test_buckets_follow_the_tables(spark, monkeypatch):
+    from stripweave.plans import registry
+
+    made = []
+    monkeypatch.setattr(registry, "keep_bucketed", lambda rows, key, n: (made.append((rows.rdd.getNumPartitions(), n)), rows)[1])
+    monkeypatch.setattr(session, "table_bytes", lambda *_: 60 << 20)
+    registry.Views(session.sized_session(spark, FOLDER), FOLDER).keep("v_projects", by="project_uid")
+    assert made == [(40, 40)]
