@@ -113,3 +113,8 @@ def test_buckets_follow_the_tables(spark, monkeypatch):
     monkeypatch.setattr(session, "table_bytes", lambda *_: 60 << 20)
     registry.Views(session.sized_session(spark, FOLDER), FOLDER).keep("v_projects", by="project_uid")
     assert made == [(40, 40)]
+
+
+def test_a_task_reads_a_bounded_part_of_a_file(spark):
+    own = session.sized_session(spark, FOLDER)
+    assert own.conf.get("spark.sql.files.maxPartitionBytes") == str(16 << 20) != spark.conf.get("spark.sql.files.maxPartitionBytes")
