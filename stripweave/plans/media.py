@@ -12,6 +12,7 @@ from ..operators import pixels as X
 from ..sources import documents as D
 from ..sources import files as S
 from ..sources.kept import keep, scratch
+from ..sources.session import PARTITIONS
 from ..sources.state import State
 from ..streaming import catalogue as C
 from . import geometry
@@ -75,6 +76,10 @@ HEADS = """SELECT k AS n, CASE WHEN k % 31 = 0 THEN -1 WHEN turn BETWEEN 5 AND 8
            FROM (SELECT ordinal AS k, width, height, CASE WHEN ordinal % 3 = 0 THEN 1 ELSE 1 + ordinal % 8 END AS turn FROM v_canvas_profiles) q"""
 
 
+#: Images in a folder.
+FOLDER = 500
+
+
 def _head(kind: int, width: int, height: int, bands: int, turn: int) -> bytes:
     """The first bytes of a PNG (0), JPEG (1) or TIFF (2) of a size; the turned ones say so in their Exif data."""
     colour = {1: 0, 3: 2}[bands]
@@ -91,10 +96,13 @@ def _head(kind: int, width: int, height: int, bands: int, turn: int) -> bytes:
 
 @query(HEADS, "v_canvas_profiles")
 def scan_image_headers(v):
-    """An image for each canvas profile, written as a PNG, JPEG or TIFF head (some cut short), and read back from the files."""
-    folder, k = f"{scratch(v.spark)}/images", F.col("ordinal")
-    rows = v("v_canvas_profiles").select(
-        F.concat(F.lit(f"{folder}/"), k.cast("string"), F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".tif")), (k % 3 + 1).cast("int"))).alias("path"),
+    """An image for each canvas profile, written as a PNG, JPEG or TIFF head (some cut short), and read back from the files.
+
+    Files are many and small beside the table, so it is their number that is dealt to tasks, and a folder holds some hundreds.
+    """
+    folder, k, tasks = f"{scratch(v.spark)}/images", F.col("ordinal"), int(v.spark.conf.get(PARTITIONS))
+    rows = v("v_canvas_profiles").repartition(tasks).select(
+        F.concat(F.lit(f"{folder}/"), F.expr(f"ordinal div {FOLDER}").cast("string"), F.lit("/"), k.cast("string"), F.element_at(F.array(F.lit(".png"), F.lit(".JPG"), F.lit(".tif")), (k % 3 + 1).cast("int"))).alias("path"),
         (k % 3).alias("kind"), "width", "height", F.when((k % 3 == 2) | (k % 2 == 0), 3).otherwise(1).alias("bands"), (1 + k % 8).alias("turn"), (k % 31 == 0).alias("cut"),
     )
     head = _head
@@ -105,7 +113,7 @@ def scan_image_headers(v):
         return pd.Series([data[:12] if c else data for data, c in zip(made, cut)], dtype=object)
 
     files = keep(S.write_files(rows.select("path", content("kind", "width", "height", "bands", "turn", "cut").alias("content"))))
-    found = S.scan_image_headers(v.spark, folder) if not files.isEmpty() else files.select("path", *[F.lit(0).cast("long").alias(c) for c in ("width", "height", "bands")])
+    found = S.scan_image_headers(v.spark, folder, tasks) if not files.isEmpty() else files.select("path", *[F.lit(0).cast("long").alias(c) for c in ("width", "height", "bands")])
     return found.select(F.regexp_extract("path", r"(\d+)\.\w+$", 1).cast("long").alias("n"), "width", "height", "bands")
 
 

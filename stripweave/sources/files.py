@@ -18,10 +18,47 @@ from .kept import running_total
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".tif", ".tiff")
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, modification_time`` of a folder's own files; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
-    return rows.select("path", "length", F.col("modificationTime").alias("modification_time"))
+def _store(path: str):
+    """The store of a path (local, HDFS, S3, ... as far as Arrow knows it) and the path inside it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    scheme = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S)
+    if scheme[1] in (None, "file"):
+        return fs.LocalFileSystem(), re.sub("^//+", "/", scheme[2])
+    return fs.FileSystem.from_uri(quote(path, safe=":/@[]~"))
+
+
+def _entries(folders: DataFrame, kind: str, batch: int = 10_000) -> DataFrame:
+    """``path, length, modification_time`` of what lies directly in ``folders``: of the ``kind`` File or Directory, names that begin with ``.`` or ``_`` left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for frame in batches:
+            for folder in frame["path"]:
+                store, inner = _store(folder)
+                found = store.get_file_info(fs.FileSelector(inner))
+                for k in range(0, len(found), batch):
+                    some = [i for i in found[k : k + batch] if i.type == fs.FileType[kind] and i.base_name[0] not in "._"]
+                    rows = [(f"{folder.rstrip('/')}/{i.base_name}", i.size or 0, i.mtime) for i in some]
+                    made = pd.DataFrame(rows, columns=["path", "length", "modification_time"])
+                    yield made.astype({"length": "int64"}).assign(modification_time=pd.to_datetime(made["modification_time"], utc=True))
+
+    return folders.select("path").mapInPandas(run, "path string, length long, modification_time timestamp")
+
+
+def list_files(spark: SparkSession, folder: str, tasks: int = 0) -> DataFrame:
+    """``path, length, modification_time`` of a folder's own files; contents are not read.
+
+    With ``tasks`` also of the files in its folders, which are dealt to so many tasks: a folder is listed by one task, never by the driver.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    own = spark.range(0, 1, 1, 1).select(F.lit(whole).alias("path"))
+    files = _entries(own, "File")
+    return files.unionByName(_entries(_entries(own, "Directory").select("path").repartition(tasks), "File")) if tasks else files
 
 
 def only_images(listing: DataFrame) -> DataFrame:
@@ -40,15 +77,8 @@ def scan_image_dir(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _open(path: str):
-    """A file of any store that Arrow knows (local, HDFS, S3, ...), opened for reading."""
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    scheme = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S)
-    if scheme[1] in (None, "file"):
-        return fs.LocalFileSystem().open_input_file(re.sub("^//+", "/", scheme[2]))
-    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@[]~"))
+    """A file of any store that Arrow knows, opened for reading."""
+    store, inner = _store(path)
     return store.open_input_file(inner)
 
 
@@ -61,6 +91,7 @@ def write_files(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
+        made = set()
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"]):
                 scheme = re.match(r"(?:([A-Za-z][A-Za-z0-9+.-]*):)?(.*)", path, re.S)
@@ -68,7 +99,10 @@ def write_files(rows: DataFrame) -> DataFrame:
                     store, inner = fs.LocalFileSystem(), re.sub("^//+", "/", scheme[2])
                 else:
                     store, inner = fs.FileSystem.from_uri(path)
-                store.create_dir(inner.rsplit("/", 1)[0])
+                folder = path.rsplit("/", 1)[0]
+                if folder not in made:  # once in a task
+                    store.create_dir(inner.rsplit("/", 1)[0])
+                    made.add(folder)
                 with store.open_output_stream(inner) as f:
                     f.write(content)
             yield pd.DataFrame({"path": frame["path"], "length": frame["content"].map(len)})
@@ -135,8 +169,8 @@ def display_orientation(headers: DataFrame, *keep: str) -> DataFrame:
     return headers.select("path", side("raw_w", "raw_h").alias("width"), side("raw_h", "raw_w").alias("height"), *keep)
 
 
-def scan_image_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, width, height, bands`` of a folder's images as displayed, from their headers alone; -1 if unreadable."""
+def scan_image_headers(spark: SparkSession, folder: str, tasks: int = 0) -> DataFrame:
+    """``path, width, height, bands`` of a folder's images as displayed, from their headers alone; -1 if unreadable. ``tasks`` as in ``list_files``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -149,7 +183,7 @@ def scan_image_headers(spark: SparkSession, folder: str) -> DataFrame:
                     rows.append((path, *UNREADABLE))
             yield pd.DataFrame(rows, columns=["path", "raw_w", "raw_h", "bands", "orientation"])
 
-    found = only_images(list_files(spark, folder)).select("path").mapInPandas(run, "path string, raw_w long, raw_h long, bands long, orientation long")
+    found = only_images(list_files(spark, folder, tasks)).select("path").mapInPandas(run, "path string, raw_w long, raw_h long, bands long, orientation long")
     return display_orientation(found, "bands")
 
 

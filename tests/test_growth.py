@@ -118,3 +118,19 @@ def test_buckets_follow_the_tables(spark, monkeypatch):
 def test_a_task_reads_a_bounded_part_of_a_file(spark):
     own = session.sized_session(spark, FOLDER)
     assert own.conf.get("spark.sql.files.maxPartitionBytes") == str(16 << 20) != spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+
+def test_images_are_listed_in_tasks_and_dealt_by_number(spark, tmp_path, monkeypatch):
+    from stripweave.sources import files
+
+    for name in ("a.png", "x/b.jpg", "x/_c.png", "y/d.tif", "y/z/e.png"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_bytes(b"12")
+    found = files.list_files(spark, str(tmp_path), 3)
+    assert sorted((r.path.removeprefix(f"file:{tmp_path}/"), r.length) for r in found.collect()) == [("a.png", 2), ("x/b.jpg", 2), ("y/d.tif", 2)]
+    assert found.inputFiles() == []  # no index of files in the driver
+    written, write = [], files.write_files
+    monkeypatch.setattr(files, "write_files", lambda rows: (written.append(rows), write(rows))[1])
+    read = QUERIES["scan_image_headers"](spark, FOLDER)
+    tasks = int(written[0].sparkSession.conf.get(session.PARTITIONS))
+    assert written[0].rdd.getNumPartitions() == tasks > 1 and read.inputFiles() == []
