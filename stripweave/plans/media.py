@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
+from ..operators import layout as L
 from ..operators import pixels as X
 from ..sources import documents as D
 from ..sources import files as S
@@ -162,9 +164,12 @@ def documents_of(v: Views):
     i = v("v_inputs").select(F.col("project_uid").alias("workspace_id"), "project_uid", F.col("ord").alias("pos"), "uid", "file_path", "sha256", "ord", "status", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), F.lit("").alias("canvas_profile_id"))
     p = v("v_projects").select(F.col("project_uid").alias("workspace_id"), "project_uid", F.lit(0).alias("p_ord"), F.col("project_uid").alias("name"), F.lit("/in").alias("input_directory"), "output_profile_id", F.array().cast("array<string>").alias("canvas_profile_ids"))
     s = geometry.segments(v)
-    name = F.format_string("output_%03d.jpg", F.col("slice_index") + 1)
+    name = E.slice_name(F.col("slice_index") + 1, F.lit(".jpg"))
     segments = s.select(F.col("project_uid").alias("workspace_id"), "project_uid", name.alias("file_name"), "seq", F.col("uid").alias("source_file_path"), "source_y", "height")
-    outs = s.select("project_uid", "slice_index").distinct().select(F.col("project_uid").alias("workspace_id"), "project_uid", F.col("slice_index").alias("pos"), F.lit("").alias("uid"), name.alias("file_name"), F.lit("").alias("sha256"), F.lit("Done").alias("status"))
+    # heights tell how many slices a strip has, without its segments
+    last = F.expr(f"sequence(CAST(0 AS BIGINT), (total_height - 1) div {HEIGHT})")
+    slices = L.strip_totals(geometry.scaled(v)).where("total_height > 0").select("project_uid", F.explode(last).alias("slice_index"))
+    outs = slices.select(F.col("project_uid").alias("workspace_id"), "project_uid", F.col("slice_index").alias("pos"), F.lit("").alias("uid"), name.alias("file_name"), F.lit("").alias("sha256"), F.lit("Done").alias("status"))
     w = p.select("workspace_id", F.lit(3).alias("version"), F.lit("/out").alias("output_directory"), F.lit(False).alias("strip_dirty"))
     return D.workspace_documents({"workspaces": w, "projects": p, "inputs": i, "outputs": outs, "segments": segments})
 
@@ -285,9 +290,7 @@ def stack_and_slice_pixels(v):
     "totals", more=geometry.MORE,
 )
 def pad_tail_white(v):
-    from ..operators.layout import strip_totals
-
-    return X.pad_tail_white(strip_totals(geometry.layout(v)), HEIGHT)
+    return X.pad_tail_white(L.strip_totals(geometry.layout(v)), HEIGHT)
 
 
 TOPS = {

@@ -24,7 +24,8 @@ SCHEMA = f"version int, outputDirectory string, canvasProfiles array<{CANVAS}>,
 
 def parse_workspaces(documents: DataFrame) -> DataFrame:
     """Documents ``workspace_id, json`` parsed to one typed row each, with ``problem`` (empty if fine)."""
-    parsed = documents.select("workspace_id", "json", F.from_json("json", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}).alias("d")).select("workspace_id", "json", "d.*")
+    # unrolled, so a filter on the fields does not parse the text again for each of them
+    parsed = documents.select("workspace_id", "json", F.inline(F.array(F.from_json("json", SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"}))))
     problem = (
         F.when(F.col("_corrupt").isNotNull(), "not a document")
         .when(F.col("version").isNull(), "no version")
@@ -92,7 +93,7 @@ def workspace_documents(tables: dict[str, DataFrame]) -> DataFrame:
 
     def nested(rows: DataFrame, keys: list[str], order: str, fields: dict[str, str], name: str) -> DataFrame:
         item = F.struct(order, F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("v"))
-        return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["v"]).alias(name))
+        return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item))["v"].alias(name))
 
     p = ["workspace_id", "project_uid"]
     inputs = nested(tables["inputs"], p, "pos", {"uid": "uid", "filePath": "file_path", "sha256": "sha256", "order": "ord", "status": "status", "width": "width", "height": "height", "canvasProfileId": "canvas_profile_id"}, "inputs")

@@ -134,3 +134,21 @@ def test_images_are_listed_in_tasks_and_dealt_by_number(spark, tmp_path, monkeyp
     read = QUERIES["scan_image_headers"](spark, FOLDER)
     tasks = int(written[0].sparkSession.conf.get(session.PARTITIONS))
     assert written[0].rdd.getNumPartitions() == tasks > 1 and read.inputFiles() == []
+
+
+def test_documents_are_parsed_once(spark):
+    plan = QUERIES["read_workspaces"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "format_string(output" in plan
+    rows = spark.createDataFrame([("a", None), ("b", "{"), ("c", '{"version":9,"projectItems":[]}'), ("d", '{"version":3,"projectItems":[]}'), ("e", "{}")], "workspace_id string, json string")
+    from stripweave.sources import documents
+
+    found = {r.workspace_id: r.problem for r in documents.parse_workspaces(rows).collect()}
+    assert found == {"a": "no version", "b": "not a document", "c": "newer version", "d": "", "e": "no version"}
+
+
+def test_plain_slice_names_are_not_formatted_row_by_row(spark):
+    from stripweave.functions.expressions import slice_name
+
+    rows = spark.createDataFrame([(n, e) for n in (-100, -5, 0, 7, 42, 999, 1000, 123456, None) for e in (".png", None)], "n long, e string")
+    name = slice_name(F.col("n"), F.col("e"))
+    assert "CASE" in str(name) and rows.where(~name.eqNullSafe(F.format_string("output_%03d%s", "n", "e"))).isEmpty()
