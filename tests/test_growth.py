@@ -120,6 +120,17 @@ def test_a_task_reads_a_bounded_part_of_a_file(spark):
     assert own.conf.get("spark.sql.files.maxPartitionBytes") == str(16 << 20) != spark.conf.get("spark.sql.files.maxPartitionBytes")
 
 
+def test_pages_are_dealt_without_columns_that_decide_nothing(spark):
+    plan = QUERIES["up_to_date"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    held = [line for line in plan.split("\n") if "AS project_uid" in line and "l_linenumber" in line]
+    assert held and not any(c in line for line in held for c in ("l_extendedprice", "l_shipdate", "l_discount", "l_tax"))
+    # rows that agree in the columns dealt are the same page at either number
+    line = [(1, 5, 7, 1, 2.0, price, 0.0, 0.0, "2020-01-01") for price in (9.0, 3.0)] + [(1, 4, 7, 1, 3.0, 1.0, 0.0, 0.0, "2020-01-01")]
+    lineitem = spark.createDataFrame(line, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate string")
+    want = spark.sql(fixtures.VIEWS["v_inputs"], lineitem=lineitem).collect()
+    assert sorted(map(tuple, fixtures._inputs(lineitem).collect())) == sorted(map(tuple, want))
+
+
 def test_images_are_listed_in_tasks_and_dealt_by_number(spark, tmp_path, monkeypatch):
     from stripweave.sources import files
 
