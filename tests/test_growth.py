@@ -163,3 +163,15 @@ def test_plain_slice_names_are_not_formatted_row_by_row(spark):
     rows = spark.createDataFrame([(n, e) for n in (-100, -5, 0, 7, 42, 999, 1000, 123456, None) for e in (".png", None)], "n long, e string")
     name = slice_name(F.col("n"), F.col("e"))
     assert "CASE" in str(name) and rows.where(~name.eqNullSafe(F.format_string("output_%03d%s", "n", "e"))).isEmpty()
+
+
+def test_file_staleness_matches_pages_once_and_keeps_no_hashes(spark, monkeypatch):
+    from stripweave.plans import registry
+    from stripweave.operators import canvas_changes as C
+
+    kept, asked, keep, changes = [], [], registry.keep, C.page_changes
+    monkeypatch.setattr(registry, "keep", lambda rows: (kept.append(rows.columns), keep(rows))[1])
+    monkeypatch.setattr(C, "page_changes", lambda *a: (asked.append(1), changes(*a))[1])
+    plan = QUERIES["file_staleness"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(asked) == 1 and ["project_uid", "uid", "status", "profile_then", "changed", "unknown"] in kept
+    assert "fingerprint" not in plan and "ws#" not in plan
