@@ -175,3 +175,65 @@ def test_file_staleness_matches_pages_once_and_keeps_no_hashes(spark, monkeypatc
     plan = QUERIES["file_staleness"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert len(asked) == 1 and ["project_uid", "uid", "status", "profile_then", "changed", "unknown"] in kept
     assert "fingerprint" not in plan and "ws#" not in plan
+
+
+def test_projects_name_their_lists_and_carry_none(spark):
+    from stripweave.plans import incremental, matching, registry
+
+    v = registry.Views(session.sized_session(spark, FOLDER), FOLDER)
+    for held, name in ((matching.linked(v), "v_links"), (incremental.linked_then(v), "v_links_then")):
+        rows = held.projects.join(held.lists, ["__k1", "__k2"]).select("project_uid", F.explode("__list").alias("l")).select("project_uid", "l.id", F.col("l.prio").cast("int").alias("prio"))
+        want = v(name).select("project_uid", "id", F.col("prio").cast("int").alias("prio"))
+        assert rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty() and held.lists.count() < held.projects.count()
+    assert held.projects.count() == v("v_projects").count()
+    plan = QUERIES["staleness_report"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "REPARTITION_BY_COL" not in plan and "RepartitionByExpression" not in plan
+
+
+def test_a_project_listed_twice_links_twice(spark):
+    from stripweave.plans import matching, registry
+
+    v = registry.Views(session.sized_session(spark, FOLDER), FOLDER)
+    projects = spark.createDataFrame([("a", 1, 1, False), ("a", 1, 1, False), ("b", 1, 2, True), ("c", 1, 3, False)], "project_uid string, ws int, k int, accepts_all boolean")
+    palette = spark.createDataFrame([("c1", 1, 1), ("c6", 6, 1), ("c7", 7, 1)], "id string, ordinal int, ws int")
+    v._made |= {"v_projects": projects, "v_canvas_profiles": palette}
+    held = matching.linked(v)
+    keys = [(r.project_uid, r["__k1"] is None) for r in held.projects.collect()]
+    assert sorted(keys) == [("a", False), ("a", False), ("b", True), ("c", True)]  # c: no profile has its remainder
+    assert [[(x.prio, x.id) for x in r["__list"]] for r in held.lists.collect()] == [[(1, "c6"), (2, "c6"), (3, "c1"), (4, "c1")]]
+
+
+def test_pages_are_not_joined_with_themselves(spark):
+    want = fixtures.view(spark, FOLDER, "v_page_files").join(fixtures.view(spark, FOLDER, "v_pages_then"), ["project_uid", "uid"])
+    got = fixtures.pages_and_then(fixtures.view(spark, FOLDER, "v_page_files")).select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+    plan = QUERIES["canvas_staleness"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, ((project_uid" not in plan
+
+
+def test_checks_as_numbers_give_the_same_status(spark):
+    from stripweave.operators import staleness as S
+
+    hashes = ["", "a", "b", "c"]
+    files = spark.createDataFrame([("p", k, f"{k}{s}{h}", s, h) for k in ("input", "output") for s in ("Error", "Skipped", "Pending", "Done") for h in hashes], "project_uid string, kind string, path string, status string, sha256 string")
+    seen = spark.createDataFrame([(f, d) for f in (True, False, None) for d in [*hashes, None]], "found boolean, disk_sha256 string")
+    one = files.crossJoin(seen.withColumn("n", F.monotonically_increasing_id())).withColumn("path", F.concat("path", F.col("n").cast("string")))
+    checks = one.select("project_uid", "path", F.col("sha256").alias("recorded_sha256"), "found", "disk_sha256")
+    more = checks.unionByName(checks.select("project_uid", "path", "recorded_sha256", F.lit(True).alias("found"), F.lit("b").alias("disk_sha256")))
+    rows = one.drop("found", "disk_sha256", "n")
+    for c in (checks, more):
+        want = S.apply_disk_checks(rows, c).select("project_uid", "kind", "path", "status")
+        got = S.status_after_checks(rows, c)
+        assert got.columns == rows.columns and got.select(*want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
+    plan = S.status_after_checks(rows, checks)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_orders_are_compared_without_lists(spark):
+    from stripweave.operators import layout as L
+
+    rows = spark.createDataFrame([(p, u, i) for p, us in {"same": "abc", "moved": "abc", "more": "ab", "new": "a"}.items() for i, u in enumerate(us)], "project_uid string, uid string, ord int")
+    then = spark.createDataFrame([(p, u, i * 10) for p, us in {"same": "abc", "moved": "acb", "more": "abc"}.items() for i, u in enumerate(us)], "project_uid string, uid string, pos int")
+    got = L.order_change(L.order_digest(rows, "ord", "uid"), L.order_digest(then, "pos", "uid"))
+    assert {r.project_uid: r.changed for r in got.collect()} == {"same": False, "moved": True, "more": True, "new": False}
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
