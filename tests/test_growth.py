@@ -237,3 +237,31 @@ def test_orders_are_compared_without_lists(spark):
     got = L.order_change(L.order_digest(rows, "ord", "uid"), L.order_digest(then, "pos", "uid"))
     assert {r.project_uid: r.changed for r in got.collect()} == {"same": False, "moved": True, "more": True, "new": False}
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recorded_matches_are_compared_without_dealing_pages_by_profile(spark):
+    from stripweave.operators import match, results, signatures, staleness
+
+    palette = spark.createDataFrame([(f"c{i}", i, 7, 10 * (i % 3), 20, i, 0, 0, 0) for i in range(6)], "id string, ordinal int, ws int, width int, height int, mt int, mr int, mb int, ml int")
+    marks = {r.id: r.signature for r in signatures.canvas_render_fingerprint(palette).collect()}
+    projects = spark.createDataFrame([("p", 7), ("q", 7)], "project_uid string, ws int")
+    links = spark.createDataFrame([("p", "c4", 1), ("p", "gone", 2)], "project_uid string, id string, prio int")
+    was = [(w, h, c, m) for w, h in ((10, 20), (0, 0), (None, 1)) for c, m in (("", ""), (None, None), ("c1", marks["c1"]), ("c4", marks["c4"]), ("c4", "old"), ("gone", "x"), ("c2", None))]
+    recorded = spark.createDataFrame([(p, f"u{i}", *w) for p in "pq" for i, w in enumerate(was)], "project_uid string, uid string, width_then int, height_then int, profile_then string, fingerprint_then string")
+    pages = recorded.select("project_uid", "uid", (F.ascii(F.substr("uid", F.lit(2))) % 3 * 10).alias("width"), F.lit(20).alias("height"))
+    met = match.match_pages(pages, projects, links, palette).drop("__other")
+    want = staleness.canvas_staleness(met.join(recorded, ["project_uid", "uid"]), signatures.canvas_render_fingerprint(palette)).select("project_uid", "changed", F.coalesce("unknown", F.lit(True)).alias("unknown"))
+    got = results._recorded_changes(recorded, pages, projects, links, palette)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and {r.changed for r in got.collect()} == {True, False}
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and not any("profile_id#" in j for j in joins)
+
+
+def test_a_run_stores_no_checks_and_finds_its_projects_once(spark, monkeypatch):
+    from stripweave.plans import registry
+
+    kept, keep = [], registry.keep
+    monkeypatch.setattr(registry, "keep", lambda rows: (kept.append(rows.columns), keep(rows))[1])
+    QUERIES["report_after_run"](spark, FOLDER)
+    assert not any("path" in c or "used_fingerprint" in c for c in kept)
+    assert ["project_uid", "ids", "output_signature", "processing_signature"] in [[x.replace("profile_ids", "ids") for x in c] for c in kept]
