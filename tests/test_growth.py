@@ -265,3 +265,15 @@ def test_a_run_stores_no_checks_and_finds_its_projects_once(spark, monkeypatch):
     QUERIES["report_after_run"](spark, FOLDER)
     assert not any("path" in c or "used_fingerprint" in c for c in kept)
     assert ["project_uid", "ids", "output_signature", "processing_signature"] in [[x.replace("profile_ids", "ids") for x in c] for c in kept]
+
+
+def test_a_summary_looks_for_no_profile_of_its_own(spark, monkeypatch):
+    from stripweave.operators import match
+
+    def none(*a, **k):
+        raise AssertionError("pages are matched for their skips")
+
+    monkeypatch.setattr(match, "match_pages", none)
+    assert "skipped_pages" in QUERIES["run_summary"](spark, FOLDER).columns
+    rows = spark.createDataFrame([("Missing", 1, 1), ("Missing", 0, 1), ("Done", 0, 1), ("Done", 1, -1), ("Done", 1, 1)], "status string, width int, height int")
+    assert [r.p for r in rows.select(match.skipped().alias("p")).collect()] == ["SkippedMissing", "SkippedMissing", "SkippedError", "SkippedError", None]
